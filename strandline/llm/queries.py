@@ -8,6 +8,7 @@ from strandline.llm.pii import op9_pii
 from strandline.llm.pieces import op2_sentencepiece
 from strandline.llm.quality import op5_quality
 from strandline.llm.sharding import op10_shards
+from strandline.llm.substrings import op7_substrings
 
-QUERIES = {"op4_jaccard": op4_jaccard, "op2_sentencepiece": op2_sentencepiece, "op5_quality": op5_quality, "op8_decontaminate": op8_decontaminate, "op9_pii": op9_pii, "op10_shards": op10_shards}
+QUERIES = {"op4_jaccard": op4_jaccard, "op2_sentencepiece": op2_sentencepiece, "op5_quality": op5_quality, "op7_substrings": op7_substrings, "op8_decontaminate": op8_decontaminate, "op9_pii": op9_pii, "op10_shards": op10_shards}
 SQL: dict[str, str] = {}
