@@ -9,6 +9,8 @@ from strandline.llm.pieces import op2_sentencepiece
 from strandline.llm.quality import op5_quality
 from strandline.llm.sharding import op10_shards
 from strandline.llm.substrings import op7_substrings
+from strandline.llm.toxicity import op6_toxicity
+from strandline.llm.warc import OP3_SQL, op3_warc_fixity
 
-QUERIES = {"op4_jaccard": op4_jaccard, "op2_sentencepiece": op2_sentencepiece, "op5_quality": op5_quality, "op7_substrings": op7_substrings, "op8_decontaminate": op8_decontaminate, "op9_pii": op9_pii, "op10_shards": op10_shards}
-SQL: dict[str, str] = {}
+QUERIES = {"op3_warc_fixity": op3_warc_fixity, "op4_jaccard": op4_jaccard, "op2_sentencepiece": op2_sentencepiece, "op5_quality": op5_quality, "op6_toxicity": op6_toxicity, "op7_substrings": op7_substrings, "op8_decontaminate": op8_decontaminate, "op9_pii": op9_pii, "op10_shards": op10_shards}
+SQL: dict[str, str] = {"op3_warc_fixity": OP3_SQL}
