@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.common import plus, table, tune
-from strandline.llm.textkit import NOT_ALNUM, U64, slices, words_of
+from strandline.llm.textkit import NOT_ALNUM, U64, mix, slices, window_hash, words_of
 
 #: Labelled documents that the model is fitted on, of each label, by least hash of doc_id.
-TRAINING_DOCS = 2500
-#: Weights of forms and of beginnings: hashed to so many places each.
-BUCKETS = 1 << 18
+TRAINING_DOCS = 1500
+#: Training documents that a form or beginning must be in to have a weight of its own; others share one.
+LEAST_DOCS = 4
 #: Bytes of a token's beginning.
 HEAD = 5
 
@@ -49,28 +49,55 @@ def _step(x: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.log((t[0, 1] + t[1, 1] * e) / (t[0, 0] + t[1, 0] * e))
 
 
-def forward_backward(u: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, marginal) of chains first[d]:first[d + 1]: log odds forward with the token's own, backward without it.
+def _memory(trans: np.ndarray) -> int:
+    """Tokens after which a chain's start no longer shows in double precision (Birkhoff's contraction coefficient)."""
+    tau = np.tanh(abs(trans[0, 0] + trans[1, 1] - trans[0, 1] - trans[1, 0]) / 4)
+    return 1 if tau < 1e-9 else int(np.ceil(np.log(1e-18) / np.log(min(tau, 1 - 1e-9)))) + 1
+
 
-    All chains take a step at once, longest first, so there are as many steps as the longest has tokens."""
+def _recursion(u: np.ndarray, first: np.ndarray, trans: np.ndarray, block: int = 128) -> np.ndarray:
+    """Log odds forward, each with its own token's. Long chains are cut into blocks that all take a step at once; a block
+    starts so many tokens early that what came before has no effect in double precision."""
+    warm = _memory(trans)
+    block = max(block, warm)
     n = np.diff(first)
-    order = np.argsort(-n, kind="stable")
-    lengths, at = n[order], first[:-1][order]
-    last = at + lengths - 1
-    a, b = u.copy(), np.zeros(len(u))
-    t, back = np.exp(trans), np.exp(trans).T
-    active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(1, (lengths[0] if len(lengths) else 0) + 1), side="left")
-    for k in range(1, len(active)):
+    cuts = -(-n // block)
+    chain = np.repeat(np.arange(len(n)), cuts)
+    if not len(chain):
+        return u.copy()
+    begin = first[:-1][chain] + block * (np.arange(len(chain)) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+    end = np.minimum(begin + block, first[1:][chain])
+    early = np.maximum(begin - warm, first[:-1][chain])
+    order = np.argsort(early - end, kind="stable")
+    begin, end, early = begin[order], end[order], early[order]
+    length = end - early
+    out = np.empty(len(u))
+    state, t = u[early], np.exp(trans)
+    now = early == begin
+    out[early[now]] = state[now]
+    active = len(length) - np.searchsorted(length[::-1], np.arange(1, length[0] + 1), side="left")
+    for k in range(1, int(length[0])):
         m = active[k]
-        i = at[:m] + k
-        a[i] += _step(a[i - 1], t)
-        j = last[:m] - k
-        b[j] = _step(u[j + 1] + b[j + 1], back)
+        at = early[:m] + k
+        state = u[at] + _step(state[:m], t)
+        now = at >= begin[:m]
+        out[at[now]] = state[now]
+    return out
+
+
+def forward_backward(u: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, marginal) of chains first[d]:first[d + 1]: log odds forward with the token's own, backward without it."""
+    a = _recursion(u, first, trans)
+    turned = len(u) - first[::-1]
+    b = _recursion(u[::-1], turned, trans.T)[::-1] - u
     return a, b, 1 / (1 + np.exp(-np.clip(a + b, -40, 40)))
 
 
 @dataclass
 class Crf:
+    #: Sorted hashes of known forms and beginnings, and their weights; the last weight is of all others.
+    forms: np.ndarray
+    heads: np.ndarray
     form: np.ndarray
     head: np.ndarray
     bias: float
@@ -79,7 +106,7 @@ class Crf:
     out: np.ndarray
 
     def unary(self, form: np.ndarray, head: np.ndarray) -> np.ndarray:
-        return self.bias + self.form[(form % U64(BUCKETS)).astype(np.int64)] + self.head[(head % U64(BUCKETS)).astype(np.int64)]
+        return self.bias + self.form[places(self.forms, form)] + self.head[places(self.heads, head)]
 
     def marginals(self, form: np.ndarray, head: np.ndarray, first: np.ndarray) -> np.ndarray:
         return forward_backward(self.unary(form, head).astype(float), first, self.trans)[2]
@@ -89,6 +116,14 @@ class Crf:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def places(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Index of each value among the known ones, len(known) for others."""
+    if not len(known):
+        return np.zeros(len(x), np.int64)
+    i = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return np.where(known[i] == x, i, len(known))
+
+
 def document_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     top = np.zeros(len(first) - 1)
     np.maximum.at(top, np.repeat(np.arange(len(first) - 1), np.diff(first)), p)
@@ -96,34 +131,40 @@ def document_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(top)), top, np.log1p(np.maximum(c[first[1:]] - c[first[:-1]], 0))], 1)
 
 
-def _marked(key: np.ndarray, doc: np.ndarray, toxic: np.ndarray, least: float = 30.0) -> np.ndarray:
-    """Which keys (hashes) documents marked toxic use far more than others: G2 above least, and mostly by them."""
-    pairs = np.unique(np.stack([key, doc.astype(np.uint64)]), axis=1) if len(key) else np.empty((2, 0), np.uint64)
-    names, at, n = np.unique(pairs[0], return_inverse=True, return_counts=True)
-    k = np.bincount(at, toxic[pairs[1].astype(np.int64)], len(names))
-    rate = min(max(toxic.mean(), 1e-6), 1 - 1e-6) if len(toxic) else 0.5
+def _by_documents(key: np.ndarray, doc: np.ndarray, toxic: np.ndarray, least: float = 30.0) -> tuple[np.ndarray, np.ndarray]:
+    """(keys in LEAST_DOCS documents, those that documents marked toxic use far more than others: G2 above least, and
+    hardly any others use them)."""
+    order = np.lexsort((doc, key))
+    k, d = key[order], doc[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+    names, at, n = np.unique(k[new], return_inverse=True, return_counts=True)
+    hits = np.bincount(at, toxic[d[new]], len(names))
+    rate = min(max(toxic.mean(), 1e-6), 1 - 1e-6)
     with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * (np.where(k > 0, k * np.log(k / (n * rate)), 0) + np.where(n > k, (n - k) * np.log((n - k) / (n * (1 - rate))), 0))
-    return names[(g > least) & (k > 0.9 * n)]
+        g = 2 * (np.where(hits > 0, hits * np.log(hits / (n * rate)), 0) + np.where(n > hits, (n - hits) * np.log((n - hits) / (n * (1 - rate))), 0))
+    return names[n >= LEAST_DOCS], names[(g > least) & (hits > 0.95 * n)]
 
 
-def fit_crf(form: np.ndarray, head: np.ndarray, first: np.ndarray, toxic: np.ndarray, rounds: int = 60, l2: float = 1e-4) -> Crf:
-    """The model of documents given as tokens with labels 0 or 1. No documents of one label: scores that never reach 0.5
-    if none is toxic. Adagrad on whole-data gradients; deterministic."""
+def fit_crf(form: np.ndarray, head: np.ndarray, first: np.ndarray, toxic: np.ndarray, rounds: int = 40, l2: float = 1e-4) -> Crf:
+    """The model of documents given as tokens with labels 0 or 1; without tokens, one that finds nothing. Adagrad on
+    gradients over all of them, then Newton's method for the documents' scores; deterministic."""
+    if not len(form):
+        none = np.empty(0, np.uint64)
+        return Crf(none, none, np.zeros(1), np.zeros(1), -3.0, np.zeros((2, 2)), np.array([-3.0, 4.0, 1.0]))
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    y = toxic[doc] & (np.isin(form, _marked(form, doc, toxic)) | np.isin(head, _marked(head, doc, toxic)))
-    f, h = ((x % U64(BUCKETS)).astype(np.int64) for x in (form, head))
-    m = Crf(np.zeros(BUCKETS), np.zeros(BUCKETS), -3.0, np.zeros((2, 2)), np.array([-3.0, 4.0, 1.0]))
-    if not len(f):
-        return m
-    memory = [np.full(BUCKETS, 1e-6), np.full(BUCKETS, 1e-6), 1e-6, np.full((2, 2), 1e-6)]
+    (forms, bad_forms), (heads, bad_heads) = _by_documents(form, doc, toxic), _by_documents(head, doc, toxic)
+    y = toxic[doc] & (np.isin(form, bad_forms) | np.isin(head, bad_heads))
+    f, h = places(forms, form), places(heads, head)
+    m = Crf(forms, heads, np.zeros(len(forms) + 1), np.zeros(len(heads) + 1), -3.0, np.zeros((2, 2)), np.array([-3.0, 4.0, 1.0]))
+    memory = [np.full(len(m.form), 1e-6), np.full(len(m.head), 1e-6), 1e-6, np.full((2, 2), 1e-6)]
     inner = np.ones(len(f), bool)
     inner[first[1:][first[1:] > first[:-1]] - 1] = False  # a chain's last token has no successor in it
     i = np.flatnonzero(inner)
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[i].astype(int), y[i + 1].astype(int)), 1)
     for _ in range(rounds):
-        u = m.unary(form, head)
+        u = m.bias + m.form[f] + m.head[h]
         a, b, p = forward_backward(u, first, m.trans)
         r = y - p
         # pair marginals: proportional to alpha(s) e^T(s, s') psi(s') beta(s')
@@ -133,7 +174,7 @@ def fit_crf(form: np.ndarray, head: np.ndarray, first: np.ndarray, toxic: np.nda
         cells = [[t[0, 0] * np.ones(len(i)), t[0, 1] * x], [t[1, 0] * e, t[1, 1] * e * x]]
         z = sum(sum(c) for c in cells)
         expected = np.array([[(c / z).sum() for c in row] for row in cells])
-        grads = [np.bincount(f, r, BUCKETS) - l2 * m.form, np.bincount(h, r, BUCKETS) - l2 * m.head, r.sum(), (seen - expected) - l2 * m.trans]
+        grads = [np.bincount(f, r, len(m.form)) - l2 * m.form, np.bincount(h, r, len(m.head)) - l2 * m.head, r.sum(), (seen - expected) - l2 * m.trans]
         steps = []
         for k, g in enumerate(grads):
             memory[k] = memory[k] + g * g
@@ -152,6 +193,20 @@ def fit_crf(form: np.ndarray, head: np.ndarray, first: np.ndarray, toxic: np.nda
     return m
 
 
+def unlike(forms: list[np.ndarray], seeds: int = 6) -> list[int]:
+    """Documents that share none of a few min-hashes of three-token runs with an earlier one: copies of one document
+    would make its every word look like evidence."""
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for i, f in enumerate(forms):
+        g = window_hash(f, 3) if len(f) >= 3 else f
+        mine = {(k, int(mix(g + U64(k * 0x51_7C_C1)).min())) for k in range(seeds)} if len(g) else {(0, 0)}
+        if not mine & seen:
+            out.append(i)
+        seen |= mine
+    return out
+
+
 def held_out(key: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -172,6 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = docs.select(key, text).join(F.broadcast(some), key).select(F.col(key).cast("string").alias("k"), "toxic", text).mapInArrow(run, "k string, toxic bigint, form binary, head binary").toArrow()
     rows = rows.sort_by([("k", "ascending"), ("form", "ascending")]).slice(0, 3 * limit)
     form, head = ([np.frombuffer(x, np.uint64) for x in rows.column(c).to_pylist()] for c in ("form", "head"))
+    keep = unlike(form)
+    form, head, rows = [form[i] for i in keep], [head[i] for i in keep], rows.take(pa.array(keep, pa.int64()))
     first = np.concatenate([[0], np.cumsum([len(x) for x in form])]).astype(np.int64)
     cat = lambda x: np.concatenate(x) if x else np.empty(0, np.uint64)
     return fit_crf(cat(form), cat(head), first, rows.column("toxic").to_numpy() == 1)
