@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strandline.llm.decontaminate import op8_decontaminate
+from strandline.llm.html_text import op1_html
 from strandline.llm.jaccard import op4_jaccard
 from strandline.llm.pii import op9_pii
 from strandline.llm.pieces import op2_sentencepiece
@@ -12,5 +13,5 @@ from strandline.llm.substrings import op7_substrings
 from strandline.llm.toxicity import op6_toxicity
 from strandline.llm.warc import OP3_SQL, op3_warc_fixity
 
-QUERIES = {"op3_warc_fixity": op3_warc_fixity, "op4_jaccard": op4_jaccard, "op2_sentencepiece": op2_sentencepiece, "op5_quality": op5_quality, "op6_toxicity": op6_toxicity, "op7_substrings": op7_substrings, "op8_decontaminate": op8_decontaminate, "op9_pii": op9_pii, "op10_shards": op10_shards}
+QUERIES = {"op1_html": op1_html, "op3_warc_fixity": op3_warc_fixity, "op4_jaccard": op4_jaccard, "op2_sentencepiece": op2_sentencepiece, "op5_quality": op5_quality, "op6_toxicity": op6_toxicity, "op7_substrings": op7_substrings, "op8_decontaminate": op8_decontaminate, "op9_pii": op9_pii, "op10_shards": op10_shards}
 SQL: dict[str, str] = {"op3_warc_fixity": OP3_SQL}
