@@ -66,7 +66,7 @@ def _packed(df: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches):
         import zstandard
 
-        c = zstandard.ZstdCompressor(level=1)
+        c = zstandard.ZstdCompressor(level=6)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.compress((x or "").encode()) for x in b.column(2).to_pylist()], pa.binary())], [key, "t", "z"])
 
@@ -91,9 +91,10 @@ def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text", len
                 yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), _signed(seed), _signed(whole), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["k", "t", "seed", "whole", "at", "n"])
 
     runs = keyed.mapInArrow(seeds, f"k {kind}, t bigint, seed bigint, whole bigint, at int, n int")
-    often = runs.groupBy("seed").agg(F.count("*").alias("c"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).filter("c > 1")
-    often = often.select(F.col("seed").alias("s"), (F.col("lo") == F.col("hi")).alias("alike"))
+    often = runs.groupBy("seed").count().filter("count > 1").select(F.col("seed").alias("s"))
     again = saved(runs.join(often, F.col("seed") == F.col("s")).drop("s"))
+    reach = again.groupBy("seed").agg(F.min("whole").alias("lo"), F.max("whole").alias("hi")).select(F.col("seed").alias("s"), (F.col("lo") == F.col("hi")).alias("alike"))
+    again = saved(again.join(reach, F.col("seed") == F.col("s")).drop("s"))
     # runs whose anchor also has other reaches or words around it: those that occur again as a whole stand
     mixed = again.filter("not alike")
     wholes = mixed.groupBy("seed", "whole").agg(F.count("*").alias("c"), F.min(F.struct("k", "t", "at")).alias("one"))
