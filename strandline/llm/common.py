@@ -83,7 +83,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def sketch(df: DataFrame, bins_of: Callable[[pa.RecordBatch], np.ndarray], bins: int, parts: int = 64, fan: int = 64) -> np.ndarray:
-    """How many values fall in each of a fixed number of bins, as round(8 * log2(1 + count)) in a byte.
+    """About how many values fall in each of a fixed number of bins, as round(8 * log2(1 + count)) in a byte.
 
     bins_of gives the bin numbers of a batch. A task adds up its own counts and sends them compressed, so what travels
     is at most tasks x bins bytes; sums go through a level of fan groups before the last; bins bytes reach the driver,
@@ -94,25 +94,27 @@ def sketch(df: DataFrame, bins_of: Callable[[pa.RecordBatch], np.ndarray], bins:
     def local(batches):
         from pyspark import TaskContext
 
-        counts = np.zeros(bins, np.uint32)
+        # a byte each while they last: a bin that reaches 255 here counts as 255 of this task
+        counts = np.zeros(bins, np.uint8)
         for batch in batches:
-            counts += np.bincount(bins_of(batch), minlength=bins).astype(np.uint32)
+            at, n = np.unique(bins_of(batch), return_counts=True)
+            counts[at] = np.minimum(counts[at] + n, 255)
         rows = [(p, zlib.compress(c.tobytes(), 1)) for p in range(parts) if (c := counts[p * width : (p + 1) * width]).any()]
         if rows:
             salt = TaskContext.get().partitionId() % fan
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([salt] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "salt", "counts"])
 
-    def total(t: pa.Table) -> np.ndarray:
+    def total(t: pa.Table, kind: type) -> np.ndarray:
         out = np.zeros(width, np.uint64)
         for c in t.column("counts"):
-            out += np.frombuffer(zlib.decompress(c.as_py()), np.uint32)
+            out += np.frombuffer(zlib.decompress(c.as_py()), kind)
         return np.minimum(out, 0xFFFFFFFF).astype(np.uint32)
 
     def some(key, t):
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total(t).tobytes(), 1)], pa.binary())})
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total(t, np.uint8).tobytes(), 1)], pa.binary())})
 
     def all_(key, t):
-        level = np.minimum(255, np.round(8 * np.log2(1.0 + total(t)))).astype(np.uint8)
+        level = np.minimum(255, np.round(8 * np.log2(1.0 + total(t, np.uint32)))).astype(np.uint8)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "levels": pa.array([zlib.compress(level.tobytes(), 1)], pa.binary())})
 
     out = np.zeros(bins, np.uint8)

@@ -28,7 +28,9 @@ from strandline.llm.common import components, plus, saved, sketch, table, tune
 from strandline.llm.textkit import U64, mix, slices, window_hash, words_of
 
 #: Counting bins of the first order, a byte each when broadcast.
-BINS = 1 << 24
+BINS = 1 << 25
+#: Bits of the filter that tells which nodes are in groups.
+FILTER_BITS = 1 << 24
 #: Nodes and tokens in a block; a larger set is a block of its own.
 BLOCK_NODES, BLOCK_TOKENS = 128, 400_000
 
@@ -73,6 +75,16 @@ def _ranked(tokens: np.ndarray, order: int, levels: np.ndarray | None = None) ->
     return tokens[np.argsort(key, kind="stable")]
 
 
+def index_len(n: int, percent: int) -> int:
+    """Tokens of a set of n of which one is among the prefix_len() first of any percent similar set that is not smaller."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1
+
+
+def short(name: bytes) -> int:
+    """64 bits of a node, enough for forming groups: a collision only makes a group larger."""
+    return int.from_bytes(name[:8], "little", signed=True)
+
+
 def _band(n: int, percent: int) -> int:
     """Number of a size class; sets that are percent similar are in the same or neighbouring classes."""
     return int(np.floor(np.log(n) / -np.log(percent / 100) + 1e-9))
@@ -171,10 +183,19 @@ def nodes(df: DataFrame, text: str = "text", n: int = 3) -> DataFrame:
     return df.mapInArrow(run, plus(df.select(*rest).schema, "node binary, n_shingles bigint"))
 
 
-def links(df: DataFrame, text: str = "text", n: int = 3, percent: int = 90, bins: int = BINS) -> DataFrame:
-    """(a, b): nodes joined by links of at least percent similarity, a spanning forest of each block pair's links."""
+def _short(node: F.Column) -> F.Column:
+    """short() as a column: the bytes turned round, as hex, two 32-bit halves."""
+    turned = F.reverse(F.substring(F.hex(node), 1, 16))
+    # reverse() also turns the two digits of each byte
+    digits = F.regexp_replace(turned, "(.)(.)", "$2$1")
+    high, low = F.conv(F.substring(digits, 1, 8), 16, 10).cast("bigint"), F.conv(F.substring(digits, 9, 8), 16, 10).cast("bigint")
+    return F.shiftleft(high, 32).bitwiseOR(low)
+
+
+def links(df: DataFrame, base: DataFrame, text: str = "text", n: int = 3, percent: int = 90, bins: int = BINS) -> DataFrame:
+    """(a, b): nodes joined by links (base: the texts' rows from nodes()) of at least percent similarity, a spanning forest of each block pair's links."""
     spark = df.sparkSession
-    df = df.select(text)
+    df, base = df.select(text), base.withColumn("short", _short(F.col("node")))
     levels = spark.sparkContext.broadcast(sketch(df, _bin_numbers(text, n, bins), bins))
 
     def heads(batches):
@@ -183,26 +204,32 @@ def links(df: DataFrame, text: str = "text", n: int = 3, percent: int = 90, bins
             for s in token_sets(b.column(text), n):
                 if not len(s):
                     continue
-                name, band = node_of(s), _band(len(s), percent)
+                name, band = short(node_of(s)), _band(len(s), percent)
                 head = _ranked(s, 0, levels.value)[: prefix_len(len(s), percent)]
-                # a node meets its own size class and the next larger one
-                for step in (0, 1):
-                    keys.append(mix(head + U64((band + step) * 0x9E3779B97F4A7C15 % (1 << 64))))
-                    names += [name] * len(head)
+                # a node meets its own size class, and as the smaller one the next larger class
+                for step, some in ((0, head), (1, head[: index_len(len(s), percent)])):
+                    keys.append(mix(some + U64((band + step) * 0x9E3779B97F4A7C15 % (1 << 64))))
+                    names.append(np.full(len(some), name, np.int64))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(names, pa.binary())], ["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names))], ["key", "node"])
 
-    entries = df.mapInArrow(heads, "key bigint, node binary")
-    # one partial aggregate finds the least node of each token and whether another shares it
-    least = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select(F.col("key").alias("k"), "low")
+    entries = df.mapInArrow(heads, "key bigint, node bigint")
+    # one partial aggregate finds the least node of each token that comes more than once; copies are one node
+    least = entries.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("c")).filter("c > 1").select(F.col("key").alias("k"), "low")
     edges = entries.join(least, F.col("key") == F.col("k")).select(F.col("node").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
-    groups = saved(components(edges)).withColumnRenamed("node", "member")
+    groups = components(edges).withColumnRenamed("node", "member")
+    # how many blocks a group needs; a node's block is a hash of it, so blocks are even
+    sizes = base.filter("n_shingles > 0").groupBy("short").agg(F.max("n_shingles").alias("n"))
+    groups = groups.join(sizes, F.col("member") == F.col("short")).select("member", "root", "n")
+    need = groups.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
+    need = need.select(F.col("root").alias("r"), F.greatest(F.ceil(F.col("members") / BLOCK_NODES), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    groups = saved(groups.join(need, F.col("root") == F.col("r")).select("member", "root", "blocks", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block")))
 
     # the sets of grouped nodes only; a bitmap of fixed size keeps most others from being sent
     def bits(batch: pa.RecordBatch) -> np.ndarray:
-        return np.array([int.from_bytes(x.as_py()[:8], "little") % bins for x in batch.column(0)], np.int64)
+        return (batch.column(0).to_numpy().view(np.uint64) % U64(FILTER_BITS)).astype(np.int64)
 
-    wanted = spark.sparkContext.broadcast(sketch(groups.select("member"), bits, bins) > 0)
+    wanted = spark.sparkContext.broadcast(np.packbits(sketch(groups.select("member"), bits, FILTER_BITS) > 0))
 
     def gathered(batches):
         for b in batches:
@@ -210,27 +237,23 @@ def links(df: DataFrame, text: str = "text", n: int = 3, percent: int = 90, bins
             for s in token_sets(b.column(text), n):
                 if len(s):
                     name = node_of(s)
-                    if wanted.value[int.from_bytes(name[:8], "little") % bins]:
-                        out.append((name, s.tobytes(), len(s)))
+                    at = short(name) % (1 << 64) % FILTER_BITS
+                    if wanted.value[at >> 3] >> (7 - (at & 7)) & 1:
+                        out.append((name, short(name), s.tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.int32())], ["node", "tokens", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["node", "short", "tokens"])
 
-    # copies are equal, so any of them will do
-    sets = df.mapInArrow(gathered, "node binary, tokens binary, n int").dropDuplicates(["node"])
-    return _block_links(sets.join(groups, F.col("node") == F.col("member")).drop("member"), percent)
+    # copies are equal: one set of each node stays, before the shuffle where copies meet
+    sets = df.mapInArrow(gathered, "node binary, short bigint, tokens binary").groupBy("short").agg(F.collect_set(F.struct("node", "tokens")).alias("same"))
+    sets = sets.join(groups, F.col("short") == F.col("member")).select(F.inline("same"), "root", "blocks", "block")
+    return _block_links(sets, percent)
 
 
 def _block_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside groups: (node, tokens, n, root) rows go to blocks, and blocks of a group meet two by two."""
-    sets = saved(sets)
-    # how many blocks a group needs; a node's block is a hash of it, so blocks are even
-    need = sets.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
-    need = need.select(F.col("root").alias("r"), F.greatest(F.ceil(F.col("members") / BLOCK_NODES), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    placed = sets.join(need, F.col("root") == F.col("r")).drop("r").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    """Links inside groups: (node, tokens, root, blocks, block) rows; blocks of a group meet two by two."""
     # a block goes to every pair of blocks (i <= j) that it is part of
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    sent = placed.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    # small groups share tasks: their pairs of blocks are one row key each
+    sent = sets.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     sent = sent.select(F.xxhash64("root", "i", "j").alias("task"), "root", "i", "j", "block", "node", "tokens")
 
     def work(t: pa.Table) -> pa.Table:
@@ -262,7 +285,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3,
     A row without words has no shingles, no links and its own key as component_id. Null keys are passed over in the
     minimum; repeated rows are one node and each come out. An empty table gives none."""
     base = saved(nodes(df.select(key, text), text, n))
-    roots = components(links(df, text, n, percent, bins)).select(F.col("node").alias("member"), "root")
+    roots = components(links(df, base, text, n, percent, bins)).select(F.col("node").alias("member"), "root")
     least = base.filter("n_shingles > 0").groupBy("node").agg(F.min(key).alias("low"))
     joined = least.join(roots, F.col("node") == F.col("member"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     whole = joined.groupBy("root").agg(F.min("low").alias("component_id")).withColumnRenamed("root", "r")
