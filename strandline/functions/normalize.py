@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 import pandas as pd
@@ -75,26 +76,27 @@ def unit_part(text: Column) -> Column:
     return F.when(~t.rlike(NUMBER), F.nullif(F.regexp_extract(t, _VALUE_UNIT, 2), F.lit("")))
 
 
-def _lookup(unit: Column, pick: int) -> Column:
-    pairs = [F.lit(x) for alias, row in UNITS.items() for x in (alias, row[pick])]
-    return F.try_element_at(F.create_map(*pairs), unit)
+def _lookup(unit: Column, pick: str) -> Column:
+    """A field of a unit's row. The table is one literal once it is folded, not a branch for each unit."""
+    rows = {alias: dict(zip(("name", "dimension", "factor", "offset", "preferred"), (*row, PREFERRED.get(row[1], row[0])), strict=True)) for alias, row in UNITS.items()}
+    table = F.from_json(F.lit(json.dumps(rows)), "map<string,struct<name:string,dimension:string,factor:double,offset:double,preferred:string>>")
+    return F.try_element_at(table, unit)[pick]
 
 
 def canonical_unit(unit: Column) -> Column:
     """Canonical name of an alias; an unknown unit stays."""
-    return F.coalesce(_lookup(F.trim(unit), 0), unit)
+    return F.coalesce(_lookup(F.trim(unit), "name"), unit)
 
 
 def convert(value: Column, source: Column, target: Column) -> Column:
     """value in the target unit; as it is where either unit is unknown or of another dimension."""
-    f1, o1, f2, o2 = _lookup(source, 2), _lookup(source, 3), _lookup(target, 2), _lookup(target, 3)
-    same = _lookup(source, 1) == _lookup(target, 1)
+    f1, o1, f2, o2 = _lookup(source, "factor"), _lookup(source, "offset"), _lookup(target, "factor"), _lookup(target, "offset")
+    same = _lookup(source, "dimension") == _lookup(target, "dimension")
     return F.when(same & (source != target), (value * f1 + o1 - o2) / f2).otherwise(value)
 
 
 def preferred_unit(unit: Column) -> Column:
-    pairs = [F.lit(x) for d, u in PREFERRED.items() for x in (d, u)]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), _lookup(unit, 1)), canonical_unit(unit))
+    return F.coalesce(_lookup(F.trim(unit), "preferred"), unit)
 
 
 def parses_as_time(text: Column) -> Column:

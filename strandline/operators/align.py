@@ -26,7 +26,8 @@ def align(obs: DataFrame, strategy: str = "forward_fill", targets: DataFrame | N
     cells = times.distinct().crossJoin(F.broadcast(names.select(variable).distinct()))
     full = cells.join(at, [variable, ts], "left")
     w = W.Window.partitionBy(variable).orderBy(ts)
-    back, ahead = w.rowsBetween(W.Window.unboundedPreceding, 0), w.rowsBetween(0, W.Window.unboundedFollowing)
+    # what follows is what came before in reverse order: a frame that grows is summed up once, one that shrinks is not
+    back, ahead = w.rowsBetween(W.Window.unboundedPreceding, 0), W.Window.partitionBy(variable).orderBy(F.desc(ts)).rowsBetween(W.Window.unboundedPreceding, 0)
     before = w.rowsBetween(W.Window.unboundedPreceding, -1)
     here = lambda c: F.when(F.col("head").isNotNull(), F.struct(F.col(ts).alias("t"), F.col(c)["v"][value].alias("v")))
     exact = F.col("head")["v"][value]
@@ -35,7 +36,7 @@ def align(obs: DataFrame, strategy: str = "forward_fill", targets: DataFrame | N
     elif strategy == "forward_fill":
         out = full.withColumn("_p", F.last(here("tail"), True).over(back)).withColumn(value, F.col("_p.v"))
     elif strategy in ("nearest", "interpolate"):
-        full = full.withColumn("_p", F.last(here("tail"), True).over(before)).withColumn("_n", F.first(here("head"), True).over(ahead))
+        full = full.withColumn("_p", F.last(here("tail"), True).over(before)).withColumn("_n", F.last(here("head"), True).over(ahead))
         p, n, t = F.col("_p"), F.col("_n"), F.col(ts)
         if strategy == "nearest":
             pick = F.when(p.isNull(), n["v"]).when(n.isNull(), p["v"]).when(t - p["t"] <= n["t"] - t, p["v"]).otherwise(n["v"])
@@ -64,7 +65,7 @@ def fill(df: DataFrame, columns: list[str], strategy: str, default: float | None
     if strategy == "default":
         return df.withColumns({c: F.coalesce(F.col(c), F.lit(default)) for c in columns})
     w = W.Window.partitionBy(*(partition or [])).orderBy(ts)
-    back, ahead = w.rowsBetween(W.Window.unboundedPreceding, 0), w.rowsBetween(0, W.Window.unboundedFollowing)
+    back, ahead = w.rowsBetween(W.Window.unboundedPreceding, 0), W.Window.partitionBy(*(partition or [])).orderBy(F.desc(ts)).rowsBetween(W.Window.unboundedPreceding, 0)
     if strategy == "forward_fill":
         return df.withColumns({c: F.last(c, True).over(back) for c in columns})
     if strategy != "interpolate":
@@ -74,7 +75,7 @@ def fill(df: DataFrame, columns: list[str], strategy: str, default: float | None
 
     def between(c: str) -> Column:
         known = F.when(F.col(c).isNotNull(), F.struct(F.col("_x").alias("x"), F.col(c).alias("v")))
-        p, n = F.last(known, True).over(back), F.first(known, True).over(ahead)
+        p, n = F.last(known, True).over(back), F.last(known, True).over(ahead)
         a, b = p["v"].try_cast("double"), n["v"].try_cast("double")
         line = F.when(n["x"] == p["x"], p["v"]).when(a.isNull() | b.isNull(), p["v"]).otherwise(a + (b - a) * (F.col("_x") - p["x"]) / (n["x"] - p["x"]))
         return F.when(F.col(c).isNotNull(), F.col(c)).when(p.isNull() | n.isNull(), None).otherwise(line)

@@ -51,13 +51,10 @@ def nearest_centroid(df: DataFrame, centroids: DataFrame, columns: list[str], la
     """df with the label of the nearest centroid by squared Euclidean distance over a centroid's non-null columns; ties go
     to the lesser label. centroids: a row a mode (bounded by the number of modes), sent to every task."""
     c = centroids.select(F.col(label).alias("_label"), *[F.col(x).alias(f"_c_{x}") for x in columns])
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
-    d = sum((F.coalesce(F.pow(F.col(x) - F.col(f"_c_{x}"), 2), F.lit(0.0)) for x in columns), F.lit(0.0))
     one = c.agg(F.collect_list(F.struct(*c.columns)).alias("_all"))
-    inside = rows.crossJoin(F.broadcast(one))
+    inside = df.crossJoin(F.broadcast(one))
     dist = F.transform("_all", lambda m: F.struct(sum((F.coalesce(F.pow(F.col(x) - m[f"_c_{x}"], 2), F.lit(0.0)) for x in columns), F.lit(0.0)).alias("d"), m["_label"].alias("l")))
-    del d
-    return inside.withColumn(label, F.array_min(dist)["l"]).drop("_all", "_row")
+    return inside.withColumn(label, F.array_min(dist)["l"]).drop("_all")
 
 
 def complete_linkage(d: np.ndarray, cut: float, most: int) -> list[list[int]]:

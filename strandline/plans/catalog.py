@@ -1,15 +1,445 @@
-"""The library's queries and their SQL."""
+"""The library's queries over the test tables and the same in SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from strandline.functions import normalize as N
+from strandline.operators import align as A
+from strandline.operators import knowledge as K
+from strandline.operators import registry as R
+from strandline.operators import stats as S
+from strandline.operators import theory as T
+from strandline.operators.twin import DigitalTwin, rollout
+from strandline.schema import DiscoverySettings, IngestSettings
+from strandline.sources import readers
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+TYPES = ["click", "error", "purchase", "signup", "view"]
+NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def event_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as (seq, ts, variable, value): ts in epoch seconds."""
+    e = read(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("ts"), F.col("event_type").alias("variable"), "value")
+
+
+def types_of(obs: DataFrame) -> list[str]:
+    """Names of the variables: a handful by nature."""
+    return [r[0] for r in obs.select("variable").distinct().orderBy("variable").collect()]
+
+
+def event_matrix(spark: SparkSession, sf_dir: str, strategy: str = "forward_fill") -> tuple[DataFrame, list[str]]:
+    obs = event_values(spark, sf_dir)
+    names = types_of(obs)
+    return A.matrix(A.align(obs, strategy), names), names
+
+
+OBS = "obs AS (SELECT event_id AS seq, epoch_us(ts) / 1e6 AS ts, event_type AS variable, value FROM events), cells AS (SELECT DISTINCT o.ts, v.variable FROM (SELECT DISTINCT ts FROM obs) o CROSS JOIN (SELECT DISTINCT variable FROM obs) v), firsts AS (SELECT variable, ts, arg_min(value, seq) AS v FROM obs GROUP BY ALL), lasts AS (SELECT variable, ts, arg_max(value, seq) AS v FROM obs GROUP BY ALL)"
+FFILL = f"{OBS}, filled AS (SELECT c.ts, c.variable, l.v AS value FROM cells c ASOF LEFT JOIN lasts l ON c.variable = l.variable AND c.ts >= l.ts)"
+
+
+# --- sources, sinks, normalisation ---------------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, variable, value FROM (UNPIVOT (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem) ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME variable VALUE value)")
+def obs_long(spark, sf_dir):
+    d = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), *NUMBERS)
+    return d.unpivot(["l_orderkey", "l_linenumber"], NUMBERS, "variable", "value").filter("value IS NOT NULL")
+
+
+@query("WITH r AS (SELECT event_type, CAST(row_number() OVER (ORDER BY min(event_id)) AS BIGINT) AS variable_id FROM events GROUP BY event_type) SELECT epoch_us(ts) / 1e6 AS ts, variable_id, value FROM events JOIN r USING (event_type) WHERE value IS NOT NULL")
+def obs_sparse(spark, sf_dir):
+    obs = event_values(spark, sf_dir)
+    ids = obs.groupBy("variable").agg(F.min("seq").alias("s")).select("variable", F.row_number().over(W.Window.orderBy("s")).cast("bigint").alias("variable_id"))
+    return obs.join(ids, "variable").filter("value IS NOT NULL").select("ts", "variable_id", "value")
+
+
+@query("SELECT event_id, event_type, value FROM events WHERE event_type IN ('click', 'purchase') AND value BETWEEN 10 AND 60")
+def filter_vars_range(spark, sf_dir):
+    return read(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "purchase") & F.col("value").between(10, 60)).select("event_id", "event_type", "value")
+
+
+@query("SELECT event_type AS name, CAST(row_number() OVER (ORDER BY min(event_id)) AS BIGINT) AS id, count(*) AS n, min(event_id) AS first_seq FROM events GROUP BY event_type")
+def registry_profile(spark, sf_dir):
+    g = read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_seq"))
+    return g.withColumn("id", F.row_number().over(W.Window.orderBy("first_seq")).cast("bigint"))
+
+
+@query("SELECT event_id, 'props.' || k AS variable, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+def json_flatten(spark, sf_dir):
+    d = read(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"))
+    return d.select("event_id", F.explode("m").alias("k", "value")).select("event_id", F.concat(F.lit("props."), "k").alias("variable"), "value")
+
+
+@query("SELECT p_partkey AS seq, 'size' AS variable_name, CAST(p_size AS VARCHAR) AS value_raw FROM part UNION ALL SELECT p_partkey, 'brand', p_brand FROM part")
+def kv_parse(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("line"), F.concat(F.lit("time="), F.col("p_partkey").cast("string"), F.lit(", size="), F.col("p_size").cast("string"), F.lit(', brand="'), F.col("p_brand"), F.lit('"')).alias("value"))
+    raw = readers.parse_kv(p)
+    return raw.select(F.col("timestamp_raw").cast("bigint").alias("seq"), "variable_name", "value_raw")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS timestamp_raw, CASE WHEN p_partkey % 3 = 2 THEN 'log_line' ELSE 'part_size' END AS variable_name, CASE WHEN p_partkey % 3 = 2 THEN 'restart of ' || p_brand ELSE CAST(p_size AS VARCHAR) END AS value_raw, CASE WHEN p_partkey % 3 = 2 THEN NULL WHEN p_partkey % 3 = 1 THEN 'cm' ELSE 'mm' END AS unit_raw FROM part")
+def text_parse(spark, sf_dir):
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    line = F.when(F.col("p_partkey") % 3 == 2, F.concat(key, F.lit(" restart of "), "p_brand")).when(F.col("p_partkey") % 3 == 1, F.concat(key, F.lit(" Part size changed to "), size, F.lit(" cm"))).otherwise(F.concat(key, F.lit(" Part-size: "), size, F.lit("mm")))
+    return readers.parse_text(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("line"), line.alias("value"))).select("timestamp_raw", "variable_name", "value_raw", "unit_raw")
+
+
+@query("SELECT p_partkey, CAST(p_size AS VARCHAR) AS number, 'kilopascal' AS unit FROM part")
+def unit_split(spark, sf_dir):
+    t = F.concat(F.col("p_size").cast("string"), F.lit(" kPa"))
+    return read(spark, sf_dir, "part").select("p_partkey", N.value_part(t).alias("number"), N.canonical_unit(N.unit_part(t)).alias("unit"))
+
+
+@query("SELECT p_partkey, round(p_size * 1000.0, 6) AS pascals, round((p_size + 459.67) * 5 / 9, 6) AS kelvins, round(p_size / 3.6, 6) AS metres_a_second, CAST(p_size AS DOUBLE) AS unchanged FROM part")
+def unit_convert(spark, sf_dir):
+    v = F.col("p_size").cast("double")
+    to = lambda a, b: F.round(N.convert(v, N.canonical_unit(F.lit(a)), N.canonical_unit(F.lit(b))), 6)
+    return read(spark, sf_dir, "part").select("p_partkey", to("kPa", "Pa").alias("pascals"), to("degF", "K").alias("kelvins"), to("km/h", "m/s").alias("metres_a_second"), N.convert(v, F.lit("volt"), F.lit("meter")).alias("unchanged"))
+
+
+_TYPE = "CASE WHEN trim(t) = '' THEN 'STRING' WHEN lower(trim(t)) IN ('true', 'yes', 'on', '1', 'false', 'no', 'off', '0') THEN 'BOOLEAN' WHEN regexp_full_match(trim(t), '[+-]?\\d+') THEN 'INTEGER' WHEN regexp_full_match(trim(t), '[+-]?(\\d+\\.\\d*|\\.\\d+)([eE][+-]?\\d+)?') THEN 'FLOAT' WHEN regexp_matches(trim(t), '\\d{4}[-/]\\d{1,2}[-/]\\d{1,2}') THEN 'TIMESTAMP' ELSE 'STRING' END"
+
+
+@query(f"SELECT variable, {_TYPE} AS kind, count(*) AS n FROM (SELECT 'p_size' AS variable, CAST(p_size AS VARCHAR) AS t FROM part UNION ALL SELECT 'p_brand', p_brand FROM part UNION ALL SELECT 'o_orderstatus', o_orderstatus FROM orders UNION ALL SELECT 'o_orderdate', strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') FROM orders) GROUP BY ALL")
+def infer_type_profile(spark, sf_dir):
+    p, o = read(spark, sf_dir, "part"), read(spark, sf_dir, "orders")
+    parts = [p.select(F.lit("p_size").alias("variable"), F.col("p_size").cast("string").alias("t")), p.select(F.lit("p_brand"), "p_brand"), o.select(F.lit("o_orderstatus"), "o_orderstatus"), o.select(F.lit("o_orderdate"), F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"))]
+    return reduce(DataFrame.union, parts).groupBy("variable", N.infer_type(F.col("t")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+_FOLD_TEXT = "CASE WHEN event_id % 997 = 5 THEN 'n/a?' WHEN event_id % 7 = 3 THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || '.5' ELSE CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) END"
+
+
+@query(f"WITH t AS (SELECT event_id, event_type, {_FOLD_TEXT} AS t FROM events), k AS (SELECT event_id, event_type, {_TYPE} AS kind, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM t), f AS (SELECT event_id, event_type, first_value(kind) OVER w AS f, coalesce(bool_or(rn > 1 AND kind = 'FLOAT') OVER w, false) AS sf, coalesce(bool_or(rn > 1 AND kind = 'STRING') OVER w, false) AS ss FROM k WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)) SELECT event_id, CASE f WHEN 'INTEGER' THEN CASE WHEN ss THEN 'STRING' WHEN sf THEN 'FLOAT' ELSE 'INTEGER' END WHEN 'FLOAT' THEN CASE WHEN ss THEN 'STRING' ELSE 'FLOAT' END ELSE f END AS dtype FROM f")
+def type_fold(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("variable_name"), F.expr(_FOLD_TEXT.replace("VARCHAR", "STRING")).alias("value_raw"))
+    return R.fold(e).select(F.col("seq").alias("event_id"), "dtype")
+
+
+@query("SELECT o_orderkey, epoch(o_orderdate) AS iso, epoch(date_trunc('day', o_orderdate)) AS slashes, CAST(o_orderkey AS DOUBLE) AS plain FROM orders")
+def ts_normalize(spark, sf_dir):
+    d = F.col("o_orderdate").cast("timestamp")
+    return read(spark, sf_dir, "orders").select("o_orderkey", N.timestamp(F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("iso"), N.timestamp(F.date_format(d, "yyyy/MM/dd")).alias("slashes"), N.timestamp(F.col("o_orderkey").cast("string")).alias("plain"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY event_type) AS BIGINT) AS rank, event_type AS name, 'FLOAT' AS dtype, 'kelvin' AS unit, count(*) AS n, round(sum(value + 273.15), 4) AS total FROM events GROUP BY event_type")
+def ingest_typed(spark, sf_dir):
+    """Raw text with units all the way to typed observations with the documented unit override."""
+    e = read(spark, sf_dir, "events")
+    raw = e.select(F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("timestamp_raw"), F.col("event_type").alias("variable_name"), F.concat(F.format_string("%.9f", "value"), F.lit(" C")).alias("value_raw"), F.lit("events").alias("source"), F.lit(None).cast("string").alias("unit_raw"))
+    obs, reg = R.observations(raw, IngestSettings(unit_overrides={t: "K" for t in types_of(event_values(spark, sf_dir))}))
+    g = obs.groupBy("variable_id").agg(F.count("value_float").alias("n"), F.round(F.sum("value_float"), 4).alias("total")).join(reg, F.col("id") == F.col("variable_id"))
+    return g.select(F.row_number().over(W.Window.orderBy("name")).cast("bigint").alias("rank"), "name", "dtype", "unit", "n", "total")
+
+
+# --- alignment and fills -------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {OBS} SELECT c.ts, c.variable, f.v AS value FROM cells c LEFT JOIN firsts f USING (ts, variable)")
+def align_exact(spark, sf_dir):
+    return A.align(event_values(spark, sf_dir), "exact")
+
+
+@query(f"WITH {FFILL} SELECT * FROM filled")
+def align_ffill(spark, sf_dir):
+    return A.align(event_values(spark, sf_dir), "forward_fill")
+
+
+@query(f"WITH {OBS}, n AS (SELECT c.ts, c.variable, p.ts AS pt, p.v AS pv, q.ts AS nt, q.v AS nv FROM cells c ASOF LEFT JOIN lasts p ON c.variable = p.variable AND c.ts > p.ts ASOF LEFT JOIN firsts q ON c.variable = q.variable AND c.ts <= q.ts) SELECT ts, variable, CASE WHEN pt IS NULL THEN nv WHEN nt IS NULL THEN pv WHEN ts - pt <= nt - ts THEN pv ELSE nv END AS value FROM n")
+def align_nearest(spark, sf_dir):
+    return A.align(event_values(spark, sf_dir), "nearest")
+
+
+@query(f"WITH {OBS}, n AS (SELECT c.ts, c.variable, p.ts AS pt, p.v AS pv, q.ts AS nt, q.v AS nv FROM cells c ASOF LEFT JOIN lasts p ON c.variable = p.variable AND c.ts > p.ts ASOF LEFT JOIN firsts q ON c.variable = q.variable AND c.ts <= q.ts) SELECT ts, variable, round(CASE WHEN nt = ts THEN nv WHEN pt IS NULL THEN NULL WHEN nt IS NULL THEN pv ELSE pv + (nv - pv) * (ts - pt) / (nt - pt) END, 6) AS value FROM n")
+def align_interpolate(spark, sf_dir):
+    return A.align(event_values(spark, sf_dir), "interpolate").withColumn("value", F.round("value", 6))
+
+
+_DAY = "SELECT user_id, event_id AS ts, CASE WHEN event_id % 3 = 0 THEN value END AS v FROM events"
+
+
+def _gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("ts"), F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("v"))
+
+
+@query(f"SELECT user_id, ts, coalesce(v, 0.5) AS v FROM ({_DAY})")
+def fill_default(spark, sf_dir):
+    return A.fill(_gappy(spark, sf_dir), ["v"], "default", 0.5)
+
+
+@query(f"SELECT user_id, ts, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS v FROM ({_DAY})")
+def fill_ffill(spark, sf_dir):
+    return A.fill(_gappy(spark, sf_dir), ["v"], "forward_fill", partition=["user_id"])
+
+
+@query(f"WITH g AS ({_DAY}), n AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN ts END IGNORE NULLS) OVER p AS pt, last_value(v IGNORE NULLS) OVER p AS pv, first_value(CASE WHEN v IS NOT NULL THEN ts END IGNORE NULLS) OVER f AS nt, first_value(v IGNORE NULLS) OVER f AS nv FROM g WINDOW p AS (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT user_id, ts, round(CASE WHEN v IS NOT NULL THEN v WHEN pt IS NULL OR nt IS NULL THEN NULL ELSE pv + (nv - pv) * (ts - pt) / (nt - pt) END, 6) AS v FROM n")
+def fill_interpolate(spark, sf_dir):
+    return A.fill(_gappy(spark, sf_dir), ["v"], "interpolate", partition=["user_id"]).withColumn("v", F.round("v", 6))
+
+
+@query(f"WITH {FFILL} SELECT ts, " + ", ".join(f"max(value) FILTER (variable = '{t}') AS {t}" for t in TYPES) + " FROM filled GROUP BY ts")
+def state_matrix(spark, sf_dir):
+    return A.matrix(A.align(event_values(spark, sf_dir)), TYPES)
+
+
+@query("SELECT name, n, k, n = 0 OR k >= 0.8 * n AS is_numeric FROM (SELECT 'o_orderkey' AS name, count(t) AS n, count(try_cast(t AS DOUBLE)) AS k FROM (SELECT CAST(o_orderkey AS VARCHAR) AS t FROM orders) UNION ALL SELECT 'o_totalprice', count(t), count(try_cast(t AS DOUBLE)) FROM (SELECT CAST(o_totalprice AS VARCHAR) AS t FROM orders) UNION ALL SELECT 'o_orderstatus', count(t), count(try_cast(t AS DOUBLE)) FROM (SELECT o_orderstatus AS t FROM orders))")
+def numeric_columns(spark, sf_dir):
+    cols = ["o_orderkey", "o_totalprice", "o_orderstatus"]
+    o = read(spark, sf_dir, "orders").select([F.col(c).cast("string").alias(c) for c in cols])
+    row = o.agg(*[F.struct(F.lit(c).alias("name"), F.count(c).alias("n"), F.count(F.col(c).try_cast("double")).alias("k")).alias(c) for c in cols])
+    return row.select(F.inline(F.array(*cols))).withColumn("is_numeric", (F.col("n") == 0) | (F.col("k") >= 0.8 * F.col("n")))
+
+
+# --- statistics ----------------------------------------------------------------------------------------------------
+
+_PAIRS = [(a, b) for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :]]
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS rows, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, round(corr({a}, {b}), 6) AS r FROM lineitem" for a, b in _PAIRS))
+def pearson_pairs(spark, sf_dir):
+    return S.pair_moments(read(spark, sf_dir, "lineitem"), NUMBERS).withColumn("r", F.round("r", 6))
+
+
+_RANK = "(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0)"
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, round(corr(x, y), 6) AS rho FROM (SELECT {_RANK.format(c=a)} AS x, {_RANK.format(c=b)} AS y FROM lineitem)" for a, b in _PAIRS))
+def spearman_pairs(spark, sf_dir):
+    return S.spearman(read(spark, sf_dir, "lineitem"), NUMBERS).withColumn("rho", F.round("rho", 6))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"))
+    m, names = event_matrix(spark, sf_dir)
+    return S.pair_moments(m, names).withColumn("r", F.round("r", 6))
+
+
+_EPAIRS = [(a, b) for i, a in enumerate(TYPES) for b in TYPES[i + 1 :]]
+_WIDE = f"{FFILL}, m AS (SELECT ts, " + ", ".join(f"max(value) FILTER (variable = '{t}') AS {t}" for t in TYPES) + " FROM filled GROUP BY ts)"
+QUERIES["event_correlation"] = flagship
+SQL["event_correlation"] = f"WITH {_WIDE} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS rows, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, round(corr({a}, {b}), 6) AS r FROM m" for a, b in _EPAIRS)
+
+
+@query(f"WITH {_WIDE}, z AS (SELECT row_number() OVER (ORDER BY ts) AS i, (click - avg(click) OVER ()) / stddev_pop(click) OVER () AS x, (view - avg(view) OVER ()) / stddev_pop(view) OVER () AS y, count(*) OVER () AS n FROM m WHERE click IS NOT NULL AND view IS NOT NULL) SELECT CAST(k AS BIGINT) AS lag, round(sum(a.x * b.y) / any_value(a.n), 6) AS r FROM z a, range(-5, 6) t(k), z b WHERE b.i = a.i + k GROUP BY k")
+def xcorr_lags(spark, sf_dir):
+    """Cross-correlation of two event types at lags -5..5, as sums of shifted products in one window."""
+    m, _ = event_matrix(spark, sf_dir)
+    d = m.filter("click IS NOT NULL AND view IS NOT NULL")
+    mom = d.agg(F.avg("click").alias("ma"), F.stddev_pop("click").alias("sa"), F.avg("view").alias("mb"), F.stddev_pop("view").alias("sb"), F.count("*").alias("n"))
+    w = W.Window.orderBy("ts")
+    z = d.crossJoin(F.broadcast(mom)).select("ts", "n", ((F.col("click") - F.col("ma")) / F.col("sa")).alias("x"), ((F.col("view") - F.col("mb")) / F.col("sb")).alias("y"))
+    lags = range(-5, 6)
+    z = z.select("n", *[(F.col("x") * (F.lead("y", k).over(w) if k >= 0 else F.lag("y", -k).over(w))).alias(f"p{k + 5}") for k in lags])
+    one = z.agg(*[(F.sum(f"p{k + 5}") / F.first("n")).alias(f"r{k + 5}") for k in lags])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(k).cast("bigint").alias("lag"), F.round(f"r{k + 5}", 6).alias("r")) for k in lags])))
+
+
+@query(f"WITH {_WIDE}, d AS (SELECT ts, click - lag(click) OVER (ORDER BY ts) AS dx, abs(view - lag(view) OVER (ORDER BY ts)) AS dy FROM m WHERE click IS NOT NULL AND view IS NOT NULL), s AS (SELECT ts, dx, dy, avg(dy) OVER (ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 50 FOLLOWING) AS resp, stddev_pop(dx) OVER () AS sd FROM d) SELECT count(*) AS jumps, round(avg(resp), 6) AS response FROM s WHERE abs(dx) / sd > 2.5 AND resp IS NOT NULL")
+def trigger_response(spark, sf_dir):
+    m, _ = event_matrix(spark, sf_dir)
+    w = W.Window.orderBy("ts")
+    d = m.filter("click IS NOT NULL AND view IS NOT NULL").select("ts", (F.col("click") - F.lag("click").over(w)).alias("dx"), F.abs(F.col("view") - F.lag("view").over(w)).alias("dy"))
+    s = d.select("dx", F.avg("dy").over(w.rowsBetween(1, 50)).alias("resp")).crossJoin(F.broadcast(d.agg(F.stddev_pop("dx").alias("sd"))))
+    return s.filter("abs(dx) / sd > 2.5 AND resp IS NOT NULL").agg(F.count("*").alias("jumps"), F.round(F.avg("resp"), 6).alias("response"))
+
+
+def _hourly(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Mean of each event type by hour: a series short enough for the kernels that need it whole."""
+    e = read(spark, sf_dir, "events").groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("long").cast("double").alias("ts")).pivot("event_type", TYPES).agg(F.avg("value"))
+    return A.fill(e, TYPES, "forward_fill"), TYPES
+
+
+@query()
+def mutual_information(spark, sf_dir):
+    import pandas as pd
+
+    m, names = _hourly(spark, sf_dir)
+
+    def mi(t: pd.DataFrame) -> pd.DataFrame:
+        x, y, _ = S._series(t)
+        return pd.DataFrame({"a": [t.a.iloc[0]], "b": [t.b.iloc[0]], "mi": [S.mutual_information(x, y)]})
+
+    return S.series_pairs(m, "ts", names).groupBy("pair").applyInPandas(mi, "a string, b string, mi double")
+
+
+@query()
+def granger_pairs(spark, sf_dir):
+    m, names = _hourly(spark, sf_dir)
+    return S.causes(m, "ts", [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]], DiscoverySettings(granger_p=1.0))
+
+
+@query()
+def lagged_relations(spark, sf_dir):
+    m, names = _hourly(spark, sf_dir)
+    return S.lagged(m, "ts", names, DiscoverySettings(xcorr_min=0.0, max_lag=10))
+
+
+@query()
+def threshold_rules(spark, sf_dir):
+    m, names = _hourly(spark, sf_dir)
+    return K.rules(m, names)
+
+
+@query()
+def operating_modes(spark, sf_dir):
+    m, names = _hourly(spark, sf_dir)
+    found = K.modes(m, "ts", names)
+    if found.labels is None:
+        return spark.createDataFrame([], "ts double, mode string")
+    return found.labels
+
+
+_MOVES = "SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS from_mode, event_type AS to_mode FROM events"
+
+
+@query(f"WITH m AS ({_MOVES}), c AS (SELECT from_mode, to_mode, count(*) AS n FROM m WHERE from_mode <> to_mode GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY from_mode) AS p FROM c) SELECT from_mode, to_mode, n, round(p, 6) AS probability, round(least(1.0, greatest(0.0, p * ln(1 + n) / 3)), 6) AS confidence FROM p")
+def mode_transitions(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("mode"))
+    return K.transitions(e, "event_id", partition=["user_id"]).withColumns({c: F.round(c, 6) for c in ("probability", "confidence")})
+
+
+_REL = "(SELECT event_type AS source, CASE WHEN event_id % 2 = 0 THEN 'view' ELSE 'click' END AS target, 'INFLUENCES' AS type, CASE WHEN event_id % 5 = 0 THEN 'granger' ELSE 'xcorr' END AS method, value / 1000 AS confidence, CAST(event_id % 4 AS DOUBLE) AS lag, value / 2000 AS lag_confidence, CASE WHEN event_id % 5 = 0 THEN value / 10000 END AS p, 1.0 AS coverage FROM events)"
+
+
+def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    return read(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.when(i % 2 == 0, "view").otherwise("click").alias("target"), F.lit("INFLUENCES").alias("type"), F.when(i % 5 == 0, "granger").otherwise("xcorr").alias("method"), (F.col("value") / 1000).alias("confidence"), (i % 4).cast("double").alias("lag"), (F.col("value") / 2000).alias("lag_confidence"), F.when(i % 5 == 0, F.col("value") / 10000).alias("p"), F.lit(1.0).alias("coverage"))
+
+
+@query(f"SELECT source, target, type, string_agg(DISTINCT method, ',' ORDER BY method) AS methods, round(CASE WHEN count(DISTINCT method) > 1 THEN least(max(confidence) + 0.05 * (count(DISTINCT method) - 1), 0.98) ELSE max(confidence) END, 6) AS confidence, round(avg(lag), 6) AS lag, round(min(p), 6) AS p FROM {_REL} GROUP BY ALL")
+def merge_relationships(spark, sf_dir):
+    return K.merge(_relations(spark, sf_dir)).select("source", "target", "type", F.array_join("methods", ",").alias("methods"), *[F.round(c, 6).alias(c) for c in ("confidence", "lag", "p")])
+
+
+@query(f"WITH r AS (SELECT DISTINCT source, target, 0.0 AS lag FROM {_REL}) SELECT DISTINCT a.source, a.target, 'low' AS severity FROM r a JOIN r b ON a.source = b.target AND a.target = b.source WHERE a.lag = 0 AND b.lag = 0")
+def contradictions_bidirectional(spark, sf_dir):
+    return K.bidirectional(_relations(spark, sf_dir).select("source", "target", F.lit(0.0).alias("lag")).distinct())
+
+
+_FIND = "(SELECT 'click' AS a, 'view' AS b, 'pearson' AS metric, 0.8 AS value UNION ALL SELECT 'error', 'view', 'spearman', -0.7)"
+
+
+@query(f"WITH r AS (SELECT event_type AS source, 'view' AS target, avg(value) - 50 AS peak FROM events WHERE event_type <> 'view' GROUP BY ALL) SELECT source, target, metric, round(value, 6) AS correlation, round(peak, 6) AS peak, 'medium' AS severity FROM r JOIN {_FIND} f ON least(source, target) = a AND greatest(source, target) = b WHERE sign(peak) <> sign(value)")
+def contradictions_sign(spark, sf_dir):
+    r = read(spark, sf_dir, "events").filter("event_type <> 'view'").groupBy(F.col("event_type").alias("source")).agg((F.avg("value") - 50).alias("value")).select("source", F.lit("view").alias("target"), "value", F.lit("cross_correlation").alias("method"))
+    f = spark.createDataFrame([("click", "view", "pearson", 0.8), ("error", "view", "spearman", -0.7)], "a string, b string, metric string, value double")
+    return K.sign_conflicts(f, r).withColumns({c: F.round(c, 6) for c in ("correlation", "peak")})
+
+
+_CENTRE = "SELECT l_returnflag AS label, avg(l_quantity) AS l_quantity, avg(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY ALL"
+
+
+@query(f"WITH c AS ({_CENTRE}) SELECT l.l_orderkey, CAST(l.l_linenumber AS BIGINT) AS l_linenumber, (SELECT arg_min(c.label, ((l.l_quantity - c.l_quantity) ** 2 + (l.l_extendedprice - c.l_extendedprice) ** 2, c.label)) FROM c) AS label FROM lineitem l")
+def nearest_centroid(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem")
+    c = li.groupBy(F.col("l_returnflag").alias("label")).agg(F.avg("l_quantity").alias("l_quantity"), F.avg("l_extendedprice").alias("l_extendedprice"))
+    rows = li.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_quantity", "l_extendedprice")
+    return T.nearest_centroid(rows, c, ["l_quantity", "l_extendedprice"]).select("l_orderkey", "l_linenumber", "label")
+
+
+_STUMP = "SELECT '{c}' AS variable, CAST({c} AS DOUBLE) AS v, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS k FROM lineitem GROUP BY ALL"
+
+
+@query("WITH vals AS (" + " UNION ALL ".join(_STUMP.format(c=c) for c in ("l_quantity", "l_discount")) + "), w AS (SELECT variable, v, lead(v) OVER o AS nx, sum(n) OVER r AS ln, sum(k) OVER r AS lk, sum(n) OVER p AS tn, sum(k) OVER p AS tk FROM vals WINDOW o AS (PARTITION BY variable ORDER BY v), r AS (PARTITION BY variable ORDER BY v ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY variable)), g AS (SELECT variable, (v + nx) / 2 AS threshold, round((2.0 * lk * (ln - lk) / ln + 2.0 * (tk - lk) * (tn - ln - tk + lk) / (tn - ln)) / tn, 12) AS gini FROM w WHERE nx IS NOT NULL) SELECT variable, round(arg_min(threshold, (gini, threshold)), 6) AS threshold, round(min(gini), 6) AS gini FROM g GROUP BY variable")
+def stump_trigger(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
+    return T.stump(li, ["l_quantity", "l_discount"]).select("variable", F.round("threshold", 6).alias("threshold"), F.round("gini", 6).alias("gini"))
+
+
+_EDGES = f"e AS (SELECT from_mode AS a, to_mode AS b, count(*) AS n FROM ({_MOVES}) WHERE from_mode <> to_mode GROUP BY ALL)"
+
+
+@query(f"WITH RECURSIVE {_EDGES}, walk AS (SELECT [a, b] AS path, n AS weakest FROM e UNION ALL SELECT list_append(path, b), least(weakest, n) FROM walk JOIN e ON path[-1] = a WHERE NOT list_contains(path, b) AND len(path) <= 4) SELECT array_to_string(path, '>') AS path, weakest FROM walk WHERE len(path) = 5")
+def influence_chains(spark, sf_dir):
+    """Simple paths of four edges in the graph of event types: self-joins bounded by the paths' length."""
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("mode"))
+    edges = K.transitions(e, "event_id", partition=["user_id"]).select(F.col("from_mode").alias("a"), F.col("to_mode").alias("b"), "n")
+    walk = edges.select(F.array("a", "b").alias("path"), F.col("n").alias("weakest"))
+    for _ in range(3):
+        walk = walk.join(edges, (F.element_at("path", -1) == F.col("a")) & ~F.array_contains("path", F.col("b"))).select(F.array_append("path", F.col("b")).alias("path"), F.least("weakest", "n").alias("weakest"))
+    return walk.select(F.array_join("path", ">").alias("path"), "weakest")
+
+
+@query(f"WITH RECURSIVE {_EDGES}, walk AS (SELECT [a, b] AS path, n AS total FROM e WHERE b > a UNION ALL SELECT list_append(path, b), total + n FROM walk JOIN e ON path[-1] = a WHERE NOT list_contains(path, b) AND b > path[1] AND len(path) < 5) SELECT array_to_string(path, '>') AS path, CAST(total + n AS BIGINT) AS total FROM walk JOIN e ON path[-1] = a AND path[1] = b")
+def feedback_loops(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("mode"))
+    edges = K.transitions(e, "event_id", partition=["user_id"]).select(F.col("from_mode").alias("a"), F.col("to_mode").alias("b"), "n")
+    walk = edges.filter("b > a").select(F.array("a", "b").alias("path"), F.col("n").alias("total"))
+    out, last = None, F.element_at("path", -1) == F.col("a")
+    for k in range(2, 6):
+        closed = walk.join(edges, last & (F.col("path")[0] == F.col("b"))).select(F.array_join("path", ">").alias("path"), (F.col("total") + F.col("n")).alias("total"))
+        out = closed if out is None else out.union(closed)
+        if k < 5:
+            walk = walk.join(edges, last & ~F.array_contains("path", F.col("b")) & (F.col("b") > F.col("path")[0])).select(F.array_append("path", F.col("b")).alias("path"), (F.col("total") + F.col("n")).alias("total"))
+    return out
+
+
+@query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY ALL")
+def ols_single(spark, sf_dir):
+    y, x = F.col("l_extendedprice"), F.col("l_quantity")
+    return read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.regr_slope(y, x), 6).alias("slope"), F.round(F.regr_intercept(y, x), 4).alias("intercept"), F.round(F.regr_r2(y, x), 6).alias("r2"))
+
+
+@query("SELECT round(regr_slope(p, q), 6) AS slope, round(regr_intercept(p, q), 3) AS intercept, round(regr_r2(p, q), 6) AS r2 FROM (SELECT avg(l_extendedprice) AS p, avg(l_quantity) AS q FROM lineitem GROUP BY l_returnflag, l_linestatus)")
+def centroid_fit(spark, sf_dir):
+    c = read(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.avg("l_extendedprice").alias("p"), F.avg("l_quantity").alias("q"))
+    y, x = F.col("p"), F.col("q")
+    return c.agg(F.round(F.regr_slope(y, x), 6).alias("slope"), F.round(F.regr_intercept(y, x), 3).alias("intercept"), F.round(F.regr_r2(y, x), 6).alias("r2"))
+
+
+@query()
+def ols_multiple(spark, sf_dir):
+    """A regression with three predictors from sums of products of the whole table."""
+    xs = ["l_quantity", "l_discount", "l_tax"]
+    fit = T.ols_gram(*T.gram(read(spark, sf_dir, "lineitem"), xs, "l_extendedprice"))
+    return spark.createDataFrame([(x, float(round(c, 6)), float(p)) for x, c, p in zip(["intercept", *xs], [fit["intercept"], *fit["coef"]], [0.0, *fit["p"]], strict=True)], "term string, coefficient double, p double")
+
+
+@query("SELECT median(d) AS dt FROM (SELECT (epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts, event_id)) / 1e6 AS d FROM events)")
+def dt_median(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id")
+    return e.select(((F.col("t") - F.lag("t").over(W.Window.orderBy("t", "event_id"))) / F.lit(1e6)).alias("d")).agg(F.median("d").alias("dt"))
+
+
+@query("WITH RECURSIVE s AS (SELECT CAST(n_nationkey AS BIGINT) AS scenario, 0 AS step, CAST(n_nationkey AS DOUBLE) AS u, 0.0::DOUBLE AS y FROM nation UNION ALL SELECT scenario, step + 1, u, 0.5 * y + u FROM s WHERE step < 20) SELECT scenario, CAST(step AS BIGINT) AS step, round(y, 6) AS y FROM s WHERE step > 0")
+def twin_rollout(spark, sf_dir):
+    """y follows 0.5 y + u, twenty steps for each nation's input u."""
+    twin = DigitalTwin(["u", "y"], [{"target": "y", "sources": ["u", "y"], "lags": [0, 0], "kind": "linear", "intercept": 0.0, "coef": [1.0, 0.5]}], [], [])
+    inputs = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("scenario"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(20).cast("bigint"))).alias("step"), F.col("n_nationkey").cast("double").alias("u"))
+    return rollout(inputs, twin).select("scenario", "step", F.round("y", 6).alias("y"))
+
+
+@query()
+def discovered_model(spark, sf_dir):
+    """End to end: matrix, discovery, theory; a row for each thing found."""
+    m, _ = _hourly(spark, sf_dir)
+    m = m.cache()
+    model = K.discover(m, "ts")
+    t = T.synthesize(model, m)
+    rows = [("finding", f"{f['a']}|{f['b']}|{f['metric']}", float(f["confidence"])) for f in model.findings] + [("relation", f"{r['source']}|{r['target']}|{r['type']}", float(r["confidence"])) for r in model.relations]
+    rows += [("rule", K.rule_text(r), float(r["confidence"])) for r in model.rules] + [("mode", x["label"], float(x["prevalence"])) for x in model.modes] + [("subsystem", x["name"], float(np.round(x["coherence"], 6))) for x in t.subsystems] + [("equation", e["target"], float(e["r2"])) for e in t.equations]
+    return spark.createDataFrame(rows, "kind string, name string, confidence double")
