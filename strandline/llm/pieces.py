@@ -47,7 +47,7 @@ class ChunkCodec:
         plain = norm.add_dummy_prefix and not norm.remove_extra_whitespaces and norm.escape_whitespaces and not norm.precompiled_charsmap and not proto.denormalizer_spec.precompiled_charsmap
         own = all(p.type in (kind.NORMAL, kind.UNKNOWN, kind.CONTROL, kind.BYTE) for p in proto.pieces)
         inner = any(_MARK in p.piece.lstrip(_MARK) for p in proto.pieces if p.type == kind.NORMAL)
-        self.chunked = bool(plain and own and not inner and not proto.trainer_spec.treat_whitespace_as_suffix and proto.trainer_spec.byte_fallback)
+        self.chunked = bool(plain and own and not inner and not proto.trainer_spec.treat_whitespace_as_suffix and proto.trainer_spec.byte_fallback and self.library.piece_to_id(_MARK) != self.library.unk_id())
         #: what decode() makes of each piece inside a text, and each id as text
         self.raw = [bytes([int(p.piece[3:5], 16)]) if p.type == kind.BYTE else b"" if p.type == kind.CONTROL else p.piece.replace(_MARK, " ").encode() for p in proto.pieces]
         self.number = [str(i) for i in range(len(proto.pieces))]
@@ -68,6 +68,8 @@ class ChunkCodec:
             known = self.table = {c: e for c, e in known.items() if c in wanted}
             self.odd = {c: e for c, e in self.odd.items() if c in wanted}
             self.held = sum(map(len, known))
+        # a marker alone: behind the library's own one there is nothing left to encode
+        known.setdefault(" ", self.number[self.library.piece_to_id(_MARK)])
         new = list({c for cs in cut for c in cs if c not in known})
         # the library adds one marker before a text, which is the chunk's own first
         raw, number = self.raw, self.number
