@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Units by alias, with dimension, factor and offset to the dimension's base unit (value * factor + offset).
 UNITS: dict[str, tuple[str, str, float, float]] = {}
@@ -141,7 +142,7 @@ def timestamp(text: Column, pattern: str | None = None) -> Column:
     return F.when(text.isNull() | (t == ""), F.lit(0.0)).when(t.rlike(r"^[+-]?\d+(\.\d+)?([eE][+-]?\d+)?$"), t.try_cast("double")).otherwise(micros(first))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def lenient_timestamp(text: pd.Series) -> pd.Series:
     """What timestamp() leaves, read by dateutil with 1970-01-01 for missing fields."""
     import datetime

@@ -102,7 +102,7 @@ def kv_parse(spark, sf_dir):
     return raw.select(F.col("timestamp_raw").cast("bigint").alias("seq"), "variable_name", "value_raw")
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS timestamp_raw, CASE WHEN p_partkey % 3 = 2 THEN 'log_line' ELSE 'part_size' END AS variable_name, CASE WHEN p_partkey % 3 = 2 THEN 'restart of ' || p_brand ELSE CAST(p_size AS VARCHAR) END AS value_raw, CASE WHEN p_partkey % 3 = 2 THEN NULL WHEN p_partkey % 3 = 1 THEN 'cm' ELSE 'mm' END AS unit_raw FROM part")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS timestamp_raw, CASE WHEN p_partkey % 3 = 2 THEN 'log_line' ELSE 'Part_size' END AS variable_name, CASE WHEN p_partkey % 3 = 2 THEN 'restart of ' || p_brand ELSE CAST(p_size AS VARCHAR) END AS value_raw, CASE WHEN p_partkey % 3 = 2 THEN NULL WHEN p_partkey % 3 = 1 THEN 'cm' ELSE 'mm' END AS unit_raw FROM part")
 def text_parse(spark, sf_dir):
     key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
     line = F.when(F.col("p_partkey") % 3 == 2, F.concat(key, F.lit(" restart of "), "p_brand")).when(F.col("p_partkey") % 3 == 1, F.concat(key, F.lit(" Part size changed to "), size, F.lit(" cm"))).otherwise(F.concat(key, F.lit(" Part-size: "), size, F.lit("mm")))
@@ -115,7 +115,7 @@ def unit_split(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", N.value_part(t).alias("number"), N.canonical_unit(N.unit_part(t)).alias("unit"))
 
 
-@query("SELECT p_partkey, round(p_size * 1000.0, 6) AS pascals, round((p_size + 459.67) * 5 / 9, 6) AS kelvins, round(p_size / 3.6, 6) AS metres_a_second, CAST(p_size AS DOUBLE) AS unchanged FROM part")
+@query("SELECT p_partkey, round(CAST(p_size AS DOUBLE) * 1000, 6) AS pascals, round((CAST(p_size AS DOUBLE) + 459.67) * 5 / 9, 6) AS kelvins, round(CAST(p_size AS DOUBLE) / 3.6, 6) AS metres_a_second, CAST(p_size AS DOUBLE) AS unchanged FROM part")
 def unit_convert(spark, sf_dir):
     v = F.col("p_size").cast("double")
     to = lambda a, b: F.round(N.convert(v, N.canonical_unit(F.lit(a)), N.canonical_unit(F.lit(b))), 6)
