@@ -27,8 +27,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stays; a row without doc_id stays if its text stands alone."""
     groups = jaccard.classes(docs, n=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
     stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    # a plain key lets the join's partitioning serve the removal of repeats too: texts are shuffled once
+    named = docs.join(stay, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    lone = stay.filter("kept_id IS NULL").select(F.lit(1).alias("one"))
+    nameless = docs.filter("doc_id IS NULL").withColumn("_one", F.lit(1)).join(lone, F.col("_one") == F.col("one"), "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).union(nameless.select(*docs.columns))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
