@@ -1,4 +1,4 @@
-"""Plumbing of the corpus operators: reading, checkpoints, components of a graph, bounded sketches."""
+"""Plumbing of the corpus operators: reading, written tables, components of a graph, bounded sketches."""
 
 from __future__ import annotations
 
@@ -40,12 +40,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df after a checkpoint in the shared folder: its lineage is cut and lost executors cost nothing that came before."""
+def saved(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """df written as a table in the shared folder and read again: its lineage is cut and lost executors cost nothing that
+    came before. done: tables from saved() that nothing but df uses any more; they are deleted."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    out = df.checkpoint()
+    path = scratch(spark, "saved")
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    for x in done:
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x.saved_path)
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
     # shuffle files that only the cut lineage used can go now
     spark.sparkContext._jvm.System.gc()
     return out
@@ -61,7 +66,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014) over DataFrames; the minimum of each
     neighbourhood is a partial aggregate and is joined back, so that a node with very many neighbours is split by
-    adaptive execution. Each round is checkpointed. Rounds grow with the logarithm of the nodes.
+    adaptive execution. Each round is written. Rounds grow with the logarithm of the nodes.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     e = saved(e)
@@ -75,7 +80,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
         small = large.join(low, F.col("u") == F.col("c"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(F.col("c").alias("u"), F.col("m").alias("v")))
-        e = saved(small.filter("u <> v").distinct())
+        e = saved(small.filter("u <> v").distinct(), e)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v")).distinct())

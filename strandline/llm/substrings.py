@@ -94,7 +94,7 @@ def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text", len
     often = runs.groupBy("seed").count().filter("count > 1").select(F.col("seed").alias("s"))
     again = saved(runs.join(often, F.col("seed") == F.col("s")).drop("s"))
     reach = again.groupBy("seed").agg(F.min("whole").alias("lo"), F.max("whole").alias("hi")).select(F.col("seed").alias("s"), (F.col("lo") == F.col("hi")).alias("alike"))
-    again = saved(again.join(reach, F.col("seed") == F.col("s")).drop("s"))
+    again = saved(again.join(reach, F.col("seed") == F.col("s")).drop("s"), again)
     # runs whose anchor also has other reaches or words around it: those that occur again as a whole stand
     mixed = again.filter("not alike")
     wholes = mixed.groupBy("seed", "whole").agg(F.count("*").alias("c"), F.min(F.struct("k", "t", "at")).alias("one"))
