@@ -9,8 +9,8 @@ them before it is verified on the whole sets.
   what is broadcast; bins that are shared only make the order less sharp, as any total order is exact.
 * Nodes that share a token of the first prefix (and are alike in size) are joined into candidate groups through the
   least node of each token: as many links as tokens, not pairs.
-* Each group's sets are gathered once, in blocks of bounded size, and blocks of a group are taken two by two. Within a
-  pair of blocks all three filters are intersected and what passes, unless it is connected already, is verified. A
+* Each group's texts are gathered once, packed, one for each node, in blocks of bounded size, and blocks of a group are
+  taken two by two. Within a pair of blocks the sets are taken again from the texts, all three filters are intersected and what passes, unless it is connected already, is verified. A
   task emits a spanning forest of its links, never all pairs.
 * Components over these links give the answer.
 """
@@ -218,49 +218,58 @@ def links(df: DataFrame, base: DataFrame, text: str = "text", n: int = 3, percen
     least = entries.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("c")).filter("c > 1").select(F.col("key").alias("k"), "low")
     edges = entries.join(least, F.col("key") == F.col("k")).select(F.col("node").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
     groups = components(edges).withColumnRenamed("node", "member")
+    # from here on the whole node is the key; nodes of one short are in one group
     # how many blocks a group needs; a node's block is a hash of it, so blocks are even
-    sizes = base.filter("n_shingles > 0").groupBy("short").agg(F.max("n_shingles").alias("n"))
-    groups = groups.join(sizes, F.col("member") == F.col("short")).select("member", "root", "n")
+    sizes = base.filter("n_shingles > 0").groupBy("node").agg(F.first("short").alias("short"), F.max("n_shingles").alias("n"))
+    groups = groups.join(sizes, F.col("member") == F.col("short")).select("node", "short", "root", "n")
     need = groups.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
     need = need.select(F.col("root").alias("r"), F.greatest(F.ceil(F.col("members") / BLOCK_NODES), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    groups = saved(groups.join(need, F.col("root") == F.col("r")).select("member", "root", "blocks", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block")))
+    groups = saved(groups.join(need, F.col("root") == F.col("r")).select(F.col("node").alias("member"), "short", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
 
-    # the sets of grouped nodes only; a bitmap of fixed size keeps most others from being sent
+    # the texts of grouped nodes only; a bitmap of fixed size keeps most others from being sent
     def bits(batch: pa.RecordBatch) -> np.ndarray:
         return (batch.column(0).to_numpy().view(np.uint64) % U64(FILTER_BITS)).astype(np.int64)
 
-    wanted = spark.sparkContext.broadcast(np.packbits(sketch(groups.select("member"), bits, FILTER_BITS) > 0))
+    wanted = spark.sparkContext.broadcast(np.packbits(sketch(groups.select("short"), bits, FILTER_BITS) > 0))
 
     def gathered(batches):
+        import zstandard
+
+        c = zstandard.ZstdCompressor(level=6)
         for b in batches:
-            out = []
-            for s in token_sets(b.column(text), n):
+            names, packed = [], []
+            for row, s in enumerate(token_sets(b.column(text), n)):
                 if len(s):
                     name = node_of(s)
                     at = short(name) % (1 << 64) % FILTER_BITS
                     if wanted.value[at >> 3] >> (7 - (at & 7)) & 1:
-                        out.append((name, short(name), s.tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["node", "short", "tokens"])
+                        names.append(name)
+                        packed.append(c.compress(b.column(text)[row].as_py().encode()))
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(packed, pa.binary())], ["node", "z"])
 
-    # copies are equal: one set of each node stays, before the shuffle where copies meet
-    sets = df.mapInArrow(gathered, "node binary, short bigint, tokens binary").groupBy("short").agg(F.collect_set(F.struct("node", "tokens")).alias("same"))
-    sets = sets.join(groups, F.col("short") == F.col("member")).select(F.inline("same"), "root", "blocks", "block")
-    return _block_links(sets, percent)
+    # copies have equal sets: one text of each node stays, before the shuffle where copies meet; packed text takes a
+    # fraction of its set's bytes
+    texts = df.mapInArrow(gathered, "node binary, z binary").groupBy("node").agg(F.min("z").alias("z"))
+    texts = texts.join(groups, F.col("node") == F.col("member")).select("node", "z", "root", "blocks", "block")
+    return _block_links(texts, n, percent)
 
 
-def _block_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside groups: (node, tokens, root, blocks, block) rows; blocks of a group meet two by two."""
+def _block_links(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links inside groups: (node, z, root, blocks, block) rows; blocks of a group meet two by two."""
     # a block goes to every pair of blocks (i <= j) that it is part of
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    sent = sets.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    sent = sent.select(F.xxhash64("root", "i", "j").alias("task"), "root", "i", "j", "block", "node", "tokens")
+    sent = texts.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    sent = sent.select(F.xxhash64("root", "i", "j").alias("task"), "root", "i", "j", "block", "node", "z")
 
     def work(t: pa.Table) -> pa.Table:
+        import zstandard
+
+        d = zstandard.ZstdDecompressor()
         t = t.sort_by([("root", "ascending"), ("i", "ascending"), ("j", "ascending"), ("block", "ascending"), ("node", "ascending")])
         cols = [t.column(c).to_pylist() for c in ("root", "i", "j")]
         names, block = t.column("node").to_pylist(), t.column("block").to_pylist()
-        tokens = [np.frombuffer(x, np.uint64) for x in t.column("tokens").to_pylist()]
+        tokens = list(token_sets(pa.array([d.decompress(x).decode() for x in t.column("z").to_pylist()], pa.string()), n))
         a, b, at = [], [], 0
         while at < t.num_rows:
             to = at
