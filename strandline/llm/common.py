@@ -49,13 +49,19 @@ def saved(df: DataFrame, *done: DataFrame) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path
     for x in done:
-        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x.saved_path)
-        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        dropped(x)
     # shuffle files that only the cut lineage used can go now
     spark.sparkContext._jvm.System.gc()
     return out
 
 
+def dropped(x: DataFrame) -> None:
+    """Deletes a table from saved() that nothing uses any more."""
+    context = x.sparkSession.sparkContext
+    old = context._jvm.org.apache.hadoop.fs.Path(x.saved_path)
+    old.getFileSystem(context._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -70,7 +76,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     e = saved(e)
-    seen = None
     while True:
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
@@ -81,10 +86,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(low, F.col("u") == F.col("c"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(F.col("c").alias("u"), F.col("m").alias("v")))
         e = saved(small.filter("u <> v").distinct(), e)
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
+        # stars, when no node hangs on two others or on one that hangs itself
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(e.select(F.col("v"), F.lit(0), F.lit(1)))
+        ends = ends.groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+        if not ends.filter("hangs > 1 OR hangs = 1 AND holds = 1").limit(1).count():
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v")).distinct())
-        seen = state
 
 
 def sketch(df: DataFrame, bins_of: Callable[[pa.RecordBatch], np.ndarray], bins: int, parts: int = 64, fan: int = 64) -> np.ndarray:

@@ -9,9 +9,13 @@ them before it is verified on the whole sets.
   what is broadcast; bins that are shared only make the order less sharp, as any total order is exact.
 * Nodes that share a token of the first prefix (and are alike in size) are joined into candidate groups through the
   least node of each token: as many links as tokens, not pairs.
-* Each group's texts are gathered once, packed, one for each node, in blocks of bounded size, and blocks of a group are
-  taken two by two. Within a pair of blocks the sets are taken again from the texts, all three filters are intersected and what passes, unless it is connected already, is verified. A
-  task emits a spanning forest of its links, never all pairs.
+* Each group's texts are gathered once, packed, one for each node, in blocks of bounded size. In a block the sets are
+  taken again from the texts, all three filters are intersected and what passes, unless it is connected already, is
+  verified. A task emits a spanning forest of its links, never all pairs.
+* A group of several blocks is linked in two passes. First each block is verified together with a few hub nodes that all
+  blocks of the group get: near copies of one text become one component in linear work. Then, only in groups that are
+  still more than one component, blocks meet two by two, except blocks of one and the same component, so that no pair
+  that could join two components is left out.
 * Components over these links give the answer.
 """
 
@@ -21,10 +25,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import components, plus, saved, sketch, table, tune
+from strandline.llm.common import components, dropped, plus, saved, sketch, table, tune
 from strandline.llm.textkit import U64, mix, slices, window_hash, words_of
 
 #: Counting bins of the first order, a byte each when broadcast.
@@ -33,6 +37,8 @@ BINS = 1 << 25
 FILTER_BITS = 1 << 24
 #: Nodes and tokens in a block; a larger set is a block of its own.
 BLOCK_NODES, BLOCK_TOKENS = 128, 400_000
+#: Hubs of a group, about so many (and no more than a block's share of its nodes).
+HUBS = 16
 
 
 def token_sets(column: pa.Array, n: int):
@@ -98,8 +104,9 @@ def _bin_numbers(text: str, n: int, bins: int):
     return of
 
 
-def _verify(sets: list[np.ndarray], split: int, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets; with a split, only links across it are looked for.
+def _verify(sets: list[np.ndarray], split: int, percent: int, joined: list | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets; with a split, only links across it are looked for. joined: labels of
+    the sets; those of one label are connected from the start.
 
     sets up to split are one block and the rest another. Filters under three orders, their candidates intersected,
     then exact intersections, both as products of incidence matrices."""
@@ -126,6 +133,10 @@ def _verify(sets: list[np.ndarray], split: int, percent: int) -> list[tuple[int,
             return []
     np.fill_diagonal(ok, False)
     root = np.arange(m)
+    if joined is not None:
+        _, head, label = np.unique(np.array(joined, object), return_index=True, return_inverse=True)
+        root = head[label]
+        ok &= label[:, None] != label[None, :]
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -192,8 +203,9 @@ def _short(node: F.Column) -> F.Column:
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
-def links(df: DataFrame, base: DataFrame, text: str = "text", n: int = 3, percent: int = 90, bins: int = BINS) -> DataFrame:
-    """(a, b): nodes joined by links (base: the texts' rows from nodes()) of at least percent similarity, a spanning forest of each block pair's links."""
+def connected(df: DataFrame, base: DataFrame, text: str = "text", n: int = 3, percent: int = 90, bins: int = BINS) -> DataFrame:
+    """(node, root): the component of every node (base: the texts' rows from nodes()) that is linked with another by at
+    least percent similarity."""
     spark = df.sparkSession
     df, base = df.select(text), base.withColumn("short", _short(F.col("node")))
     levels = spark.sparkContext.broadcast(sketch(df, _bin_numbers(text, n, bins), bins))
@@ -223,8 +235,10 @@ def links(df: DataFrame, base: DataFrame, text: str = "text", n: int = 3, percen
     sizes = base.filter("n_shingles > 0").groupBy("node").agg(F.first("short").alias("short"), F.max("n_shingles").alias("n"))
     groups = groups.join(sizes, F.col("member") == F.col("short")).select("node", "short", "root", "n")
     need = groups.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
-    need = need.select(F.col("root").alias("r"), F.greatest(F.ceil(F.col("members") / BLOCK_NODES), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    groups = saved(groups.join(need, F.col("root") == F.col("r")).select(F.col("node").alias("member"), "short", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
+    need = need.select(F.col("root").alias("r"), "members", _blocks("members", "tokens").alias("blocks"))
+    groups = groups.join(need, F.col("root") == F.col("r"))
+    hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit(9), "node"), F.greatest(F.ceil(F.col("members") / HUBS), "blocks")) == 0)
+    groups = saved(groups.select(F.col("node").alias("member"), "short", "root", "n", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), hub.alias("hub")))
 
     # the texts of grouped nodes only; a bitmap of fixed size keeps most others from being sent
     def bits(batch: pa.RecordBatch) -> np.ndarray:
@@ -251,16 +265,58 @@ def links(df: DataFrame, base: DataFrame, text: str = "text", n: int = 3, percen
     # copies have equal sets: one text of each node stays, before the shuffle where copies meet; packed text takes a
     # fraction of its set's bytes
     texts = df.mapInArrow(gathered, "node binary, z binary").groupBy("node").agg(F.min("z").alias("z"))
-    texts = texts.join(groups, F.col("node") == F.col("member")).select("node", "z", "root", "blocks", "block")
-    return _block_links(texts, n, percent)
-
-
-def _block_links(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links inside groups: (node, z, root, blocks, block) rows; blocks of a group meet two by two."""
+    texts = saved(texts)
+    own = F.when(F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    first = texts.join(groups, F.col("node") == F.col("member")).select("node", "z", "root", F.explode(own).alias("i"))
+    first = first.select("root", "i", F.col("i").alias("j"), F.col("i").alias("block"), F.lit(None).cast("binary").alias("comp"), "node", "z")
+    found = components(_block_links(first, n, percent))
+    rest = _unjoined(groups, found)
+    if not rest.head(1):
+        dropped(texts)
+        return found
     # a block goes to every pair of blocks (i <= j) that it is part of
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    sent = texts.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    sent = sent.select(F.xxhash64("root", "i", "j").alias("task"), "root", "i", "j", "block", "node", "z")
+    second = texts.join(rest, F.col("node") == F.col("member")).select("node", "z", "root", "block", "comp", F.explode("others").alias("other"))
+    second = second.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp", "node", "z")
+    both = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_block_links(second, n, percent)))
+    dropped(texts)
+    return both
+
+
+def _blocks(members: str, tokens: str) -> F.Column:
+    return F.greatest(F.ceil(F.col(members) / BLOCK_NODES), F.ceil(F.col(tokens) / BLOCK_TOKENS)).cast("int")
+
+
+def _unjoined(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """(member, comp, root, block, others): the nodes of groups of several blocks that found leaves in more than one
+    component, each in a block, and the numbers of the blocks that this one must meet.
+
+    A component of half a block or more has blocks of its own, which needn't meet each other; the others share blocks,
+    a component in one. Numbers: shared blocks first, then those of each large component in a row."""
+    of = found.select(F.col("node").alias("c_node"), F.col("root").alias("c_root"))
+    parts = groups.filter("blocks > 1").join(of, F.col("member") == F.col("c_node"), "left").select("member", "n", F.col("root").alias("g"), F.coalesce("c_root", "member").alias("comp"))
+    parts = saved(parts)
+    sizes = parts.groupBy("g", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
+    large = (F.col("m") * 2 >= BLOCK_NODES) | (F.col("t") * 2 >= BLOCK_TOKENS)
+    sizes = sizes.withColumn("of_own", F.when(large, _blocks("m", "t")).otherwise(0))
+    small = F.col("of_own") == 0
+    whole = sizes.groupBy("g").agg(F.count("*").alias("comps"), F.sum("of_own").cast("int").alias("own"), F.coalesce(F.sum(F.when(small, F.col("m"))), F.lit(0)).alias("sm"), F.coalesce(F.sum(F.when(small, F.col("t"))), F.lit(0)).alias("st"))
+    whole = whole.filter("comps > 1").select(F.col("g").alias("g2"), _blocks("sm", "st").alias("shared"), "own")
+    # one row a large component, not a node
+    order = Window.partitionBy("g").orderBy("comp")
+    placed = sizes.filter(~small).withColumn("to", F.sum("of_own").over(order).cast("int")).select(F.col("g").alias("g3"), F.col("comp").alias("comp3"), "of_own", "to")
+    rows = parts.join(whole, F.col("g") == F.col("g2")).join(placed, (F.col("g") == F.col("g3")) & (F.col("comp") == F.col("comp3")), "left")
+    low, high, top = F.col("shared") + F.col("to") - F.col("of_own"), F.col("shared") + F.col("to"), F.col("shared") + F.col("own")
+    mine = F.when(F.col("to").isNull(), F.pmod(F.xxhash64("comp"), F.col("shared"))).otherwise(low + F.pmod(F.xxhash64("member"), F.col("of_own")))
+    none = F.array().cast("array<int>")
+    upto, behind = F.when(low > 0, F.sequence(F.lit(0), low - 1)).otherwise(none), F.when(high < top, F.sequence(high, top - 1)).otherwise(none)
+    others = F.when(F.col("to").isNull(), F.sequence(F.lit(0), top - 1)).otherwise(F.concat(upto, behind))
+    return rows.select("member", "comp", F.col("g").alias("root"), mine.cast("int").alias("block"), others.alias("others"))
+
+
+def _block_links(sent: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links of (root, i, j, block, comp, node, z) rows: inside block i of a group where i = j, else between blocks i and
+    j. Nodes of one comp are taken as connected, if comp isn't null."""
+    sent = sent.withColumn("task", F.xxhash64("root", "i", "j"))
 
     def work(t: pa.Table) -> pa.Table:
         import zstandard
@@ -268,7 +324,7 @@ def _block_links(texts: DataFrame, n: int, percent: int) -> DataFrame:
         d = zstandard.ZstdDecompressor()
         t = t.sort_by([("root", "ascending"), ("i", "ascending"), ("j", "ascending"), ("block", "ascending"), ("node", "ascending")])
         cols = [t.column(c).to_pylist() for c in ("root", "i", "j")]
-        names, block = t.column("node").to_pylist(), t.column("block").to_pylist()
+        names, block, comp = (t.column(c).to_pylist() for c in ("node", "block", "comp"))
         tokens = list(token_sets(pa.array([d.decompress(x).decode() for x in t.column("z").to_pylist()], pa.string()), n))
         a, b, at = [], [], 0
         while at < t.num_rows:
@@ -278,7 +334,7 @@ def _block_links(texts: DataFrame, n: int, percent: int) -> DataFrame:
             i, j = cols[1][at], cols[2][at]
             split = 0 if i == j else sum(x == i for x in block[at:to])
             if to - at > 1 and (i == j or 0 < split < to - at):
-                for x, y in _verify(tokens[at:to], split, percent):
+                for x, y in _verify(tokens[at:to], split, percent, comp[at:to] if comp[at] is not None else None):
                     a.append(names[at + x])
                     b.append(names[at + y])
             at = to
@@ -294,7 +350,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3,
     A row without words has no shingles, no links and its own key as component_id. Null keys are passed over in the
     minimum; repeated rows are one node and each come out. An empty table gives none."""
     base = saved(nodes(df.select(key, text), text, n))
-    roots = components(links(df, base, text, n, percent, bins)).select(F.col("node").alias("member"), "root")
+    roots = connected(df, base, text, n, percent, bins).select(F.col("node").alias("member"), "root")
     least = base.filter("n_shingles > 0").groupBy("node").agg(F.min(key).alias("low"))
     joined = least.join(roots, F.col("node") == F.col("member"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     whole = joined.groupBy("root").agg(F.min("low").alias("component_id")).withColumnRenamed("root", "r")

@@ -100,15 +100,17 @@ def test_jaccard(docs, empty, n, percent):
         assert jaccard.classes(empty, bins=1 << 16).count() == 0
 
 
-def test_jaccard_blocks(spark, monkeypatch):
-    """A group of near copies over many blocks."""
+@pytest.mark.parametrize("hubs, edits", [(16, 4), (1, 4), (16, 9), (1, 9)])
+def test_jaccard_blocks(spark, monkeypatch, hubs, edits):
+    """A group of near copies over many blocks; with few hubs or many edits it takes the second pass."""
     monkeypatch.setattr(jaccard, "BLOCK_NODES", 8)
+    monkeypatch.setattr(jaccard, "HUBS", hubs)
     rng = random.Random(3)
     base = [f"w{i}" for i in range(80)]
     rows = []
     for i in range(60):
         w = list(base)
-        for _ in range(rng.randint(0, 4)):
+        for _ in range(rng.randint(0, edits)):
             w[rng.randrange(80)] = f"e{rng.randrange(40)}"
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
