@@ -3,7 +3,8 @@
 No piece of the model has a white-space marker after another character, so a text falls into chunks (a run of markers
 and what follows it up to the next marker) that no piece crosses. Each distinct chunk is segmented once by the library
 for as long as its worker's table holds it, and a text's ids are its chunks' ids joined by position. The table is
-emptied when it has TABLE_CHARS characters, so memory is bounded on any input.
+emptied when it has TABLE_CHARS characters and at the end of a task, so memory is bounded on any input and a worker that
+goes on with other work holds none.
 
 The premise is checked on loading: a model with pieces that cross markers, a normaliser that rewrites text, or no dummy
 prefix makes encode() and decode() call the library on whole texts instead.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strandline.llm.common import plus, table, tune
 
 #: Characters of chunks that one worker's table holds before it starts anew.
-TABLE_CHARS = 8_000_000
+TABLE_CHARS = 2_000_000
 _MARK = "▁"
 _CHUNK = re.compile(" +[^ ]*")
 
@@ -81,6 +82,9 @@ class ChunkCodec:
             self.held += len(c)
         return known
 
+    def forget(self) -> None:
+        self.table, self.odd, self.held = {}, {}, 0
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         if not self.chunked:
             return self.library.encode(texts, num_threads=1)
@@ -143,6 +147,7 @@ def encode(df: DataFrame, text: str = "text", model: str | None = None, ids: str
             texts = [t or "" for t in b.column(text).to_pylist()]
             got = [x for i, j in _groups(texts) for x in c.encode(texts[i:j])]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.list_(pa.int32()))], [*b.schema.names, ids])
+        c.forget()
 
     return df.mapInArrow(run, plus(df.schema, f"{ids} array<int>"))
 
@@ -173,6 +178,7 @@ def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", model: st
             got = [x for i, j in _groups(texts) for x in c.digests(texts[i:j])]
             n, a, d = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.forget()
 
     return df.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
