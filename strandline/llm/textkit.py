@@ -1,6 +1,6 @@
 """Vectorised tokenising and hashing of Arrow string columns.
 
-Everything here works on the raw UTF-8 buffer of a column, a slice of about a megabyte at a time,
+Everything here works on the raw UTF-8 buffer of a column, a slice of about a quarter of a megabyte at a time,
 so that no Python object is made per word.
 """
 
@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text handled at once; a longer document is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _ODD = 0x9E3779B97F4A7C15
 
 
