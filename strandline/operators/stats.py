@@ -82,22 +82,40 @@ def r_confidence(r: float, n: int) -> float:
     return float(np.clip(abs(r) * (0.7 + 0.3 * min(1.0, n / 100)), 0, 1))
 
 
-def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3, seed: int = 42, block: int = 256) -> float:
-    """Kraskov's first kNN estimator in nats; a tiny seeded noise breaks ties. Neighbours are sought in row blocks."""
+def kth_distance(x: np.ndarray, y: np.ndarray, k: int, cells: int = 1 << 21) -> np.ndarray:
+    """Each point's distance (the larger of the two axes') to its k-th neighbour, exactly. Neighbours are sought among the
+    next points in order of x; the window of a point grows until what lies outside is too far away by x alone."""
+    n = len(x)
+    order = np.argsort(x, kind="stable")
+    xs, ys = x[order], y[order]
+    out, todo, wide = np.empty(n), np.arange(n), 64
+    while len(todo):
+        wide = min(wide, n)
+        rest = []
+        for at in range(0, len(todo), rows := max(1, cells // wide)):
+            i = todo[at : at + rows]
+            low = np.clip(i - wide // 2, 0, n - wide)
+            j = low[:, None] + np.arange(wide)
+            d = np.partition(np.maximum(np.abs(xs[i, None] - xs[j]), np.abs(ys[i, None] - ys[j])), k, axis=1)[:, k]
+            ok = ((low == 0) | (xs[i] - xs[low] >= d)) & ((low + wide == n) | (xs[low + wide - 1] - xs[i] >= d))
+            out[order[i[ok]]] = d[ok]
+            rest.append(i[~ok])
+        todo, wide = np.concatenate(rest), 2 * wide
+    return out
+
+
+def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3, seed: int = 42) -> float:
+    """Kraskov's first kNN estimator in nats; a tiny seeded noise breaks ties."""
     n = len(x)
     if n <= k + 1 or x.std() == 0 or y.std() == 0:
         return 0.0
     rng = np.random.default_rng(seed)
     x, y = ((v / v.std()) + 1e-10 * max(1, np.abs(v / v.std()).mean()) * rng.standard_normal(n) for v in (x, y))
     xs, ys = np.sort(x), np.sort(y)
-    total = 0.0
-    for at in range(0, n, block):
-        i = slice(at, min(n, at + block))
-        d = np.maximum(np.abs(x[i, None] - x), np.abs(y[i, None] - y))
-        eps = np.partition(d, k, axis=1)[:, k]
-        nx = np.searchsorted(xs, x[i] + eps, "left") - np.searchsorted(xs, x[i] - eps, "right")
-        ny = np.searchsorted(ys, y[i] + eps, "left") - np.searchsorted(ys, y[i] - eps, "right")
-        total += (_digamma(np.maximum(nx, 1)) + _digamma(np.maximum(ny, 1))).sum()
+    eps = kth_distance(x, y, k)
+    nx = np.searchsorted(xs, x + eps, "left") - np.searchsorted(xs, x - eps, "right")
+    ny = np.searchsorted(ys, y + eps, "left") - np.searchsorted(ys, y - eps, "right")
+    total = (_digamma(np.maximum(nx, 1)) + _digamma(np.maximum(ny, 1))).sum()
     return max(0.0, float(_digamma(np.array([k]))[0] + _digamma(np.array([n]))[0] - total / n))
 
 

@@ -267,17 +267,11 @@ def trigger_response(spark, sf_dir):
     return s.filter("abs(dx) / sd > 2.5 AND resp IS NOT NULL").agg(F.count("*").alias("jumps"), F.round(F.avg("resp"), 6).alias("response"))
 
 
-def _hourly(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    """Mean of each event type by hour: a series short enough for the kernels that need it whole."""
-    e = read(spark, sf_dir, "events").groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("long").cast("double").alias("ts")).pivot("event_type", TYPES).agg(F.avg("value"))
-    return A.fill(e, TYPES, "forward_fill"), TYPES
-
-
 @query()
 def mutual_information(spark, sf_dir):
     import pandas as pd
 
-    m, names = _hourly(spark, sf_dir)
+    m, names = event_matrix(spark, sf_dir)
 
     def mi(t: pd.DataFrame) -> pd.DataFrame:
         x, y, _ = S._series(t)
@@ -288,25 +282,25 @@ def mutual_information(spark, sf_dir):
 
 @query()
 def granger_pairs(spark, sf_dir):
-    m, names = _hourly(spark, sf_dir)
+    m, names = event_matrix(spark, sf_dir)
     return S.causes(m, "ts", [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]], DiscoverySettings(granger_p=1.0))
 
 
 @query()
 def lagged_relations(spark, sf_dir):
-    m, names = _hourly(spark, sf_dir)
-    return S.lagged(m, "ts", names, DiscoverySettings(xcorr_min=0.0, max_lag=10))
+    m, names = event_matrix(spark, sf_dir)
+    return S.lagged(m, "ts", names, DiscoverySettings(xcorr_min=0.0))
 
 
 @query()
 def threshold_rules(spark, sf_dir):
-    m, names = _hourly(spark, sf_dir)
+    m, names = event_matrix(spark, sf_dir)
     return K.rules(m, names)
 
 
 @query()
 def operating_modes(spark, sf_dir):
-    m, names = _hourly(spark, sf_dir)
+    m, names = event_matrix(spark, sf_dir)
     found = K.modes(m, "ts", names)
     if found.labels is None:
         return spark.createDataFrame([], "ts double, mode string")
@@ -436,7 +430,7 @@ def twin_rollout(spark, sf_dir):
 @query()
 def discovered_model(spark, sf_dir):
     """End to end: matrix, discovery, theory; a row for each thing found."""
-    m, _ = _hourly(spark, sf_dir)
+    m, _ = event_matrix(spark, sf_dir)
     m = m.cache()
     model = K.discover(m, "ts")
     t = T.synthesize(model, m)

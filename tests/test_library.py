@@ -4,6 +4,7 @@ import json
 import math
 import subprocess
 import sys
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -187,3 +188,39 @@ def test_entry_without_llm():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 35
+
+
+def test_kth_distance():
+    rng = np.random.default_rng(3)
+    for n in (5, 65, 900):
+        for x in (rng.normal(size=n), np.repeat(rng.normal(size=n), 4)[:n], np.round(rng.normal(size=n))):
+            y = 0.8 * x + rng.normal(size=n)
+            d = np.maximum(np.abs(x[:, None] - x), np.abs(y[:, None] - y))
+            assert np.array_equal(S.kth_distance(x, y, 3), np.sort(d, axis=1)[:, 3])
+
+
+def test_kernel_queries_take_every_time(spark, tmp_path, monkeypatch):
+    """The queries of the kernels see each observed time, not hourly means, and lags as far as the operators' default."""
+    from strandline.plans import catalog as C
+
+    rng = np.random.default_rng(4)
+    v = rng.normal(50, 10, size=700)
+    rows = [(i, float(i), name, float(v[max(i // 5 - 6 * (name == "view"), 0)] if name in ("click", "view") else rng.normal(50, 10))) for i in range(3500) for name in [C.TYPES[i % 5]]]
+    spark.createDataFrame(rows, "event_id bigint, at double, event_type string, value double").select("event_id", F.col("at").cast("timestamp").alias("ts"), "event_type", "value").write.parquet(str(tmp_path / "events.parquet"))
+    m = C.event_matrix(spark, str(tmp_path))[0].toPandas().sort_values("ts").astype(float)
+    assert len(m) == 3500
+    got = lambda name: C.QUERIES[name](spark, str(tmp_path)).collect()
+    pair = m[["click", "view"]].dropna()
+    want = S.mutual_information(pair.click.to_numpy(), pair.view.to_numpy())
+    assert next(r.mi for r in got("mutual_information") if (r.a, r.b) == ("click", "view")) == pytest.approx(want)
+    lag = next(r for r in got("lagged_relations") if r.type == "INFLUENCES" and {r.source, r.target} == {"click", "view"})
+    assert (lag.source, lag.target) == ("click", "view") and 25 < lag.lag <= 40
+    assert next(r for r in got("granger_pairs") if (r.source, r.target) == ("click", "error")).p == pytest.approx(S.granger(*m[["click", "error"]].dropna().to_numpy().T, 10)[0])
+    rules = got("threshold_rules")
+    assert sorted(map(str, rules)) == sorted(map(str, K.rules(C.event_matrix(spark, str(tmp_path))[0], C.TYPES).collect())) and rules
+    seen = []
+    monkeypatch.setattr(K, "modes", lambda df, *_: seen.append(df.count()) or K.Modes())
+    monkeypatch.setattr(K, "discover", lambda df, *_: seen.append(df.count()) or K.SystemModel(C.TYPES, 0))
+    monkeypatch.setattr(T, "synthesize", lambda *_: SimpleNamespace(subsystems=[], equations=[]))
+    got("operating_modes"), got("discovered_model")
+    assert seen == [3500, 3500]
