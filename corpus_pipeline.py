@@ -23,15 +23,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least doc_id. Of rows that repeat a doc_id one
-    stays; a row without doc_id stays if its text stands alone."""
-    groups = jaccard.classes(docs, n=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    # a plain key lets the join's partitioning serve the removal of repeats too: texts are shuffled once
-    named = docs.join(stay, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    lone = stay.filter("kept_id IS NULL").select(F.lit(1).alias("one"))
-    nameless = docs.filter("doc_id IS NULL").withColumn("_one", F.lit(1)).join(lone, F.col("_one") == F.col("one"), "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).union(nameless.select(*docs.columns))
+    """One document of each group of near duplicates: the one with the least doc_id, rows without doc_id last; of several
+    such rows the one of the least hash. A doc_id that is null or repeated drops nothing: unlike texts all stay."""
+    stay = jaccard.survivors(docs, n=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
+    # repeats of both doc_id and text go before the shuffle; a plain key lets its partitioning serve the join too
+    once = docs.withColumn("_name", jaccard.identity("doc_id", "text")).dropDuplicates(["_name"])
+    return once.join(stay, F.col("_name") == F.col("kept"), "left_semi").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

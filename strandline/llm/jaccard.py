@@ -359,6 +359,22 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3,
     return out.select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
 
 
+def identity(key: str, text: str) -> F.Column:
+    """128 bits that stand for a row's key and text, nulls told from empty ones."""
+    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("")), F.isnull(key).cast("string"), F.isnull(text).cast("string"), F.coalesce(text, F.lit("")))))
+
+
+def survivors(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90, bins: int = BINS) -> DataFrame:
+    """(kept): identity() of one row of each component, that of the least key, nulls last, then of the least identity. A text
+    without words has no links: each of those rows is kept, repeats of both key and text once."""
+    base = saved(nodes(df.select(key, identity(key, text).alias("name"), text), text, n))
+    roots = connected(df, base, text, n, percent, bins).select(F.col("node").alias("member"), "root")
+    least = base.filter("n_shingles > 0").groupBy("node").agg(F.min(F.struct(F.isnull(key).alias("nameless"), key, "name")).alias("low"))
+    joined = least.join(roots, F.col("node") == F.col("member"), "left").select("low", F.coalesce("root", "node").alias("root"))
+    one = joined.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.name").alias("kept"))
+    return one.union(base.filter("n_shingles = 0").select("name").distinct())
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return classes(table(spark, sf_dir, "documents"))

@@ -314,3 +314,21 @@ def test_pipeline(spark, tmp_path):
             assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == sorted({c for _, _, c in want if c != -1})
         d = out.checkpoint() if spark.sparkContext.getCheckpointDir() else out
     assert C.run(spark, str(tmp_path)).count() == d.count() > 0
+
+
+def test_near_duplicates_keys(spark, empty):
+    """Unlike texts stay where doc_ids are null or repeated; a group keeps one row, a named one if it has any."""
+    import corpus_pipeline as C
+
+    rng = random.Random(8)
+    prose = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(12)]
+    near = lambda t: t + " tail"
+    rows = [(None, t) for t in prose[:4]] + [(None, near(prose[0])), (7, prose[4]), (7, prose[5]), (7, near(prose[5])), (7, prose[4])]
+    # copies of a named document without doc_id, and of one whose own doc_id is repeated elsewhere
+    rows += [(9, prose[6]), (None, near(prose[6])), (8, near(prose[6])), (7, prose[7]), (2, near(prose[7])), (None, ""), (None, ""), (None, None), (5, " "), (5, "\n")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], SCHEMA).repartition(3)
+    got = [(r.doc_id, r.text) for r in C.near_duplicates(spark, docs, "").collect()]
+    fixed = [(None, t) for t in prose[1:4]] + [(7, prose[4]), (8, near(prose[6])), (2, near(prose[7])), (None, ""), (None, None), (5, " "), (5, "\n")]
+    either = [{(None, prose[0]), (None, near(prose[0]))}, {(7, prose[5]), (7, near(prose[5]))}]
+    assert all(got.count(x) == 1 for x in fixed) and all(sum(x in e for x in got) == 1 for e in either) and len(got) == len(fixed) + len(either)
+    assert C.near_duplicates(spark, empty, "").count() == 0
