@@ -3,7 +3,8 @@
 A tokenizer feeds a tree builder that knows void elements, implied end tags (p, li, dt and dd, option, table parts, head)
 and stray end tags. Elements that are never shown, hidden by attribute or by inline style are kept out of the tree. The
 renderer walks the tree without recursion: blocks are apart, paragraphs by an empty line, list items get bullets or
-numbers by depth, pre keeps its blanks, and cells of a table are padded so that columns line up.
+numbers by depth, pre keeps its blanks, and cells of a table are padded so that columns line up; in rows where a cell
+has several lines the cells are blocks. What stands in a table but in no cell comes before it.
 """
 
 from __future__ import annotations
@@ -21,18 +22,23 @@ from strandline.llm.common import plus, table, tune
 
 # Fixed values of HTML: kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-UNSEEN = frozenset("head script style template noscript iframe object audio video canvas svg math datalist title textarea select noframes noembed".split())
+UNSEEN = frozenset("head script style template noscript iframe object audio video canvas datalist title noframes noembed".split())
+# Never shown inside these.
+UNSEEN_IN = {"svg": frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient".split()), "math": frozenset(("annotation", "annotation-xml"))}
 RAW = frozenset("script style textarea title iframe noembed noframes noscript xmp".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl pre table figure fieldset".split())
-BLOCK = SPACED | frozenset("html body address article aside details div dd dt fieldset figcaption footer form header hgroup hr legend li main menu nav section summary tbody thead tfoot tr caption center dir".split())
+BLOCK = SPACED | frozenset("html body address article aside details div dd dt fieldset figcaption footer form header hgroup hr legend li main menu nav section summary tbody thead tfoot tr caption center dir textarea select optgroup option".split())
 ENDS_P = SPACED | frozenset("address article aside details div dl fieldset figcaption footer form header hgroup hr main menu nav section summary center dir".split())
 # An opening tag ends these open elements, looking no further up than the second set.
 ENDS = {
-    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "optgroup"}), "optgroup": ({"option", "optgroup"}, {"select"}),
     "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, {"html"}),
 }
+PARTS = frozenset("tr td th tbody thead tfoot caption colgroup".split())
+#: Tables inside cells, laid out in columns so deep; in deeper ones each cell is a block of its own.
+DEEP = 32
 # An end tag does not reach past these.
 SCOPE = {"td", "th", "table", "caption"}
 _TOKEN = re.compile(r"<!--(?:>|->)|<!--.*?(?:-->|--!>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/<>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
@@ -42,10 +48,12 @@ _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "start")
+    __slots__ = ("tag", "kids", "start", "parts")
 
-    def __init__(self, tag: str):
-        self.tag, self.kids, self.start = tag, [], 1
+    def __init__(self, tag: str, kids: list | None = None):
+        self.tag, self.kids, self.start = tag, kids or [], 1
+        #: are there parts of the table around it inside?
+        self.parts = False
 
 
 def _hidden(attrs: str) -> bool:
@@ -117,22 +125,28 @@ def parse(source: str) -> Node:
                 close(next(i for i, (t, _) in enumerate(stack) if t == "head"))
             if tag == "html" or tag == "body" and opened["body"] > 0:
                 continue
-            unseen = dark or tag in UNSEEN or _hidden(attrs)
-            node = None if unseen else Node(tag)
+            foreign = "svg" if opened["svg"] > 0 else "math" if opened["math"] > 0 else ""
+            unseen = dark or tag in UNSEEN or foreign and tag in UNSEEN_IN[foreign] or _hidden(attrs)
+            node = None if unseen else Node("svg text" if foreign == "svg" and tag == "text" else tag)
             if node is not None:
                 if tag == "ol" and (s := re.search(r"\bstart\s*=\s*[\"']?(-?\d{1,9})", attrs)):
                     node.start = int(s[1])
-                if tag == "img" and (alt := next((x[1] or x[2] or x[3] for x in _ATTR.findall(attrs) if x[0].lower() == "alt"), "")):
+                if tag in ("img", "optgroup") and (alt := next((x[1] or x[2] or x[3] for x in _ATTR.findall(attrs) if x[0].lower() == ("alt" if tag == "img" else "label")), "")):
                     node.kids.append(html.unescape(alt))
+                if tag in PARTS:
+                    for t, above in reversed(stack):
+                        if t == "table" or above.parts:
+                            break
+                        above.parts = True
                 stack[-1][1].kids.append(node)
-            if tag in VOID or attrs.endswith("/") and tag not in BLOCK and tag not in UNSEEN:
+            if tag in VOID or attrs.endswith("/") and (foreign or tag not in BLOCK and tag not in UNSEEN):
                 continue
             if tag in RAW:
                 # up to its end tag all is text
                 close_at = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
                 stop = close_at.start() if close_at else n
                 if node is not None:
-                    node.kids.append(source[at:stop])
+                    node.kids.append(html.unescape(re.sub(r"\A\r?\n", "", source[at:stop])) if tag == "textarea" else source[at:stop])
                 at = stop
             stack.append((tag, node))
             opened[tag] += 1
@@ -178,40 +192,58 @@ class _Page:
         self.put(core)
         self.blank = words[-1] == " "
 
+    def text(self) -> str:
+        """Lines have no blanks at their ends; the text has no empty lines at its ends."""
+        return "\n".join(line.rstrip() for line in "".join(self.out).split("\n")).strip("\n")
 
-def _table(node: Node) -> list[list[Node]]:
-    """Rows of cells of a table, those of tables inside left out."""
+
+def _table(node: Node) -> tuple[list, list[Node], list[list[Node]]]:
+    """What stands before a table (text and elements in it that are in no cell), its captions, and its rows of cells."""
+    before: list = []
+    captions: list[Node] = []
     rows: list[list[Node]] = []
     todo = list(reversed(node.kids))
     while todo:
         x = todo.pop()
         if isinstance(x, str):
-            continue
-        if x.tag == "tr":
-            rows.append([])
-            todo += reversed(x.kids)
+            if x.strip():
+                before.append(x)
+        elif x.tag == "caption":
+            captions.append(x)
         elif x.tag in ("td", "th"):
             if not rows:
                 rows.append([])
             rows[-1].append(x)
-        elif x.tag in ("tbody", "thead", "tfoot"):
+        elif x.tag in PARTS or x.parts:
+            if x.tag == "tr":
+                rows.append([])
+            elif x.tag in BLOCK and x.tag not in PARTS:
+                todo.append(Node("div"))
+                before.append(Node("div"))
             todo += reversed(x.kids)
-    return [r for r in rows if r]
-
-
-def _flat(node: Node) -> str:
-    """A cell's text on one line."""
-    parts, todo = [], [node]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            parts.append(x)
         else:
-            if x.tag in BLOCK or x.tag in ("br", "td", "th"):
-                parts.append(" ")
-                todo.append(" ")
-            todo += reversed(x.kids)
-    return _BLANKS.sub(" ", "".join(parts)).strip(" ")
+            before.append(x)
+    return before, captions, [r for r in rows if r]
+
+
+def _columns(page: _Page, rows: list[list[list[str]]]) -> None:
+    """Puts rows of cells, each the lines of one: columns line up, but the cells of a row with longer ones are blocks."""
+    flat = [all(len(c) == 1 for c in r) for r in rows]
+    wide: list[int] = []
+    for r in (r for r, one in zip(rows, flat, strict=True) if one):
+        for i, (c,) in enumerate(r):
+            if i == len(wide):
+                wide.append(0)
+            wide[i] = max(wide[i], _width(c))
+    for r, one in zip(rows, flat, strict=True):
+        lines = ["  ".join(c + " " * (wide[i] - _width(c)) for i, (c,) in enumerate(r)).rstrip()] if one else None
+        for c in [lines] if one else r:
+            for line in c:
+                if line:
+                    page.put(line)
+                    page.block(1)
+                elif not one and len(c) > 1:
+                    page.gap += 1
 
 
 def render(root: Node) -> str:
@@ -219,9 +251,38 @@ def render(root: Node) -> str:
     page = _Page()
     lists: list[list] = []  # [is it ordered, next number]
     pre = 0
+    outer: list[tuple] = []  # what is left for a cell: page, lists and pre around it
     todo: list = [(0, root)]
     while todo:
         ends, x = todo.pop()
+        if ends == 2:
+            captions, rows = x
+            page.block(2)
+            if len(outer) >= DEEP or all(len(r) == 1 for r in rows):
+                todo.append((1, Node("table")))
+                todo += [(0, Node("div", c.kids)) for r in reversed(rows) for c in reversed(r)]
+            else:
+                done: list[list[str]] = []
+                todo.append((3, (rows, done)))
+                for c in (c for r in reversed(rows) for c in reversed(r)):
+                    todo.append((5, done))
+                    todo += [(0, k) for k in reversed(c.kids)]
+                    todo.append((4, None))
+            todo += [(0, c) for c in reversed(captions)]
+            continue
+        if ends == 3:
+            rows, cells = x[0], iter(x[1])
+            _columns(page, [[next(cells) for _ in r] for r in rows])
+            page.block(2)
+            continue
+        if ends == 4:
+            outer.append((page, lists, pre))
+            page, lists, pre = _Page(), [], 0
+            continue
+        if ends == 5:
+            x.append(page.text().split("\n"))
+            page, lists, pre = outer.pop()
+            continue
         if isinstance(x, str):
             if not pre:
                 page.flow(x)
@@ -239,7 +300,7 @@ def render(root: Node) -> str:
                 lists.pop()
                 page.indent = "  " * len(lists)
                 space = 1 if lists else 2
-            elif tag == "pre":
+            elif tag in ("pre", "textarea"):
                 pre -= 1
             elif tag == "li":
                 page.mark = ""
@@ -250,24 +311,9 @@ def render(root: Node) -> str:
             page.blank = False
             continue
         if tag == "table":
-            page.block(2)
-            rows = [[_flat(c) for c in r] for r in _table(x)]
-            for c in x.kids:
-                if not isinstance(c, str) and c.tag == "caption" and (t := _flat(c)):
-                    page.put(t)
-                    page.block(1)
-            wide: list[int] = []
-            for r in rows:
-                for i, c in enumerate(r):
-                    if i == len(wide):
-                        wide.append(0)
-                    wide[i] = max(wide[i], _width(c))
-            for r in rows:
-                line = "  ".join(c + " " * (wide[i] - _width(c)) for i, c in enumerate(r)).rstrip()
-                if line:
-                    page.put(line)
-                    page.block(1)
-            page.block(2)
+            before, *rest = _table(x)
+            todo.append((2, rest))
+            todo += [(0, k) for k in reversed(before)]
             continue
         if tag in BLOCK:
             page.block(space)
@@ -279,13 +325,12 @@ def render(root: Node) -> str:
                 now = lists[-1] if lists else [False, 1]
                 page.mark = "  " * max(len(lists) - 1, 0) + (f"{now[1]}. " if now[0] else "- ")
                 now[1] += 1
-            elif tag == "pre":
+            elif tag in ("pre", "textarea"):
                 pre += 1
-        elif tag in ("td", "th"):
+        elif tag in ("td", "th", "svg text"):
             page.flow(" ")
         todo += [(0, k) for k in reversed(x.kids)]
-    lines = "".join(page.out).split("\n")
-    return "\n".join(line.rstrip() for line in lines).strip("\n")
+    return page.text()
 
 
 def text_of(source: str | None) -> str:

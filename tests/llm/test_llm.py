@@ -332,3 +332,16 @@ def test_near_duplicates_keys(spark, empty):
     either = [{(None, prose[0]), (None, near(prose[0]))}, {(7, prose[5]), (7, near(prose[5]))}]
     assert all(got.count(x) == 1 for x in fixed) and all(sum(x in e for x in got) == 1 for e in either) and len(got) == len(fixed) + len(either)
     assert C.near_duplicates(spark, empty, "").count() == 0
+
+
+def test_html_tables_whole():
+    """All visible text of a table comes out, wherever it stands in it, and cells keep their layout."""
+    t = html_text.text_of
+    assert t("<table><form><tr><td>a<td>b</tr></form></table>") == t("<table><tr><form><td>a</td><td>b</td></form></tr></table>") == "a  b"
+    assert t("<p>x</p><table>one <b>two</b><tr>three<td>a<td>b</table>") == "x\n\none twothree\n\na  b"
+    assert t("<table><tr><td><ul><li>a<li>b</ul><td><pre>x\n  y</pre><tr><td>c<td>d</table>") == "- a\n- b\nx\n  y\nc  d"
+    assert t("<table><tr><td>k<td><table><tr><td>i<td>j<tr><td>ll<td>m</table></table>") == "k\ni   j\nll  m"
+    assert t("1 <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> <svg><title/><defs>no</defs><text>u</text><text>v</text></svg>") == "1 x=2 u v"
+    assert t("<textarea>\na &amp;\n b</textarea><select><optgroup label=g><option>one<option>two<optgroup label=h><option hidden>no</select>z") == "a &\n b\ng\none\ntwo\nh\nz"
+    for deep in ("<table><tr><td>a<td>", "<table><div>", "<table><tr><td>", "<table><tr><form>"):
+        assert "end" in t(deep * 5000 + "<td>end")
