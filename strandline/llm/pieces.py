@@ -49,12 +49,10 @@ class ChunkCodec:
         own = all(p.type in (kind.NORMAL, kind.UNKNOWN, kind.CONTROL, kind.BYTE) for p in proto.pieces)
         inner = any(_MARK in p.piece.lstrip(_MARK) for p in proto.pieces if p.type == kind.NORMAL)
         self.chunked = bool(plain and own and not inner and not proto.trainer_spec.treat_whitespace_as_suffix and proto.trainer_spec.byte_fallback and self.library.piece_to_id(_MARK) != self.library.unk_id())
-        #: what decode() makes of each piece inside a text, and each id as text
-        self.raw = [bytes([int(p.piece[3:5], 16)]) if p.type == kind.BYTE else b"" if p.type == kind.CONTROL else p.piece.replace(_MARK, " ").encode() for p in proto.pieces]
+        #: each id as text
         self.number = [str(i) for i in range(len(proto.pieces))]
-        #: ids of each distinct chunk as text; what decode() makes of the few chunks that it changes
+        #: ids of each distinct chunk as text
         self.table: dict[str, str] = {}
-        self.odd: dict[str, str] = {}
         self.held = 0
 
     def chunks(self, text: str) -> list[str]:
@@ -67,23 +65,19 @@ class ChunkCodec:
         if self.held > TABLE_CHARS:
             wanted = {c for cs in cut for c in cs}
             known = self.table = {c: e for c, e in known.items() if c in wanted}
-            self.odd = {c: e for c, e in self.odd.items() if c in wanted}
             self.held = sum(map(len, known))
         # a marker alone: behind the library's own one there is nothing left to encode
         known.setdefault(" ", self.number[self.library.piece_to_id(_MARK)])
         new = list({c for cs in cut for c in cs if c not in known})
         # the library adds one marker before a text, which is the chunk's own first
-        raw, number = self.raw, self.number
+        number = self.number
         for c, i in zip(new, self.library.encode([c[1:] for c in new], num_threads=1) if new else (), strict=True):
             known[c] = ",".join([number[k] for k in i])
-            # decode() drops a marker at the very start of a text only: inside, a chunk's first one is a blank
-            if (back := b"".join([raw[k] for k in i])) != c.encode():
-                self.odd[c] = back.decode(errors="replace")
             self.held += len(c)
         return known
 
     def forget(self) -> None:
-        self.table, self.odd, self.held = {}, {}, 0
+        self.table, self.held = {}, 0
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         if not self.chunked:
@@ -98,16 +92,7 @@ class ChunkCodec:
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(number of ids, SHA-256 of the ids as text, SHA-256 of decode(ids)) of each text."""
         sha = hashlib.sha256
-        if not self.chunked:
-            pairs = [(i, self.library.decode(i)) for i in self.library.encode(texts, num_threads=1)]
-            return [(len(i), sha(",".join(map(str, i)).encode()).hexdigest(), sha(t.encode()).hexdigest()) for i, t in pairs]
-        cut = [self.chunks(t) if t else [] for t in texts]
-        known, odd, out = self.look_up(cut), self.odd, []
-        for cs in cut:
-            ids = ",".join([known[c] for c in cs])
-            back = "".join([odd.get(c, c) for c in cs] if odd else cs)[1:]
-            out.append((ids.count(",") + 1 if cs else 0, sha(ids.encode()).hexdigest(), sha(back.encode()).hexdigest()))
-        return out
+        return [(len(i), sha(",".join(map(str, i)).encode()).hexdigest(), sha(self.decode(i).encode()).hexdigest()) for i in self.encode(texts)]
 
 
 _MODELS: dict[str, ChunkCodec] = {}

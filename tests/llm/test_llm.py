@@ -345,3 +345,10 @@ def test_html_tables_whole():
     assert t("<textarea>\na &amp;\n b</textarea><select><optgroup label=g><option>one<option>two<optgroup label=h><option hidden>no</select>z") == "a &\n b\ng\none\ntwo\nh\nz"
     for deep in ("<table><tr><td>a<td>", "<table><div>", "<table><tr><td>", "<table><tr><form>"):
         assert "end" in t(deep * 5000 + "<td>end")
+
+
+def test_pieces_decode_runs():
+    """The digest of the decoded text is of what decode() gives for the ids."""
+    c = pieces.ChunkCodec(pieces.default_model())
+    c.decode = lambda ids: f"{len(ids)} ids"
+    assert [d for *_, d in c.digests(["a b c", ""])] == [hashlib.sha256(f"{len(c.library.encode(t))} ids".encode()).hexdigest() for t in ("a b c", "")]
