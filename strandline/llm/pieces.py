@@ -89,10 +89,10 @@ class ChunkCodec:
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
 
-    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """(number of ids, SHA-256 of the ids as text, SHA-256 of decode(ids)) of each text."""
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str, list[int]]]:
+        """(number of ids, SHA-256 of the ids as text, SHA-256 of decode(ids), ids) of each text."""
         sha = hashlib.sha256
-        return [(len(i), sha(",".join(map(str, i)).encode()).hexdigest(), sha(self.decode(i).encode()).hexdigest()) for i in self.encode(texts)]
+        return [(len(i), sha(",".join(map(str, i)).encode()).hexdigest(), sha(self.decode(i).encode()).hexdigest(), i) for i in self.encode(texts)]
 
 
 _MODELS: dict[str, ChunkCodec] = {}
@@ -151,8 +151,9 @@ def decode(df: DataFrame, ids: str = "ids", model: str | None = None, text: str
     return df.mapInArrow(run, plus(df.schema, f"{text} string"))
 
 
-def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of each row, repeated rows included; a null text counts as empty."""
+def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None, with_ids: bool = False) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) of each row, repeated rows included, and its ids if asked for; a null
+    text counts as empty."""
     model = model or default_model()
     df = df.select(key, text)
 
@@ -161,11 +162,12 @@ def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", model: st
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             got = [x for i, j in _groups(texts) for x in c.digests(texts[i:j])]
-            n, a, d = zip(*got, strict=True) if got else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            n, a, d, ids = zip(*got, strict=True) if got else ((), (), (), ())
+            more = [pa.array(ids, pa.list_(pa.int32()))] if with_ids else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), *more], [key, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"][: len(more)]])
         c.forget()
 
-    return df.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return df.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{', ids array<int>' if with_ids else ''}")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -351,4 +351,19 @@ def test_pieces_decode_runs():
     """The digest of the decoded text is of what decode() gives for the ids."""
     c = pieces.ChunkCodec(pieces.default_model())
     c.decode = lambda ids: f"{len(ids)} ids"
-    assert [d for *_, d in c.digests(["a b c", ""])] == [hashlib.sha256(f"{len(c.library.encode(t))} ids".encode()).hexdigest() for t in ("a b c", "")]
+    assert [x[2] for x in c.digests(["a b c", ""])] == [hashlib.sha256(f"{len(c.library.encode(t))} ids".encode()).hexdigest() for t in ("a b c", "")]
+
+
+def test_pipeline_tokens(spark, docs, empty):
+    """Whole rows of the last stage: the library's ids, and digests of them and of what they decode to."""
+    import sentencepiece
+
+    import corpus_pipeline as C
+
+    sp, sha = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model()), lambda t: hashlib.sha256(t.encode()).hexdigest()
+    rows = [(r.doc_id, sp.encode(r.text or "")) for r in docs.collect()]
+    out = C.encoded(spark, docs, "")
+    assert out.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    want = [(d, len(i), i, sha(",".join(map(str, i))), sha(sp.decode(i))) for d, i in rows]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    assert C.encoded(spark, empty, "").count() == 0
