@@ -14,7 +14,7 @@ from pyspark.sql import window as W
 from strandline.llm.common import saved, table
 
 RANGE_BYTES, FAN, DEPTH = 1 << 16, 16, 4
-#: Pages in a WARC file that the query writes.
+#: Pages in a WARC file as the query lays it out; no file is written.
 FILE_PAGES = 1000
 
 
@@ -69,13 +69,27 @@ def laid_out(pages: DataFrame, html: Column, per_file: int = FILE_PAGES) -> Data
     return rows.withColumn("offset", F.coalesce(F.sum("length").over(w), F.lit(0)).cast("bigint")).drop("_as")
 
 
+def levels_for(records: DataFrame, range_bytes: int, fan: int, depth: int) -> int:
+    """The least depth, but no less than the given one, at which every file has one node."""
+    last = (records.agg(F.max("offset")).first()[0] or 0) // range_bytes
+    while last >= fan**depth:
+        depth += 1
+    return depth
+
+
+def roots_of(tree_: DataFrame, depth: int) -> DataFrame:
+    """(f, file_root): each file's only node at the first level, from depth on, where it has no other."""
+    top = tree_.filter(F.col("level") >= depth).groupBy("file", "level").agg(F.count("*").alias("n"), F.min("hash").alias("hash"))
+    return top.filter("n = 1").groupBy(F.col("file").alias("f")).agg(F.min_by("hash", "level").alias("file_root"))
+
+
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as WARC records with the verdict of an audit against a replica in which some records have other bytes."""
     pages = table(spark, sf_dir, "pages")
     a = saved(laid_out(pages, F.col("html")))
     b = saved(laid_out(pages, F.when(F.col("page_id") % 97 == 13, F.translate("html", "a", "b")).otherwise(F.col("html"))))
-    damage, tree_a = audit(a, b)
-    roots = tree_a.filter(F.col("level") == DEPTH).select(F.col("file").alias("f"), F.col("hash").alias("file_root"))
+    damage, tree_a = audit(a, b, depth=levels_for(a, RANGE_BYTES, FAN, DEPTH))
+    roots = roots_of(tree_a, DEPTH)
     damage = damage.select(F.col("file").alias("f2"), F.col("offset").alias("o2"), "status")
     out = a.join(roots, F.col("file") == F.col("f")).join(damage, (F.col("file") == F.col("f2")) & (F.col("offset") == F.col("o2")), "left")
     return out.select("page_id", "file", "offset", "length", "digest", "file_root", F.coalesce("status", F.lit("intact")).alias("status"))
