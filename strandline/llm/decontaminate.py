@@ -7,17 +7,20 @@ item shorter than that counts when all of it has been read. States carry the ite
 
 from __future__ import annotations
 
-import hashlib
+import pickle
+import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import plus, saved, table, tune
+from strandline.llm.common import dropped, plus, saved, table, tune
 from strandline.llm.textkit import LOWER, NOT_ALNUM
 
-#: Characters of items in one automaton. More items make more automata, and the documents pass through each in turn.
-AUTOMATON_CHARS = 8_000_000
+#: Characters of items in one automaton (about 200 bytes of a worker's memory each). More items make more automata, and
+#: the documents pass through each in turn.
+AUTOMATON_CHARS = 2_000_000
 _TO = bytes(32 if NOT_ALNUM[b] else LOWER[b] for b in range(256))
 
 
@@ -29,7 +32,7 @@ def norm_words(text: str | None) -> list[bytes]:
 class Automaton:
     """Generalised suffix automaton (Blumer et al. 1985) over the items' words."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         self.vocab: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -40,36 +43,31 @@ class Automaton:
             last = 0
             for c in seq:
                 last = self._extend(last, c)
-        # which items each state's passages come from
-        owners: list[set[int]] = [set() for _ in self.len]
-        for k, seq in enumerate(seqs):
-            s = 0
-            for c in seq:
-                s = self.next[s][c]
-                t = s
-                while t > 0 and k not in owners[t]:
-                    owners[t].add(k)
-                    t = self.link[t]
         self.shorts = sorted({len(s) for s in seqs if 0 < len(s) < window})
         self.least = min([window, *self.shorts])
+        # the items of each state that stands for a window: its shortest passage is no longer than that, its longest no
+        # shorter; a state is left for its link once that one holds the whole window too
+        owners: dict[int, set[int]] = {}
         whole: dict[tuple[int, int], set[int]] = {}
         for k, seq in enumerate(seqs):
+            s = 0
+            for c in seq:
+                s = self.next[s][c]
+                while self.len[self.link[s]] >= window:
+                    s = self.link[s]
+                if self.len[s] >= window:
+                    owners.setdefault(s, set()).add(k)
             if 0 < len(seq) < window:
-                s = 0
-                for c in seq:
-                    s = self.next[s][c]
                 whole.setdefault((s, len(seq)), set()).add(k)
-        # by state: the items hit when at least so many words match here: (words, items), most words first
-        self.hits: list[list[tuple[int, frozenset[int]]]] = []
-        for v in range(len(self.len)):
-            got, t = [], v
-            while t > 0:
-                low, high = self.len[self.link[t]], self.len[t]
-                if low < window <= high:
-                    got.append((window, frozenset(owners[t])))
-                got += [(n, frozenset(whole[t, n])) for n in reversed(self.shorts) if low < n <= high and (t, n) in whole]
-                t = self.link[t]
-            self.hits.append(got)
+        # by state: the items hit when at least so many words match here: (words, items), most words first. What a state
+        # shares with its link is one list, as most states have nothing of their own
+        none: list[tuple[int, frozenset[int]]] = []
+        self.hits = [none] * len(self.len)
+        for v in sorted(range(1, len(self.len)), key=self.len.__getitem__):
+            low, high = self.len[self.link[v]], self.len[v]
+            own = [(window, frozenset(owners[v]))] if v in owners else []
+            own += [(n, frozenset(whole[v, n])) for n in reversed(self.shorts) if low < n <= high and (v, n) in whole]
+            self.hits[v] = own + self.hits[self.link[v]] if own else self.hits[self.link[v]]
 
     def _extend(self, last: int, c: int) -> int:
         nxt, link, length = self.next, self.link, self.len
@@ -134,7 +132,8 @@ class Automaton:
                                 if spans and spans[-1][1] >= k + 1 - need:
                                     # windows of other lengths may reach further back than the last range
                                     while len(spans) > 1 and spans[-2][1] >= k + 1 - need:
-                                        spans[-2][1] = spans.pop()[1]
+                                        top = spans.pop()
+                                        spans[-1][1] = top[1]
                                     spans[-1][0] = min(spans[-1][0], k + 1 - need)
                                     spans[-1][1] = k + 1
                                 else:
@@ -143,19 +142,45 @@ class Automaton:
         return spans, items, longest
 
 
-def automata(items: DataFrame, key: str = "item_id", text: str = "text", window: int = 10, chars: int = AUTOMATON_CHARS) -> list[Automaton]:
-    """Automata that hold at most about chars characters each; items without words are left out."""
-    out, held, size = [], [], 0
-    for name, t in items.select(F.col(key).cast("string"), text).toLocalIterator():
-        words = norm_words(t)
-        if not words:
-            continue
-        held.append((str(name), words))
-        size += len(t)
-        if size > chars:
-            out.append(Automaton(held, window))
-            held, size = [], 0
-    return [*out, Automaton(held, window)] if held or not out else out
+def build(items: list[tuple[str | None, str | None]], window: int) -> bytes:
+    """The automaton of (id, text) rows, packed; items without words are left out."""
+    import zstandard
+
+    held = sorted(((name, words) for name, t in items if (words := norm_words(t))), key=lambda x: (x[0] is not None, x[0] or "", x[1]))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(Automaton(held, window), protocol=5))
+
+
+_LAST: list = [None, None]
+
+
+def opened(name: str, packed: bytes) -> Automaton:
+    """The automaton of that name; a worker keeps the last one that it opened."""
+    import zstandard
+
+    if _LAST[0] != name:
+        _LAST[:] = [None, None]
+        _LAST[:] = [name, pickle.loads(zstandard.ZstdDecompressor().decompress(packed))]
+    return _LAST[1]
+
+
+def automata(items: DataFrame, key: str = "item_id", text: str = "text", window: int = 10, chars: int = AUTOMATON_CHARS) -> Iterator[tuple[bytes, bool]]:
+    """(packed automaton, is it the last) of parts of about chars characters of the items, at least one. Parts are built by
+    executors and written to the shared folder; the driver holds one of them at a time."""
+    total = items.agg(F.sum(F.char_length(text))).first()[0] or 0
+    parts = max(1, -(-int(total) // chars))
+    keyed = items.select(F.pmod(F.xxhash64(key, text), F.lit(parts)).alias("part"), F.col(key).cast("string").alias("k"), F.col(text).alias("t"))
+
+    def run(t: pa.Table) -> pa.Table:
+        made = build(list(zip(t.column("k").to_pylist(), t.column("t").to_pylist(), strict=True)), window)
+        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int64()), "automaton": pa.array([made], pa.binary())})
+
+    made = saved(keyed.groupBy("part").applyInArrow(run, "part bigint, automaton binary"))
+    which = [r.part for r in made.select("part").orderBy("part").collect()]
+    for part in which:
+        yield made.filter(F.col("part") == part).first().automaton, part == which[-1]
+    dropped(made)
+    if not which:
+        yield build([], window), True
 
 
 _SPANS = "array<struct<start:int,end:int>>"
@@ -165,22 +190,22 @@ def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", window: int
     """docs with n_words, hit_spans (word ranges inside windows), hit_items (sorted ids as text) and longest_match.
 
     Null, empty and wordless texts have no words and no hits. Columns of these names are replaced, all others stay;
-    repeated rows are judged alike. No items: no hits."""
+    repeated rows are judged alike; an empty table stays empty. No items: no hits. Items with equal ids are one; those
+    with a null id hit words as others do, but have no name to be listed by."""
     spark = docs.sparkSession
     docs = docs.drop("n_words", "hit_spans", "hit_items", "longest_match")
-    made = automata(items, window=window, chars=chars)
     schema = plus(docs.schema, f"n_words bigint, hit_spans {_SPANS}, hit_items array<string>, longest_match int")
-    for turn, automaton in enumerate(made):
-        shared = spark.sparkContext.broadcast(automaton)
+    for turn, (packed, last) in enumerate(automata(items, window=window, chars=chars)):
+        shared, name = spark.sparkContext.broadcast(packed), uuid.uuid4().hex
 
-        def run(batches, shared=shared, turn=turn):
-            a = shared.value
+        def run(batches, shared=shared, turn=turn, name=name):
+            a = opened(name, shared.value)
             for b in batches:
                 n, spans, names, longest = [], [], [], []
                 for row, t in enumerate(b.column(text).to_pylist()):
                     words = norm_words(t)
                     hit, who, most = a.scan(words)
-                    who = {a.names[k] for k in who}
+                    who = {a.names[k] for k in who} - {None}
                     if turn:
                         hit = merged([*hit, *([s["start"], s["end"]] for s in b.column("hit_spans")[row].as_py())])
                         who |= set(b.column("hit_items")[row].as_py())
@@ -193,9 +218,10 @@ def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", window: int
                 old = [c for c in b.schema.names if c not in ("n_words", "hit_spans", "hit_items", "longest_match")]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in old), *new], [*old, "n_words", "hit_spans", "hit_items", "longest_match"])
 
-        docs = docs.mapInArrow(run, schema)
-        if turn + 1 < len(made):
-            docs = saved(docs)
+        before, docs = docs, docs.mapInArrow(run, schema)
+        if not last:
+            docs = saved(docs, *([before] if turn else []))
+            shared.destroy()
     return docs
 
 
