@@ -5,6 +5,7 @@ from __future__ import annotations
 from strandline.llm.decontaminate import op8_decontaminate
 from strandline.llm.html_text import op1_html
 from strandline.llm.jaccard import op4_jaccard
+from strandline.llm.oracles import OP4_SQL, OP7_SQL, OP8_SQL
 from strandline.llm.pii import op9_pii
 from strandline.llm.pieces import op2_sentencepiece
 from strandline.llm.quality import op5_quality
@@ -14,4 +15,4 @@ from strandline.llm.toxicity import op6_toxicity
 from strandline.llm.warc import OP3_SQL, op3_warc_fixity
 
 QUERIES = {"op1_html": op1_html, "op3_warc_fixity": op3_warc_fixity, "op4_jaccard": op4_jaccard, "op2_sentencepiece": op2_sentencepiece, "op5_quality": op5_quality, "op6_toxicity": op6_toxicity, "op7_substrings": op7_substrings, "op8_decontaminate": op8_decontaminate, "op9_pii": op9_pii, "op10_shards": op10_shards}
-SQL: dict[str, str] = {"op3_warc_fixity": OP3_SQL}
+SQL: dict[str, str] = {"op3_warc_fixity": OP3_SQL, "op4_jaccard": OP4_SQL, "op7_substrings": OP7_SQL, "op8_decontaminate": OP8_SQL}
