@@ -40,9 +40,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def saved(df: DataFrame, *done: DataFrame) -> DataFrame:
+def saved(df: DataFrame, *done: DataFrame, free: bool = True) -> DataFrame:
     """df written as a table in the shared folder and read again: its lineage is cut and lost executors cost nothing that
-    came before. done: tables from saved() that nothing but df uses any more; they are deleted."""
+    came before. done: tables from saved() that nothing but df uses any more; they are deleted. free: the driver collects
+    garbage, as Spark deletes shuffle files only then; needed where shuffles are large."""
     spark = df.sparkSession
     path = scratch(spark, "saved")
     df.write.option("compression", "zstd").parquet(path)
@@ -50,8 +51,8 @@ def saved(df: DataFrame, *done: DataFrame) -> DataFrame:
     out.saved_path = path
     for x in done:
         dropped(x)
-    # shuffle files that only the cut lineage used can go now
-    spark.sparkContext._jvm.System.gc()
+    if free:
+        spark.sparkContext._jvm.System.gc()
     return out
 
 
