@@ -11,14 +11,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.llm.common import scratch, table, tune
 
 BUCKET_BYTES = 16 << 20
-_OWN = ("_bucket", "_place", "_at", "_before")
 
 
 def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
@@ -32,40 +31,57 @@ def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
     return order
 
 
+def _names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, with as many _ in front as none of df's columns has."""
+    lead = ""
+    while any(c.lower() in {(lead + w).lower() for w in wanted} for c in df.columns):
+        lead += "_"
+    return [lead + w for w in wanted]
+
+
+def _before(counts: DataFrame, bucket: str, n: str, block: int = 4096) -> DataFrame:
+    """counts (a row a bucket) with `before`, the sum of n over all earlier buckets: running sums inside blocks of buckets
+    and over the blocks, of which there is a row each."""
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    each = counts.select(F.col(bucket).alias("b"), F.col(n).alias("n"), F.floor(F.col(bucket) / block).alias("block"))
+    blocks = each.groupBy("block").agg(F.sum("n").alias("total"))
+    blocks = blocks.select(F.col("block").alias("k"), F.coalesce(F.sum("total").over(ahead(Window.orderBy("block"))), F.lit(0)).alias("lead"))
+    own = F.coalesce(F.sum("n").over(ahead(Window.partitionBy("block").orderBy("b"))), F.lit(0))
+    return each.withColumn("own", own).join(blocks, F.col("block") == F.col("k")).select(F.col("b"), (F.col("lead") + F.col("own")).cast("bigint").alias("before"))
+
+
 def shuffle(df: DataFrame, seed: int = 20, bucket_bytes: int = BUCKET_BYTES, text: str = "text", place: str = "place") -> DataFrame:
     """df in a seeded random order: each row gets its place, from 0 without gaps. All columns stay; one named place is
     replaced. Rows with nulls, empty texts and repeats are rows like others; an empty table stays empty."""
     spark = df.sparkSession
-    df = df.drop(place, *_OWN)
+    df = df.drop(place)
+    bucket, key, at, b, before = _names(df, "bucket", "key", "at", "b", "before")
     size = F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(64)
     total = df.agg(F.sum(size)).first()[0] or 0
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // bucket_bytes))
-    placed = df.withColumn("_place", F.monotonically_increasing_id())
-    placed = placed.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), "_place"), F.lit(buckets)).cast("int"))
+    placed = df.withColumn(key, F.monotonically_increasing_id())
+    placed = placed.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), key), F.lit(buckets)).cast("int"))
     path = scratch(spark, "buckets")
-    placed.repartition(F.col("_bucket")).write.parquet(path)
+    placed.repartition(F.col(bucket)).write.parquet(path)
     first = spark.read.parquet(path)
-    # one row for each bucket; the running sum is over buckets, a bucket_bytes-th part of the input
-    counts = first.groupBy("_bucket").count().collect()
-    before, at = {}, 0
-    for b, n in sorted(counts):
-        before[b], at = at, at + n
-    start = spark.createDataFrame(list(before.items()), "_bucket int, _before bigint")
-    out = T.StructType([*first.schema.fields, T.StructField("_at", T.LongType())])
+    start = _before(first.groupBy(bucket).agg(F.count("*").alias("n")), bucket, "n").toDF(b, before)
+    out = T.StructType([*first.schema.fields, T.StructField(at, T.LongType())])
 
     def mixed(t: pa.Table) -> pa.Table:
-        t = t.sort_by("_place")
-        order = fisher_yates(t.num_rows, seed, t.column("_bucket")[0].as_py())
-        return t.append_column("_at", pa.array(order, pa.int64()))
+        t = t.sort_by(key)
+        order = fisher_yates(t.num_rows, seed, t.column(bucket)[0].as_py())
+        return t.append_column(at, pa.array(order, pa.int64()))
 
-    done = first.groupBy("_bucket").applyInArrow(mixed, out).join(start, "_bucket")
-    return done.withColumn(place, F.col("_before") + F.col("_at")).drop(*_OWN)
+    done = first.groupBy(bucket).applyInArrow(mixed, out).join(start, F.col(bucket) == F.col(b))
+    return done.withColumn(place, F.col(before) + F.col(at)).drop(bucket, key, at, b, before)
 
 
 def into_shards(df: DataFrame, shards: int, seed: int = 20, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """df with shard and slot by law `rows`; see shuffle()."""
-    out = shuffle(df.drop("shard", "slot"), seed, bucket_bytes, text, "_spot")
-    return out.withColumn("shard", (F.col("_spot") % shards).cast("int")).withColumn("slot", F.floor(F.col("_spot") / shards).cast("bigint")).drop("_spot")
+    """df with shard and slot by law `rows`; columns of these names are replaced. See shuffle()."""
+    df = df.drop("shard", "slot")
+    (spot,) = _names(df, "spot")
+    out = shuffle(df, seed, bucket_bytes, text, spot)
+    return out.withColumn("shard", (F.col(spot) % shards).cast("int")).withColumn("slot", F.floor(F.col(spot) / shards).cast("bigint")).drop(spot)
 
 
 def write_shards(df: DataFrame, path: str, shards: int, seed: int = 20, text: str = "text") -> None:
