@@ -212,8 +212,9 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, min_precision: float = 0.97
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", limit: int = TRAINING_ROWS) -> DataFrame:
-    """Statistics and `quality` of at most limit labelled rows, by least hash of the key (rows whose label or key is null are left out)."""
-    some = labels.filter(F.col("quality").isNotNull() & F.col(key).isNotNull()).select(key, "quality").dropDuplicates([key])
+    """Statistics and `quality` of at most limit labelled rows, by least hash of the key. Rows whose label or key is null
+    are left out, and so are keys with labels of both kinds; repeated labels count once."""
+    some = labels.filter(F.col("quality").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).filter("quality = _most").drop("_most")
     some = some.orderBy(F.xxhash64(F.lit(5), key), key).limit(limit)
     # limit rows at most, so small enough to broadcast
     return with_statistics(docs.select(key, text).join(F.broadcast(some), key)).drop(text)
@@ -232,7 +233,8 @@ def base_failed() -> F.Column:
 
 def judge(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:
     """docs with statistics, base_failed, rule (number of the rule that took the text, else null) and kept. A null text
-    has no words and so fails the base rule."""
+    has no words and so fails the base rule. An empty table stays empty, repeated rows are judged alike, other columns stay
+    and those of these names are replaced."""
     out = with_statistics(docs, text).drop("base_failed", "rule", "kept")
     return out.withColumn("base_failed", base_failed()).withColumn("rule", rules.rule_number()).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
