@@ -2,7 +2,7 @@
 
 Labels are of documents, so training tokens are labelled first: a word form (or beginning) that documents marked toxic
 use far more than others, by a likelihood ratio, is toxic in such documents. A two-state chain with features of each
-token's form and beginning, and transitions, is then fitted by gradient ascent on the exact conditional likelihood
+token's form, its beginning and the forms beside it, and transitions, is then fitted by gradient ascent on the exact conditional likelihood
 (Lafferty et al. 2001). Forward-backward gives each token its marginal; a document's score is a logistic function of the
 largest marginal and of their sum, and its offending offsets are runs of tokens above one half.
 """
@@ -23,6 +23,10 @@ from strandline.llm.textkit import NOT_ALNUM, U64, mix, slices, window_hash, wor
 TRAINING_DOCS = 1500
 #: Training documents that a form or beginning must be in to have a weight of its own; others share one.
 LEAST_DOCS = 4
+#: Bytes of text of a training document; longer ones are not trained on (all texts are scored whole).
+TRAINING_BYTES = 20_000
+#: Ridge of the weights of neighbouring forms.
+CONTEXT_L2 = 1e-2
 #: Bytes of a token's beginning.
 HEAD = 5
 
@@ -95,27 +99,42 @@ def forward_backward(u: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tup
 
 @dataclass
 class Crf:
-    #: Sorted hashes of known forms and beginnings, and their weights; the last weight is of all others.
+    #: Sorted hashes of known forms and beginnings, and their weights; the last weight is of all others. before and after
+    #: are weights of the forms to the left and right of a token.
     forms: np.ndarray
     heads: np.ndarray
     form: np.ndarray
     head: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
     bias: float
     trans: np.ndarray
     #: Intercept and weights of a document's largest marginal and of log(1 + their sum).
     out: np.ndarray
 
-    def unary(self, form: np.ndarray, head: np.ndarray) -> np.ndarray:
-        return self.bias + self.form[places(self.forms, form)] + self.head[places(self.heads, head)]
+    def unary(self, f: np.ndarray, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Log odds of each token by itself, from the places of its form and beginning."""
+        left, right = neighbours(f, first, len(self.forms))
+        return self.bias + self.form[f] + self.head[h] + self.before[left] + self.after[right]
 
     def marginals(self, form: np.ndarray, head: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return forward_backward(self.unary(form, head).astype(float), first, self.trans)[2]
+        return forward_backward(self.unary(places(self.forms, form), places(self.heads, head), first).astype(float), first, self.trans)[2]
 
     def scores(self, p: np.ndarray, first: np.ndarray) -> np.ndarray:
         x = document_features(p, first) @ self.out
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def neighbours(f: np.ndarray, first: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values before and after each one in its chain; none at a chain's ends."""
+    left, right = np.full(len(f), none), np.full(len(f), none)
+    if len(f) > 1:
+        left[1:], right[:-1] = f[:-1], f[1:]
+        some = first[1:] > first[:-1]
+        left[first[:-1][some]], right[first[1:][some] - 1] = none, none
+    return left, right
+
+
 def places(known: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Index of each value among the known ones, len(known) for others."""
     if not len(known):
@@ -151,20 +170,22 @@ def fit_crf(form: np.ndarray, head: np.ndarray, first: np.ndarray, toxic: np.nda
     gradients over all of them, then Newton's method for the documents' scores; deterministic."""
     if not len(form):
         none = np.empty(0, np.uint64)
-        return Crf(none, none, np.zeros(1), np.zeros(1), -3.0, np.zeros((2, 2)), np.array([-3.0, 4.0, 1.0]))
+        return Crf(none, none, *np.zeros((4, 1)), -3.0, np.zeros((2, 2)), np.array([-3.0, 4.0, 1.0]))
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     (forms, bad_forms), (heads, bad_heads) = _by_documents(form, doc, toxic), _by_documents(head, doc, toxic)
     y = toxic[doc] & (np.isin(form, bad_forms) | np.isin(head, bad_heads))
     f, h = places(forms, form), places(heads, head)
-    m = Crf(forms, heads, np.zeros(len(forms) + 1), np.zeros(len(heads) + 1), -3.0, np.zeros((2, 2)), np.array([-3.0, 4.0, 1.0]))
-    memory = [np.full(len(m.form), 1e-6), np.full(len(m.head), 1e-6), 1e-6, np.full((2, 2), 1e-6)]
+    wide = len(forms) + 1
+    m = Crf(forms, heads, np.zeros(wide), np.zeros(len(heads) + 1), np.zeros(wide), np.zeros(wide), -3.0, np.zeros((2, 2)), np.array([-3.0, 4.0, 1.0]))
+    left, right = neighbours(f, first, len(forms))
+    memory = [np.full(len(m.form), 1e-6), np.full(len(m.head), 1e-6), 1e-6, np.full((2, 2), 1e-6), np.full(wide, 1e-6), np.full(wide, 1e-6)]
     inner = np.ones(len(f), bool)
     inner[first[1:][first[1:] > first[:-1]] - 1] = False  # a chain's last token has no successor in it
     i = np.flatnonzero(inner)
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[i].astype(int), y[i + 1].astype(int)), 1)
     for _ in range(rounds):
-        u = m.bias + m.form[f] + m.head[h]
+        u = m.unary(f, h, first)
         a, b, p = forward_backward(u, first, m.trans)
         r = y - p
         # pair marginals: proportional to alpha(s) e^T(s, s') psi(s') beta(s')
@@ -175,11 +196,14 @@ def fit_crf(form: np.ndarray, head: np.ndarray, first: np.ndarray, toxic: np.nda
         z = sum(sum(c) for c in cells)
         expected = np.array([[(c / z).sum() for c in row] for row in cells])
         grads = [np.bincount(f, r, len(m.form)) - l2 * m.form, np.bincount(h, r, len(m.head)) - l2 * m.head, r.sum(), (seen - expected) - l2 * m.trans]
+        # a neighbour tells less than the token itself, so its weights are held back more
+        grads += [np.bincount(left, r, wide) - CONTEXT_L2 * m.before, np.bincount(right, r, wide) - CONTEXT_L2 * m.after]
         steps = []
         for k, g in enumerate(grads):
             memory[k] = memory[k] + g * g
             steps.append(0.5 * g / np.sqrt(memory[k]))
         m.form, m.head, m.bias, m.trans = m.form + steps[0], m.head + steps[1], float(m.bias + steps[2]), m.trans + steps[3]
+        m.before, m.after = m.before + 0.2 * steps[4], m.after + 0.2 * steps[5]
         m.trans -= m.trans[0, 0]
     # calibration: logistic regression with a small ridge, by Newton's method
     x = document_features(m.marginals(form, head, first), first)
@@ -212,8 +236,9 @@ def held_out(key: str = "doc_id") -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", limit: int = TRAINING_DOCS) -> Crf:
-    """Fits on at most limit documents of each label, none of them held out; their whole texts count."""
-    seen = labels.filter(F.col("toxic").isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).select(key, "toxic").dropDuplicates([key])
+    """Fits on at most limit toxic and 2 * limit other documents, none of them held out, of at most TRAINING_BYTES each.
+    Null labels and keys don't count, nor keys with labels of both kinds; of texts with one key the least counts."""
+    seen = labels.filter(F.col("toxic").isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most")).filter("toxic = _most").drop("_most")
     by = F.xxhash64(F.lit(6), key)
     some = seen.filter("toxic = 1").orderBy(by, key).limit(limit).union(seen.filter("toxic = 0").orderBy(by, key).limit(2 * limit))
 
@@ -223,9 +248,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             cut = lambda x: pa.array([x[first[i] : first[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1).cast(pa.int64()), cut(form), cut(head)], ["k", "toxic", "form", "head"])
 
-    # 3 * limit rows at most
-    rows = docs.select(key, text).join(F.broadcast(some), key).select(F.col(key).cast("string").alias("k"), "toxic", text).mapInArrow(run, "k string, toxic bigint, form binary, head binary").toArrow()
-    rows = rows.sort_by([("k", "ascending"), ("form", "ascending")]).slice(0, 3 * limit)
+    # 3 * limit rows at most: one for each key, before anything reaches the driver
+    short = docs.select(key, text).filter(F.octet_length(text) <= TRAINING_BYTES).join(F.broadcast(some), key)
+    one = short.groupBy(F.col(key).cast("string").alias("k")).agg(F.min("toxic").alias("toxic"), F.min(text).alias("t"))
+    rows = one.mapInArrow(run, "k string, toxic bigint, form binary, head binary").toArrow()
+    rows = rows.sort_by([("k", "ascending"), ("form", "ascending")])
     form, head = ([np.frombuffer(x, np.uint64) for x in rows.column(c).to_pylist()] for c in ("form", "head"))
     keep = unlike(form)
     form, head, rows = [form[i] for i in keep], [head[i] for i in keep], rows.take(pa.array(keep, pa.int64()))
@@ -237,7 +264,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def score(docs: DataFrame, model: Crf, text: str = "text") -> DataFrame:
     """docs with score (0 to 1), predicted (1 from 0.5) and toxic_spans (start, end in code points, end exclusive).
 
-    Null and empty texts have no tokens: the score of no evidence. Columns of these names are replaced."""
+    Null and empty texts have no tokens: the score of no evidence. Columns of these names are replaced, others stay; an
+    empty table stays empty, repeated rows come out alike."""
     docs = docs.drop("score", "predicted", "toxic_spans")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
