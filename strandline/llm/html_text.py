@@ -37,32 +37,40 @@ ENDS = {
     "body": ({"head"}, {"html"}),
 }
 PARTS = frozenset("tr td th tbody thead tfoot caption colgroup".split())
+#: Blanks that lining up columns may add for each character of the cells, and columns or rows that a cell spans at most.
+PADDING, MOST_SPAN = 4, 100
 #: Tables inside cells, laid out in columns so deep; in deeper ones each cell is a block of its own.
 DEEP = 32
 # An end tag does not reach past these.
 SCOPE = {"td", "th", "table", "caption"}
 _TOKEN = re.compile(r"<!--(?:>|->)|<!--.*?(?:-->|--!>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/<>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+_SPANS = re.compile(r"\b(colspan|rowspan)\s*=\s*[\"']?\s*(\d{1,4})", re.I)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "start", "parts")
+    __slots__ = ("tag", "kids", "start", "parts", "veiled", "spans")
 
-    def __init__(self, tag: str, kids: list | None = None):
-        self.tag, self.kids, self.start = tag, kids or [], 1
+    def __init__(self, tag: str, kids: list | None = None, veiled: bool = False):
+        self.tag, self.kids, self.start, self.veiled = tag, kids or [], 1, veiled
+        self.spans: dict[str, int] = {}
         #: are there parts of the table around it inside?
         self.parts = False
 
 
-def _hidden(attrs: str) -> bool:
-    """Hidden by attribute or by inline style."""
+def _visibility(attrs: str) -> tuple[bool, bool | None]:
+    """(is the element with all that is in it hidden, is its own text: None is as around it)."""
     low = attrs.lower()
     if "hidden" not in low and "display" not in low and "visibility" not in low:
-        return False
+        return False, None
     got = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTR.findall(attrs)}
-    return "hidden" in got or got.get("type", "").lower() == "hidden" or bool(_HIDDEN.search(got.get("style", "")))
+    style = got.get("style", "")
+    seen = _VISIBILITY.findall(style)
+    gone = "hidden" in got or got.get("type", "").lower() == "hidden" or bool(_HIDDEN.search(style))
+    return gone, seen[-1].lower() != "visible" if seen else None
 
 
 def parse(source: str) -> Node:
@@ -80,7 +88,7 @@ def parse(source: str) -> Node:
             opened[tag] -= 1
             dark -= node is None
 
-    for_text = lambda a, b: stack[-1][1].kids.append(html.unescape(source[a:b])) if b > a and not dark else None
+    for_text = lambda a, b: stack[-1][1].kids.append(html.unescape(source[a:b])) if b > a and not dark and not stack[-1][1].veiled else None
     while at < n:
         m = _TOKEN.search(source, at)
         if m is None:
@@ -126,12 +134,15 @@ def parse(source: str) -> Node:
             if tag == "html" or tag == "body" and opened["body"] > 0:
                 continue
             foreign = "svg" if opened["svg"] > 0 else "math" if opened["math"] > 0 else ""
-            unseen = dark or tag in UNSEEN or foreign and tag in UNSEEN_IN[foreign] or _hidden(attrs)
-            node = None if unseen else Node("svg text" if foreign == "svg" and tag == "text" else tag)
+            gone, veiled = _visibility(attrs) if attrs else (False, None)
+            unseen = dark or tag in UNSEEN or foreign and tag in UNSEEN_IN[foreign] or gone
+            node = None if unseen else Node("svg text" if foreign == "svg" and tag == "text" else tag, None, stack[-1][1].veiled if veiled is None else veiled)
             if node is not None:
                 if tag == "ol" and (s := re.search(r"\bstart\s*=\s*[\"']?(-?\d{1,9})", attrs)):
                     node.start = int(s[1])
-                if tag in ("img", "optgroup") and (alt := next((x[1] or x[2] or x[3] for x in _ATTR.findall(attrs) if x[0].lower() == ("alt" if tag == "img" else "label")), "")):
+                if tag in ("td", "th") and "span" in attrs.lower():
+                    node.spans = {k.lower(): min(max(int(n), 1), MOST_SPAN) for k, n in _SPANS.findall(attrs)}
+                if tag in ("img", "optgroup") and not node.veiled and (alt := next((x[1] or x[2] or x[3] for x in _ATTR.findall(attrs) if x[0].lower() == ("alt" if tag == "img" else "label")), "")):
                     node.kids.append(html.unescape(alt))
                 if tag in PARTS:
                     for t, above in reversed(stack):
@@ -145,7 +156,7 @@ def parse(source: str) -> Node:
                 # up to its end tag all is text
                 close_at = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
                 stop = close_at.start() if close_at else n
-                if node is not None:
+                if node is not None and not node.veiled:
                     node.kids.append(html.unescape(re.sub(r"\A\r?\n", "", source[at:stop])) if tag == "textarea" else source[at:stop])
                 at = stop
             stack.append((tag, node))
@@ -226,17 +237,69 @@ def _table(node: Node) -> tuple[list, list[Node], list[list[Node]]]:
     return before, captions, [r for r in rows if r]
 
 
-def _columns(page: _Page, rows: list[list[list[str]]]) -> None:
-    """Puts rows of cells, each the lines of one: columns line up, but the cells of a row with longer ones are blocks."""
+def _span(node: Node, name: str) -> int:
+    return node.spans.get(name, 1)
+
+
+def _grid(rows: list[list[Node]]) -> list[list[int]]:
+    """The first column of each cell: cells that span columns or rows push those behind and below them aside."""
+    out, held = [], {}
+    for r in rows:
+        at, mine = 0, []
+        ahead = {c: n - 1 for c, n in held.items() if n > 1}
+        for cell in r:
+            while held.get(at, 0) > 0:
+                at += 1
+            mine.append(at)
+            for c in range(at, at + _span(cell, "colspan")):
+                if _span(cell, "rowspan") > 1:
+                    ahead[c] = _span(cell, "rowspan") - 1
+            at += _span(cell, "colspan")
+        out.append(mine)
+        held = ahead
+    return out
+
+
+def _widths(cells: list[list[tuple[int, int, int]]], most: int | None) -> dict[int, int]:
+    """Width of each column from (column, columns, width) of the cells in it alone; wider cells than most don't count."""
+    wide: dict[int, int] = {}
+    for r in cells:
+        for at, n, w in r:
+            if n == 1 and (most is None or w <= most):
+                wide[at] = max(wide.get(at, 0), w)
+    return wide
+
+
+def _padded(r: list[tuple[int, int, int]], wide: dict[int, int]) -> list[tuple[int, int]]:
+    """(blanks before, blanks behind) each cell of a row: columns are two blanks apart, and a cell that no width holds
+    moves what is behind it."""
+    out, at = [], 0
+    for c, n, w in r:
+        lead = sum(wide.get(k, 0) + 2 for k in range(at, c)) if c > at else 0
+        room = sum(wide.get(k, 0) for k in range(c, c + n)) + 2 * (n - 1)
+        out.append((lead, max(0, room - w)))
+        at = c + n
+    return out
+
+
+def _columns(page: _Page, rows: list[list[list[str]]], places: list[list[int]], spans: list[list[int]]) -> None:
+    """Puts rows of cells, each the lines of one: columns line up, but the cells of a row with longer ones are blocks.
+
+    Lining up may add PADDING characters for each one of the cells. Where whole widths would take more, as in a table
+    with one very wide cell and very many short ones, wide cells stand out of line: the greatest width that fits in is
+    used."""
     flat = [all(len(c) == 1 for c in r) for r in rows]
-    wide: list[int] = []
-    for r in (r for r, one in zip(rows, flat, strict=True) if one):
-        for i, (c,) in enumerate(r):
-            if i == len(wide):
-                wide.append(0)
-            wide[i] = max(wide[i], _width(c))
-    for r, one in zip(rows, flat, strict=True):
-        lines = ["  ".join(c + " " * (wide[i] - _width(c)) for i, (c,) in enumerate(r)).rstrip()] if one else None
+    cells = [[(at, n, _width(c[0])) for c, at, n in zip(r, p, s, strict=True)] if one else [] for r, p, s, one in zip(rows, places, spans, flat, strict=True)]
+    held = sum(w + 1 for r in cells for _, _, w in r)
+    for most in (None, 160, 80, 40, 20, 10, 5, 0):
+        wide = _widths(cells, most)
+        pads = [_padded(r, wide) for r in cells]
+        if sum(a + b for p in pads for a, b in p) <= PADDING * held:
+            break
+    else:
+        pads = [[(0, 0)] * len(r) for r in cells]
+    for r, one, p in zip(rows, flat, pads, strict=True):
+        lines = ["  ".join(" " * a + c + " " * b for (c,), (a, b) in zip(r, p, strict=True)).rstrip()] if one else None
         for c in [lines] if one else r:
             for line in c:
                 if line:
@@ -272,7 +335,7 @@ def render(root: Node) -> str:
             continue
         if ends == 3:
             rows, cells = x[0], iter(x[1])
-            _columns(page, [[next(cells) for _ in r] for r in rows])
+            _columns(page, [[next(cells) for _ in r] for r in rows], _grid(rows), [[_span(c, "colspan") for c in r] for r in rows])
             page.block(2)
             continue
         if ends == 4:
@@ -338,8 +401,8 @@ def text_of(source: str | None) -> str:
 
 
 def extract(df: DataFrame, html_column: str = "html", text: str = "text") -> DataFrame:
-    """df with the visible text of each page. Null and empty pages have an empty text; a column of that name is replaced;
-    repeated rows come out alike."""
+    """df with the visible text of each page. Null and empty pages have an empty text; a column of that name is replaced,
+    others stay; repeated rows come out alike; an empty table stays empty."""
     df = df.drop(text)
 
     def run(batches):

@@ -142,10 +142,12 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", leng
     """(key, n_words, n_removed, kept): each row's words without those in a window of `length` words whose sequence
     also starts elsewhere, joined by one blank.
 
-    Null and empty texts have no words. Repeated rows repeat each other's windows; a null key is a key like others."""
+    Null and empty texts have no words. Repeated rows repeat each other's windows; a null key is a key like others; other
+    columns are passed over, whatever their names; an empty table gives no rows."""
     kind = df.schema[key].dataType.simpleString()
-    found = repeated_windows(df, key, text, length, k).withColumnsRenamed({key: "k2", "t": "t2"})
-    packed = _packed(df, key, text).withColumnRenamed(key, "k")
+    df = df.select(F.col(key).alias("k"), F.col(text).alias("text"))
+    found = repeated_windows(df, "k", "text", length, k).withColumnsRenamed({"k": "k2", "t": "t2"})
+    packed = _packed(df, "k", "text")
     both = packed.join(found, F.col("k").eqNullSafe(F.col("k2")) & (F.col("t") == F.col("t2")), "left").select("k", "z", "spans")
 
     def run(batches):
