@@ -23,18 +23,19 @@ _units("temperature", "degree_Celsius", 1.0, 273.15, "C degC celsius Celsius °C
 _units("temperature", "degree_Fahrenheit", 5 / 9, 459.67 * 5 / 9, "F degF fahrenheit Fahrenheit °F")
 _units("temperature", "kelvin", 1.0, 0.0, "K Kelvin")
 _units("voltage", "volt", 1.0, 0.0, "V v volts")
-_units("voltage", "millivolt", 1e-3, 0.0, "mV mv")
-_units("voltage", "kilovolt", 1e3, 0.0, "kV")
-_units("current", "ampere", 1.0, 0.0, "A amp amps")
-_units("current", "milliampere", 1e-3, 0.0, "mA")
-_units("power", "watt", 1.0, 0.0, "W watts")
-_units("power", "kilowatt", 1e3, 0.0, "kW")
+_units("voltage", "millivolt", 1e-3, 0.0, "mV mv millivolts")
+_units("voltage", "kilovolt", 1e3, 0.0, "kV kv kilovolts")
+_units("current", "ampere", 1.0, 0.0, "A amp amps amperes")
+_units("current", "milliampere", 1e-3, 0.0, "mA ma milliamperes")
+_units("power", "watt", 1.0, 0.0, "W w watts")
+_units("power", "kilowatt", 1e3, 0.0, "kW kw kilowatts")
 _units("power", "megawatt", 1e6, 0.0, "MW")
 _units("pressure", "pascal", 1.0, 0.0, "Pa")
 _units("pressure", "kilopascal", 1e3, 0.0, "kPa")
 _units("pressure", "megapascal", 1e6, 0.0, "MPa")
 _units("pressure", "bar", 1e5, 0.0, "")
 _units("pressure", "psi", 6894.757293168361, 0.0, "PSI")
+_units("pressure", "atmosphere", 101325.0, 0.0, "atm")
 _units("force", "newton", 1.0, 0.0, "N")
 _units("energy", "joule", 1.0, 0.0, "J")
 _units("frequency", "hertz", 1.0, 0.0, "Hz hz")
@@ -45,8 +46,11 @@ _units("length", "meter", 1.0, 0.0, "m meters")
 _units("length", "centimeter", 1e-2, 0.0, "cm")
 _units("length", "millimeter", 1e-3, 0.0, "mm")
 _units("length", "kilometer", 1e3, 0.0, "km")
+_units("length", "inch", 0.0254, 0.0, "in")
+_units("length", "foot", 0.3048, 0.0, "ft")
 _units("speed", "meter / second", 1.0, 0.0, "m/s")
 _units("speed", "kilometer / hour", 1 / 3.6, 0.0, "km/h kph")
+_units("speed", "mile / hour", 0.44704, 0.0, "mph")
 _units("angle", "degree", 1.0, 0.0, "deg degrees")
 _units("angle", "radian", 57.29577951308232, 0.0, "rad")
 _units("time", "second", 1.0, 0.0, "s sec")
@@ -55,12 +59,17 @@ _units("time", "minute", 60.0, 0.0, "min")
 _units("time", "hour", 3600.0, 0.0, "h hr")
 _units("mass", "kilogram", 1.0, 0.0, "kg")
 _units("mass", "gram", 1e-3, 0.0, "g")
+_units("mass", "milligram", 1e-6, 0.0, "mg")
+_units("mass", "pound", 0.45359237, 0.0, "lb")
 _units("share", "percent", 1.0, 0.0, "%")
 #: The preferred unit of each dimension.
 PREFERRED = {"temperature": "kelvin", "voltage": "volt", "current": "ampere", "power": "watt", "pressure": "pascal", "force": "newton", "energy": "joule", "frequency": "hertz", "length": "meter", "speed": "meter / second", "angle": "radian", "time": "second", "mass": "kilogram"}
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-_VALUE_UNIT = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*([A-Za-z°%µ][A-Za-z0-9°%µ/^*_]*)\s*$"
+#: A unit begins with a letter or sign; digits, slashes and exponents may follow.
+_UNIT = r"[\p{L}°%µ][\p{L}\d°%µ/^*._-]*"
+#: A number as NUMBER has it, blanks, a unit.
+_VALUE_UNIT = NUMBER.removeprefix("^").removesuffix("$").join(("^(", rf")\s*({_UNIT})$"))
 BOOLS = {"true": True, "yes": True, "on": True, "1": True, "false": False, "no": False, "off": False, "0": False}
 FORMATS = ["yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy", "dd MMM yyyy HH:mm:ss", "dd MMM yyyy", "MMM dd yyyy HH:mm:ss", "MMM dd yyyy"]
 
@@ -74,7 +83,7 @@ def value_part(text: Column) -> Column:
 def unit_part(text: Column) -> Column:
     """The unit behind a number, else null."""
     t = F.trim(text)
-    return F.when(~t.rlike(NUMBER), F.nullif(F.regexp_extract(t, _VALUE_UNIT, 2), F.lit("")))
+    return F.when(~t.rlike(NUMBER), F.nullif(F.regexp_extract(t, _VALUE_UNIT, 4), F.lit("")))
 
 
 def _lookup(unit: Column, pick: str) -> Column:
@@ -105,8 +114,16 @@ def parses_as_time(text: Column) -> Column:
     return t.rlike(r"\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|^\d{1,2} [A-Za-z]{3} \d{4}|^[A-Za-z]{3} +\d{1,2}[ ,]") | t.rlike(r"^\d{9,13}(\.\d+)?$")
 
 
+def is_timestamp(text: Column) -> Column:
+    """Can the text be read as a time: a plain number, a date, or whatever else the lenient reader takes."""
+    t = F.trim(text)
+    fast = t.rlike(r"^\d+(\.\d+)?$") | parses_as_time(t)
+    return F.coalesce((t != "") & (fast | lenient_timestamp(F.when(~fast & (t != ""), t)).isNotNull()), F.lit(False))
+
+
 def infer_type(text: Column) -> Column:
-    """Type of one text: BOOLEAN words (0 and 1 too) come first, then INTEGER, FLOAT, TIMESTAMP, else STRING."""
+    """Type of one text: BOOLEAN words (0 and 1 too) come first, then INTEGER, FLOAT, TIMESTAMP, else STRING. A TIMESTAMP
+    has the shape of a date; is_timestamp() takes more."""
     t = F.trim(text)
     return (
         F.when(t == "", "STRING").when(F.lower(t).isin(*BOOLS), "BOOLEAN").when(t.rlike(r"^[+-]?\d+$"), "INTEGER")

@@ -1,10 +1,11 @@
-"""Time alignment and missing values, by windows over each variable."""
+"""Time alignment and missing values: neighbours in time of every cell."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
+
+from strandline.operators import ordered as O
 
 
 def grid(obs: DataFrame, ts: str = "ts") -> DataFrame:
@@ -16,38 +17,38 @@ def align(obs: DataFrame, strategy: str = "forward_fill", targets: DataFrame | N
 
     exact: first observation at that time. forward_fill: last observation until then, an observed null included.
     nearest: the closer neighbour, the earlier one in a tie. interpolate: linear between neighbours, nothing before the
-    first observation, the last value after the last. Each row of `obs` is read once; one shuffle by variable."""
+    first observation, the last value after the last. A variable's series is shared by tasks: each takes a range of time,
+    and what lies in other ranges comes from one row a variable and range."""
+    if strategy not in ("exact", "forward_fill", "nearest", "interpolate"):
+        raise ValueError(f"unknown strategy {strategy}")
     at = obs.groupBy(variable, ts).agg(F.struct(F.min_by(F.struct(value), order).alias("v")).alias("head"), F.struct(F.max_by(F.struct(value), order).alias("v")).alias("tail"))
     times = obs.select(ts)
     if targets is not None:
         times = times.union(targets.select(ts))
     names = variables if variables is not None else obs.select(variable)
     # every time times every variable is the size of the answer itself
-    cells = times.distinct().crossJoin(F.broadcast(names.select(variable).distinct()))
+    cells = times.distinct().crossJoin(names.select(variable).distinct())
     full = cells.join(at, [variable, ts], "left")
-    w = W.Window.partitionBy(variable).orderBy(ts)
-    # what follows is what came before in reverse order: a frame that grows is summed up once, one that shrinks is not
-    back, ahead = w.rowsBetween(W.Window.unboundedPreceding, 0), W.Window.partitionBy(variable).orderBy(F.desc(ts)).rowsBetween(W.Window.unboundedPreceding, 0)
-    before = w.rowsBetween(W.Window.unboundedPreceding, -1)
     here = lambda c: F.when(F.col("head").isNotNull(), F.struct(F.col(ts).alias("t"), F.col(c)["v"][value].alias("v")))
     exact = F.col("head")["v"][value]
     if strategy == "exact":
         out = full.withColumn(value, exact)
     elif strategy == "forward_fill":
-        out = full.withColumn("_p", F.last(here("tail"), True).over(back)).withColumn(value, F.col("_p.v"))
-    elif strategy in ("nearest", "interpolate"):
-        full = full.withColumn("_p", F.last(here("tail"), True).over(before)).withColumn("_n", F.last(here("head"), True).over(ahead))
+        out = O.nearest(full, ts, {"_p": here("tail")}, {}, [variable], O.cuts(times, ts)).withColumn(value, F.col("_p.v"))
+    else:
+        # a time with an observation is its own neighbour ahead; the one behind it is of an earlier time
+        full = O.nearest(full, ts, {"_p": here("tail")}, {"_n": here("head")}, [variable], O.cuts(times, ts))
         p, n, t = F.col("_p"), F.col("_n"), F.col(ts)
+        found = F.col("head").isNotNull()
         if strategy == "nearest":
-            pick = F.when(p.isNull(), n["v"]).when(n.isNull(), p["v"]).when(t - p["t"] <= n["t"] - t, p["v"]).otherwise(n["v"])
+            # where there is an observation nothing is nearer, and the first one there is meant
+            pick = F.when(found, exact).when(p.isNull(), n["v"]).when(n.isNull(), p["v"]).when(t - p["t"] <= n["t"] - t, p["v"]).otherwise(n["v"])
         else:
             a, b = p["v"].try_cast("double"), n["v"].try_cast("double")
             line = a + (b - a) * (t - p["t"]) / (n["t"] - p["t"])
             kind = obs.schema[value].dataType
-            pick = F.when(F.col("head").isNotNull(), exact).when(p.isNull(), None).when(n.isNull() | a.isNull() | b.isNull(), p["v"]).otherwise(line.cast(kind))
+            pick = F.when(found, exact).when(p.isNull(), None).when(n.isNull() | a.isNull() | b.isNull(), p["v"]).otherwise(line.cast(kind))
         out = full.withColumn(value, pick)
-    else:
-        raise ValueError(f"unknown strategy {strategy}")
     out = out.select(ts, variable, value)
     return out.join(targets.select(ts).distinct(), ts, "left_semi") if targets is not None else out
 
@@ -59,25 +60,28 @@ def matrix(aligned: DataFrame, variables: list[str], ts: str = "ts", variable: s
 
 def fill(df: DataFrame, columns: list[str], strategy: str, default: float | None = None, ts: str = "ts", partition: list[str] | None = None, by_index: bool = False) -> DataFrame:
     """Nulls of a matrix's columns: leave, default, forward_fill (leading ones stay) or interpolate (edges stay; by time,
-    or by row number). Without partition columns all rows are in one order, so one task; pass some at scale."""
+    or by row number), in order of ts, for each value of the partition columns if there are any. Rows of one partition
+    must differ in ts. The order is shared by tasks, a range of ts each."""
     if strategy == "leave":
         return df
     if strategy == "default":
         return df.withColumns({c: F.coalesce(F.col(c), F.lit(default)) for c in columns})
-    w = W.Window.partitionBy(*(partition or [])).orderBy(ts)
-    back, ahead = w.rowsBetween(W.Window.unboundedPreceding, 0), W.Window.partitionBy(*(partition or [])).orderBy(F.desc(ts)).rowsBetween(W.Window.unboundedPreceding, 0)
-    if strategy == "forward_fill":
-        return df.withColumns({c: F.last(c, True).over(back) for c in columns})
-    if strategy != "interpolate":
+    if strategy not in ("forward_fill", "interpolate"):
         raise ValueError(f"unknown strategy {strategy}")
-    x = F.row_number().over(w).cast("double") if by_index else F.col(ts).cast("double")
-    df = df.withColumn("_x", x)
+    names, keys = df.columns, partition or []
+    at = O.cuts(df, ts)
+    if strategy == "forward_fill":
+        out = O.nearest(df, ts, {f"_f{i}": F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"))) for i, c in enumerate(columns)}, {}, keys, at)
+        return out.withColumns({c: F.col(f"_f{i}")["v"] for i, c in enumerate(columns)}).select(*names)
+    df = O.numbered(df, ts, keys=keys, name="_i", at=at) if by_index else df.withColumn("_i", F.col(ts))
+    df = df.withColumn("_i", F.col("_i").cast("double"))
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("_i").alias("x"), F.col(c).alias("v"))) for c in columns}
+    out = O.nearest(df, ts, {f"_p{i}": known[c] for i, c in enumerate(columns)}, {f"_n{i}": known[c] for i, c in enumerate(columns)}, keys, at)
 
-    def between(c: str) -> Column:
-        known = F.when(F.col(c).isNotNull(), F.struct(F.col("_x").alias("x"), F.col(c).alias("v")))
-        p, n = F.last(known, True).over(back), F.last(known, True).over(ahead)
+    def between(i: int, c: str) -> Column:
+        p, n = F.col(f"_p{i}"), F.col(f"_n{i}")
         a, b = p["v"].try_cast("double"), n["v"].try_cast("double")
-        line = F.when(n["x"] == p["x"], p["v"]).when(a.isNull() | b.isNull(), p["v"]).otherwise(a + (b - a) * (F.col("_x") - p["x"]) / (n["x"] - p["x"]))
+        line = F.when((n["x"] == p["x"]) | a.isNull() | b.isNull(), p["v"]).otherwise(a + (b - a) * (F.col("_i") - p["x"]) / (n["x"] - p["x"]))
         return F.when(F.col(c).isNotNull(), F.col(c)).when(p.isNull() | n.isNull(), None).otherwise(line)
 
-    return df.withColumns({c: between(c) for c in columns}).drop("_x")
+    return out.withColumns({c: between(i, c) for i, c in enumerate(columns)}).select(*names)

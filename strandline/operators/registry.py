@@ -14,20 +14,26 @@ def fold(raw: DataFrame, settings: IngestSettings | None = None) -> DataFrame:
     """raw (seq, variable_name, value_raw, unit_raw) with value, row_unit, dtype and var_unit as of each row.
 
     A variable's type comes from its first row and only widens: INTEGER to FLOAT to STRING. Its unit is the first one
-    seen. One window over each variable's rows in order of seq."""
+    seen. What a row sees of the rows before it is told by a few least values of seq a variable, so a variable with very
+    many rows is no task of its own."""
     s = settings or IngestSettings()
     pick = lambda d: F.try_element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col("variable_name")) if d else F.lit(None).cast("string")
     parsed = F.coalesce(N.unit_part(F.col("value_raw")), F.col("unit_raw") if "unit_raw" in raw.columns else F.lit(None))
     unit = F.coalesce(pick(s.unit_overrides), parsed) if s.relabel_only else F.coalesce(parsed, pick(s.unit_overrides))
     df = raw.withColumn("value", N.value_part(F.col("value_raw"))).withColumn("row_unit", N.canonical_unit(unit)).withColumn("_pin", pick(s.type_overrides)).withColumn("_pin_unit", N.canonical_unit(pick(s.unit_overrides)))
     df = df.withColumn("_t", N.infer_type(F.col("value")))
-    w = W.Window.partitionBy("variable_name").orderBy("seq").rowsBetween(W.Window.unboundedPreceding, 0)
-    order = W.Window.partitionBy("variable_name").orderBy("seq")
-    df = df.withColumn("_n", F.row_number().over(order)).withColumn("_first", F.first(F.when(F.col("row_unit").isNotNull(), F.lit("FLOAT")).otherwise(F.col("_t"))).over(w))
-    saw = lambda t: F.coalesce(F.bool_or((F.col("_n") > 1) & (F.col("_t") == t)).over(w), F.lit(False))
-    wide = F.when(F.col("_first") == "INTEGER", F.when(saw("STRING"), "STRING").when(saw("FLOAT"), "FLOAT").otherwise("INTEGER")).when(F.col("_first") == "FLOAT", F.when(saw("STRING"), "STRING").otherwise("FLOAT")).otherwise(F.col("_first"))
-    df = df.withColumn("dtype", F.coalesce("_pin", wide)).withColumn("var_unit", F.coalesce("_pin_unit", F.first("row_unit", ignorenulls=True).over(w)))
-    return df.drop("_pin", "_pin_unit", "_t", "_n", "_first")
+    # only the least seq of each kind of row is needed: aggregates with map-side sums, no order of a variable's rows
+    one = df.groupBy("variable_name").agg(F.min("seq").alias("_start"), F.min_by(F.when(F.col("row_unit").isNotNull(), F.lit("FLOAT")).otherwise(F.col("_t")), "seq").alias("_first"), F.min(F.when(F.col("_t") == "FLOAT", F.col("seq"))).alias("_float"), F.min(F.when(F.col("row_unit").isNotNull(), F.struct("seq", "row_unit"))).alias("_unit"))
+    one = one.withColumnRenamed("variable_name", "_v")
+    df = df.join(one, F.col("variable_name").eqNullSafe(F.col("_v")))
+    # a first row never widens itself, so texts count from the second one on
+    text = df.filter((F.col("_t") == "STRING") & (F.col("seq") > F.col("_start"))).groupBy("_v").agg(F.min("seq").alias("_string")).withColumnRenamed("_v", "_v2")
+    df = df.join(text, F.col("_v").eqNullSafe(F.col("_v2")), "left")
+    since = lambda c: F.coalesce(F.col("seq") >= F.col(c), F.lit(False))
+    wide = F.when(F.col("_first") == "INTEGER", F.when(since("_string"), "STRING").when(since("_float"), "FLOAT").otherwise("INTEGER")).when(F.col("_first") == "FLOAT", F.when(since("_string"), "STRING").otherwise("FLOAT")).otherwise(F.col("_first"))
+    unit = F.when(F.coalesce(F.col("seq") >= F.col("_unit.seq"), F.lit(False)), F.col("_unit.row_unit"))
+    df = df.withColumn("dtype", F.coalesce("_pin", wide)).withColumn("var_unit", F.coalesce("_pin_unit", unit))
+    return df.drop("_pin", "_pin_unit", "_t", "_v", "_v2", "_start", "_first", "_float", "_unit", "_string")
 
 
 def registry(folded: DataFrame) -> DataFrame:
@@ -41,7 +47,7 @@ def observations(raw: DataFrame, settings: IngestSettings | None = None) -> tupl
     """(observations, registry) of raw rows; rows whose timestamp can't be read are left out before types are inferred."""
     s = settings or IngestSettings()
     time = N.timestamp(F.col("timestamp_raw"), s.timestamp_format or s.parser.timestamp_format)
-    timed = raw.withColumn("timestamp", F.coalesce(time, N.lenient_timestamp("timestamp_raw"))).filter("timestamp IS NOT NULL")
+    timed = raw.withColumn("timestamp", time).withColumn("timestamp", F.coalesce("timestamp", N.lenient_timestamp(F.when(F.col("timestamp").isNull(), F.col("timestamp_raw"))))).filter("timestamp IS NOT NULL")
     folded = fold(timed, s)
     reg = registry(folded)
     number = F.col("value").try_cast("double")

@@ -6,6 +6,7 @@ whole series (rank, kNN, lags) run a pair at a time in grouped Arrow batches key
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from strandline.functions.tails import f_upper, pearson_p
+from strandline.operators.ordered import blocks, numbered, range_of
 from strandline.schema import DiscoverySettings
 
 #: Pairs of columns in one aggregate; more would outgrow generated code.
@@ -54,28 +56,38 @@ def pair_moments(df: DataFrame, columns: list[str]) -> DataFrame:
     return out
 
 
-def ranks(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Average ranks of the complete rows of a pair: (ra, rb)."""
-    d = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+def ranked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df (numbers without nulls) with each column replaced by its average ranks.
 
-    def average(c: str) -> Column:
-        return F.rank().over(W.Window.orderBy(c)) + (F.count("*").over(W.Window.partitionBy(c)) - 1) / F.lit(2.0)
-
-    return d.select(average("x").alias("ra"), average("y").alias("rb"))
+    A column's distinct values are counted and run through in ranges; what is before a range comes from one row a range."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = [k / n for k in range(1, n)]
+    cuts = df.agg(*[F.percentile_approx(c, at, 1000).alias(f"c{i}") for i, c in enumerate(columns)]).first() if at else None
+    for i, c in enumerate(columns):
+        values = df.groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n")).withColumn("_r", range_of(F.col("_v"), sorted(set(cuts[i] or [])) if cuts else []))
+        before = values.groupBy(F.col("_r").alias("_q")).agg(F.sum("_n").alias("_n"))
+        before = before.select("_q", F.coalesce(F.sum("_n").over(W.Window.orderBy("_q").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("_lead"))
+        upto = F.sum("_n").over(W.Window.partitionBy("_r").orderBy("_v"))
+        values = values.withColumn("_upto", upto).join(before, F.col("_r") == F.col("_q"))
+        values = values.select("_v", (F.col("_lead") + F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)).alias("_rank"))
+        df = df.join(values, F.col(c) == F.col("_v")).withColumn(c, F.col("_rank")).drop("_v", "_rank")
+    return df
 
 
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, n, rho). Ranks come from counts of distinct values and their running sum, so equal values are one row;
-    only distinct values are in one order."""
-    out = None
+    """(a, b, n, rho). Each column is ranked once, and all pairs are correlated in one scan; a pair with nulls is ranked
+    again over its complete rows."""
+    d = df.select([F.col(c).cast("double").alias(c) for c in columns])
+    filled = d.agg(F.count("*").alias("n"), *[F.count(c).alias(f"k{i}") for i, c in enumerate(columns)]).first()
+    whole = [c for i, c in enumerate(columns) if filled[f"k{i}"] == filled["n"]]
+    out = []
+    if len(whole) > 1:
+        out.append(pair_moments(ranked(d.select(whole), whole), whole).select("a", "b", "n", F.col("r").alias("rho")))
     for a, b in combinations(columns, 2):
-        d = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
-        for c, r in (("x", "rx"), ("y", "ry")):
-            values = d.groupBy(c).count().withColumn(r, F.sum("count").over(W.Window.orderBy(c)) - (F.col("count") - 1) / F.lit(2.0))
-            d = d.join(values.select(F.col(c).alias(f"_{c}"), r), F.col(c) == F.col(f"_{c}")).drop(f"_{c}")
-        one = d.agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")).alias("rho")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "rho")
-        out = one if out is None else out.unionByName(one)
-    return out
+        if a not in whole or b not in whole:
+            pair = d.select(a, b).dropna()
+            out.append(pair_moments(ranked(pair, [a, b]), [a, b]).select("a", "b", "n", F.col("r").alias("rho")))
+    return reduce(DataFrame.unionByName, out) if out else pair_moments(d.limit(0), columns)
 
 
 def r_confidence(r: float, n: int) -> float:
@@ -140,6 +152,48 @@ def xcorr(x: np.ndarray, y: np.ndarray, lag: int) -> np.ndarray | None:
     return np.concatenate([c[-lag:], c[: lag + 1]]) if lag else c[:1]
 
 
+def cross_correlations(df: DataFrame, ts: str, pairs: list[tuple[str, str]], lag: int) -> DataFrame:
+    """(a, b, n, coverage, lag, r): r = sum of z_b[t + lag] z_a[t] / n over the complete rows of each pair, taken as one
+    series, for lags -lag..lag; null where either column is constant.
+
+    Series go in blocks of rows with copies of `lag` rows at their borders, so a series of any length is many tasks; what
+    they give is a sum for each lag."""
+    long = series_pairs(df, ts, [], pairs)
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    mean = long.groupBy("pair").agg(F.count_if(both).alias("n"), F.avg(both.cast("double")).alias("coverage"), *[F.avg(F.when(both, F.col(c))).alias(f"m{c}") for c in "xy"], *[F.stddev_pop(F.when(both, F.col(c))).alias(f"s{c}") for c in "xy"])
+    z = long.filter(both).join(F.broadcast(mean) if len(pairs) <= 100_000 else mean, "pair")
+    z = z.select("pair", "a", "b", "t", "n", "coverage", *[F.try_divide(F.col(c) - F.col(f"m{c}"), F.col(f"s{c}")).alias(c) for c in "xy"])
+    rows = blocks(numbered(z, "t", keys=["pair"]), back=lag, ahead=lag)
+
+    def sums(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("_row")
+        x, y, own = t.x.to_numpy(float), t.y.to_numpy(float), np.flatnonzero(t._own.to_numpy())
+        first, last = own[0], own[-1] + 1
+        got = []
+        for k in range(-lag, lag + 1):
+            i, j = max(first, -k), min(last, len(y) - k)
+            got.append(float(x[i:j] @ y[i + k : j + k]) if j > i else 0.0)
+        return pd.DataFrame({"pair": t.pair.iloc[0], "a": t.a.iloc[0], "b": t.b.iloc[0], "n": t.n.iloc[0], "coverage": t.coverage.iloc[0], "lag": np.arange(-lag, lag + 1), "p": got})
+
+    parts = rows.groupBy("pair", "_block").applyInPandas(sums, "pair string, a string, b string, n bigint, coverage double, lag bigint, p double")
+    return parts.groupBy("a", "b", "n", "coverage", "lag").agg((F.sum("p") / F.col("n")).alias("r")).withColumn("r", F.when(~F.isnan("r"), F.col("r")))
+
+
+def jump_responses(df: DataFrame, ts: str, source: str, target: str, s: DiscoverySettings | None = None) -> DataFrame:
+    """(jumps, response): jumps of the source (steps above jump_z standard deviations of its steps) that rows follow, and
+    the mean size of the target's steps in the next max_lag rows, over the pair's complete rows; in blocks of rows."""
+    s = s or DiscoverySettings()
+    both = df.select(ts, F.col(source).cast("double").alias("x"), F.col(target).cast("double").alias("y")).dropna()
+    rows = blocks(numbered(both, ts), back=1, ahead=s.max_lag)
+    w = W.Window.partitionBy("_block").orderBy("_row")
+    d = rows.select("_block", "_row", "_own", (F.col("x") - F.lag("x").over(w)).alias("dx"), F.abs(F.col("y") - F.lag("y").over(w)).alias("dy"))
+    d = d.select("_own", "dx", F.avg("dy").over(w.rowsBetween(1, s.max_lag)).alias("response")).filter("_own")
+    # one row, the spread of all steps
+    spread = d.agg(F.stddev_pop("dx").alias("sd"))
+    hit = d.crossJoin(F.broadcast(spread)).filter((F.abs(F.try_divide("dx", "sd")) > s.jump_z) & F.col("response").isNotNull())
+    return hit.agg(F.count("*").alias("jumps"), F.avg("response").alias("response"))
+
+
 def trigger(x: np.ndarray, y: np.ndarray, s: DiscoverySettings) -> tuple[float, float, int] | None:
     """(ratio, confidence, jumps): do steps of y grow after jumps of x?"""
     dx, dy = np.diff(x), np.abs(np.diff(y))
@@ -232,29 +286,35 @@ def correlations(df: DataFrame, ts: str, columns: list[str], s: DiscoverySetting
 
 
 def lagged(df: DataFrame, ts: str, columns: list[str], s: DiscoverySettings | None = None) -> DataFrame:
-    """Relations by cross-correlation (INFLUENCES) and by jumps (TRIGGERS)."""
+    """Relations by cross-correlation (INFLUENCES) and by jumps (TRIGGERS). Cross-correlations are sums over blocks; the
+    triggers' kernel, whose baseline is drawn from the whole series, takes a pair's series to one task."""
     s = s or DiscoverySettings()
+    pairs = list(combinations(columns, 2))
+    enough = (F.col("coverage") >= s.min_coverage) & (F.col("n") >= max(20, 2 * s.max_lag))
+    found = cross_correlations(df, ts, pairs, s.max_lag).filter(enough & F.col("r").isNotNull() & (F.abs("lag") <= F.floor(F.col("n") / 4)))
+    # the first of the greatest peaks, and how far the others are below it
+    by = found.groupBy("a", "b", "coverage").agg(F.max(F.struct(F.abs("r").alias("size"), (-F.col("lag")).alias("back"), "r")).alias("top"), F.sum(F.abs("r")).alias("total"), F.count("*").alias("m"))
+    peak, k = F.col("top.size"), -F.col("top.back")
+    rest = F.coalesce(F.try_divide(F.col("total") - peak, F.col("m") - 1), F.lit(0.0))
+    unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    ahead = k >= 0
+    influences = by.filter(peak >= s.xcorr_min).select(
+        F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("source"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("target"), F.lit("INFLUENCES").alias("type"),
+        unit(peak).alias("confidence"), F.abs(k).cast("double").alias("lag"), unit(F.coalesce(F.try_divide(peak - rest, peak), F.lit(0.0))).alias("lag_confidence"),
+        F.lit(None).cast("double").alias("p"), "coverage", F.lit("cross_correlation").alias("method"), F.col("top.r").alias("value"),
+    )
 
     def kernel(t: pd.DataFrame) -> pd.DataFrame:
         a, b = t.a.iloc[0], t.b.iloc[0]
         x, y, cover = _series(t)
-        rows, n = [], len(x)
-        if cover >= s.min_coverage and n >= max(20, 2 * s.max_lag):
-            lag = min(s.max_lag, n // 4)
-            c = xcorr(x, y, lag)
-            if c is not None:
-                k = int(np.argmax(np.abs(c)))
-                peak = abs(c[k])
-                if peak >= s.xcorr_min:
-                    rest = np.abs(np.delete(c, k)).mean() if len(c) > 1 else 0.0
-                    src, dst = (b, a) if k < lag else (a, b)
-                    rows.append((src, dst, "INFLUENCES", float(np.clip(peak, 0, 1)), float(abs(k - lag)), float(np.clip((peak - rest) / peak, 0, 1)), None, cover, "cross_correlation", float(c[k])))
+        rows = []
+        if cover >= s.min_coverage and len(x) >= max(20, 2 * s.max_lag):
             for src, dst, u, v in ((a, b, x, y), (b, a, y, x)):
                 if (g := trigger(u, v, s)) is not None:
                     rows.append((src, dst, "TRIGGERS", g[1], 0.0, None, None, cover, "trigger_detection", g[0]))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in RELATION.split(", ")])
 
-    return series_pairs(df, ts, columns).groupBy("pair").applyInPandas(kernel, RELATION)
+    return influences.unionByName(series_pairs(df, ts, columns).groupBy("pair").applyInPandas(kernel, RELATION))
 
 
 def causes(df: DataFrame, ts: str, pairs: list[tuple[str, str]], s: DiscoverySettings | None = None) -> DataFrame:
