@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from strandline.operators import stats
+from strandline.operators.ordered import shifted
 from strandline.schema import DiscoverySettings
 
 
@@ -165,8 +166,7 @@ def silhouette(x: np.ndarray, label: np.ndarray) -> tuple[float | None, np.ndarr
 
 def transitions(labels: DataFrame, ts: str, label: str = "mode", partition: list[str] | None = None) -> DataFrame:
     """(from_mode, to_mode, n, probability, confidence) of consecutive label changes; noise on either side doesn't count."""
-    w = W.Window.partitionBy(*(partition or [])).orderBy(ts)
-    pairs = labels.select(F.lag(label).over(w).alias("from_mode"), F.col(label).alias("to_mode")).filter("from_mode <> to_mode AND from_mode <> 'noise' AND to_mode <> 'noise'")
+    pairs = shifted(labels.select(ts, label, *(partition or [])), ts, {"from_mode": (label, 1)}, keys=partition).select("from_mode", F.col(label).alias("to_mode")).filter("from_mode <> to_mode AND from_mode <> 'noise' AND to_mode <> 'noise'")
     n = pairs.groupBy("from_mode", "to_mode").agg(F.count("*").alias("n"))
     p = n.withColumn("probability", F.col("n") / F.sum("n").over(W.Window.partitionBy("from_mode")))
     return p.withColumn("confidence", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("probability") * F.log1p("n") / 3)))
@@ -176,8 +176,10 @@ def transitions(labels: DataFrame, ts: str, label: str = "mode", partition: list
 
 
 def merge(relations: DataFrame) -> DataFrame:
-    """One relation for each (source, target, type): methods in order of their names, confidence raised by agreement."""
-    out = relations.groupBy("source", "target", "type").agg(F.array_sort(F.collect_set("method")).alias("methods"), F.max("confidence").alias("_top"), F.avg("lag").alias("lag"), F.avg("lag_confidence").alias("lag_confidence"), F.min("p").alias("p"), F.avg("coverage").alias("coverage"))
+    """One relation for each (source, target, type): methods in order of their names, confidence raised by agreement, and
+    the best lag of the last method that has one, if the relations have `best_lag`."""
+    best = [F.max_by(F.col("best_lag"), F.when(F.col("best_lag").isNotNull(), F.col("method"))).alias("best_lag")] if "best_lag" in relations.columns else []
+    out = relations.groupBy("source", "target", "type").agg(F.array_sort(F.collect_set("method")).alias("methods"), F.max("confidence").alias("_top"), F.avg("lag").alias("lag"), F.avg("lag_confidence").alias("lag_confidence"), F.min("p").alias("p"), F.avg("coverage").alias("coverage"), *best)
     m = F.size("methods")
     out = out.withColumn("confidence", F.when(m > 1, F.least(F.col("_top") + 0.05 * (m - 1), F.lit(0.98))).otherwise(F.col("_top"))).drop("_top")
     return out.withColumn("evidence", stats.level(F.col("confidence")))
@@ -207,16 +209,35 @@ def sign_conflicts(findings: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def rule_conflicts(findings: DataFrame, found: DataFrame) -> DataFrame:
-    """Rules with one condition whose direction isn't the sign of the pair's correlation."""
+    """Rules with one condition whose direction isn't the sign of the pair's correlation (Spearman's if there is one)."""
     one = found.filter(F.size("conditions") == 1).select("target", F.col("conditions")[0]["variable"].alias("variable"), F.when((F.col("conditions")[0]["operator"] == ">") == (F.col("direction") == "increase"), 1).otherwise(-1).alias("sign"))
     one = one.select("*", *[c.alias(n) for c, n in zip(_pair("target", "variable"), ("p", "q"), strict=True)])
     f = findings.filter(F.col("metric").isin("pearson", "spearman")).select(*[c.alias(n) for c, n in zip(_pair("a", "b"), ("p", "q"), strict=True)], "metric", F.signum("value").cast("int").alias("s"))
+    f = f.groupBy("p", "q").agg(F.max(F.struct("metric", "s")).alias("x")).select("p", "q", "x.metric", "x.s")
     return one.join(f, ["p", "q"]).filter("sign <> s").select("target", "variable", "metric", F.lit("medium").alias("severity")).distinct()
 
 
-def graph(variables: list[str], relations: list[dict], found: list[dict], moves: list[dict]) -> dict:
-    """Nodes (variables and modes) and edges of the knowledge graph, small and on the driver."""
-    nodes = [{"id": v, "type": "variable"} for v in variables] + [{"id": m["label"], "type": "mode", "prevalence": m["prevalence"]} for m in found]
+def edges_from(g: dict, node: str) -> list[dict]:
+    return [e for e in g["edges"] if e["source"] == node]
+
+
+def edges_to(g: dict, node: str) -> list[dict]:
+    return [e for e in g["edges"] if e["target"] == node]
+
+
+def add_node(g: dict, node: dict) -> None:
+    """Adds a node; one of the same id is replaced."""
+    g["nodes"] = [*(n for n in g["nodes"] if n["id"] != node["id"]), node]
+
+
+def add_edge(g: dict, edge: dict) -> None:
+    g["edges"].append(edge)
+
+
+def graph(variables: list[str], relations: list[dict], found: list[dict], moves: list[dict], about: dict[str, dict] | None = None) -> dict:
+    """Nodes (variables, with what a registry tells about them, and modes) and edges of the knowledge graph, small and on
+    the driver."""
+    nodes = [{"id": v, "type": "variable", **({"metadata": about[v]} if about and v in about else {})} for v in variables] + [{"id": m["label"], "type": "mode", "prevalence": m["prevalence"]} for m in found]
     edges = [{"source": r["source"], "target": r["target"], "relation_type": r["type"], "confidence": r["confidence"], "evidence_level": stats.level_of(r["confidence"]), "estimated_lag": r["lag"], "supporting_methods": r["methods"]} for r in relations]
     edges += [{"source": t["from_mode"], "target": t["to_mode"], "relation_type": "TRANSITIONS_TO", "confidence": t["confidence"], "evidence_level": stats.level_of(t["confidence"]), "estimated_lag": None, "supporting_methods": ["transitions"]} for t in moves]
     return {"nodes": list({n["id"]: n for n in nodes}.values()), "edges": edges}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from dataclasses import asdict
 from pathlib import Path
 
@@ -14,7 +15,7 @@ from strandline.operators import align as A
 from strandline.operators.knowledge import SystemModel, rule_text
 from strandline.operators.registry import as_text, resolved
 from strandline.operators.theory import Theory
-from strandline.schema import OBSERVATIONS, QUALITY
+from strandline.schema import OBSERVATIONS, QUALITY, ExportSettings
 
 
 def selected(obs: DataFrame, variables: list[int] | None = None, time_range: tuple[float, float] | None = None) -> DataFrame:
@@ -63,7 +64,26 @@ def write(df: DataFrame, path: str, format_name: str | None = None) -> None:
 
 
 def load_observations(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(OBSERVATIONS).parquet(path)
+    """Observations as they were saved. A table without `seq` gets one in order of its rows."""
+    df = spark.read.parquet(path)
+    df = df if "seq" in df.columns else spark.read.schema(OBSERVATIONS).parquet(path).withColumn("seq", F.monotonically_increasing_id())
+    return df.select("seq", *[c for c in df.columns if c != "seq"])
+
+
+#: Tables by mode of export, of observations, registry and settings.
+EXPORTERS: dict[str, Callable[[DataFrame, DataFrame, ExportSettings], DataFrame]] = {
+    "observation": lambda obs, reg, s: observation_table(selected(obs, s.variables, s.time_range), reg),
+    "sparse": lambda obs, reg, s: sparse_table(selected(obs, s.variables, s.time_range)),
+    "state_matrix": lambda obs, reg, s: state_matrix(obs, reg, s.alignment_strategy, s.missing_strategy, s.default_missing_value, s.variables, s.time_range),
+}
+
+
+def export(obs: DataFrame, registry: DataFrame, mode: str, path: str, settings: ExportSettings | None = None) -> None:
+    """Writes a table by mode; an unknown mode is an error."""
+    s = settings or ExportSettings()
+    if mode not in EXPORTERS:
+        raise ValueError(f"unknown mode {mode}")
+    write(EXPORTERS[mode](obs, registry, s), path, s.format)
 
 
 def plain(x):

@@ -237,7 +237,7 @@ def granger(x: np.ndarray, y: np.ndarray, max_lag: int) -> tuple[float, int] | N
 
 
 FINDING = "a string, b string, metric string, value double, p double, coverage double, confidence double, n bigint"
-RELATION = "source string, target string, type string, confidence double, lag double, lag_confidence double, p double, coverage double, method string, value double"
+RELATION = "source string, target string, type string, confidence double, lag double, lag_confidence double, p double, coverage double, method string, value double, best_lag double"
 
 
 def series_pairs(df: DataFrame, ts: str, columns: list[str], pairs: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -301,7 +301,7 @@ def lagged(df: DataFrame, ts: str, columns: list[str], s: DiscoverySettings | No
     influences = by.filter(peak >= s.xcorr_min).select(
         F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("source"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("target"), F.lit("INFLUENCES").alias("type"),
         unit(peak).alias("confidence"), F.abs(k).cast("double").alias("lag"), unit(F.coalesce(F.try_divide(peak - rest, peak), F.lit(0.0))).alias("lag_confidence"),
-        F.lit(None).cast("double").alias("p"), "coverage", F.lit("cross_correlation").alias("method"), F.col("top.r").alias("value"),
+        F.lit(None).cast("double").alias("p"), "coverage", F.lit("cross_correlation").alias("method"), F.col("top.r").alias("value"), F.lit(None).cast("double").alias("best_lag"),
     )
 
     def kernel(t: pd.DataFrame) -> pd.DataFrame:
@@ -311,7 +311,7 @@ def lagged(df: DataFrame, ts: str, columns: list[str], s: DiscoverySettings | No
         if cover >= s.min_coverage and len(x) >= max(20, 2 * s.max_lag):
             for src, dst, u, v in ((a, b, x, y), (b, a, y, x)):
                 if (g := trigger(u, v, s)) is not None:
-                    rows.append((src, dst, "TRIGGERS", g[1], 0.0, None, None, cover, "trigger_detection", g[0]))
+                    rows.append((src, dst, "TRIGGERS", g[1], 0.0, None, None, cover, "trigger_detection", g[0], None))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in RELATION.split(", ")])
 
     return influences.unionByName(series_pairs(df, ts, columns).groupBy("pair").applyInPandas(kernel, RELATION))
@@ -329,7 +329,7 @@ def causes(df: DataFrame, ts: str, pairs: list[tuple[str, str]], s: DiscoverySet
             for src, dst, u, v in ((a, b, x, y), (b, a, y, x)):
                 g = granger(u, v, s.granger_lag)
                 if g and g[0] <= s.granger_p:
-                    rows.append((src, dst, "INFLUENCES", float(np.clip(1 - 10 * g[0], 0.3, 0.95)), float(g[1]), 1 - g[0], g[0], cover, "granger_causality", g[0]))
+                    rows.append((src, dst, "INFLUENCES", float(np.clip(1 - 10 * g[0], 0.3, 0.95)), float(g[1]), 1 - g[0], g[0], cover, "granger_causality", g[0], float(g[1])))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in RELATION.split(", ")])
 
     return series_pairs(df, ts, [], pairs).groupBy("pair").applyInPandas(kernel, RELATION)

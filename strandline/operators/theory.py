@@ -11,13 +11,22 @@ from pyspark.sql import window as W
 
 from strandline.functions.tails import t_two_sided
 from strandline.operators.knowledge import SystemModel
+from strandline.operators.ordered import shifted
+from strandline.operators.stats import numeric_columns, pair_moments
 from strandline.schema import TheorySettings
 
-#: Categories of subsystems and words that variables of each contain.
+#: Categories of subsystems and words that variables of each contain.
 CATEGORIES = {
-    "Thermal": ["temp", "heat", "thermal", "cool"], "Electrical": ["volt", "curr", "power", "batt", "amp"], "Mechanical": ["motor", "speed", "torque", "rpm", "vibr"],
-    "Fluid": ["press", "flow", "pump", "valve", "level"], "Navigation": ["pitch", "roll", "yaw", "alt", "heading"], "Network": ["latency", "packet", "band", "request"], "Financial": ["price", "volume", "trade", "rate"],
-}
+    "Thermal Subsystem": "temp temperature thermal heat cool degc degf celsius kelvin",
+    "Power Subsystem": "volt voltage curr current batt battery power amp energy draw",
+    "Actuation Subsystem": "speed rpm velocity mot motor rot rotor thrust spin",
+    "Attitude & Control Subsystem": "pitch roll yaw att attitude gyro acc accel angle",
+    "Navigation Subsystem": "pos position alt altitude lat lon gps nav navigation",
+    "Communication Subsystem": "comm signal rssi packet telemetry link tx rx",
+    "Health & Diagnostics Subsystem": "err error fail status health warn warning fault",
+}
+#: How the names of variables begin whose high or low places name a state.
+HOT, DRAINED, DRIVEN = ("temp",), ("battery", "voltage"), ("motor_speed", "speed", "current_draw")
 
 
 @dataclass
@@ -69,21 +78,41 @@ def complete_linkage(d: np.ndarray, cut: float, most: int) -> list[list[int]]:
     return sorted(sorted(g) for g in groups)
 
 
-def subsystems(variables: list[str], r: dict[tuple[str, str], float], s: TheorySettings) -> list[dict]:
-    if not variables:
-        return []
+def distances(variables: list[str], moments: list | None = None, findings: list[dict] | None = None, relations: list[dict] | None = None) -> np.ndarray:
+    """Distances of variables: 1 - |r| of each pair of a matrix (moments: rows a, b, r; a pair without r is 1 apart). Without
+    a matrix, of the findings of correlation, the last of a pair, and no more than 1 - confidence of its relations."""
     d = np.ones((len(variables), len(variables)))
     np.fill_diagonal(d, 0)
-    for (a, b), v in r.items():
-        if a in variables and b in variables:
-            i, j = variables.index(a), variables.index(b)
-            d[i, j] = d[j, i] = min(d[i, j], 1 - abs(v or 0.0))
+    at = {v: i for i, v in enumerate(variables)}
+
+    def put(a: str, b: str, x: float, least: bool = False) -> None:
+        if a in at and b in at and a != b:
+            i, j = at[a], at[b]
+            x = float(np.clip(x, 0, 1))
+            d[i, j] = d[j, i] = min(d[i, j], x) if least else x
+
+    if moments is not None:
+        for m in moments:
+            put(m["a"], m["b"], 1 - abs(m["r"] or 0.0))
+        return d
+    for f in findings or []:
+        if f["metric"] in ("pearson", "spearman"):
+            put(f["a"], f["b"], 1 - abs(f["value"]))
+    for r in relations or []:
+        put(r["source"], r["target"], 1 - r["confidence"], True)
+    return d
+
+
+def subsystems(variables: list[str], d: np.ndarray, s: TheorySettings) -> list[dict]:
+    """Clusters of a distance matrix, named by the category most of their variables belong to."""
+    if not variables:
+        return []
     out, used = [], {}
     for g in complete_linkage(d, s.cut, s.max_subsystems):
         names = [variables[i] for i in g]
-        hits = {c: sum(any(w in v.lower() for w in words) for v in names) for c, words in CATEGORIES.items()}
+        hits = {c: sum(any(w in v.lower() for w in words.split()) for v in names) for c, words in CATEGORIES.items()}
         top = max(hits, key=hits.get)
-        name = f"{top} Subsystem" if hits[top] else f"{names[0]} Subsystem"
+        name = top if hits[top] else f"{names[0].capitalize()} Subsystem"
         used[name] = used.get(name, 0) + 1
         off = [d[i, j] for i in g for j in g if i < j]
         coherence = 1 - float(np.mean(off)) if off else 1.0
@@ -96,7 +125,7 @@ def edges_of(relations: list[dict], signs: dict[tuple[str, str], int], s: Theory
     out = {}
     for r in relations:
         if r["type"] in ("INFLUENCES", "TRIGGERS", "THRESHOLD") and r["confidence"] >= s.min_confidence and r["source"] != r["target"]:
-            out[r["source"], r["target"]] = {"confidence": r["confidence"], "lag": r["lag"] or 0.0, "sign": signs.get(tuple(sorted((r["source"], r["target"]))), 1)}
+            out[r["source"], r["target"]] = {"confidence": r["confidence"], "lag": r["lag"] or 0.0, "best_lag": r.get("best_lag"), "sign": signs.get(tuple(sorted((r["source"], r["target"]))), 1)}
     return out
 
 
@@ -129,8 +158,8 @@ def chains(edges: dict[tuple[str, str], dict], most: int = 12, length: int = 4)
     return kept[:most]
 
 
-def loops(edges: dict[tuple[str, str], dict], longest: int = 8) -> list[dict]:
-    """Simple cycles of 2 to `longest` nodes, each from its least node."""
+def loops(edges: dict[tuple[str, str], dict], longest: int | None = None) -> list[dict]:
+    """Simple cycles of 2 nodes and more (at most `longest`, if given), each from its least node."""
     out: dict[str, list[str]] = {}
     for a, b in sorted(edges):
         out.setdefault(a, []).append(b)
@@ -142,7 +171,7 @@ def loops(edges: dict[tuple[str, str], dict], longest: int = 8) -> list[dict]:
                 es = [edges[p] for p in zip(path, [*path[1:], path[0]], strict=True)]
                 sign = int(np.prod([e["sign"] for e in es]))
                 found.append({"path": path, "confidence": float(np.mean([e["confidence"] for e in es])), "polarity": "positive" if sign > 0 else "negative"})
-            elif n > path[0] and n not in path and len(path) < longest:
+            elif n > path[0] and n not in path and (longest is None or len(path) < longest):
                 todo.append([*path, n])
     return sorted(found, key=lambda c: (-c["confidence"], c["path"]))
 
@@ -153,17 +182,17 @@ def states(found: list[dict]) -> list[dict]:
     names = sorted({v for m in found for v in m["centroid"]})
     low = {v: min(m["centroid"].get(v, 0.0) for m in found) for v in names}
     high = {v: max(m["centroid"].get(v, 0.0) for m in found) for v in names}
-    has = lambda v, c: any(w in v.lower() for w in CATEGORIES[c])
     for m in found:
         where = {v: (m["centroid"][v] - low[v]) / (high[v] - low[v]) for v in m["centroid"] if high[v] > low[v]}
         up, down = [v for v in where if where[v] >= 0.75], [v for v in where if where[v] <= 0.25]
-        if where and len(down) == len(where):
+        some = lambda names, starts: any(v.lower().startswith(starts) for v in names)
+        if some(down, DRIVEN) and len(down) >= 0.5 * len(m["centroid"]):
             name = "Idle"
-        elif any(has(v, "Thermal") for v in up):
+        elif some(up, HOT):
             name = "Thermal Stress"
-        elif any(has(v, "Electrical") for v in down):
+        elif some(down, DRAINED):
             name = "Low Power"
-        elif len(up) > len(where) / 2:
+        elif some(up, DRIVEN):
             name = "High-Load"
         else:
             name = "Nominal"
@@ -189,14 +218,37 @@ def stump(df: DataFrame, columns: list[str], label: str = "y") -> DataFrame:
 
 def trigger_rule(df: DataFrame, labels: DataFrame, ts: str, columns: list[str], source: str, target: str) -> str:
     """What tells rows just before source -> target from rows that stay in source; N/A without at least one and two."""
-    w = W.Window.orderBy(ts)
-    both = df.join(labels, ts).select("*", F.lead("mode").over(w).alias("_next")).filter(F.col("mode") == source).withColumn("y", F.when(F.col("_next") == target, 1).when(F.col("_next") == source, 0)).filter("y IS NOT NULL")
+    both = shifted(df.join(labels, ts), ts, {"_next": ("mode", -1)}).filter(F.col("mode") == source).withColumn("y", F.when(F.col("_next") == target, 1).when(F.col("_next") == source, 0)).filter("y IS NOT NULL")
     both = both.select("y", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in columns])
     n = both.agg(F.sum("y"), F.count("*")).first()
     if not n[0] or n[1] - n[0] < 2:
         return "N/A"
     best = stump(both, columns).orderBy("gini", "variable").first()
-    return f"{best.variable} {'>' if best.above else '<='} {best.threshold:.4g}" if best else "N/A"
+    if best:
+        return f"{best.variable} {'>' if best.above else '<='} {best.threshold:.4g}"
+    return by_means(both, columns)
+
+
+def by_means(rows: DataFrame, columns: list[str], label: str = "y") -> str:
+    """The middle between the means of both classes for the variable whose means differ most, in standard deviations of
+    class 0: what is left where no variable can be split."""
+    of = lambda f, c, k: f(F.when(F.col(label) == k, F.col(c)))
+    r = rows.agg(*[x for i, c in enumerate(columns) for x in (of(F.avg, c, 1).alias(f"a{i}"), of(F.avg, c, 0).alias(f"b{i}"), of(F.stddev_samp, c, 0).alias(f"s{i}"))]).first()
+    far = [(abs(r[f"a{i}"] - r[f"b{i}"]) / (r[f"s{i}"] or 1.0), -i) for i in range(len(columns)) if r[f"a{i}"] is not None and r[f"b{i}"] is not None]
+    if not far:
+        return "N/A"
+    i = -max(far)[1]
+    a, b = r[f"a{i}"], r[f"b{i}"]
+    return f"{columns[i]} {'>' if a > b else '<='} {(a + b) / 2:.4g}"
+
+
+def median_step(df: DataFrame, ts: str, ties: list[str] | None = None) -> float:
+    """Median time between rows; 1 where there is none above 0."""
+    d = shifted(df.select(ts, *(ties or [])), ts, {"_past": (ts, 1)}, ties)
+    kind = df.schema[ts].dataType.simpleString()
+    number = (lambda c: F.unix_micros(F.col(c).cast("timestamp")) / F.lit(1e6)) if kind.startswith("timestamp") else (lambda c: F.col(c).cast("double"))
+    dt = d.agg(F.median(number(ts) - number("_past"))).first()[0]
+    return float(dt) if dt and dt > 0 else 1.0
 
 
 def ols(x: np.ndarray, y: np.ndarray) -> dict:
@@ -240,14 +292,13 @@ def gram(df: DataFrame, xs: list[str], y: str) -> tuple[np.ndarray, np.ndarray,
 def equations(df: DataFrame, ts: str, edges: dict[tuple[str, str], dict], found: list[dict], s: TheorySettings) -> list[dict]:
     """A regression of each influenced variable on its lagged parents; on the modes' centroids where data don't do."""
     out = []
-    w = W.Window.orderBy(ts)
     for target in sorted({b for _, b in edges}):
         parents = sorted({a for a, b in edges if b == target and a in df.columns})
         eq = None
         if parents and target in df.columns:
-            lags = {a: int(round(edges[a, target]["lag"])) for a in parents}
-            shifted = df.select(F.col(target).alias("_y"), *[F.lag(a, lags[a]).over(w).alias(a) if lags[a] else F.col(a) for a in parents])
-            eq = _fit(shifted, parents, s)
+            lags = {a: int(edges[a, target].get("best_lag") or round(edges[a, target]["lag"])) for a in parents}
+            moved = shifted(df.select(ts, F.col(target).alias("_y"), *[F.col(a) for a in parents if a != ts]), ts, {f"_m{i}": (a, lags[a]) for i, a in enumerate(parents)})
+            eq = _fit(moved.select("_y", *[F.col(f"_m{i}").alias(a) for i, a in enumerate(parents)]), parents, s)
             if eq:
                 eq["lags"] = [lags[a] for a in eq["sources"]]
         if eq is None:
@@ -306,10 +357,11 @@ def synthesize(model: SystemModel, df: DataFrame | None = None, ts: str = "ts",
     s = settings or TheorySettings()
     same = aliases(model.variables, model.findings)
     names = [v for v in model.variables if v not in same]
-    r = {(f["a"], f["b"]): f["value"] for f in model.findings if f["metric"] == "pearson"}
+    numbers = numeric_columns(df, [v for v in names if v in df.columns]) if df is not None else []
+    moments = pair_moments(df, numbers).collect() if len(numbers) > 1 else None
     signs = {tuple(sorted((f["a"], f["b"]))): (1 if f["value"] > 0 else -1) for f in model.findings if f["metric"] in ("pearson", "spearman")}
     edges = edges_of([x for x in model.relations if x["source"] in names and x["target"] in names], signs, s)
-    t = Theory(names, same, subsystems(names, r, s), chains(edges), loops(edges, s.max_loop), states(model.modes) if model.modes else [])
+    t = Theory(names, same, subsystems(names, distances(names, moments, model.findings, model.relations), s), chains(edges), loops(edges, s.max_loop), states(model.modes) if model.modes else [])
     by = {x["mode"]: x["name"] for x in t.states}
     for m in model.transitions:
         rule = trigger_rule(df, model.labels, ts, names, m["from_mode"], m["to_mode"]) if df is not None and model.labels is not None else "N/A"

@@ -7,7 +7,9 @@ from dataclasses import dataclass, field, fields
 from pathlib import Path
 
 OBSERVATIONS = "timestamp double, variable_id int, value_float double, value_int bigint, value_str string, value_bool boolean, quality tinyint, original_timestamp string, source string"
-RAW = "seq bigint, timestamp_raw string, variable_name string, value_raw string, source string, unit_raw string"
+RAW = "seq struct<source:string,start:bigint,line:bigint,place:int>, timestamp_raw string, variable_name string, value_raw string, source string, unit_raw string"
+#: The same with the order of the rows.
+SEQUENCED = f"seq bigint, {OBSERVATIONS}"
 QUALITY = ["MEASURED", "ESTIMATED", "INTERPOLATED", "DERIVED", "UNKNOWN"]
 TYPES = ["INTEGER", "FLOAT", "BOOLEAN", "STRING", "CATEGORICAL", "ENUM", "TIMESTAMP"]
 ALIGNMENTS = ["exact", "nearest", "forward_fill", "interpolate"]
@@ -58,6 +60,21 @@ class IngestSettings:
         return cls.from_dict(tomllib.loads(Path(path).read_text()))
 
 
+@dataclass
+class ExportSettings:
+    missing_strategy: str = "leave"
+    alignment_strategy: str = "forward_fill"
+    default_missing_value: float | None = None
+    variables: list[int] | None = None
+    time_range: tuple[float, float] | None = None
+    format: str = "csv"
+
+    @classmethod
+    def of(cls, s: IngestSettings) -> ExportSettings:
+        """An ingest's own strategies."""
+        return cls(s.missing_strategy, s.alignment_strategy, s.default_missing_value)
+
+
 @dataclass
 class DiscoverySettings:
     pearson_min: float = 0.5
@@ -93,4 +110,5 @@ class TheorySettings:
     min_r2: float = 0.30
     cut: float = 0.75
     max_subsystems: int = 5
-    max_loop: int = 8
+    #: Nodes of a feedback loop at most; None: any number.
+    max_loop: int | None = None

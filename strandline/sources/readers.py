@@ -3,46 +3,72 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.schema import ParserSettings, TIME_NAMES
+from strandline.functions.normalize import NUMBER, unit_part, value_part
+from strandline.schema import ParserSettings, RAW, TIME_NAMES
 
-EXTENSIONS = {"csv": "csv", "tsv": "csv", "json": "json", "jsonl": "json", "kv": "kv", "kvlog": "kv", "txt": "text", "log": "text"}
+EXTENSIONS: dict[str, str] = {}
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """df with line, increasing in file order: Spark reads a file's splits in order."""
-    return df.withColumn("line", F.monotonically_increasing_id())
+
+#: parse(spark, source, settings) to raw rows, by name of format.
+Parse = Callable[[SparkSession, str, ParserSettings], DataFrame]
+PARSERS: dict[str, Parse] = {}
+
+
+def register_parser(name: str, parse: Parse, extensions: tuple[str, ...] = ()) -> None:
+    """Adds a format: read() finds it by name and by extension. parse returns the columns of schema.RAW."""
+    PARSERS[name.lower()] = parse
+    for x in extensions:
+        EXTENSIONS[x.lower().lstrip(".")] = name.lower()
+
+
+def _numbered(df: DataFrame, of_file: bool = True) -> DataFrame:
+    """df with where a row comes from: file, first byte of its split, and a number that increases inside a split."""
+    if not of_file:
+        return df.select("*", F.lit("").alias("file"), F.lit(0).cast("bigint").alias("start"), F.monotonically_increasing_id().alias("line"))
+    return df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
 
 
 def _raw(df: DataFrame, time: Column, pairs: Column, source: str, unit: Column | None = None) -> DataFrame:
     """Raw observations of lines; pairs is array<struct<name, value>>, blank values fall away."""
-    out = df.select("line", time.alias("timestamp_raw"), F.posexplode(pairs).alias("_k", "_p"), (unit if unit is not None else F.lit(None).cast("string")).alias("unit_raw"))
+    file, start = (F.col(c) if c in df.columns else F.lit(d).cast(t) for c, d, t in (("file", "", "string"), ("start", 0, "bigint")))
+    out = df.select(file.alias("_file"), start.alias("_start"), F.col("line").cast("bigint").alias("_line"), time.alias("timestamp_raw"), F.posexplode(pairs).alias("_k", "_p"), (unit if unit is not None else F.lit(None).cast("string")).alias("unit_raw"))
     out = out.filter(F.trim(F.col("_p.value")) != "")
-    # a line has less than 4096 values in sequence numbers; wider lines only lose the gap between lines
-    return out.select((F.col("line") * 4096 + F.col("_k")).alias("seq"), "timestamp_raw", F.col("_p.name").alias("variable_name"), F.trim(F.col("_p.value")).alias("value_raw"), F.lit(source).alias("source"), "unit_raw")
+    seq = F.struct(F.col("_file").alias("source"), F.col("_start").alias("start"), F.col("_line").alias("line"), F.col("_k").alias("place"))
+    return out.select(seq.alias("seq"), "timestamp_raw", F.col("_p.name").alias("variable_name"), F.trim(F.col("_p.value")).alias("value_raw"), F.lit(source).alias("source"), "unit_raw")
 
 
 def read_csv(spark: SparkSession, path: str, settings: ParserSettings | None = None) -> DataFrame:
+    """A row a cell of a CSV or TSV file, or of all files of a path: these share one header, which each of them has in its
+    first line (one with another header is an error, unless names are blank or repeated: then the first file's count)."""
     s = settings or ParserSettings()
     sep = "\t" if path.lower().endswith(".tsv") and s.delimiter == "," else s.delimiter
-    lines = spark.read.option("sep", sep).option("quote", '"').option("escape", '"').option("encoding", s.encoding).csv(path)
-    head = lines.first()
+    reader = lambda: spark.read.option("sep", sep).option("quote", '"').option("escape", '"').option("encoding", s.encoding)
+    plain = reader().csv(path)
+    head = plain.filter(F.col("_metadata.file_block_start") == 0).select(*plain.columns).first()
     if head is None:
-        return _raw(_numbered(spark.createDataFrame([], "a string")), F.lit(""), F.array(F.struct(F.lit("").alias("name"), F.lit("").alias("value"))), path)
-    names = [(x or "").strip() for x in head]
+        return spark.createDataFrame([], RAW)
+    raw = [x or "" for x in head]
+    names = [x.strip() for x in raw]
     if s.timestamp_column:
         if s.timestamp_column not in names:
             raise ValueError(f"no column {s.timestamp_column}")
         at = names.index(s.timestamp_column)
     else:
         at = next((i for i, x in enumerate(names) if x.lower() in TIME_NAMES), 0)
-    body = _numbered(lines).filter(~F.array(*[F.coalesce(F.col(c), F.lit("")) for c in lines.columns]).eqNullSafe(F.array(*[F.lit(x or "") for x in head])) | (F.col("line") > 0)).filter("line > 0")
-    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("value")) for i, (n, c) in enumerate(zip(names, lines.columns, strict=True)) if i != at and n])
-    return _raw(body, F.col(lines.columns[at]), pairs, path)
+    distinct = all(names) and len({x.lower() for x in raw}) == len(raw)
+    columns = raw if distinct else plain.columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    body = _numbered(reader().schema(schema).option("header", True).option("enforceSchema", not distinct).csv(path)).toDF(*plain.columns, "file", "start", "line")
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("value")) for i, (n, c) in enumerate(zip(names, plain.columns, strict=True)) if i != at and n])
+    return _raw(body, F.col(plain.columns[at]), pairs, path)
 
 
 def flat_pairs(schema: T.StructType, prefix: str = "") -> list[tuple[str, Column]]:
@@ -69,22 +95,34 @@ def read_json(spark: SparkSession, path: str, settings: ParserSettings | None =
     if whole and ("_corrupt_record" in df.columns):
         both = spark.read.option("multiLine", True).json(path)
         df = both if "_corrupt_record" not in both.columns else df
+    df = _numbered(df)
     if "_corrupt_record" in df.columns:
         df = df.cache().filter("_corrupt_record IS NULL").drop("_corrupt_record")
-    leaves = flat_pairs(df.schema)
+    return json_rows(df, s, path)
+
+
+def json_rows(df: DataFrame, settings: ParserSettings | None = None, source: str = "json") -> DataFrame:
+    """Raw observations of structured rows (with `line`, and `file` and `start` if they are from files): leaves by dotted
+    names. The time is the first leaf that is named as one."""
+    s = settings or ParserSettings()
+    leaves = flat_pairs(T.StructType([f for f in df.schema.fields if f.name not in ("file", "start", "line")]))
     named = s.timestamp_column
     time = next((x for x in leaves if x[0] == named or not named and x[0].split(".")[-1].lower() in TIME_NAMES), None)
     pairs = F.array(*[F.struct(F.lit(n).alias("name"), c.alias("value")) for n, c in leaves if not time or n != time[0]])
-    return _raw(_numbered(df), time[1] if time else F.lit(None).cast("string"), pairs, path)
+    return _raw(df, time[1] if time else F.lit(None).cast("string"), pairs, source)
 
 
 def kv_pairs(line: Column, s: ParserSettings) -> Column:
     """key and value structs of a line; delimiters inside double quotes don't split, the last of equal keys wins."""
     d, sep = re.escape(s.kv_delimiter), re.escape(s.kv_separator)
     parts = F.filter(F.split(line, d + r'(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda p: F.contains(p, F.lit(s.kv_separator)))
+    plain = F.filter(F.split(line, d), lambda p: F.contains(p, F.lit(s.kv_separator)))
+    parts = F.when(F.contains(line, F.lit('"')), parts).otherwise(plain)
     clean = lambda c: F.regexp_replace(F.trim(c), r"^[\"'](.*)[\"']$", "$1")
-    pairs = F.transform(parts, lambda p: F.struct(clean(F.split(p, sep, 2)[0]).alias("name"), clean(F.split(p, sep, 2)[1]).alias("value")))
-    return F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["name"] == p["name"]))
+    pair = lambda p: F.transform(F.array(F.split(p, sep, 2)), lambda x: F.struct(clean(x[0]).alias("name"), clean(x[1]).alias("value")))[0]
+    # in one-element arrays, so that pairs are worked out once and not for each look at them
+    last = lambda ps: F.filter(ps, lambda p, i: F.array_position(F.slice(F.transform(ps, lambda q: q["name"]), i + 2, F.size(ps)), p["name"]) == 0)
+    return F.transform(F.array(F.transform(parts, pair)), lambda ps: F.when(F.size(F.array_distinct(F.transform(ps, lambda q: q["name"]))) == F.size(ps), ps).otherwise(last(ps)))[0]
 
 
 def parse_kv(lines: DataFrame, settings: ParserSettings | None = None, source: str = "kv") -> DataFrame:
@@ -97,11 +135,7 @@ def parse_kv(lines: DataFrame, settings: ParserSettings | None = None, source: s
     return _raw(df, time, F.filter("_pairs", lambda p: ~p["name"].eqNullSafe(first)), source)
 
 
-ISO = r"^\[?(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?)\]?\s*"
-SYSLOG = r"^([A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s*"
-NUMERIC = r"^(\d+(?:\.\d+)?)\s+"
-NAMED = r"([A-Za-z][A-Za-z0-9_ -]*?)\s*(?:=|:|\bis\b)\s*([+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)\s*([A-Za-z°%/]+)?"
-CHANGED = r"([A-Za-z][A-Za-z0-9_ -]*?)\s+(?:changed|set|updated)\s+to\s+([+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)\s*([A-Za-z°%/]+)?"
+MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec"
 
 
 def clean_name(name: Column) -> Column:
@@ -110,13 +144,48 @@ def clean_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(n, "_+", "_"), "^_|_$", "")
 
 
+def _shape(word: Column) -> Column:
+    """A word with every digit as 9 and without the brackets around it."""
+    return F.translate(F.regexp_replace(word, r"^\[|\]$", ""), "0123456789", "9" * 10)
+
+
+def leading_time(line: Column) -> Column:
+    """struct<t, rest>: the time in front of a line, which is its first one to three words, and what follows it.
+
+    Times are a date and a clock in one word or two, a month, day and clock, or a number before other words."""
+    words = F.split(line, r"\s+", 4)
+    word = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit(""))
+    shape = [_shape(word(i)) for i in range(3)]
+    clock = lambda x: x.startswith("99:99:99")
+    month = word(0).isin(*MONTHS.split()) & shape[1].isin("9", "99") & clock(shape[2])
+    n = (
+        F.when(shape[0].startswith("9999-99-99T99:99:99"), 1).when((shape[0] == "9999-99-99") & clock(shape[1]), 2).when(month, 3)
+        .when((F.size(words) > 1) & word(0).rlike(r"^\d+(\.\d+)?$"), 1).otherwise(0)
+    )
+    time = F.array_join(F.transform(F.slice(words, 1, n), lambda w: F.regexp_replace(w, r"^\[|\]$", "")), " ")
+    rest = F.when(n == 0, line).otherwise(F.regexp_replace(line, F.concat(F.lit(r"^(?:\S+(?:\s+|$)){"), n.cast("string"), F.lit("}")), F.lit("")))
+    return F.struct(F.nullif(time, F.lit("")).alias("t"), rest.alias("rest"))
+
+
+#: What stands between a name and its value: a sign, or words that say so.
+_BETWEEN = r"^(.*?)(?:\s*[=:]\s*|\s+is\s+|\s+(?:changed|set|updated)\s+to\s+)([^=:]*)$"
+
+
+def stated(rest: Column) -> tuple[Column, Column, Column, Column]:
+    """(does the line state a value, name, number, unit): the whole line must be a name in plain words, what says so, and
+    a number with one unit at most."""
+    name, tail = F.trim(F.regexp_extract(rest, _BETWEEN, 1)), F.trim(F.regexp_extract(rest, _BETWEEN, 2))
+    number, unit = value_part(tail), unit_part(tail)
+    ok = name.rlike(r"^[A-Za-z][\w -]*$") & number.rlike(NUMBER)
+    return ok, clean_name(name), number, F.coalesce(unit, F.lit(""))
+
+
 def parse_text(lines: DataFrame, settings: ParserSettings | None = None, source: str = "text") -> DataFrame:
-    """Raw observations of (line, value) rows: a time in front, then the first pattern that matches; else log_line."""
+    """Raw observations of (line, value) rows: a time in front, then what the first of the settings' patterns that matches
+    says, else a stated value; the line itself as log_line if there is neither."""
     s = settings or ParserSettings()
     v = F.trim("value")
-    at = F.when(v.rlike(ISO), F.struct(F.regexp_extract(v, ISO, 1).alias("t"), F.regexp_replace(v, ISO, "").alias("rest"))).when(v.rlike(SYSLOG), F.struct(F.regexp_extract(v, SYSLOG, 1).alias("t"), F.regexp_replace(v, SYSLOG, "").alias("rest")))
-    at = at.when(v.rlike(NUMERIC), F.struct(F.regexp_extract(v, NUMERIC, 1).alias("t"), F.regexp_replace(v, NUMERIC, "").alias("rest"))).otherwise(F.struct(F.lit(None).cast("string").alias("t"), v.alias("rest")))
-    df = lines.filter(v != "").withColumn("_at", at)
+    df = lines.filter(v != "").withColumn("_at", leading_time(v))
     rest = F.col("_at.rest")
     hit = None
     for p in s.text_patterns:
@@ -129,14 +198,20 @@ def parse_text(lines: DataFrame, settings: ParserSettings | None = None, source:
         java = p.replace("(?P<", "(?<")
         got = F.struct(clean_name(F.regexp_extract(rest, java, groups["name"])).alias("name"), F.regexp_extract(rest, java, groups["value"]).alias("value"), (F.regexp_extract(rest, java, groups["unit"]) if "unit" in groups else F.lit("")).alias("unit"))
         hit = F.when(rest.rlike(java), got) if hit is None else hit.when(rest.rlike(java), got)
-    for p in (NAMED, CHANGED):
-        got = F.struct(clean_name(F.regexp_extract(rest, p, 1)).alias("name"), F.regexp_extract(rest, p, 2).alias("value"), F.regexp_extract(rest, p, 3).alias("unit"))
-        hit = F.when(rest.rlike(p), got) if hit is None else hit.when(rest.rlike(p), got)
+    ok, name, number, unit = stated(rest)
+    got = F.struct(name.alias("name"), number.alias("value"), unit.alias("unit"))
+    hit = F.when(ok, got) if hit is None else hit.when(ok, got)
     none = F.struct(F.when(rest == "", "event").otherwise("log_line").alias("name"), F.when(rest == "", "ping").otherwise(rest).alias("value"), F.lit("").alias("unit"))
     df = df.withColumn("_hit", hit.otherwise(none))
     return _raw(df, F.col("_at.t"), F.array(F.struct(F.col("_hit.name").alias("name"), F.col("_hit.value").alias("value"))), source, F.nullif(F.col("_hit.unit"), F.lit("")))
 
 
+def delimiter_of(head: str) -> str | None:
+    """The delimiter that the first two lines of a text have equally often, if there is one."""
+    lines = head[:1024].splitlines()
+    return next((d for d in ",\t;" if len(lines) >= 2 and lines[0].count(d) and lines[0].count(d) == lines[1].count(d)), None)
+
+
 def sniff(head: str) -> str | None:
     """Format of a text by its first 1024 characters."""
     head = head[:1024]
@@ -145,22 +220,39 @@ def sniff(head: str) -> str | None:
         return "json"
     if lines and "=" in lines[0] and ("," in head or ";" in head):
         return "kv"
-    if len(lines) >= 2 and any(lines[0].count(d) and lines[0].count(d) == lines[1].count(d) for d in ",\t;"):
-        return "csv"
-    return None
+    return "csv" if delimiter_of(head) else None
 
 
-def read(spark: SparkSession, path: str, format_name: str | None = None, settings: ParserSettings | None = None) -> DataFrame:
-    """Raw observations of a file: by name of format, by extension, by content, else free text."""
-    known = {"csv": "csv", "tsv": "csv", "json": "json", "jsonl": "json", "kv": "kv", "text": "text", "log": "text", "txt": "text"}
-    if format_name is not None and format_name.lower() not in known:
+def _text_lines(parse: Callable) -> Parse:
+    def run(spark: SparkSession, path: str, settings: ParserSettings) -> DataFrame:
+        return parse(_numbered(spark.read.option("encoding", settings.encoding).text(path)), settings, path)
+
+    return run
+
+
+for _name, _parse, _extensions in (("csv", read_csv, ("csv", "tsv")), ("json", read_json, ("json", "jsonl")), ("kv", _text_lines(parse_kv), ("kv", "kvlog")), ("text", _text_lines(parse_text), ("txt", "log"))):
+    register_parser(_name, _parse, _extensions)
+#: Other names of formats.
+ALSO = {"tsv": "csv", "jsonl": "json", "log": "text", "txt": "text"}
+
+
+def read(spark: SparkSession, source: str | list[str], format_name: str | None = None, settings: ParserSettings | None = None) -> DataFrame:
+    """Raw observations of files: by name of format, by extension, by content, else free text. source may also be lines
+    that are at hand (kv and text); settings without a delimiter of their own take the one that content shows."""
+    s = settings or ParserSettings()
+    kind = ALSO.get(format_name.lower(), format_name.lower()) if format_name else None
+    if kind is not None and kind not in PARSERS:
         raise ValueError(f"unknown format {format_name}")
-    kind = known[format_name.lower()] if format_name else EXTENSIONS.get(path.rpartition(".")[2].lower())
+    if not isinstance(source, str):
+        kind = kind or sniff("\n".join(source)) or "text"
+        if kind not in ("kv", "text"):
+            raise ValueError(f"lines are read as kv or text, not as {kind}")
+        lines = spark.createDataFrame(list(enumerate(source)), "line bigint, value string")
+        return (parse_kv if kind == "kv" else parse_text)(lines, s, "lines")
+    kind = kind or EXTENSIONS.get(source.rpartition(".")[2].lower())
     if kind is None:
-        kind = sniff("\n".join(r[0] for r in spark.read.text(path).limit(8).collect())) or "text"
-    if kind == "csv":
-        return read_csv(spark, path, settings)
-    if kind == "json":
-        return read_json(spark, path, settings)
-    lines = _numbered(spark.read.text(path))
-    return (parse_kv if kind == "kv" else parse_text)(lines, settings, path)
+        head = "\n".join(r[0] for r in spark.read.text(source).limit(8).collect())
+        kind = sniff(head) or "text"
+        if kind == "csv" and s.delimiter == ",":
+            s = replace(s, delimiter=delimiter_of(head) or ",")
+    return PARSERS[kind](spark, source, s)
