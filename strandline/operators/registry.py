@@ -20,7 +20,7 @@ def fold(raw: DataFrame, settings: IngestSettings | None = None) -> DataFrame:
     pick = lambda d: F.try_element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col("variable_name")) if d else F.lit(None).cast("string")
     parsed = F.coalesce(N.unit_part(F.col("value_raw")), F.col("unit_raw") if "unit_raw" in raw.columns else F.lit(None))
     unit = F.coalesce(pick(s.unit_overrides), parsed) if s.relabel_only else F.coalesce(parsed, pick(s.unit_overrides))
-    df = raw.withColumn("value", N.value_part(F.col("value_raw"))).withColumn("row_unit", N.canonical_unit(unit)).withColumn("_pin", pick(s.type_overrides)).withColumn("_pin_unit", N.canonical_unit(pick(s.unit_overrides)))
+    df = raw.withColumn("value", N.value_part(F.col("value_raw"))).withColumn("row_unit", unit).withColumn("row_unit", N.canonical_unit(F.col("row_unit"))).withColumn("_pin", pick(s.type_overrides)).withColumn("_pin_unit", N.canonical_unit(pick(s.unit_overrides)))
     df = df.withColumn("_t", N.infer_type(F.col("value")))
     # only the least seq of each kind of row is needed: aggregates with map-side sums, no order of a variable's rows
     one = df.groupBy("variable_name").agg(F.min("seq").alias("_start"), F.min_by(F.when(F.col("row_unit").isNotNull(), F.lit("FLOAT")).otherwise(F.col("_t")), "seq").alias("_first"), F.min(F.when(F.col("_t") == "FLOAT", F.col("seq"))).alias("_float"), F.min(F.when(F.col("row_unit").isNotNull(), F.struct("seq", "row_unit"))).alias("_unit"))
@@ -50,10 +50,11 @@ def observations(raw: DataFrame, settings: IngestSettings | None = None) -> tupl
     timed = raw.withColumn("timestamp", time).withColumn("timestamp", F.coalesce("timestamp", N.lenient_timestamp(F.when(F.col("timestamp").isNull(), F.col("timestamp_raw"))))).filter("timestamp IS NOT NULL")
     folded = fold(timed, s)
     reg = registry(folded)
-    number = F.col("value").try_cast("double")
-    turned = N.convert(number, F.col("row_unit"), F.col("var_unit"))
-    text = F.when(F.col("row_unit").isNotNull() & F.col("var_unit").isNotNull() & (F.col("row_unit") != F.col("var_unit")) & number.isNotNull(), turned.cast("string")).otherwise(F.col("value"))
-    typed = folded.withColumns(N.coerce(text, F.col("dtype")))
+    # columns of their own, as each is named many times
+    number = folded.withColumn("_number", F.when(F.col("row_unit") != F.col("var_unit"), F.col("value").try_cast("double")))
+    turned = N.convert(F.col("_number"), F.col("row_unit"), F.col("var_unit"))
+    typed = number.withColumn("_text", F.coalesce(F.when(F.col("_number").isNotNull(), turned.cast("string")), F.col("value")))
+    typed = typed.withColumns(N.coerce(F.col("_text"), F.col("dtype")))
     quality = F.lit(QUALITY.index(s.default_quality)).cast("tinyint")
     out = typed.join(reg.select(F.col("id").alias("variable_id"), F.col("name").alias("_name")), F.col("variable_name") == F.col("_name"))
     return out.select("seq", "timestamp", "variable_id", "value_float", "value_int", "value_str", "value_bool", quality.alias("quality"), F.col("timestamp_raw").alias("original_timestamp"), "source"), reg

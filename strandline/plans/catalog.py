@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,11 +16,13 @@ from strandline.functions import normalize as N
 from strandline.operators import align as A
 from strandline.operators import knowledge as K
 from strandline.operators import registry as R
+from strandline.operators import sinks
 from strandline.operators import stats as S
 from strandline.operators import theory as T
 from strandline.operators.twin import DigitalTwin, rollout
-from strandline.schema import DiscoverySettings, IngestSettings
+from strandline.schema import DiscoverySettings, IngestSettings, TheorySettings
 from strandline.sources import readers
+from strandline.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,37 +66,85 @@ OBS = "obs AS (SELECT event_id AS seq, epoch_us(ts) / 1e6 AS ts, event_type AS v
 FFILL = f"{OBS}, filled AS (SELECT c.ts, c.variable, l.v AS value FROM cells c ASOF LEFT JOIN lasts l ON c.variable = l.variable AND c.ts >= l.ts)"
 
 
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as raw observations: everything is text."""
+    e = event_values(spark, sf_dir)
+    return e.select("seq", F.col("ts").cast("string").alias("timestamp_raw"), F.col("variable").alias("variable_name"), F.col("value").cast("string").alias("value_raw"), F.lit("events").alias("source"), F.lit(None).cast("string").alias("unit_raw"))
+
+
+def typed_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return R.observations(raw_events(spark, sf_dir))
+
+
+#: Variables by first row, and the observations with their ids, as the library numbers them.
+IDS = "ids AS (SELECT event_type AS name, CAST(row_number() OVER (ORDER BY min(event_id)) AS INTEGER) AS id FROM events GROUP BY event_type), typed AS (SELECT event_id AS seq, epoch_us(ts) / 1e6 AS ts, id, name, value FROM events JOIN ids ON name = event_type)"
+
+
+def written(df: DataFrame, kind: str, **options: str) -> str:
+    """df in files of a new folder, which driver and executors share where spark.checkpoint.dir is set."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    path = f"{folder.rstrip('/')}/strandline-{uuid.uuid4().hex}"
+    df.write.format(kind).options(**options).save(path)
+    return path
+
+
 # --- sources, sinks, normalisation ---------------------------------------------------------------------------------
 
 
-@query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, variable, value FROM (UNPIVOT (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem) ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME variable VALUE value)")
+@query(f"WITH {IDS} SELECT ts AS timestamp, id AS variable_id, name AS variable_name, value, 'MEASURED' AS quality, 'events' AS source FROM typed")
 def obs_long(spark, sf_dir):
-    d = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), *NUMBERS)
-    return d.unpivot(["l_orderkey", "l_linenumber"], NUMBERS, "variable", "value").filter("value IS NOT NULL")
+    """The long export of typed observations."""
+    out = sinks.observation_table(*typed_events(spark, sf_dir))
+    return out.select("timestamp", "variable_id", "variable_name", F.col("value").cast("double").alias("value"), "quality", "source")
 
 
-@query("WITH r AS (SELECT event_type, CAST(row_number() OVER (ORDER BY min(event_id)) AS BIGINT) AS variable_id FROM events GROUP BY event_type) SELECT epoch_us(ts) / 1e6 AS ts, variable_id, value FROM events JOIN r USING (event_type) WHERE value IS NOT NULL")
+@query(f"WITH {IDS} SELECT ts AS timestamp, id AS variable_id, value FROM typed WHERE value IS NOT NULL")
 def obs_sparse(spark, sf_dir):
-    obs = event_values(spark, sf_dir)
-    ids = obs.groupBy("variable").agg(F.min("seq").alias("s")).select("variable", F.row_number().over(W.Window.orderBy("s")).cast("bigint").alias("variable_id"))
-    return obs.join(ids, "variable").filter("value IS NOT NULL").select("ts", "variable_id", "value")
+    return sinks.sparse_table(typed_events(spark, sf_dir)[0]).withColumn("value", F.col("value").cast("double"))
 
 
-@query("SELECT event_id, event_type, value FROM events WHERE event_type IN ('click', 'purchase') AND value BETWEEN 10 AND 60")
+@query(f"WITH {IDS} SELECT ts AS timestamp, id AS variable_id, value FROM typed WHERE id IN (1, 3) AND ts BETWEEN 1704100000 AND 1706000000")
 def filter_vars_range(spark, sf_dir):
-    return read(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "purchase") & F.col("value").between(10, 60)).select("event_id", "event_type", "value")
+    some = sinks.selected(typed_events(spark, sf_dir)[0], [1, 3], (1704100000.0, 1706000000.0))
+    return sinks.sparse_table(some).withColumn("value", F.col("value").cast("double"))
 
 
-@query("SELECT event_type AS name, CAST(row_number() OVER (ORDER BY min(event_id)) AS BIGINT) AS id, count(*) AS n, min(event_id) AS first_seq FROM events GROUP BY event_type")
+@query(f"WITH {IDS} SELECT id, name, 'FLOAT' AS dtype, CAST(NULL AS VARCHAR) AS unit, 'events' AS source FROM ids")
 def registry_profile(spark, sf_dir):
-    g = read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_seq"))
-    return g.withColumn("id", F.row_number().over(W.Window.orderBy("first_seq")).cast("bigint"))
+    return R.registry(R.fold(raw_events(spark, sf_dir)))
+
+
+@query(f"WITH {IDS}, grid AS (SELECT DISTINCT ts FROM typed WHERE ts BETWEEN 1704200000 AND 1705000000), lasts AS (SELECT id, ts, arg_max(value, seq) AS v FROM typed GROUP BY ALL), c AS (SELECT g.ts, i.id, l.v FROM (SELECT ts, id FROM grid CROSS JOIN ids) g JOIN ids i USING (id) ASOF LEFT JOIN lasts l ON g.id = l.id AND g.ts >= l.ts) SELECT ts AS timestamp, " + ", ".join(f"coalesce(max(v) FILTER (id = (SELECT id FROM ids WHERE name = '{t}')), -1.0) AS {t}" for t in TYPES) + " FROM c GROUP BY ts")
+def matrix_export(spark, sf_dir):
+    """A state matrix of a range of time, to which earlier values carry forward; what is missing gets a default."""
+    return sinks.state_matrix(*typed_events(spark, sf_dir), missing="default", default=-1.0, time_range=(1704200000.0, 1705000000.0))
+
+
+_CELLS = "SELECT CAST(n_nationkey AS VARCHAR) AS timestamp_raw, 'n_name' AS variable_name, n_name || ', \"x\"' AS value_raw FROM nation UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'key', CAST(n_regionkey AS VARCHAR) || ' kPa' FROM nation WHERE n_nationkey % 3 <> 0"
 
 
-@query("SELECT event_id, 'props.' || k AS variable, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+@query(_CELLS)
+def csv_parse(spark, sf_dir):
+    """Several CSV files, each with a header; quoted delimiters and quotes, and blank cells."""
+    k = F.col("n_nationkey")
+    rows = read(spark, sf_dir, "nation").select(k.alias("Time"), F.concat("n_name", F.lit(', "x"')).alias("n_name"), F.when(k % 3 != 0, F.concat(F.col("n_regionkey").cast("string"), F.lit(" kPa"))).otherwise("").alias("key"))
+    path = written(rows.repartition(4, "Time"), "csv", header="true", quote='"', escape='"')
+    return readers.read(spark, path, "csv").select("timestamp_raw", "variable_name", "value_raw")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS timestamp_raw, 'at.region' AS variable_name, CAST(n_regionkey AS VARCHAR) AS value_raw FROM nation UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'at.first', CASE WHEN n_regionkey = 0 THEN 'True' ELSE 'False' END FROM nation UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'tags', '[' || n_name || ', a]' FROM nation")
+def json_parse(spark, sf_dir):
+    """JSON lines with nested objects, booleans, lists and nulls."""
+    r = F.col("n_regionkey")
+    rows = read(spark, sf_dir, "nation").select(F.struct(r.alias("region"), (r == 0).alias("first"), F.lit(None).cast("string").alias("none")).alias("at"), F.array("n_name", F.lit("a")).alias("tags"), F.struct(F.col("n_nationkey").alias("Timestamp")).alias("meta"))
+    return readers.read(spark, written(rows.repartition(3), "json"), "json").select("timestamp_raw", "variable_name", "value_raw")
+
+
+@query("SELECT event_id, CAST(event_id AS VARCHAR) AS timestamp_raw, 'props.k' AS variable, json_extract_string(props, '$.k') AS value FROM events")
 def json_flatten(spark, sf_dir):
-    d = read(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"))
-    return d.select("event_id", F.explode("m").alias("k", "value")).select("event_id", F.concat(F.lit("props."), "k").alias("variable"), "value")
+    d = read(spark, sf_dir, "events").select(F.col("event_id").alias("line"), F.struct(F.col("event_id").alias("time")).alias("m"), F.from_json("props", "struct<k:bigint>").alias("props"))
+    return readers.json_rows(d).select(F.col("seq.line").alias("event_id"), "timestamp_raw", F.col("variable_name").alias("variable"), F.col("value_raw").alias("value"))
 
 
 @query("SELECT p_partkey AS seq, 'size' AS variable_name, CAST(p_size AS VARCHAR) AS value_raw FROM part UNION ALL SELECT p_partkey, 'brand', p_brand FROM part")
@@ -102,11 +154,14 @@ def kv_parse(spark, sf_dir):
     return raw.select(F.col("timestamp_raw").cast("bigint").alias("seq"), "variable_name", "value_raw")
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS timestamp_raw, CASE WHEN p_partkey % 3 = 2 THEN 'log_line' ELSE 'Part_size' END AS variable_name, CASE WHEN p_partkey % 3 = 2 THEN 'restart of ' || p_brand ELSE CAST(p_size AS VARCHAR) END AS value_raw, CASE WHEN p_partkey % 3 = 2 THEN NULL WHEN p_partkey % 3 = 1 THEN 'cm' ELSE 'mm' END AS unit_raw FROM part")
+@query("WITH t AS (SELECT p_partkey % 5 AS m, CAST(p_partkey AS VARCHAR) AS k, CAST(p_size AS VARCHAR) AS z, p_brand FROM part) SELECT k AS timestamp_raw, CASE WHEN m < 2 THEN 'Part_size' ELSE 'log_line' END AS variable_name, CASE m WHEN 0 THEN z WHEN 1 THEN z WHEN 2 THEN 'restart of ' || p_brand WHEN 3 THEN 'error code=' || z || ' in module five' ELSE 'job ' || z || ' of queue size: 3 was dropped' END AS value_raw, CASE m WHEN 0 THEN 'mm' WHEN 1 THEN 'cm' END AS unit_raw FROM t")
 def text_parse(spark, sf_dir):
-    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
-    line = F.when(F.col("p_partkey") % 3 == 2, F.concat(key, F.lit(" restart of "), "p_brand")).when(F.col("p_partkey") % 3 == 1, F.concat(key, F.lit(" Part size changed to "), size, F.lit(" cm"))).otherwise(F.concat(key, F.lit(" Part-size: "), size, F.lit("mm")))
-    return readers.parse_text(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("line"), line.alias("value"))).select("timestamp_raw", "variable_name", "value_raw", "unit_raw")
+    """Lines that state a value, and lines that only look like it."""
+    key, size, m = F.col("p_partkey").cast("string"), F.col("p_size").cast("string"), F.col("p_partkey") % 5
+    said = F.when(m == 0, F.concat(F.lit("Part-size: "), size, F.lit("mm"))).when(m == 1, F.concat(F.lit("Part size changed to "), size, F.lit(" cm"))).when(m == 2, F.concat(F.lit("restart of "), "p_brand"))
+    said = said.when(m == 3, F.concat(F.lit("error code="), size, F.lit(" in module five"))).otherwise(F.concat(F.lit("job "), size, F.lit(" of queue size: 3 was dropped")))
+    lines = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("line"), F.concat(key, F.lit(" "), said).alias("value"))
+    return readers.parse_text(lines).select("timestamp_raw", "variable_name", "value_raw", "unit_raw")
 
 
 @query("SELECT p_partkey, CAST(p_size AS VARCHAR) AS number, 'kilopascal' AS unit FROM part")
@@ -122,6 +177,35 @@ def unit_convert(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", to("kPa", "Pa").alias("pascals"), to("degF", "K").alias("kelvins"), to("km/h", "m/s").alias("metres_a_second"), N.convert(v, F.lit("volt"), F.lit("meter")).alias("unchanged"))
 
 
+@query("WITH t AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS v FROM part) SELECT p_partkey, round(v * 0.44704, 6) AS mph, round(v * 0.3048, 6) AS feet, round(v * 0.0254, 6) AS inches, round(v * 0.45359237, 6) AS pounds, round(v / 1000000, 9) AS milligrams, round(v * 101325, 3) AS atmospheres, round(v / 1000, 6) AS milliamperes FROM t")
+def unit_aliases(spark, sf_dir):
+    v = F.col("p_size").cast("double")
+    to = lambda a, b, n=6: F.round(N.convert(v, N.canonical_unit(F.lit(a)), N.canonical_unit(F.lit(b))), n)
+    return read(spark, sf_dir, "part").select("p_partkey", to("mph", "m/s").alias("mph"), to("ft", "m").alias("feet"), to("in", "m").alias("inches"), to("lb", "kg").alias("pounds"), to("mg", "kg", 9).alias("milligrams"), to("atm", "Pa", 3).alias("atmospheres"), to("ma", "A").alias("milliamperes"))
+
+
+@query("SELECT o_orderkey, true AS iso, true AS slashes, true AS number, false AS words, true AS month FROM orders")
+def time_test(spark, sf_dir):
+    """Which texts can be read as times; the month's name only by the lenient reader."""
+    d = F.col("o_orderdate").cast("timestamp")
+    o = read(spark, sf_dir, "orders")
+    return o.select("o_orderkey", N.is_timestamp(F.date_format(d, "yyyy-MM-dd HH:mm:ss")).alias("iso"), N.is_timestamp(F.date_format(d, "yyyy/MM/dd")).alias("slashes"), N.is_timestamp(F.col("o_orderkey").cast("string")).alias("number"), N.is_timestamp(F.concat(F.lit("order "), "o_orderstatus", F.lit(" x"))).alias("words"), N.is_timestamp(F.date_format(d, "MMMM yyyy")).alias("month"))
+
+
+@query("WITH t AS (SELECT 'p_size' AS variable, CAST(p_size + 2 AS VARCHAR) AS t FROM part UNION ALL SELECT 'p_name', p_name FROM part UNION ALL SELECT 'p_brand', p_brand FROM part UNION ALL SELECT 'price', CAST(p_partkey AS VARCHAR) || '.5' FROM part) SELECT variable, count(*) AS n, CASE WHEN variable = 'p_size' THEN 'INTEGER' WHEN variable = 'price' THEN 'FLOAT' WHEN count(DISTINCT t) < 20 OR count(DISTINCT t) < 0.1 * count(*) THEN 'CATEGORICAL' ELSE 'STRING' END AS kind FROM t GROUP BY variable")
+def series_types(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    long = p.select(F.inline(F.array(*[F.struct(F.lit(v).alias("variable"), c.alias("t")) for v, c in (("p_size", (F.col("p_size") + 2).cast("string")), ("p_name", F.col("p_name")), ("p_brand", F.col("p_brand")), ("price", F.concat(F.col("p_partkey").cast("string"), F.lit(".5"))))])))
+    aggs = N.infer_series(N.infer_type(F.col("t")), F.col("t"))
+    return long.groupBy("variable").agg(*[c.alias(n) for n, c in aggs.items()]).select("variable", "n", N.series_type().alias("kind"))
+
+
+@query("SELECT event_id, CASE WHEN value / 100 >= 0.7 THEN 'OBSERVED' WHEN value / 100 >= 0.45 THEN 'PROBABLE' ELSE 'SPECULATIVE' END AS evidence FROM events WHERE value / 100 >= 0.3")
+def evidence_levels(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", (F.col("value") / 100).alias("confidence"))
+    return K.confident(e).select("event_id", S.level(F.col("confidence")).alias("evidence"))
+
+
 _TYPE = "CASE WHEN trim(t) = '' THEN 'STRING' WHEN lower(trim(t)) IN ('true', 'yes', 'on', '1', 'false', 'no', 'off', '0') THEN 'BOOLEAN' WHEN regexp_full_match(trim(t), '[+-]?\\d+') THEN 'INTEGER' WHEN regexp_full_match(trim(t), '[+-]?(\\d+\\.\\d*|\\.\\d+)([eE][+-]?\\d+)?') THEN 'FLOAT' WHEN regexp_matches(trim(t), '\\d{4}[-/]\\d{1,2}[-/]\\d{1,2}') THEN 'TIMESTAMP' ELSE 'STRING' END"
 
 
@@ -202,17 +286,31 @@ def fill_interpolate(spark, sf_dir):
     return A.fill(_gappy(spark, sf_dir), ["v"], "interpolate", partition=["user_id"]).withColumn("v", F.round("v", 6))
 
 
+@query(f"WITH g AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS DOUBLE) AS i FROM ({_DAY})), n AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER p AS pi, last_value(v IGNORE NULLS) OVER p AS pv, first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER f AS ni, first_value(v IGNORE NULLS) OVER f AS nv FROM g WINDOW p AS (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT user_id, ts, round(CASE WHEN v IS NOT NULL THEN v WHEN pi IS NULL OR ni IS NULL THEN NULL ELSE pv + (nv - pv) * (i - pi) / (ni - pi) END, 6) AS v FROM n")
+def fill_by_index(spark, sf_dir):
+    return A.fill(_gappy(spark, sf_dir), ["v"], "interpolate", partition=["user_id"], by_index=True).withColumn("v", F.round("v", 6))
+
+
+@query(f"SELECT ts, last_value(v IGNORE NULLS) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS v FROM ({_DAY})")
+def fill_whole_series(spark, sf_dir):
+    """Forward fill over one series, shared by tasks."""
+    return A.fill(_gappy(spark, sf_dir).drop("user_id"), ["v"], "forward_fill")
+
+
+@query(f"SELECT ts, v FROM ({_DAY})")
+def fill_leave(spark, sf_dir):
+    return A.fill(_gappy(spark, sf_dir).drop("user_id"), ["v"], "leave")
+
+
 @query(f"WITH {FFILL} SELECT ts, " + ", ".join(f"max(value) FILTER (variable = '{t}') AS {t}" for t in TYPES) + " FROM filled GROUP BY ts")
 def state_matrix(spark, sf_dir):
     return A.matrix(A.align(event_values(spark, sf_dir)), TYPES)
 
 
-@query("SELECT name, n, k, n = 0 OR k >= 0.8 * n AS is_numeric FROM (SELECT 'o_orderkey' AS name, count(t) AS n, count(try_cast(t AS DOUBLE)) AS k FROM (SELECT CAST(o_orderkey AS VARCHAR) AS t FROM orders) UNION ALL SELECT 'o_totalprice', count(t), count(try_cast(t AS DOUBLE)) FROM (SELECT CAST(o_totalprice AS VARCHAR) AS t FROM orders) UNION ALL SELECT 'o_orderstatus', count(t), count(try_cast(t AS DOUBLE)) FROM (SELECT o_orderstatus AS t FROM orders))")
+@query("SELECT name FROM (SELECT 'o_orderkey' AS name, count(t) AS n, count(try_cast(t AS DOUBLE)) AS k FROM (SELECT CAST(o_orderkey AS VARCHAR) AS t FROM orders) UNION ALL SELECT 'o_totalprice', count(t), count(try_cast(t AS DOUBLE)) FROM (SELECT CAST(o_totalprice AS VARCHAR) AS t FROM orders) UNION ALL SELECT 'o_orderstatus', count(t), count(try_cast(t AS DOUBLE)) FROM (SELECT o_orderstatus AS t FROM orders) UNION ALL SELECT 'mixed', count(t), count(try_cast(t AS DOUBLE)) FROM (SELECT CASE WHEN o_orderkey % 10 < 1 THEN 'n/a' ELSE '1' END AS t FROM orders)) WHERE n = 0 OR k >= 0.8 * n")
 def numeric_columns(spark, sf_dir):
-    cols = ["o_orderkey", "o_totalprice", "o_orderstatus"]
-    o = read(spark, sf_dir, "orders").select([F.col(c).cast("string").alias(c) for c in cols])
-    row = o.agg(*[F.struct(F.lit(c).alias("name"), F.count(c).alias("n"), F.count(F.col(c).try_cast("double")).alias("k")).alias(c) for c in cols])
-    return row.select(F.inline(F.array(*cols))).withColumn("is_numeric", (F.col("n") == 0) | (F.col("k") >= 0.8 * F.col("n")))
+    o = read(spark, sf_dir, "orders").select(*[F.col(c).cast("string").alias(c) for c in ("o_orderkey", "o_totalprice", "o_orderstatus")], F.when(F.col("o_orderkey") % 10 < 1, "n/a").otherwise("1").alias("mixed"))
+    return spark.createDataFrame([(c,) for c in S.numeric_columns(o)], "name string")
 
 
 # --- statistics ----------------------------------------------------------------------------------------------------
@@ -244,27 +342,17 @@ QUERIES["event_correlation"] = flagship
 SQL["event_correlation"] = f"WITH {_WIDE} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS rows, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, round(corr({a}, {b}), 6) AS r FROM m" for a, b in _EPAIRS)
 
 
-@query(f"WITH {_WIDE}, z AS (SELECT row_number() OVER (ORDER BY ts) AS i, (click - avg(click) OVER ()) / stddev_pop(click) OVER () AS x, (view - avg(view) OVER ()) / stddev_pop(view) OVER () AS y, count(*) OVER () AS n FROM m WHERE click IS NOT NULL AND view IS NOT NULL) SELECT CAST(k AS BIGINT) AS lag, round(sum(a.x * b.y) / any_value(a.n), 6) AS r FROM z a, range(-5, 6) t(k), z b WHERE b.i = a.i + k GROUP BY k")
+@query(f"WITH {_WIDE}, z AS (SELECT row_number() OVER (ORDER BY ts) AS i, (click - avg(click) OVER ()) / stddev_pop(click) OVER () AS x, (view - avg(view) OVER ()) / stddev_pop(view) OVER () AS y, count(*) OVER () AS n FROM m WHERE click IS NOT NULL AND view IS NOT NULL) SELECT 'click' AS a, 'view' AS b, any_value(a.n) AS n, CAST(k AS BIGINT) AS lag, round(sum(a.x * b.y) / any_value(a.n), 6) AS r FROM z a, range(-5, 6) t(k), z b WHERE b.i = a.i + k GROUP BY k")
 def xcorr_lags(spark, sf_dir):
-    """Cross-correlation of two event types at lags -5..5, as sums of shifted products in one window."""
+    """Cross-correlation of two event types at lags -5..5."""
     m, _ = event_matrix(spark, sf_dir)
-    d = m.filter("click IS NOT NULL AND view IS NOT NULL")
-    mom = d.agg(F.avg("click").alias("ma"), F.stddev_pop("click").alias("sa"), F.avg("view").alias("mb"), F.stddev_pop("view").alias("sb"), F.count("*").alias("n"))
-    w = W.Window.orderBy("ts")
-    z = d.crossJoin(F.broadcast(mom)).select("ts", "n", ((F.col("click") - F.col("ma")) / F.col("sa")).alias("x"), ((F.col("view") - F.col("mb")) / F.col("sb")).alias("y"))
-    lags = range(-5, 6)
-    z = z.select("n", *[(F.col("x") * (F.lead("y", k).over(w) if k >= 0 else F.lag("y", -k).over(w))).alias(f"p{k + 5}") for k in lags])
-    one = z.agg(*[(F.sum(f"p{k + 5}") / F.first("n")).alias(f"r{k + 5}") for k in lags])
-    return one.select(F.inline(F.array(*[F.struct(F.lit(k).cast("bigint").alias("lag"), F.round(f"r{k + 5}", 6).alias("r")) for k in lags])))
+    return S.cross_correlations(m, "ts", [("click", "view")], 5).select("a", "b", "n", "lag", F.round("r", 6).alias("r"))
 
 
 @query(f"WITH {_WIDE}, d AS (SELECT ts, click - lag(click) OVER (ORDER BY ts) AS dx, abs(view - lag(view) OVER (ORDER BY ts)) AS dy FROM m WHERE click IS NOT NULL AND view IS NOT NULL), s AS (SELECT ts, dx, dy, avg(dy) OVER (ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 50 FOLLOWING) AS resp, stddev_pop(dx) OVER () AS sd FROM d) SELECT count(*) AS jumps, round(avg(resp), 6) AS response FROM s WHERE abs(dx) / sd > 2.5 AND resp IS NOT NULL")
 def trigger_response(spark, sf_dir):
     m, _ = event_matrix(spark, sf_dir)
-    w = W.Window.orderBy("ts")
-    d = m.filter("click IS NOT NULL AND view IS NOT NULL").select("ts", (F.col("click") - F.lag("click").over(w)).alias("dx"), F.abs(F.col("view") - F.lag("view").over(w)).alias("dy"))
-    s = d.select("dx", F.avg("dy").over(w.rowsBetween(1, 50)).alias("resp")).crossJoin(F.broadcast(d.agg(F.stddev_pop("dx").alias("sd"))))
-    return s.filter("abs(dx) / sd > 2.5 AND resp IS NOT NULL").agg(F.count("*").alias("jumps"), F.round(F.avg("resp"), 6).alias("response"))
+    return S.jump_responses(m, "ts", "click", "view").withColumn("response", F.round("response", 6))
 
 
 @query()
@@ -334,14 +422,31 @@ def contradictions_bidirectional(spark, sf_dir):
     return K.bidirectional(_relations(spark, sf_dir).select("source", "target", F.lit(0.0).alias("lag")).distinct())
 
 
-_FIND = "(SELECT 'click' AS a, 'view' AS b, 'pearson' AS metric, 0.8 AS value UNION ALL SELECT 'error', 'view', 'spearman', -0.7)"
+_FOUND = [("click", "view", "pearson", 0.8), ("click", "view", "spearman", -0.8), ("error", "view", "pearson", -0.7), ("error", "view", "spearman", 0.7), ("purchase", "view", "pearson", 0.6), ("signup", "view", "mutual_information", 0.5)]
+_FIND = "(SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{m}', CAST({v} AS DOUBLE))" for a, b, m, v in _FOUND if m != "mutual_information") + ") f(a, b, metric, value))"
+
+
+def _found(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_FOUND, "a string, b string, metric string, value double")
 
 
 @query(f"WITH r AS (SELECT event_type AS source, 'view' AS target, avg(value) - 50 AS peak FROM events WHERE event_type <> 'view' GROUP BY ALL) SELECT source, target, metric, round(value, 6) AS correlation, round(peak, 6) AS peak, 'medium' AS severity FROM r JOIN {_FIND} f ON least(source, target) = a AND greatest(source, target) = b WHERE sign(peak) <> sign(value)")
 def contradictions_sign(spark, sf_dir):
     r = read(spark, sf_dir, "events").filter("event_type <> 'view'").groupBy(F.col("event_type").alias("source")).agg((F.avg("value") - 50).alias("value")).select("source", F.lit("view").alias("target"), "value", F.lit("cross_correlation").alias("method"))
-    f = spark.createDataFrame([("click", "view", "pearson", 0.8), ("error", "view", "spearman", -0.7)], "a string, b string, metric string, value double")
-    return K.sign_conflicts(f, r).withColumns({c: F.round(c, 6) for c in ("correlation", "peak")})
+    return K.sign_conflicts(_found(spark), r).withColumns({c: F.round(c, 6) for c in ("correlation", "peak")})
+
+
+_RULES = "SELECT event_type AS target, 'view' AS variable, CASE WHEN sum(event_id) % 2 = 0 THEN '>' ELSE '<=' END AS operator, CASE WHEN count(*) % 2 = 0 THEN 'increase' ELSE 'decrease' END AS direction FROM events WHERE event_type <> 'view' GROUP BY ALL"
+
+
+@query(f"WITH r AS ({_RULES}), f AS (SELECT a, b, max(metric) AS metric, arg_max(value, metric) AS value FROM {_FIND} GROUP BY ALL) SELECT target, variable, metric, 'medium' AS severity FROM r JOIN f ON least(target, variable) = a AND greatest(target, variable) = b WHERE ((operator = '>') = (direction = 'increase')) <> (value > 0)")
+def contradictions_rules(spark, sf_dir):
+    """Rules of one condition against the sign of the pair's last correlation; one of two conditions doesn't count."""
+    e = read(spark, sf_dir, "events").filter("event_type <> 'view'").groupBy(F.col("event_type").alias("target")).agg(F.sum("event_id").alias("s"), F.count("*").alias("n"))
+    one = F.struct(F.lit("view").alias("variable"), F.when(F.col("s") % 2 == 0, ">").otherwise("<=").alias("operator"), F.lit(1.0).alias("threshold"))
+    way = F.when(F.col("n") % 2 == 0, "increase").otherwise("decrease")
+    rules = e.select("target", F.array(one).alias("conditions"), way.alias("direction")).union(e.select("target", F.array(one, one), F.lit("increase")))
+    return K.rule_conflicts(_found(spark), rules)
 
 
 _CENTRE = "SELECT l_returnflag AS label, avg(l_quantity) AS l_quantity, avg(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY ALL"
@@ -367,56 +472,69 @@ def stump_trigger(spark, sf_dir):
 _EDGES = f"e AS (SELECT from_mode AS a, to_mode AS b, count(*) AS n FROM ({_MOVES}) WHERE from_mode <> to_mode GROUP BY ALL)"
 
 
-@query(f"WITH RECURSIVE {_EDGES}, walk AS (SELECT [a, b] AS path, n AS weakest FROM e UNION ALL SELECT list_append(path, b), least(weakest, n) FROM walk JOIN e ON path[-1] = a WHERE NOT list_contains(path, b) AND len(path) <= 4) SELECT array_to_string(path, '>') AS path, weakest FROM walk WHERE len(path) = 5")
+@query(f"WITH RECURSIVE {_EDGES}, walk AS (SELECT [a, b] AS path, n AS weakest FROM e UNION ALL SELECT list_append(path, b), least(weakest, n) FROM walk JOIN e ON path[-1] = a WHERE NOT list_contains(path, b) AND len(path) <= 4) SELECT array_to_string(path, '>') AS path, round(0.5 + weakest / 1e6, 9) AS confidence, CAST(len(path) - 1 AS DOUBLE) AS lag FROM walk WHERE len(path) = 5 ORDER BY 0.5 + weakest / 1e6 DESC, path LIMIT 12")
 def influence_chains(spark, sf_dir):
-    """Simple paths of four edges in the graph of event types: self-joins bounded by the paths' length."""
+    """The surest simple paths in the graph of event types, which has a node a type."""
+    return spark.createDataFrame([(">".join(c["path"]), round(c["confidence"], 9), c["lag"]) for c in T.chains(_event_edges(spark, sf_dir))], "path string, confidence double, lag double")
+
+
+def _event_edges(spark: SparkSession, sf_dir: str) -> dict[tuple[str, str], dict]:
     e = read(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("mode"))
-    edges = K.transitions(e, "event_id", partition=["user_id"]).select(F.col("from_mode").alias("a"), F.col("to_mode").alias("b"), "n")
-    walk = edges.select(F.array("a", "b").alias("path"), F.col("n").alias("weakest"))
-    for _ in range(3):
-        walk = walk.join(edges, (F.element_at("path", -1) == F.col("a")) & ~F.array_contains("path", F.col("b"))).select(F.array_append("path", F.col("b")).alias("path"), F.least("weakest", "n").alias("weakest"))
-    return walk.select(F.array_join("path", ">").alias("path"), "weakest")
+    moves = K.transitions(e, "event_id", partition=["user_id"]).collect()
+    rows = [{"source": m.from_mode, "target": m.to_mode, "type": "INFLUENCES", "confidence": 0.5 + m.n / 1e6, "lag": 1.0} for m in moves]
+    # too unsure to count
+    return T.edges_of([*rows, {"source": "click", "target": "nowhere", "type": "INFLUENCES", "confidence": 0.39, "lag": 0.0}], {("click", "view"): -1}, TheorySettings())
 
 
-@query(f"WITH RECURSIVE {_EDGES}, walk AS (SELECT [a, b] AS path, n AS total FROM e WHERE b > a UNION ALL SELECT list_append(path, b), total + n FROM walk JOIN e ON path[-1] = a WHERE NOT list_contains(path, b) AND b > path[1] AND len(path) < 5) SELECT array_to_string(path, '>') AS path, CAST(total + n AS BIGINT) AS total FROM walk JOIN e ON path[-1] = a AND path[1] = b")
+@query(f"WITH RECURSIVE {_EDGES}, walk AS (SELECT [a, b] AS path, n AS total, CASE WHEN least(a, b) = 'click' AND greatest(a, b) = 'view' THEN -1 ELSE 1 END AS sign FROM e WHERE b > a UNION ALL SELECT list_append(path, b), total + n, sign * CASE WHEN least(a, b) = 'click' AND greatest(a, b) = 'view' THEN -1 ELSE 1 END FROM walk JOIN e ON path[-1] = a WHERE NOT list_contains(path, b) AND b > path[1] AND len(path) < 5) SELECT array_to_string(path, '>') AS path, round(0.5 + (total + n) / 1e6 / len(path), 9) AS confidence, CASE WHEN sign * CASE WHEN least(a, b) = 'click' AND greatest(a, b) = 'view' THEN -1 ELSE 1 END > 0 THEN 'positive' ELSE 'negative' END AS polarity FROM walk JOIN e ON path[-1] = a AND path[1] = b")
 def feedback_loops(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("mode"))
-    edges = K.transitions(e, "event_id", partition=["user_id"]).select(F.col("from_mode").alias("a"), F.col("to_mode").alias("b"), "n")
-    walk = edges.filter("b > a").select(F.array("a", "b").alias("path"), F.col("n").alias("total"))
-    out, last = None, F.element_at("path", -1) == F.col("a")
-    for k in range(2, 6):
-        closed = walk.join(edges, last & (F.col("path")[0] == F.col("b"))).select(F.array_join("path", ">").alias("path"), (F.col("total") + F.col("n")).alias("total"))
-        out = closed if out is None else out.union(closed)
-        if k < 5:
-            walk = walk.join(edges, last & ~F.array_contains("path", F.col("b")) & (F.col("b") > F.col("path")[0])).select(F.array_append("path", F.col("b")).alias("path"), (F.col("total") + F.col("n")).alias("total"))
-    return out
-
-
-@query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY ALL")
+    found = T.loops(_event_edges(spark, sf_dir))
+    return spark.createDataFrame([(">".join(x["path"]), round(x["confidence"], 9), x["polarity"]) for x in found], "path string, confidence double, polarity string")
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(1 - abs(corr({a}, {b})), 6) AS distance FROM lineitem" for a, b in _PAIRS))
+def variable_distances(spark, sf_dir):
+    """Distances that subsystems are clustered by."""
+    d = T.distances(NUMBERS, S.pair_moments(read(spark, sf_dir, "lineitem"), NUMBERS).collect())
+    return spark.createDataFrame([(NUMBERS[i], NUMBERS[j], float(round(d[i, j], 6))) for i in range(len(NUMBERS)) for j in range(i + 1, len(NUMBERS))], "a string, b string, distance double")
+
+
+@query(f"WITH {_WIDE}, l AS (SELECT view AS y, lag(click, 3) OVER (ORDER BY ts) AS x FROM m), k AS (SELECT * FROM l WHERE x IS NOT NULL AND y IS NOT NULL) SELECT 'view' AS target, 'click' AS source, CAST(3 AS BIGINT) AS lag, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 5) AS intercept, round(regr_r2(y, x), 8) AS r2 FROM k")
 def ols_single(spark, sf_dir):
-    y, x = F.col("l_extendedprice"), F.col("l_quantity")
-    return read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.regr_slope(y, x), 6).alias("slope"), F.round(F.regr_intercept(y, x), 4).alias("intercept"), F.round(F.regr_r2(y, x), 6).alias("r2"))
+    """A regression of one event type on another, three rows earlier."""
+    m, _ = event_matrix(spark, sf_dir)
+    (e,) = T.equations(m, "ts", {("click", "view"): {"confidence": 0.9, "lag": 3.0, "sign": 1}}, [], TheorySettings(min_r2=-1.0, max_degree=1))
+    return spark.createDataFrame([(e["target"], e["sources"][0], e["lags"][0], round(e["coef"][0], 6), round(e["intercept"], 5), round(e["r2"], 8))], "target string, source string, lag bigint, slope double, intercept double, r2 double")
 
 
 @query("SELECT round(regr_slope(p, q), 6) AS slope, round(regr_intercept(p, q), 3) AS intercept, round(regr_r2(p, q), 6) AS r2 FROM (SELECT avg(l_extendedprice) AS p, avg(l_quantity) AS q FROM lineitem GROUP BY l_returnflag, l_linestatus)")
 def centroid_fit(spark, sf_dir):
-    c = read(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.avg("l_extendedprice").alias("p"), F.avg("l_quantity").alias("q"))
-    y, x = F.col("p"), F.col("q")
-    return c.agg(F.round(F.regr_slope(y, x), 6).alias("slope"), F.round(F.regr_intercept(y, x), 3).alias("intercept"), F.round(F.regr_r2(y, x), 6).alias("r2"))
+    """A regression on the centroids of a few modes."""
+    rows = read(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.avg("l_extendedprice").alias("p"), F.avg("l_quantity").alias("q")).collect()
+    (e,) = T.equations(spark.createDataFrame([], "ts double"), "ts", {("q", "p"): {"confidence": 0.9, "lag": 0.0, "sign": 1}}, [{"centroid": {"p": r.p, "q": r.q}} for r in rows], TheorySettings(min_r2=-1.0))
+    return spark.createDataFrame([(round(e["coef"][0], 6), round(e["intercept"], 3), round(e["r2"], 6))], "slope double, intercept double, r2 double")
 
 
-@query()
+@query("WITH m AS (SELECT avg(l_quantity) AS mx, avg(l_discount) AS my, avg(l_tax) AS mz, avg(l_extendedprice) AS mp, covar_pop(l_quantity, l_quantity) AS xx, covar_pop(l_quantity, l_discount) AS xy, covar_pop(l_quantity, l_tax) AS xz, covar_pop(l_discount, l_discount) AS yy, covar_pop(l_discount, l_tax) AS yz, covar_pop(l_tax, l_tax) AS zz, covar_pop(l_quantity, l_extendedprice) AS xp, covar_pop(l_discount, l_extendedprice) AS yp, covar_pop(l_tax, l_extendedprice) AS zp FROM lineitem), c AS (SELECT *, (xp*(yy*zz-yz*yz)-xy*(yp*zz-yz*zp)+xz*(yp*yz-yy*zp))/(xx*(yy*zz-yz*yz)-xy*(xy*zz-yz*xz)+xz*(xy*yz-yy*xz)) AS b_x, (xx*(yp*zz-yz*zp)-xp*(xy*zz-yz*xz)+xz*(xy*zp-yp*xz))/(xx*(yy*zz-yz*yz)-xy*(xy*zz-yz*xz)+xz*(xy*yz-yy*xz)) AS b_y, (xx*(yy*zp-yp*yz)-xy*(xy*zp-yp*xz)+xp*(xy*yz-yy*xz))/(xx*(yy*zz-yz*yz)-xy*(xy*zz-yz*xz)+xz*(xy*yz-yy*xz)) AS b_z FROM m) SELECT 'intercept' AS term, round(mp - b_x * mx - b_y * my - b_z * mz, 3) AS coefficient FROM c UNION ALL SELECT 'l_quantity', round(b_x, 3) FROM c UNION ALL SELECT 'l_discount', round(b_y, 3) FROM c UNION ALL SELECT 'l_tax', round(b_z, 3) FROM c")
 def ols_multiple(spark, sf_dir):
     """A regression with three predictors from sums of products of the whole table."""
     xs = ["l_quantity", "l_discount", "l_tax"]
     fit = T.ols_gram(*T.gram(read(spark, sf_dir, "lineitem"), xs, "l_extendedprice"))
-    return spark.createDataFrame([(x, float(round(c, 6)), float(p)) for x, c, p in zip(["intercept", *xs], [fit["intercept"], *fit["coef"]], [0.0, *fit["p"]], strict=True)], "term string, coefficient double, p double")
+    return spark.createDataFrame([(x, float(round(c, 3))) for x, c in zip(["intercept", *xs], [fit["intercept"], *fit["coef"]], strict=True)], "term string, coefficient double")
 
 
-@query("SELECT median(d) AS dt FROM (SELECT (epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts, event_id)) / 1e6 AS d FROM events)")
+@query("SELECT round(median(d), 6) AS dt FROM (SELECT (epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts, event_id)) / 1e6 AS d FROM events)")
 def dt_median(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id")
-    return e.select(((F.col("t") - F.lag("t").over(W.Window.orderBy("t", "event_id"))) / F.lit(1e6)).alias("d")).agg(F.median("d").alias("dt"))
+    e = read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    return spark.createDataFrame([(round(T.median_step(e, "ts", ["event_id"]), 6),)], "dt double")
+
+
+@query("SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS start, event_type AS variable, count(value) AS n, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high, arg_max(value, ts) AS last FROM events GROUP BY ALL")
+def hourly_summaries(spark, sf_dir):
+    """What the stream's windows give for a table that is there as a whole."""
+    e = read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("variable"), "value")
+    out = ingest.summaries(e).withColumn("mean", F.round("mean", 6))
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("WITH RECURSIVE s AS (SELECT CAST(n_nationkey AS BIGINT) AS scenario, 0 AS step, CAST(n_nationkey AS DOUBLE) AS u, 0.0::DOUBLE AS y FROM nation UNION ALL SELECT scenario, step + 1, u, 0.5 * y + u FROM s WHERE step < 20) SELECT scenario, CAST(step AS BIGINT) AS step, round(y, 6) AS y FROM s WHERE step > 0")
