@@ -90,16 +90,18 @@ def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text", len
                 row = pa.array(row)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), _signed(seed), _signed(whole), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["k", "t", "seed", "whole", "at", "n"])
 
+    # adaptive execution splits the rows of a hot seed only if both sides of a join are shuffled for it; an aggregate by seed
+    # that is joined back by seed would be taken as it lies, so these joins go by the seed's complement
     runs = keyed.mapInArrow(seeds, f"k {kind}, t bigint, seed bigint, whole bigint, at int, n int")
-    often = runs.groupBy("seed").count().filter("count > 1").select(F.col("seed").alias("s"))
-    again = saved(runs.join(often, F.col("seed") == F.col("s")).drop("s"))
-    reach = again.groupBy("seed").agg(F.min("whole").alias("lo"), F.max("whole").alias("hi")).select(F.col("seed").alias("s"), (F.col("lo") == F.col("hi")).alias("alike"))
-    again = saved(again.join(reach, F.col("seed") == F.col("s")).drop("s"), again)
+    often = runs.groupBy("seed").count().filter("count > 1").select(F.bitwise_not("seed").alias("s"))
+    again = saved(runs.join(often, F.bitwise_not("seed") == F.col("s")).drop("s"))
+    reach = again.groupBy("seed").agg(F.min("whole").alias("lo"), F.max("whole").alias("hi")).select(F.bitwise_not("seed").alias("s"), (F.col("lo") == F.col("hi")).alias("alike"))
+    again = saved(again.join(reach, F.bitwise_not("seed") == F.col("s")).drop("s"), again)
     # runs whose anchor also has other reaches or words around it: those that occur again as a whole stand
     mixed = again.filter("not alike")
     wholes = mixed.groupBy("seed", "whole").agg(F.count("*").alias("c"), F.min(F.struct("k", "t", "at")).alias("one"))
-    wholes = wholes.select(F.col("seed").alias("s"), F.col("whole").alias("w"), "c", "one")
-    mixed = mixed.join(wholes, (F.col("seed") == F.col("s")) & (F.col("whole") == F.col("w"))).drop("s", "w")
+    wholes = wholes.select(F.bitwise_not("seed").alias("s"), F.col("whole").alias("w"), "c", "one")
+    mixed = mixed.join(wholes, (F.bitwise_not("seed") == F.col("s")) & (F.col("whole") == F.col("w"))).drop("s", "w")
     # one of the equal runs speaks for all of them when windows are counted
     mixed = mixed.withColumn("speaks", F.col("one").eqNullSafe(F.struct("k", "t", "at"))).drop("one")
     apart = mixed.filter("speaks").groupBy("k", "t").agg(F.collect_list(F.struct("at", "n", "seed", "c")).alias("runs"))
@@ -123,8 +125,8 @@ def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text", len
                 yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[i], len(of)), pa.repeat(b.column(1)[i], len(of)), _signed(one[start]), _signed(two[start] ^ seed[of].view(np.uint64)), pa.array(start.astype(np.int32)), pa.array(np.minimum(c[of], 2).astype(np.int32))], ["k", "t", "one", "two", "at", "c"])
 
     parts = saved(texts.mapInArrow(windows, f"k {kind}, t bigint, one bigint, two bigint, at int, c int"))
-    seen = parts.groupBy("one", "two").agg(F.sum("c").alias("total")).filter("total > 1").select(F.col("one").alias("o"), F.col("two").alias("w"))
-    hit = parts.filter("c = 1").join(seen, (F.col("one") == F.col("o")) & (F.col("two") == F.col("w"))).select("k", "t", "at", F.lit(1).alias("n"))
+    seen = parts.groupBy("one", "two").agg(F.sum("c").alias("total")).filter("total > 1").select(F.bitwise_not("one").alias("o"), F.col("two").alias("w"))
+    hit = parts.filter("c = 1").join(seen, (F.bitwise_not("one") == F.col("o")) & (F.col("two") == F.col("w"))).select("k", "t", "at", F.lit(1).alias("n"))
     stand = again.filter("alike").select("k", "t", "at", "n").union(mixed.filter("c > 1").select("k", "t", "at", "n"))
     return stand.union(hit).groupBy("k", "t").agg(F.collect_list(F.struct("at", "n")).alias("spans")).select(F.col("k").alias(key), "t", "spans")
 
