@@ -55,7 +55,7 @@ def shuffle(df: DataFrame, seed: int = 20, bucket_bytes: int = BUCKET_BYTES, tex
     replaced. Rows with nulls, empty texts and repeats are rows like others; an empty table stays empty."""
     spark = df.sparkSession
     df = df.drop(place)
-    bucket, key, at, b, before = _names(df, "bucket", "key", "at", "b", "before")
+    bucket, key, b, before = _names(df, "bucket", "key", "b", "before")
     size = F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(64)
     total = df.agg(F.sum(size)).first()[0] or 0
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // bucket_bytes))
@@ -65,15 +65,16 @@ def shuffle(df: DataFrame, seed: int = 20, bucket_bytes: int = BUCKET_BYTES, tex
     placed.repartition(F.col(bucket)).write.parquet(path)
     first = spark.read.parquet(path)
     start = _before(first.groupBy(bucket).agg(F.count("*").alias("n")), bucket, "n").toDF(b, before)
-    out = T.StructType([*first.schema.fields, T.StructField(at, T.LongType())])
+    kept = [f for f in first.schema.fields if f.name not in (bucket, key)]
 
-    def mixed(t: pa.Table) -> pa.Table:
+    def mixed(t: pa.Table, lead: pa.Table) -> pa.Table:
         t = t.sort_by(key)
         order = fisher_yates(t.num_rows, seed, t.column(bucket)[0].as_py())
-        return t.append_column(at, pa.array(order, pa.int64()))
+        return t.drop_columns([bucket, key]).append_column(place, pa.array(order + lead.column(before)[0].as_py(), pa.int64()))
 
-    done = first.groupBy(bucket).applyInArrow(mixed, out).join(start, F.col(bucket) == F.col(b))
-    return done.withColumn(place, F.col(before) + F.col(at)).drop(bucket, key, at, b, before)
+    # a bucket and its first place come together by one shuffle of the written rows
+    both = first.groupBy(bucket).cogroup(start.groupBy(b))
+    return both.applyInArrow(mixed, T.StructType([*kept, T.StructField(place, T.LongType())]))
 
 
 def into_shards(df: DataFrame, shards: int, seed: int = 20, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
