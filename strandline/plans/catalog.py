@@ -345,13 +345,15 @@ SQL["event_correlation"] = f"WITH {_WIDE} " + " UNION ALL ".join(f"SELECT '{a}'
 @query(f"WITH {_WIDE}, z AS (SELECT row_number() OVER (ORDER BY ts) AS i, (click - avg(click) OVER ()) / stddev_pop(click) OVER () AS x, (view - avg(view) OVER ()) / stddev_pop(view) OVER () AS y, count(*) OVER () AS n FROM m WHERE click IS NOT NULL AND view IS NOT NULL) SELECT 'click' AS a, 'view' AS b, any_value(a.n) AS n, CAST(k AS BIGINT) AS lag, round(sum(a.x * b.y) / any_value(a.n), 6) AS r FROM z a, range(-5, 6) t(k), z b WHERE b.i = a.i + k GROUP BY k")
 def xcorr_lags(spark, sf_dir):
     """Cross-correlation of two event types at lags -5..5."""
-    m, _ = event_matrix(spark, sf_dir)
+    # the kernel reads the matrix several times, as discovery does
+    m = event_matrix(spark, sf_dir)[0].cache()
     return S.cross_correlations(m, "ts", [("click", "view")], 5).select("a", "b", "n", "lag", F.round("r", 6).alias("r"))
 
 
 @query(f"WITH {_WIDE}, d AS (SELECT ts, click - lag(click) OVER (ORDER BY ts) AS dx, abs(view - lag(view) OVER (ORDER BY ts)) AS dy FROM m WHERE click IS NOT NULL AND view IS NOT NULL), s AS (SELECT ts, dx, dy, avg(dy) OVER (ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 50 FOLLOWING) AS resp, stddev_pop(dx) OVER () AS sd FROM d) SELECT count(*) AS jumps, round(avg(resp), 6) AS response FROM s WHERE abs(dx) / sd > 2.5 AND resp IS NOT NULL")
 def trigger_response(spark, sf_dir):
-    m, _ = event_matrix(spark, sf_dir)
+    # the kernel reads the matrix several times, as discovery does
+    m = event_matrix(spark, sf_dir)[0].cache()
     return S.jump_responses(m, "ts", "click", "view").withColumn("response", F.round("response", 6))
 
 
@@ -502,7 +504,8 @@ def variable_distances(spark, sf_dir):
 @query(f"WITH {_WIDE}, l AS (SELECT view AS y, lag(click, 3) OVER (ORDER BY ts) AS x FROM m), k AS (SELECT * FROM l WHERE x IS NOT NULL AND y IS NOT NULL) SELECT 'view' AS target, 'click' AS source, CAST(3 AS BIGINT) AS lag, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 5) AS intercept, round(regr_r2(y, x), 8) AS r2 FROM k")
 def ols_single(spark, sf_dir):
     """A regression of one event type on another, three rows earlier."""
-    m, _ = event_matrix(spark, sf_dir)
+    # the kernel reads the matrix several times, as discovery does
+    m = event_matrix(spark, sf_dir)[0].cache()
     (e,) = T.equations(m, "ts", {("click", "view"): {"confidence": 0.9, "lag": 3.0, "sign": 1}}, [], TheorySettings(min_r2=-1.0, max_degree=1))
     return spark.createDataFrame([(e["target"], e["sources"][0], e["lags"][0], round(e["coef"][0], 6), round(e["intercept"], 5), round(e["r2"], 8))], "target string, source string, lag bigint, slope double, intercept double, r2 double")
 
