@@ -39,7 +39,9 @@ def _numbered(df: DataFrame, of_file: bool = True) -> DataFrame:
 def _raw(df: DataFrame, time: Column, pairs: Column, source: str, unit: Column | None = None) -> DataFrame:
     """Raw observations of lines; pairs is array<struct<name, value>>, blank values fall away."""
     file, start = (F.col(c) if c in df.columns else F.lit(d).cast(t) for c, d, t in (("file", "", "string"), ("start", 0, "bigint")))
-    out = df.select(file.alias("_file"), start.alias("_start"), F.col("line").cast("bigint").alias("_line"), time.alias("timestamp_raw"), F.posexplode(pairs).alias("_k", "_p"), (unit if unit is not None else F.lit(None).cast("string")).alias("unit_raw"))
+    # a line's time and unit are worked out below the explode, not once more for each of its pairs
+    lines = df.select(file.alias("_file"), start.alias("_start"), F.col("line").cast("bigint").alias("_line"), time.alias("timestamp_raw"), pairs.alias("_all"), (unit if unit is not None else F.lit(None).cast("string")).alias("unit_raw"))
+    out = lines.select("_file", "_start", "_line", "timestamp_raw", F.posexplode("_all").alias("_k", "_p"), "unit_raw")
     out = out.filter(F.trim(F.col("_p.value")) != "")
     seq = F.struct(F.col("_file").alias("source"), F.col("_start").alias("start"), F.col("_line").alias("line"), F.col("_k").alias("place"))
     return out.select(seq.alias("seq"), "timestamp_raw", F.col("_p.name").alias("variable_name"), F.trim(F.col("_p.value")).alias("value_raw"), F.lit(source).alias("source"), "unit_raw")
@@ -121,8 +123,12 @@ def kv_pairs(line: Column, s: ParserSettings) -> Column:
     clean = lambda c: F.regexp_replace(F.trim(c), r"^[\"'](.*)[\"']$", "$1")
     pair = lambda p: F.transform(F.array(F.split(p, sep, 2)), lambda x: F.struct(clean(x[0]).alias("name"), clean(x[1]).alias("value")))[0]
     # in one-element arrays, so that pairs are worked out once and not for each look at them
-    last = lambda ps: F.filter(ps, lambda p, i: F.array_position(F.slice(F.transform(ps, lambda q: q["name"]), i + 2, F.size(ps)), p["name"]) == 0)
-    return F.transform(F.array(F.transform(parts, pair)), lambda ps: F.when(F.size(F.array_distinct(F.transform(ps, lambda q: q["name"]))) == F.size(ps), ps).otherwise(last(ps)))[0]
+    once = lambda c, f: F.transform(F.array(c), f)[0]
+    part = lambda *names: lambda p: F.struct(*[p[n].alias(n) for n in names])
+    ends = lambda qs: F.filter(qs, lambda q, i: (i == F.size(qs) - 1) | (F.get(qs, i + 1)["name"] != q["name"]))
+    placed = lambda ps: F.array_sort(F.transform(ps, lambda p, i: F.struct(p["name"].alias("name"), i.alias("place"), p["value"].alias("value"))))
+    last = lambda ps: F.transform(F.array_sort(F.transform(once(placed(ps), ends), part("place", "name", "value"))), part("name", "value"))
+    return once(F.transform(parts, pair), lambda ps: F.when(F.size(F.array_distinct(F.transform(ps, lambda q: q["name"]))) == F.size(ps), ps).otherwise(last(ps)))
 
 
 def parse_kv(lines: DataFrame, settings: ParserSettings | None = None, source: str = "kv") -> DataFrame:
@@ -132,7 +138,9 @@ def parse_kv(lines: DataFrame, settings: ParserSettings | None = None, source: s
     is_time = (lambda p: p["name"] == s.timestamp_column) if s.timestamp_column else (lambda p: F.lower(p["name"]).isin(*TIME_NAMES))
     time = F.try_element_at(F.filter("_pairs", is_time), F.lit(1))["value"]
     first = F.try_element_at(F.filter("_pairs", is_time), F.lit(1))["name"]
-    return _raw(df, time, F.filter("_pairs", lambda p: ~p["name"].eqNullSafe(first)), source)
+    # the time's name is bound before the pairs are gone through, or each pair would look for it again
+    others = F.transform(F.array(first), lambda name: F.filter("_pairs", lambda p: ~p["name"].eqNullSafe(name)))[0]
+    return _raw(df, time, others, source)
 
 
 MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec"

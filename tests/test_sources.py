@@ -60,6 +60,13 @@ def test_order_of_very_far_partitions_and_wide_lines(spark):
     assert names == ["a", "b", *[f"v{i}" for i in range(5000)]]
 
 
+def test_last_of_equal_keys_wins(spark):
+    wide = ",".join(f"k{i % 4000}={i}" for i in range(5000))
+    got = readers.read(spark, ["b=1,a=2,b=3,time=7,c=,a=4", wide], "kv").orderBy("seq").collect()
+    assert [(r.timestamp_raw, r.variable_name, r.value_raw) for r in got[:2]] == [("7", "b", "3"), ("7", "a", "4")]
+    assert [(r.variable_name, r.value_raw) for r in got[2:]] == [(f"k{i % 4000}", str(i)) for i in range(1000, 5000)]
+
+
 def test_a_format_of_ones_own(spark, tmp_path):
     def parse(spark, path, settings):
         df = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", r"\|", "=").alias("value"))
