@@ -159,6 +159,8 @@ class Pipeline:
     def __init__(self, spark: SparkSession, settings: IngestSettings | None = None):
         self.spark, self.settings = spark, settings or IngestSettings()
         self._raw: list[DataFrame] = []
+        self._typed: tuple[DataFrame, DataFrame] | None = None
+        self._kept: list[DataFrame] = []
 
     def ingest(self, source: str | list[str], format_name: str | None = None) -> DataFrame:
         """Adds a source's raw rows and returns them; rows of later sources come later."""
@@ -167,12 +169,26 @@ class Pipeline:
             parser = replace(parser, timestamp_column=self.settings.timestamp_column)
         raw = readers.read(self.spark, source, format_name, parser)
         self._raw.append(raw.withColumn("seq", F.struct(F.lit(len(self._raw)).alias("batch"), F.col("seq").alias("at"))))
+        self.release()
         return raw
 
     def observations(self) -> tuple[DataFrame, DataFrame]:
+        """(observations, registry) of all sources. Typing and exports look at their input many times, so raw rows, typed
+        rows and registry are kept by the executors (in memory, else on disk) until the next source or release()."""
         if not self._raw:
             raise ValueError("nothing has been ingested")
-        return observations(reduce(DataFrame.unionByName, self._raw), self.settings)
+        if self._typed is None:
+            raw = reduce(DataFrame.unionByName, self._raw).persist()
+            obs, reg = observations(raw, self.settings)
+            self._typed = obs.persist(), reg.persist()
+            self._kept = [raw, *self._typed]
+        return self._typed
+
+    def release(self) -> None:
+        """Frees what observations() keeps; tables that it returned are worked out anew when they are used."""
+        for x in self._kept:
+            x.unpersist()
+        self._typed, self._kept = None, []
 
     def export(self, mode: str, path: str, export: ExportSettings | None = None) -> None:
         sinks.export(*self.observations(), mode, path, export or ExportSettings.of(self.settings))
