@@ -39,9 +39,7 @@ def _numbered(df: DataFrame, of_file: bool = True) -> DataFrame:
 def _raw(df: DataFrame, time: Column, pairs: Column, source: str, unit: Column | None = None) -> DataFrame:
     """Raw observations of lines; pairs is array<struct<name, value>>, blank values fall away."""
     file, start = (F.col(c) if c in df.columns else F.lit(d).cast(t) for c, d, t in (("file", "", "string"), ("start", 0, "bigint")))
-    # a line's time and unit are worked out below the explode, not once more for each of its pairs
-    lines = df.select(file.alias("_file"), start.alias("_start"), F.col("line").cast("bigint").alias("_line"), time.alias("timestamp_raw"), pairs.alias("_all"), (unit if unit is not None else F.lit(None).cast("string")).alias("unit_raw"))
-    out = lines.select("_file", "_start", "_line", "timestamp_raw", F.posexplode("_all").alias("_k", "_p"), "unit_raw")
+    out = df.select(file.alias("_file"), start.alias("_start"), F.col("line").cast("bigint").alias("_line"), time.alias("timestamp_raw"), F.posexplode(pairs).alias("_k", "_p"), (unit if unit is not None else F.lit(None).cast("string")).alias("unit_raw"))
     out = out.filter(F.trim(F.col("_p.value")) != "")
     seq = F.struct(F.col("_file").alias("source"), F.col("_start").alias("start"), F.col("_line").alias("line"), F.col("_k").alias("place"))
     return out.select(seq.alias("seq"), "timestamp_raw", F.col("_p.name").alias("variable_name"), F.trim(F.col("_p.value")).alias("value_raw"), F.lit(source).alias("source"), "unit_raw")
@@ -140,7 +138,8 @@ def parse_kv(lines: DataFrame, settings: ParserSettings | None = None, source: s
     first = F.try_element_at(F.filter("_pairs", is_time), F.lit(1))["name"]
     # the time's name is bound before the pairs are gone through, or each pair would look for it again
     others = F.transform(F.array(first), lambda name: F.filter("_pairs", lambda p: ~p["name"].eqNullSafe(name)))[0]
-    return _raw(df, time, others, source)
+    # and the time is a column of its own below the explode, or it would be worked out once for each pair
+    return _raw(df.withColumn("_time", time), F.col("_time"), others, source)
 
 
 MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec"
