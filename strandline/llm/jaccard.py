@@ -349,14 +349,16 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3,
 
     A row without words has no shingles, no links and its own key as component_id. Null keys are passed over in the
     minimum; repeated rows are one node and each come out. An empty table gives none."""
-    base = saved(nodes(df.select(key, text), text, n))
-    roots = connected(df, base, text, n, percent, bins).select(F.col("node").alias("member"), "root")
+    name, key = key, "key"
+    df = df.select(F.col(name).alias(key), F.col(text).alias("text"))
+    base = saved(nodes(df, "text", n))
+    roots = connected(df, base, "text", n, percent, bins).select(F.col("node").alias("member"), "root")
     least = base.filter("n_shingles > 0").groupBy("node").agg(F.min(key).alias("low"))
     joined = least.join(roots, F.col("node") == F.col("member"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     whole = joined.groupBy("root").agg(F.min("low").alias("component_id")).withColumnRenamed("root", "r")
     named = saved(joined.join(whole, F.col("root") == F.col("r")).select(F.col("node").alias("member"), "component_id"))
     out = base.join(named, F.col("node") == F.col("member"), "left")
-    return out.select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
+    return out.select(F.col(key).alias(name), "n_shingles", F.coalesce("component_id", key).alias("component_id"))
 
 
 def identity(key: str, text: str) -> F.Column:
@@ -367,7 +369,9 @@ def identity(key: str, text: str) -> F.Column:
 def survivors(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90, bins: int = BINS) -> DataFrame:
     """(kept): identity() of one row of each component, that of the least key, nulls last, then of the least identity. A text
     without words has no links: each of those rows is kept, repeats of both key and text once."""
-    base = saved(nodes(df.select(key, identity(key, text).alias("name"), text), text, n))
+    df = df.select(F.col(key).alias("key"), identity(key, text).alias("name"), F.col(text).alias("text"))
+    key, text = "key", "text"
+    base = saved(nodes(df, text, n))
     roots = connected(df, base, text, n, percent, bins).select(F.col("node").alias("member"), "root")
     least = base.filter("n_shingles > 0").groupBy("node").agg(F.min(F.struct(F.isnull(key).alias("nameless"), key, "name")).alias("low"))
     joined = least.join(roots, F.col("node") == F.col("member"), "left").select("low", F.coalesce("root", "node").alias("root"))

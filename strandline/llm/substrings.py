@@ -52,10 +52,10 @@ def _anchors(h: np.ndarray, doc: np.ndarray, first: np.ndarray, length: int, k:
 def _seeds_of(text: pa.Array, length: int, k: int):
     """For each slice: row of each owned run, anchor hash, hash of the whole run, first window (word in its row), windows."""
     for at, _, data, bounds in slices(text):
-        w = words_of(data, bounds)
+        w = words_of(data, bounds, two=True)
         a, s, e = _anchors(w.h, w.doc, w.first, length, k)
         if len(a):
-            seed = window_hash(w.h, k, 1)[a]
+            seed = window_hash(w.h2, k, 1)[a]
             whole = span_hash(w.h, s, e + length) ^ (a - s).astype(np.uint64) * U64(0x9E3779B97F4A7C15)
             yield at + w.doc[a], seed, whole, s - w.first[w.doc[a]], e - s + 1
 
@@ -104,7 +104,8 @@ def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text", len
     mixed = mixed.join(wholes, (F.bitwise_not("seed") == F.col("s")) & (F.col("whole") == F.col("w"))).drop("s", "w")
     # one of the equal runs speaks for all of them when windows are counted
     mixed = mixed.withColumn("speaks", F.col("one").eqNullSafe(F.struct("k", "t", "at"))).drop("one")
-    apart = mixed.filter("speaks").groupBy("k", "t").agg(F.collect_list(F.struct("at", "n", "seed", "c")).alias("runs"))
+    # as sets, since rows that repeat key and text say the same
+    apart = mixed.filter("speaks").groupBy("k", "t").agg(F.collect_set(F.struct("at", "n", "seed", "c")).alias("runs"))
     packed = _packed(df.select(F.col(key).alias("k"), text), "k", text).withColumnsRenamed({"k": "k2", "t": "t2"}).dropDuplicates(["k2", "t2"])
     texts = apart.join(packed, F.col("k").eqNullSafe(F.col("k2")) & (F.col("t") == F.col("t2"))).select("k", "t", "runs", "z")
 
@@ -115,20 +116,20 @@ def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text", len
         for b in batches:
             for i in range(b.num_rows):
                 data = np.frombuffer(d.decompress(b.column(3)[i].as_py()), np.uint8)
-                w = words_of(data, np.array([0, len(data)]))
+                w = words_of(data, np.array([0, len(data)]), two=True)
                 r = b.column(2)[i].values
                 at, n, seed, c = (np.asarray(r.field(x)) for x in ("at", "n", "seed", "c"))
-                one, two = window_hash(w.h, length), window_hash(w.h, length, 1)
+                one, two = window_hash(w.h, length), window_hash(w.h2, length, 1)
                 of = np.repeat(np.arange(len(at)), n)
                 start = at[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-                # two independent hashes: 128 bits stand for the words of a window
+                # two independent hashes of words and windows: over 120 bits stand for the words of a window
                 yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[i], len(of)), pa.repeat(b.column(1)[i], len(of)), _signed(one[start]), _signed(two[start] ^ seed[of].view(np.uint64)), pa.array(start.astype(np.int32)), pa.array(np.minimum(c[of], 2).astype(np.int32))], ["k", "t", "one", "two", "at", "c"])
 
     parts = saved(texts.mapInArrow(windows, f"k {kind}, t bigint, one bigint, two bigint, at int, c int"))
     seen = parts.groupBy("one", "two").agg(F.sum("c").alias("total")).filter("total > 1").select(F.bitwise_not("one").alias("o"), F.col("two").alias("w"))
     hit = parts.filter("c = 1").join(seen, (F.bitwise_not("one") == F.col("o")) & (F.col("two") == F.col("w"))).select("k", "t", "at", F.lit(1).alias("n"))
     stand = again.filter("alike").select("k", "t", "at", "n").union(mixed.filter("c > 1").select("k", "t", "at", "n"))
-    return stand.union(hit).groupBy("k", "t").agg(F.collect_list(F.struct("at", "n")).alias("spans")).select(F.col("k").alias(key), "t", "spans")
+    return stand.union(hit).groupBy("k", "t").agg(F.collect_set(F.struct("at", "n")).alias("spans")).select(F.col("k").alias(key), "t", "spans")
 
 
 def _kept(data: bytes, at: np.ndarray, n: np.ndarray, length: int) -> tuple[int, int, list[bytes]]:
