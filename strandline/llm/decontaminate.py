@@ -7,19 +7,20 @@ item shorter than that counts when all of it has been read. States carry the ite
 
 from __future__ import annotations
 
+import itertools
 import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.common import dropped, plus, saved, table, tune
 from strandline.llm.textkit import LOWER, NOT_ALNUM
 
 #: Characters of items in one automaton (about 200 bytes of a worker's memory each). More items make more automata, and
-#: the documents pass through each in turn.
+#: the documents' texts are read for each in turn.
 AUTOMATON_CHARS = 2_000_000
 _TO = bytes(32 if NOT_ALNUM[b] else LOWER[b] for b in range(256))
 
@@ -142,11 +143,11 @@ class Automaton:
         return spans, items, longest
 
 
-def build(items: list[tuple[str | None, str | None]], window: int) -> bytes:
-    """The automaton of (id, text) rows, packed; items without words are left out."""
+def build(items: list[tuple[str | None, list[bytes]]], window: int) -> bytes:
+    """The automaton of (id, words) rows, packed; items without words are left out."""
     import zstandard
 
-    held = sorted(((name, words) for name, t in items if (words := norm_words(t))), key=lambda x: (x[0] is not None, x[0] or "", x[1]))
+    held = sorted(((name, words) for name, words in items if words), key=lambda x: (x[0] is not None, x[0] or "", x[1]))
     return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(Automaton(held, window), protocol=5))
 
 
@@ -163,18 +164,51 @@ def opened(name: str, packed: bytes) -> Automaton:
     return _LAST[1]
 
 
+def cut_item(words: list[bytes], chars: int, window: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(characters, words) of pieces of an item, of about chars characters at most: each begins with the last window - 1
+    words of the one before, so that all of the item's windows are in one of them. An item of fewer words stays whole."""
+    at = 0
+    while True:
+        size, end = 0, at
+        while end < len(words) and (size < chars or end - at < 2 * window):
+            size, end = size + len(words[end]) + 1, end + 1
+        yield size, words[at:end]
+        if end >= len(words):
+            return
+        at = end - window + 1
+
+
 def automata(items: DataFrame, key: str = "item_id", text: str = "text", window: int = 10, chars: int = AUTOMATON_CHARS) -> Iterator[tuple[bytes, bool]]:
     """(packed automaton, is it the last) of parts of about chars characters of the items, at least one. Parts are built by
-    executors and written to the shared folder; the driver holds one of them at a time."""
-    total = items.agg(F.sum(F.char_length(text))).first()[0] or 0
-    parts = max(1, -(-int(total) // chars))
-    keyed = items.select(F.pmod(F.xxhash64(key, text), F.lit(parts)).alias("part"), F.col(key).cast("string").alias("k"), F.col(text).alias("t"))
+    executors and written to the shared folder; the driver holds one of them at a time.
+
+    Items that repeat both id and text are one. They are dealt evenly, long ones are cut into pieces, and a task closes a
+    part as soon as its pieces have chars characters: no part has more than about twice as many, whatever the items are."""
+    once = items.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).distinct()
+    total = once.agg(F.sum(F.char_length("t"))).first()[0] or 0
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        held: list[tuple[str | None, list[bytes]]] = []
+        size, parts = 0, 0
 
-    def run(t: pa.Table) -> pa.Table:
-        made = build(list(zip(t.column("k").to_pylist(), t.column("t").to_pylist(), strict=True)), window)
-        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int64()), "automaton": pa.array([made], pa.binary())})
+        def closed() -> pa.RecordBatch:
+            name = f"{TaskContext.get().partitionId():08d}-{parts:08d}"
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([build(held, window)], pa.binary())], ["part", "automaton"])
 
-    made = saved(keyed.groupBy("part").applyInArrow(run, "part bigint, automaton binary"))
+        for b in batches:
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for n, words in cut_item(norm_words(t), chars, window):
+                    held.append((k, words))
+                    size += n
+                    if size >= chars:
+                        yield closed()
+                        held, size, parts = [], 0, parts + 1
+        if held:
+            yield closed()
+
+    made = saved(once.repartition(max(1, -(-int(total) // chars))).mapInArrow(run, "part string, automaton binary"))
     which = [r.part for r in made.select("part").orderBy("part").collect()]
     for part in which:
         yield made.filter(F.col("part") == part).first().automaton, part == which[-1]
@@ -192,37 +226,70 @@ def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", window: int
     Null, empty and wordless texts have no words and no hits. Columns of these names are replaced, all others stay;
     repeated rows are judged alike; an empty table stays empty. No items: no hits. Items with equal ids are one; those
     with a null id hit words as others do, but have no name to be listed by."""
-    spark = docs.sparkSession
-    docs = docs.drop("n_words", "hit_spans", "hit_items", "longest_match")
+    docs = docs.drop(*_FOUND)
     schema = plus(docs.schema, f"n_words bigint, hit_spans {_SPANS}, hit_items array<string>, longest_match int")
-    for turn, (packed, last) in enumerate(automata(items, window=window, chars=chars)):
-        shared, name = spark.sparkContext.broadcast(packed), uuid.uuid4().hex
-
-        def run(batches, shared=shared, turn=turn, name=name):
-            a = opened(name, shared.value)
-            for b in batches:
-                n, spans, names, longest = [], [], [], []
-                for row, t in enumerate(b.column(text).to_pylist()):
-                    words = norm_words(t)
-                    hit, who, most = a.scan(words)
-                    who = {a.names[k] for k in who} - {None}
-                    if turn:
-                        hit = merged([*hit, *([s["start"], s["end"]] for s in b.column("hit_spans")[row].as_py())])
-                        who |= set(b.column("hit_items")[row].as_py())
-                        most = max(most, b.column("longest_match")[row].as_py())
-                    n.append(len(words))
-                    spans.append([{"start": s, "end": e} for s, e in hit])
-                    names.append(sorted(who))
-                    longest.append(most)
-                new = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(names, pa.list_(pa.string())), pa.array(longest, pa.int32())]
-                old = [c for c in b.schema.names if c not in ("n_words", "hit_spans", "hit_items", "longest_match")]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in old), *new], [*old, "n_words", "hit_spans", "hit_items", "longest_match"])
-
-        before, docs = docs, docs.mapInArrow(run, schema)
-        if not last:
-            docs = saved(docs, *([before] if turn else []))
-            shared.destroy()
-    return docs
+    made = automata(items, window=window, chars=chars)
+    packed, last = next(made)
+    if last:
+        return docs.mapInArrow(_scanner(docs.sparkSession, packed, text, docs.columns), schema)
+    return _in_turns(docs, packed, made, text)
+
+
+#: What find_hits() adds.
+_FOUND = ("n_words", "hit_spans", "hit_items", "longest_match")
+
+
+def _scanner(spark: SparkSession, packed: bytes, text: str, rest: list[str], hits_only: bool = False) -> Callable:
+    """A map over Arrow batches that adds what an automaton finds to the columns `rest`; hits_only: rows without hits go."""
+    shared, name = spark.sparkContext.broadcast(packed), uuid.uuid4().hex
+
+    def run(batches):
+        a = opened(name, shared.value)
+        for b in batches:
+            rows, n, spans, names, longest = [], [], [], [], []
+            for row, t in enumerate(b.column(text).to_pylist()):
+                words = norm_words(t)
+                hit, who, most = a.scan(words)
+                if hits_only and not hit:
+                    continue
+                rows.append(row)
+                n.append(len(words))
+                spans.append([{"start": s, "end": e} for s, e in hit])
+                names.append(sorted({a.names[k] for k in who} - {None}))
+                longest.append(most)
+            new = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(names, pa.list_(pa.string())), pa.array(longest, pa.int32())]
+            old = [b.column(c).take(pa.array(rows, pa.int64())) if hits_only else b.column(c) for c in rest]
+            yield pa.RecordBatch.from_arrays([*old, *new], [*rest, *_FOUND])
+
+    return run
+
+
+def _in_turns(docs: DataFrame, packed: bytes, more: Iterator[tuple[bytes, bool]], text: str) -> DataFrame:
+    """find_hits() for several automata: documents are written once, with a number each; a pass over them per automaton
+    reads their texts alone and writes the rows with hits alone, which are merged by number and joined back. Longest
+    matches of documents without hits are not told apart from none: 0."""
+    spark = docs.sparkSession
+    row = "_row"
+    while row in docs.columns:
+        row = "_" + row
+    kept = saved(docs.withColumn(row, F.monotonically_increasing_id()))
+    texts = kept.select(F.col(row).alias("row"), F.col(text).alias("text"))
+    kind = f"row bigint, n_words bigint, hit_spans {_SPANS}, hit_items array<string>, longest_match int"
+    parts, turns = None, [(packed, False)]
+    for one, _ in itertools.chain(turns, more):
+        found = saved(texts.mapInArrow(_scanner(spark, one, "text", ["row"], hits_only=True), kind), free=False)
+        parts = found if parts is None else parts.unionByName(found)
+
+    def together(batches):
+        for b in batches:
+            spans = [[{"start": s, "end": e} for s, e in merged([[x["start"], x["end"]] for x in row])] for row in b.column("hit_spans").to_pylist()]
+            yield b.set_column(1, "hit_spans", pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
+
+    found = parts.groupBy(F.col("row").alias("_of")).agg(F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"), F.max("longest_match").alias("longest_match"))
+    found = found.mapInArrow(together, f"_of bigint, hit_spans {_SPANS}, hit_items array<string>, longest_match int")
+    count = F.when(F.col(text).isNull(), 0).otherwise(F.regexp_count(F.col(text), F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))).cast("bigint")
+    out = kept.join(found, F.col(row) == F.col("_of"), "left").withColumns({"n_words": count, "hit_spans": F.coalesce("hit_spans", F.array().cast(_SPANS)), "hit_items": F.coalesce("hit_items", F.array().cast("array<string>")), "longest_match": F.coalesce("longest_match", F.lit(0))})
+    return out.select(*docs.columns, *_FOUND)
 
 
 def merged(spans: list[list[int]]) -> list[list[int]]:
