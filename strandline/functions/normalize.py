@@ -186,7 +186,7 @@ def coerce(text: Column, kind: Column) -> dict[str, Column]:
     words = F.try_element_at(F.create_map(*[F.lit(x) for k, v in BOOLS.items() for x in (k, v)]), F.lower(t))
     return {
         "value_float": F.when(kind == "FLOAT", number).when(kind == "TIMESTAMP", timestamp(t)),
-        "value_int": F.when(kind == "INTEGER", F.coalesce(t.try_cast("bigint"), F.floor(number).try_cast("bigint"))),
+        "value_int": F.when(kind == "INTEGER", F.coalesce(t.try_cast("bigint"), F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).try_cast("bigint"))),
         "value_str": F.when(kind.isin("STRING", "CATEGORICAL", "ENUM"), t),
         "value_bool": F.when(kind == "BOOLEAN", F.coalesce(words, F.when(t.isNotNull(), F.lit(True)))),
     }
