@@ -5,12 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from strandline.operators import stats
+from strandline.operators import stats, trees
 from strandline.operators.ordered import shifted
 from strandline.schema import DiscoverySettings
 
@@ -18,67 +17,40 @@ from strandline.schema import DiscoverySettings
 # --- rules ---------------------------------------------------------------------------------------------------------
 
 
-def best_split(x: np.ndarray, y: np.ndarray, leaf: int) -> tuple[float, int, float] | None:
-    """(gain, feature, threshold) of the split that lowers squared error most; thresholds are midpoints."""
-    best, n = None, len(y)
-    for j in range(x.shape[1]):
-        order = np.argsort(x[:, j], kind="stable")
-        v, t = x[order, j], y[order]
-        s, total = np.cumsum(t)[:-1], t.sum()
-        k = np.arange(1, n)
-        gain = s * s / k + (total - s) ** 2 / (n - k) - total * total / n
-        gain[(v[1:] == v[:-1]) | (k < leaf) | (n - k < leaf)] = -np.inf
-        if len(gain) and (i := int(np.argmax(gain))) >= 0 and np.isfinite(gain[i]) and gain[i] > 1e-12 and (best is None or gain[i] > best[0] + 1e-12):
-            best = (float(gain[i]), j, float((v[i] + v[i + 1]) / 2))
-    return best
-
-
-def tree_leaves(x: np.ndarray, y: np.ndarray, depth: int, leaf: int) -> list[tuple[list[tuple[int, str, float]], np.ndarray]]:
-    """(conditions, rows) of each leaf of a regression tree."""
-    out, todo = [], [([], np.arange(len(y)))]
-    while todo:
-        path, rows = todo.pop()
-        split = best_split(x[rows], y[rows], leaf) if len(path) < depth and len(rows) >= 2 * leaf else None
-        if split is None:
-            out.append((path, rows))
-            continue
-        _, j, t = split
-        low = x[rows, j] <= t
-        todo += [([*path, (j, ">", t)], rows[~low]), ([*path, (j, "<=", t)], rows[low])]
-    return out
-
-
 RULE = "target string, conditions array<struct<variable:string,operator:string,threshold:double>>, direction string, magnitude string, support double, precision double, confidence double"
 
 
 def rules(df: DataFrame, columns: list[str], s: DiscoverySettings | None = None) -> DataFrame:
-    """Threshold rules for every column from the others: a tree for each target in a task of its own, on complete rows."""
+    """Threshold rules for every column from the others: regression trees on complete rows, grown for all targets at once
+    from counts (see trees.grow). Fewer than 30 complete rows, or than four leaves', give none."""
     s = s or DiscoverySettings()
-    full = df.select([F.col(c).cast("double").alias(c) for c in columns])
-
-    def kernel(t: pd.DataFrame) -> pd.DataFrame:
-        target = t.target.iloc[0]
-        total, t = len(t), t.dropna(subset=columns)
-        names = [c for c in columns if c != target]
-        rows = []
-        if len(t) >= max(30, 4 * s.leaf_rows) and t[target].std() > 1e-10 and names:
-            x, y = t[names].to_numpy(), t[target].to_numpy()
-            mean, std = y.mean(), y.std()
-            for path, i in tree_leaves(x, y, min(s.tree_depth, s.rule_conditions), max(s.leaf_rows, int(s.rule_support * len(y)))):
-                if not path:
-                    continue
-                support, delta = len(i) / total, y[i].mean() - mean
-                up = delta > 0
-                precision = float((y[i] > mean).mean() if up else (y[i] < mean).mean())
-                if support >= s.rule_support and precision >= s.rule_precision:
-                    z = abs(delta) / (std + 1e-10)
-                    words = "very strongly" if z >= 2 else "strongly" if z >= 1 else "moderately" if z >= 0.5 else "slightly"
-                    confidence = float(np.clip(support**0.3 * precision * (1 - 0.05 * (len(path) - 1)), 0, 1))
-                    rows.append((target, [(names[j], op, th) for j, op, th in path], "increase" if up else "decrease", words, support, precision, confidence))
-        return pd.DataFrame(rows, columns=["target", "conditions", "direction", "magnitude", "support", "precision", "confidence"])
-
-    each = full.withColumn("target", F.explode(F.array(*[F.lit(c) for c in columns])))
-    return each.groupBy("target").applyInPandas(kernel, RULE)
+    numbers = df.select([F.col(c).cast("double").alias(c) for c in columns])
+    full = numbers.dropna()
+    spark = df.sparkSession
+    about = full.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    n = about["n"]
+    if len(columns) < 2 or n < max(30, 4 * s.leaf_rows):
+        return spark.createDataFrame([], RULE)
+    mean, std = [about[f"m{i}"] for i in range(len(columns))], [about[f"s{i}"] for i in range(len(columns))]
+    # a column that doesn't vary is never split: no leaf is as large
+    leaf = [max(s.leaf_rows, int(s.rule_support * n)) if d > 1e-10 else n for d in std]
+    total = numbers.count()
+    grown, rows = trees.grow(full, columns, min(s.tree_depth, s.rule_conditions), leaf)
+    table = lambda xs: F.array(*[F.lit(x) for x in xs])
+    each = rows.select(F.inline(F.transform("nodes", lambda node, i: F.struct(i.alias("t"), node.alias("node"), F.get("v", i).alias("y"), F.get(table(mean), i).alias("m")))))
+    leaves = each.groupBy("t", "node").agg(F.count("*").alias("k"), F.avg("y").alias("y"), F.avg((F.col("y") > F.col("m")).cast("double")).alias("above"), F.avg((F.col("y") < F.col("m")).cast("double")).alias("below"))
+    out = []
+    for r in leaves.orderBy("t", "node").collect():
+        conditions = trees.path(grown[r.t], r.node)
+        support, delta = r.k / total, r.y - mean[r.t]
+        precision = r.above if delta > 0 else r.below
+        if not conditions or support < s.rule_support or precision < s.rule_precision:
+            continue
+        z = abs(delta) / (std[r.t] + 1e-10)
+        words = "very strongly" if z >= 2 else "strongly" if z >= 1 else "moderately" if z >= 0.5 else "slightly"
+        confidence = float(np.clip(support**0.3 * precision * (1 - 0.05 * (len(conditions) - 1)), 0, 1))
+        out.append((columns[r.t], [(columns[j], op, th) for j, op, th in conditions], "increase" if delta > 0 else "decrease", words, support, precision, confidence))
+    return spark.createDataFrame(out, RULE)
 
 
 def rule_text(rule) -> str:

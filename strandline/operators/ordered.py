@@ -37,9 +37,20 @@ def as_number(df: DataFrame, by: str) -> Column:
     return (F.unix_micros(F.col(by).cast("timestamp")) if kind.startswith("timestamp") or kind == "date" else F.col(by)).cast("double")
 
 
+def halved(value: Column, cuts: Column, most: int) -> Column:
+    """How many of an array of cuts (in order, at most so many) are not above a value: by halving, as there may be as many
+    cuts as tasks."""
+    if not most:
+        return F.lit(0)
+    jumps = F.array(*[F.lit(1 << b) for b in range(most.bit_length() - 1, -1, -1)])
+    # the array is bound, so that it is not worked out again for each look
+    count = lambda at: F.aggregate(jumps, F.lit(0), lambda n, h: F.when((n + h <= F.size(at)) & (F.get(at, n + h - 1) <= value), n + h).otherwise(n))
+    return F.transform(F.array(cuts), count)[0]
+
+
 def range_of(value: Column, at: list[float]) -> Column:
     """Number of the range of a value: how many cuts are not above it."""
-    return F.size(F.filter(F.array(*[F.lit(x) for x in at]), lambda x: x <= value)) if at else F.lit(0)
+    return halved(value, F.array(*[F.lit(x) for x in at]), len(at)) if at else F.lit(0)
 
 
 def numbered(df: DataFrame, by: str, ties: list[str] | None = None, keys: list[str] | None = None, name: str = "_row", at: list[float] | None = None) -> DataFrame:
@@ -48,17 +59,19 @@ def numbered(df: DataFrame, by: str, ties: list[str] | None = None, keys: list[s
     Numbers inside a range of `by` come from a window over the range, what is before it from a row a range; equal values
     of `by` are in one range. A null in `by` comes first."""
     keys, ties = keys or [], ties or []
-    part, lead = free_name(df, "_range"), free_name(df, "_lead")
+    part, lead, range_, name_ = (free_name(df, x) for x in ("_range", "_lead", "_kr", "_k"))
+    total = free_name(df, "n")
     df = df.withColumn(part, range_of(F.coalesce(as_number(df, by), F.lit(float("-inf"))), cuts(df, by) if at is None else at))
-    counts = df.groupBy(*keys, part).agg(F.count("*").alias("n"))
+    counts = df.groupBy(*keys, part).agg(F.count("*").alias(total))
     before = W.Window.partitionBy(*keys).orderBy(part).rowsBetween(W.Window.unboundedPreceding, -1)
-    counts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(part).alias("_kr"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(lead))
-    same = F.col(part) == F.col("_kr")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    named = [free_name(df, f"{name_}{i}") for i in range(len(keys))]
+    counts = counts.select(*[F.col(k).alias(x) for k, x in zip(keys, named)], F.col(part).alias(range_), F.coalesce(F.sum(total).over(before), F.lit(0)).alias(lead))
+    same = F.col(part) == F.col(range_)
+    for k, x in zip(keys, named):
+        same = same & F.col(k).eqNullSafe(F.col(x))
     own = F.row_number().over(W.Window.partitionBy(*keys, part).orderBy(by, *ties))
     out = df.withColumn(name, own).join(counts, same)
-    return out.withColumn(name, (F.col(lead) + F.col(name) - 1).cast("bigint")).drop(part, lead, "_kr", *[f"_k{i}" for i in range(len(keys))])
+    return out.withColumn(name, (F.col(lead) + F.col(name) - 1).cast("bigint")).drop(part, lead, range_, *named)
 
 
 def blocks(df: DataFrame, row: str = "_row", back: int = 0, ahead: int = 0, size: int = BLOCK_ROWS) -> DataFrame:
@@ -80,11 +93,17 @@ def shifted(df: DataFrame, by: str, columns: dict[str, tuple[str, int]], ties: l
     lags = [n for _, n in columns.values()]
     back, ahead = max([0, *lags]), max([0, *(-n for n in lags)])
     keys = keys or []
+    # columns of the helpers' names wait under others
+    aside = {c: free_name(df, f"_aside{i}") for i, c in enumerate(df.columns) if c.lower() in ("_block", "_own")}
+    moved = lambda c: aside.get(c, c)
+    names = df.columns
+    df = df.withColumnsRenamed(aside)
     row = free_name(df, "_row")
-    split = blocks(numbered(df, by, ties, keys, row), row, back, ahead)
-    w = W.Window.partitionBy(*keys, "_block").orderBy(row)
-    out = split.select("*", *[(F.lag(c, n) if n >= 0 else F.lead(c, -n)).over(w).alias(name) for name, (c, n) in columns.items()])
-    return out.filter("_own").drop("_own", "_block", row)
+    split = blocks(numbered(df, moved(by), [moved(t) for t in ties or []], [moved(k) for k in keys], row), row, back, ahead)
+    w = W.Window.partitionBy(*[moved(k) for k in keys], "_block").orderBy(row)
+    out = split.select("*", *[(F.lag(moved(c), n) if n >= 0 else F.lead(moved(c), -n)).over(w).alias(name) for name, (c, n) in columns.items()])
+    out = out.filter("_own").drop("_own", "_block", row).withColumnsRenamed({v: k for k, v in aside.items()})
+    return out.select(*names, *columns)
 
 
 def nearest(df: DataFrame, by: str, before: dict[str, Column], after: dict[str, Column], keys: list[str] | None = None, at: list[float] | None = None) -> DataFrame:
@@ -93,7 +112,8 @@ def nearest(df: DataFrame, by: str, before: dict[str, Column], after: dict[str,
 
     Inside a range a window does it; what comes from other ranges is looked up among one row a key and range."""
     keys = keys or []
-    part = free_name(df, "_range")
+    part, range_ = free_name(df, "_range"), free_name(df, "_kr")
+    named = [free_name(df, f"_k{i}") for i in range(len(keys))]
     df = df.withColumn(part, range_of(F.coalesce(as_number(df, by), F.lit(float("-inf"))), cuts(df, by) if at is None else at))
     both = {**before, **after}
     df = df.withColumns({f"_x_{n}": e for n, e in both.items()})
@@ -102,10 +122,10 @@ def nearest(df: DataFrame, by: str, before: dict[str, Column], after: dict[str,
     known = lambda n: F.when(F.col(f"_x_{n}").isNotNull(), F.struct(F.col(by), F.col(f"_x_{n}").alias("v")))
     ends = df.groupBy(*keys, part).agg(*[(F.max if n in before else F.min)(known(n)).alias(f"_e_{n}") for n in both])
     past, coming = (W.Window.partitionBy(*keys).orderBy(o).rowsBetween(W.Window.unboundedPreceding, -1) for o in (F.asc(part), F.desc(part)))
-    ends = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(part).alias("_kr"), *[F.last(f"_e_{n}", True).over(past if n in before else coming)["v"].alias(f"_z_{n}") for n in both])
-    same = F.col(part) == F.col("_kr")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    ends = ends.select(*[F.col(k).alias(x) for k, x in zip(keys, named)], F.col(part).alias(range_), *[F.last(f"_e_{n}", True).over(past if n in before else coming)["v"].alias(f"_z_{n}") for n in both])
+    same = F.col(part) == F.col(range_)
+    for k, x in zip(keys, named):
+        same = same & F.col(k).eqNullSafe(F.col(x))
     out = own.join(ends, same)
     out = out.withColumns({n: F.coalesce(f"_y_{n}", f"_z_{n}") for n in both})
-    return out.drop(part, "_kr", *[f"_k{i}" for i in range(len(keys))], *[f"_{c}_{n}" for n in both for c in "xyz"])
+    return out.drop(part, range_, *named, *[f"_{c}_{n}" for n in both for c in "xyz"])

@@ -1,7 +1,7 @@
 """Pairwise statistics of a state matrix: correlation, mutual information, lags, triggers and Granger tests.
 
-Aggregates over pairs are built as one plan of chunks of pairs, so a matrix is scanned once a chunk. Kernels that need a
-whole series (rank, kNN, lags) run a pair at a time in grouped Arrow batches keyed by pair.
+Aggregates over pairs are built as one plan of chunks of pairs, so a matrix is scanned once a chunk. Kernels over series
+(ranks, neighbours, lags) work on ranges of values and blocks of rows.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from strandline.functions.tails import f_upper, pearson_p
+from strandline.functions.tails import pearson_p
+from strandline.operators.dependence import mutual_informations
+from strandline.operators.lags import granger_tests, series_pairs, trigger_scores
 from strandline.operators.ordered import blocks, numbered, range_of
 from strandline.schema import DiscoverySettings
 
@@ -94,64 +96,6 @@ def r_confidence(r: float, n: int) -> float:
     return float(np.clip(abs(r) * (0.7 + 0.3 * min(1.0, n / 100)), 0, 1))
 
 
-def kth_distance(x: np.ndarray, y: np.ndarray, k: int, cells: int = 1 << 21) -> np.ndarray:
-    """Each point's distance (the larger of the two axes') to its k-th neighbour, exactly. Neighbours are sought among the
-    next points in order of x; the window of a point grows until what lies outside is too far away by x alone."""
-    n = len(x)
-    order = np.argsort(x, kind="stable")
-    xs, ys = x[order], y[order]
-    out, todo, wide = np.empty(n), np.arange(n), 64
-    while len(todo):
-        wide = min(wide, n)
-        rest = []
-        for at in range(0, len(todo), rows := max(1, cells // wide)):
-            i = todo[at : at + rows]
-            low = np.clip(i - wide // 2, 0, n - wide)
-            j = low[:, None] + np.arange(wide)
-            d = np.partition(np.maximum(np.abs(xs[i, None] - xs[j]), np.abs(ys[i, None] - ys[j])), k, axis=1)[:, k]
-            ok = ((low == 0) | (xs[i] - xs[low] >= d)) & ((low + wide == n) | (xs[low + wide - 1] - xs[i] >= d))
-            out[order[i[ok]]] = d[ok]
-            rest.append(i[~ok])
-        todo, wide = np.concatenate(rest), 2 * wide
-    return out
-
-
-def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3, seed: int = 42) -> float:
-    """Kraskov's first kNN estimator in nats; a tiny seeded noise breaks ties."""
-    n = len(x)
-    if n <= k + 1 or x.std() == 0 or y.std() == 0:
-        return 0.0
-    rng = np.random.default_rng(seed)
-    x, y = ((v / v.std()) + 1e-10 * max(1, np.abs(v / v.std()).mean()) * rng.standard_normal(n) for v in (x, y))
-    xs, ys = np.sort(x), np.sort(y)
-    eps = kth_distance(x, y, k)
-    nx = np.searchsorted(xs, x + eps, "left") - np.searchsorted(xs, x - eps, "right")
-    ny = np.searchsorted(ys, y + eps, "left") - np.searchsorted(ys, y - eps, "right")
-    total = (_digamma(np.maximum(nx, 1)) + _digamma(np.maximum(ny, 1))).sum()
-    return max(0.0, float(_digamma(np.array([k]))[0] + _digamma(np.array([n]))[0] - total / n))
-
-
-def _digamma(x: np.ndarray) -> np.ndarray:
-    x = x.astype(float)
-    out = np.zeros_like(x)
-    for _ in range(6):
-        out -= 1 / x
-        x = x + 1
-    f = 1 / (x * x)
-    return out + np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f / 252))
-
-
-def xcorr(x: np.ndarray, y: np.ndarray, lag: int) -> np.ndarray | None:
-    """Cross-correlation at lags -lag..lag: mean of z_y[t + k] z_x[t] over all n rows; None if either is constant."""
-    n = len(x)
-    if x.std() == 0 or y.std() == 0:
-        return None
-    zx, zy = (x - x.mean()) / x.std(), (y - y.mean()) / y.std()
-    size = 1 << (2 * n - 1).bit_length()
-    c = np.fft.irfft(np.fft.rfft(zy, size) * np.conj(np.fft.rfft(zx, size)), size) / n
-    return np.concatenate([c[-lag:], c[: lag + 1]]) if lag else c[:1]
-
-
 def cross_correlations(df: DataFrame, ts: str, pairs: list[tuple[str, str]], lag: int) -> DataFrame:
     """(a, b, n, coverage, lag, r): r = sum of z_b[t + lag] z_a[t] / n over the complete rows of each pair, taken as one
     series, for lags -lag..lag; null where either column is constant.
@@ -179,84 +123,10 @@ def cross_correlations(df: DataFrame, ts: str, pairs: list[tuple[str, str]], lag
     return parts.groupBy("a", "b", "n", "coverage", "lag").agg((F.sum("p") / F.col("n")).alias("r")).withColumn("r", F.when(~F.isnan("r"), F.col("r")))
 
 
-def jump_responses(df: DataFrame, ts: str, source: str, target: str, s: DiscoverySettings | None = None) -> DataFrame:
-    """(jumps, response): jumps of the source (steps above jump_z standard deviations of its steps) that rows follow, and
-    the mean size of the target's steps in the next max_lag rows, over the pair's complete rows; in blocks of rows."""
-    s = s or DiscoverySettings()
-    both = df.select(ts, F.col(source).cast("double").alias("x"), F.col(target).cast("double").alias("y")).dropna()
-    rows = blocks(numbered(both, ts), back=1, ahead=s.max_lag)
-    w = W.Window.partitionBy("_block").orderBy("_row")
-    d = rows.select("_block", "_row", "_own", (F.col("x") - F.lag("x").over(w)).alias("dx"), F.abs(F.col("y") - F.lag("y").over(w)).alias("dy"))
-    d = d.select("_own", "dx", F.avg("dy").over(w.rowsBetween(1, s.max_lag)).alias("response")).filter("_own")
-    # one row, the spread of all steps
-    spread = d.agg(F.stddev_pop("dx").alias("sd"))
-    hit = d.crossJoin(F.broadcast(spread)).filter((F.abs(F.try_divide("dx", "sd")) > s.jump_z) & F.col("response").isNotNull())
-    return hit.agg(F.count("*").alias("jumps"), F.avg("response").alias("response"))
-
-
-def trigger(x: np.ndarray, y: np.ndarray, s: DiscoverySettings) -> tuple[float, float, int] | None:
-    """(ratio, confidence, jumps): do steps of y grow after jumps of x?"""
-    dx, dy = np.diff(x), np.abs(np.diff(y))
-    if len(dx) < 2 or dx.std() == 0:
-        return None
-    lag = min(s.max_lag, len(dx) // 4)
-    jumps = np.flatnonzero(np.abs(dx) / dx.std() > s.jump_z)
-    jumps = jumps[jumps + 1 < len(dy)]
-    if len(jumps) < s.min_jumps or lag < 1:
-        return None
-    c = np.concatenate([[0.0], np.cumsum(dy)])
-    mean = lambda i, j: (c[np.minimum(j, len(dy))] - c[i]) / np.maximum(np.minimum(j, len(dy)) - i, 1)
-    response = mean(jumps + 1, jumps + 1 + lag).mean()
-    rng = np.random.default_rng(s.seed)
-    starts = rng.integers(0, max(1, len(dy) - lag), size=3 * len(jumps))
-    base = mean(starts, starts + lag).mean()
-    if base <= 0:
-        return None
-    ratio = float(response / base)
-    return (ratio, float(np.clip((ratio - 1) / 3, 0, 0.85)), len(jumps)) if ratio >= 1.5 else None
-
-
-def granger(x: np.ndarray, y: np.ndarray, max_lag: int) -> tuple[float, int] | None:
-    """(p, lag) of the lag at which x's past helps most to predict y (first on a tie): F test of nested regressions."""
-    n = len(x)
-    best = None
-    for p in range(1, min(max_lag, n // 6) + 1):
-        t = n - p
-        own = np.stack([np.ones(t), *[y[p - i - 1 : n - i - 1] for i in range(p)]], 1)
-        both = np.concatenate([own, np.stack([x[p - i - 1 : n - i - 1] for i in range(p)], 1)], 1)
-        df = t - 2 * p - 1
-        if df <= 0:
-            break
-        rss = [float(np.square(y[p:] - m @ np.linalg.lstsq(m, y[p:], rcond=None)[0]).sum()) for m in (own, both)]
-        if rss[1] <= 0:
-            continue
-        pv = f_upper(max(0.0, (rss[0] - rss[1]) / p / (rss[1] / df)), p, df)
-        if best is None or pv < best[0]:
-            best = (pv, p)
-    return best
-
-
 FINDING = "a string, b string, metric string, value double, p double, coverage double, confidence double, n bigint"
 RELATION = "source string, target string, type string, confidence double, lag double, lag_confidence double, p double, coverage double, method string, value double, best_lag double"
 
 
-def series_pairs(df: DataFrame, ts: str, columns: list[str], pairs: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(pair, a, b, t, x, y): complete rows of each pair, ready for a grouped kernel. A pair's series goes to one task,
-    which is what a lagged kernel needs; pairs are what is parallel."""
-    out = None
-    for a, b in pairs if pairs is not None else combinations(columns, 2):
-        one = df.select(F.lit(f"{a}|{b}").alias("pair"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(ts).cast("double").alias("t"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def _series(t: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    ok = t.x.notna() & t.y.notna()
-    cover = float(ok.mean()) if len(t) else 0.0
-    t = t[ok].sort_values("t", kind="stable")
-    return t.x.to_numpy(), t.y.to_numpy(), cover
-
-
 def correlations(df: DataFrame, ts: str, columns: list[str], s: DiscoverySettings | None = None) -> list[dict]:
     """Findings of Pearson, Spearman and mutual information: small, a few for each pair."""
     s = s or DiscoverySettings()
@@ -274,20 +144,14 @@ def correlations(df: DataFrame, ts: str, columns: list[str], s: DiscoverySetting
         if (r.a, r.b) in seen and r.rho is not None and abs(r.rho) >= s.spearman_min and (p := pearson_p(r.rho, r.n)) <= s.p_max:
             out.append({"a": r.a, "b": r.b, "metric": "spearman", "value": r.rho, "p": p, "coverage": seen[r.a, r.b][0], "confidence": r_confidence(r.rho, r.n), "n": r.n})
 
-    def mi(t: pd.DataFrame) -> pd.DataFrame:
-        x, y, cover = _series(t)
-        return pd.DataFrame({"a": [t.a.iloc[0]], "b": [t.b.iloc[0]], "value": [mutual_information(x, y, seed=s.seed)], "coverage": [cover], "n": [len(x)]})
-
-    got = series_pairs(df, ts, columns, list(seen)).groupBy("pair").applyInPandas(mi, "a string, b string, value double, coverage double, n bigint")
-    for r in got.collect():
-        if r.value >= s.mi_min:
-            out.append({"a": r.a, "b": r.b, "metric": "mutual_information", "value": r.value, "p": None, "coverage": r.coverage, "confidence": float(np.clip(1.5 * r.value / (r.value + 1), 0, 1)), "n": r.n})
+    for r in mutual_informations(df, ts, list(seen), seed=s.seed).collect():
+        if r.mi >= s.mi_min:
+            out.append({"a": r.a, "b": r.b, "metric": "mutual_information", "value": r.mi, "p": None, "coverage": r.coverage, "confidence": float(np.clip(1.5 * r.mi / (r.mi + 1), 0, 1)), "n": r.n})
     return out
 
 
 def lagged(df: DataFrame, ts: str, columns: list[str], s: DiscoverySettings | None = None) -> DataFrame:
-    """Relations by cross-correlation (INFLUENCES) and by jumps (TRIGGERS). Cross-correlations are sums over blocks; the
-    triggers' kernel, whose baseline is drawn from the whole series, takes a pair's series to one task."""
+    """Relations by cross-correlation (INFLUENCES) and by jumps (TRIGGERS), both from sums over blocks of rows."""
     s = s or DiscoverySettings()
     pairs = list(combinations(columns, 2))
     enough = (F.col("coverage") >= s.min_coverage) & (F.col("n") >= max(20, 2 * s.max_lag))
@@ -304,32 +168,16 @@ def lagged(df: DataFrame, ts: str, columns: list[str], s: DiscoverySettings | No
         F.lit(None).cast("double").alias("p"), "coverage", F.lit("cross_correlation").alias("method"), F.col("top.r").alias("value"), F.lit(None).cast("double").alias("best_lag"),
     )
 
-    def kernel(t: pd.DataFrame) -> pd.DataFrame:
-        a, b = t.a.iloc[0], t.b.iloc[0]
-        x, y, cover = _series(t)
-        rows = []
-        if cover >= s.min_coverage and len(x) >= max(20, 2 * s.max_lag):
-            for src, dst, u, v in ((a, b, x, y), (b, a, y, x)):
-                if (g := trigger(u, v, s)) is not None:
-                    rows.append((src, dst, "TRIGGERS", g[1], 0.0, None, None, cover, "trigger_detection", g[0], None))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in RELATION.split(", ")])
-
-    return influences.unionByName(series_pairs(df, ts, columns).groupBy("pair").applyInPandas(kernel, RELATION))
+    found = trigger_scores(df, ts, pairs, s).filter((F.col("coverage") >= s.min_coverage) & (F.col("n") >= max(20, 2 * s.max_lag)) & (F.col("ratio") >= 1.5))
+    none = F.lit(None).cast("double")
+    triggers = found.select("source", "target", F.lit("TRIGGERS").alias("type"), "confidence", F.lit(0.0).alias("lag"), none.alias("lag_confidence"), none.alias("p"), "coverage", F.lit("trigger_detection").alias("method"), F.col("ratio").alias("value"), none.alias("best_lag"))
+    return influences.unionByName(triggers)
 
 
 def causes(df: DataFrame, ts: str, pairs: list[tuple[str, str]], s: DiscoverySettings | None = None) -> DataFrame:
     """Granger relations of pairs, both ways."""
     s = s or DiscoverySettings()
-
-    def kernel(t: pd.DataFrame) -> pd.DataFrame:
-        a, b = t.a.iloc[0], t.b.iloc[0]
-        x, y, cover = _series(t)
-        rows = []
-        if len(x) >= max(30, 3 * s.granger_lag) and x.std() > 1e-10 and y.std() > 1e-10:
-            for src, dst, u, v in ((a, b, x, y), (b, a, y, x)):
-                g = granger(u, v, s.granger_lag)
-                if g and g[0] <= s.granger_p:
-                    rows.append((src, dst, "INFLUENCES", float(np.clip(1 - 10 * g[0], 0.3, 0.95)), float(g[1]), 1 - g[0], g[0], cover, "granger_causality", g[0], float(g[1])))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in RELATION.split(", ")])
-
-    return series_pairs(df, ts, [], pairs).groupBy("pair").applyInPandas(kernel, RELATION)
+    found = granger_tests(df, ts, pairs, s.granger_lag, max(30, 3 * s.granger_lag)).filter(F.col("p") <= s.granger_p)
+    lag = F.col("lag").cast("double")
+    confidence = F.least(F.lit(0.95), F.greatest(F.lit(0.3), 1 - 10 * F.col("p")))
+    return found.select("source", "target", F.lit("INFLUENCES").alias("type"), confidence.alias("confidence"), lag.alias("lag"), (1 - F.col("p")).alias("lag_confidence"), "p", "coverage", F.lit("granger_causality").alias("method"), F.col("p").alias("value"), lag.alias("best_lag"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +14,14 @@ from pyspark.sql import window as W
 
 from strandline.functions import normalize as N
 from strandline.operators import align as A
+from strandline.operators import dependence as D
 from strandline.operators import knowledge as K
+from strandline.operators import lags as L
 from strandline.operators import registry as R
 from strandline.operators import sinks
 from strandline.operators import stats as S
 from strandline.operators import theory as T
+from strandline.operators.tables import shared_folder, written
 from strandline.operators.twin import DigitalTwin, rollout
 from strandline.schema import DiscoverySettings, IngestSettings, TheorySettings
 from strandline.sources import readers
@@ -80,15 +83,6 @@ def typed_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 IDS = "ids AS (SELECT event_type AS name, CAST(row_number() OVER (ORDER BY min(event_id)) AS INTEGER) AS id FROM events GROUP BY event_type), typed AS (SELECT event_id AS seq, epoch_us(ts) / 1e6 AS ts, id, name, value FROM events JOIN ids ON name = event_type)"
 
 
-def written(df: DataFrame, kind: str, **options: str) -> str:
-    """df in files of a new folder, which driver and executors share where spark.checkpoint.dir is set."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{folder.rstrip('/')}/strandline-{uuid.uuid4().hex}"
-    df.write.format(kind).options(**options).save(path)
-    return path
-
-
 # --- sources, sinks, normalisation ---------------------------------------------------------------------------------
 
 
@@ -141,6 +135,58 @@ def json_parse(spark, sf_dir):
     return readers.read(spark, written(rows.repartition(3), "json"), "json").select("timestamp_raw", "variable_name", "value_raw")
 
 
+_NOTES = """
+SELECT CAST(c_custkey AS VARCHAR) AS timestamp_raw, 'note' AS variable_name, c_name || chr(10) || 'says "hi", ' || chr(10) || chr(10) || c_mktsegment AS value_raw FROM customer
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'balance', 'at "' || CAST(c_nationkey AS VARCHAR) || '"' FROM customer
+"""
+
+
+@query(_NOTES)
+def csv_records(spark, sf_dir):
+    """CSV files in which quoted cells hold line breaks, delimiters and quotes, and others hold quotes inside."""
+    c = read(spark, sf_dir, "customer")
+    quoted = F.concat("c_name", F.lit('\nsays ""hi"", \n\n'), "c_mktsegment")
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(',"'), quoted, F.lit('",at "'), F.col("c_nationkey").cast("string"), F.lit('"'))
+    # a header a file: in front of the first of each file's rows
+    rows = c.select(line.alias("value"), F.pmod("c_custkey", F.lit(3)).alias("file"), "c_custkey").repartition(3, "file")
+    w = W.Window.partitionBy("file").orderBy("c_custkey")
+    rows = rows.select(F.when(F.row_number().over(w) == 1, F.concat(F.lit("time,note,balance\n"), "value")).otherwise(F.col("value")).alias("value"), "file")
+    return readers.read(spark, _texts(rows, "file"), "csv").select("timestamp_raw", "variable_name", "value_raw")
+
+
+def _texts(df: DataFrame, by: str) -> str:
+    """The path of text files, a folder for each value of a column."""
+    path = f"{shared_folder(df.sparkSession)}/strandline-{uuid.uuid4().hex}"
+    df.write.partitionBy(by).text(path)
+    return f"{path}/*"
+
+
+_OBJECTS = """
+WITH o AS (SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS p FROM orders)
+SELECT id AS timestamp_raw, 'v.price' AS variable_name, '1.5' AS value_raw FROM o WHERE k % 4 = 0
+UNION ALL SELECT id, 'v.t', '3' FROM o WHERE k % 4 = 0
+UNION ALL SELECT id, 'time', p FROM o WHERE k % 4 = 1
+UNION ALL SELECT id, 'items', '[{"a":' || id || '},[2]]' FROM o WHERE k % 4 = 3
+UNION ALL SELECT id, 'ok', 'True' FROM o WHERE k % 4 = 3
+"""
+
+
+@query(_OBJECTS)
+def json_records(spark, sf_dir):
+    """JSON lines with bad ones between them, whose objects have other types and other names for their time."""
+    o = read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey").cast("string")
+    of = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    line = (
+        F.when(F.col("o_orderkey") % 4 == 0, of('{"time": ', k, ', "v": {"price": 1.50, "t": 3}}'))
+        .when(F.col("o_orderkey") % 4 == 1, of('{"v": {"t": ', k, '}, "time": "', F.col("o_orderpriority"), '", "none": null}'))
+        .when(F.col("o_orderkey") % 4 == 2, of('{"time": ', k))
+        .otherwise(of('{"ts": "', k, '", "items": [{"a": ', k, '}, [2]], "ok": true}'))
+    )
+    path = written(o.orderBy("o_orderkey").select(line.alias("value")), "text")
+    return readers.read(spark, path, "json").select("timestamp_raw", "variable_name", "value_raw")
+
+
 @query("SELECT event_id, CAST(event_id AS VARCHAR) AS timestamp_raw, 'props.k' AS variable, json_extract_string(props, '$.k') AS value FROM events")
 def json_flatten(spark, sf_dir):
     d = read(spark, sf_dir, "events").select(F.col("event_id").alias("line"), F.struct(F.col("event_id").alias("time")).alias("m"), F.from_json("props", "struct<k:bigint>").alias("props"))
@@ -350,24 +396,36 @@ def xcorr_lags(spark, sf_dir):
     return S.cross_correlations(m, "ts", [("click", "view")], 5).select("a", "b", "n", "lag", F.round("r", 6).alias("r"))
 
 
-@query(f"WITH {_WIDE}, d AS (SELECT ts, click - lag(click) OVER (ORDER BY ts) AS dx, abs(view - lag(view) OVER (ORDER BY ts)) AS dy FROM m WHERE click IS NOT NULL AND view IS NOT NULL), s AS (SELECT ts, dx, dy, avg(dy) OVER (ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 50 FOLLOWING) AS resp, stddev_pop(dx) OVER () AS sd FROM d) SELECT count(*) AS jumps, round(avg(resp), 6) AS response FROM s WHERE abs(dx) / sd > 2.5 AND resp IS NOT NULL")
+_TRIGGERS = f"""
+WITH {_WIDE}, p AS (SELECT 'click' AS a, 'view' AS b, ts, click AS x, view AS y FROM m WHERE click IS NOT NULL AND view IS NOT NULL),
+d AS (SELECT *, row_number() OVER (ORDER BY ts) - 2 AS i, x - lag(x) OVER (ORDER BY ts) AS dx, y - lag(y) OVER (ORDER BY ts) AS dy FROM p),
+s AS (SELECT i, dx, dy, sum(abs(dx)) OVER w AS cx, sum(abs(dy)) OVER w AS cy, count(*) OVER () AS m, stddev_pop(dx) OVER () AS sx, stddev_pop(dy) OVER () AS sy FROM d WHERE i >= 0 WINDOW w AS (ORDER BY i)),
+j AS (SELECT true AS forward, i, m FROM s WHERE abs(dx) / (sx + 1e-10) > 2.5 UNION ALL SELECT false, i, m FROM s WHERE abs(dy) / (sy + 1e-10) > 2.5),
+g AS (SELECT forward, i, m, least(50, (m + 1) // 4) AS lag, count(*) OVER (PARTITION BY forward) AS jumps FROM j),
+w AS (SELECT forward, jumps, m, lag, 'r' AS kind, i + 1 AS start FROM g UNION ALL
+  SELECT forward, jumps, m, lag, 'b', ((((3 * i + r + 1) * 2654435761 + 42) % 4294967296) * (m - lag)) // 4294967296 FROM g, range(0, 3) q(r)),
+v AS (SELECT forward, jumps, kind, start, least(start + lag, m) AS stop FROM w WHERE start < least(start + lag, m)),
+z AS (SELECT forward, jumps, kind, (CASE WHEN forward THEN e.cy - coalesce(f.cy, 0) ELSE e.cx - coalesce(f.cx, 0) END) / (stop - start) AS mean FROM v JOIN s e ON e.i = stop - 1 LEFT JOIN s f ON f.i = start - 1),
+q AS (SELECT forward, jumps, avg(mean) FILTER (kind = 'r') AS response, avg(mean) FILTER (kind = 'b') AS baseline FROM z GROUP BY ALL)
+SELECT CASE WHEN forward THEN 'click' ELSE 'view' END AS source, CASE WHEN forward THEN 'view' ELSE 'click' END AS target, jumps, round(response, 6) AS response, round(baseline, 6) AS baseline,
+  round(response / (baseline + 1e-10), 6) AS ratio, round(least(0.85, greatest(0.0, (response / (baseline + 1e-10) - 1) / 3)), 6) AS confidence
+FROM q WHERE jumps >= 3
+"""
+
+
+@query(_TRIGGERS)
 def trigger_response(spark, sf_dir):
+    """How much larger steps of a variable are behind jumps of another, as discovery scores it."""
     # the kernel reads the matrix several times, as discovery does
     m = event_matrix(spark, sf_dir)[0].cache()
-    return S.jump_responses(m, "ts", "click", "view").withColumn("response", F.round("response", 6))
+    out = L.trigger_scores(m, "ts", [("click", "view")])
+    return out.select("source", "target", "jumps", *[F.round(c, 6).alias(c) for c in ("response", "baseline", "ratio", "confidence")])
 
 
 @query()
 def mutual_information(spark, sf_dir):
-    import pandas as pd
-
     m, names = event_matrix(spark, sf_dir)
-
-    def mi(t: pd.DataFrame) -> pd.DataFrame:
-        x, y, _ = S._series(t)
-        return pd.DataFrame({"a": [t.a.iloc[0]], "b": [t.b.iloc[0]], "mi": [S.mutual_information(x, y)]})
-
-    return S.series_pairs(m, "ts", names).groupBy("pair").applyInPandas(mi, "a string, b string, mi double")
+    return D.mutual_informations(m.cache(), "ts", list(combinations(names, 2))).select("a", "b", "mi")
 
 
 @query()
