@@ -6,6 +6,7 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from strandline.operators import knowledge, sinks, theory
 from strandline.operators.registry import observations
@@ -19,7 +20,8 @@ def session() -> SparkSession:
 
 def matrix_of(spark: SparkSession, path: str):
     df = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.csv(path, header=True, inferSchema=True)
-    return df.orderBy(df.columns[0])
+    # rows of one time stay in the order of the file
+    return df.withColumn("_place", F.monotonically_increasing_id()).orderBy(df.columns[0], "_place").drop("_place")
 
 
 def main(args: list[str] | None = None) -> int:
@@ -33,14 +35,16 @@ def main(args: list[str] | None = None) -> int:
         p.add_argument("--input", required=True)
         p.add_argument("--config")
         p.add_argument("--format")
+        p.add_argument("--batch-size", type=int, help="rows of a written file at most")
         o = p.parse_args(args[1:])
         settings = IngestSettings.from_toml(o.config) if o.config else IngestSettings()
         spark = session()
         obs, reg = observations(read(spark, o.input, o.format, settings.parser), settings)
-        obs, reg = obs.cache(), reg.cache()
-        sinks.write(sinks.observation_table(obs, reg), f"{o.output_dir}/observations")
-        sinks.write(sinks.state_matrix(obs, reg, settings.alignment_strategy, settings.missing_strategy, settings.default_missing_value), f"{o.output_dir}/matrix")
-        sinks.write(sinks.sparse_table(obs), f"{o.output_dir}/sparse")
+        reg = reg.cache()
+        matrix = sinks.state_matrix(obs, reg, settings.alignment_strategy, settings.missing_strategy, settings.default_missing_value)
+        # each a folder of CSV files
+        for name, table in (("canonical_triples.csv", sinks.observation_table(obs, reg)), ("aligned_state_matrix.csv", matrix), ("sparse_coordinates.csv", sinks.sparse_table(obs))):
+            sinks.write(table, f"{o.output_dir}/{name}", most=o.batch_size or settings.batch_size)
         sinks.save_registry(reg, f"{o.output_dir}/registry.json")
     elif args[0] == "discover":
         p.add_argument("--input", required=True)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -229,9 +230,31 @@ class SystemModel:
     labels: DataFrame | None = None
 
 
-def discover(df: DataFrame, ts: str = "ts", settings: DiscoverySettings | None = None) -> SystemModel:
-    """A system model of a state matrix. The matrix is cached once; what comes back is small (pairs, rules, modes)."""
+def about_variables(registry: DataFrame | None) -> dict[str, dict]:
+    """What a registry tells about each variable: id, type, unit, source and metadata; a few values each."""
+    if registry is None:
+        return {}
+    rows = [r.asDict(True) for r in registry.collect()]
+    return {r["name"]: {**{k: v for k, v in r.items() if k not in ("name", "metadata") and v is not None}, **(r.get("metadata") or {})} for r in rows}
+
+
+def as_matrix(spark: SparkSession, frame: pd.DataFrame, ts: str) -> DataFrame:
+    """A pandas frame as a state matrix: its index is the time unless it has a column of that name."""
+    if ts not in frame.columns:
+        frame = frame.rename_axis(ts).reset_index()
+    frame = frame.rename(columns=str)
+    if pd.api.types.is_datetime64_any_dtype(frame[ts]):
+        frame = frame.assign(**{ts: (pd.to_datetime(frame[ts], utc=True) - pd.Timestamp(0, tz="UTC")) / pd.Timedelta(seconds=1)})
+    texts = {c: frame[c].map(lambda x: None if x is None or x != x else str(x)) for c in frame.columns if frame[c].dtype == object}
+    return spark.createDataFrame(frame.assign(**texts))
+
+
+def discover(df: DataFrame | pd.DataFrame, ts: str = "ts", settings: DiscoverySettings | None = None, registry: DataFrame | None = None) -> SystemModel:
+    """A system model of a state matrix (a pandas frame is taken too). The matrix is cached once; what comes back is small
+    (pairs, rules, modes). registry: what it tells about variables goes into the graph."""
     s = settings or DiscoverySettings()
+    if isinstance(df, pd.DataFrame):
+        df = as_matrix(SparkSession.active(), df, ts)
     spark = df.sparkSession
     columns = stats.numeric_columns(df, [c for c in df.columns if c != ts])
     df = df.select(ts, *[F.col(c).try_cast("double").alias(c) for c in columns]).cache()
@@ -261,5 +284,5 @@ def discover(df: DataFrame, ts: str = "ts", settings: DiscoverySettings | None =
     model.modes, model.labels = m.modes, m.labels
     if m.labels is not None:
         model.transitions = dicts(transitions(m.labels, ts).orderBy(F.desc("n"), "from_mode", "to_mode"))
-    model.graph = graph(columns, model.relations, model.modes, model.transitions)
+    model.graph = graph(columns, model.relations, model.modes, model.transitions, about_variables(registry))
     return model

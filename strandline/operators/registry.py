@@ -22,7 +22,7 @@ def _pick(values: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("variable_name"))
 
 
-def _parsed(raw: DataFrame, s: IngestSettings) -> DataFrame:
+def parsed(raw: DataFrame, s: IngestSettings) -> DataFrame:
     """raw with value, row_unit, the type of the value's text, and what the settings pin."""
     found = F.coalesce(N.unit_part(F.col("value_raw")), F.col("unit_raw") if "unit_raw" in raw.columns else F.lit(None))
     unit = F.coalesce(_pick(s.unit_overrides), found) if s.relabel_only else F.coalesce(found, _pick(s.unit_overrides))
@@ -86,7 +86,7 @@ def fold(raw: DataFrame, settings: IngestSettings | None = None) -> DataFrame:
     A variable's type comes from its first row and only widens: INTEGER to FLOAT to STRING. Its unit is the first one
     seen. One scan gives a row a variable, which the rows of a second scan are joined with, so a variable with very many
     rows is no task of its own."""
-    df = _parsed(raw, settings or IngestSettings())
+    df = parsed(raw, settings or IngestSettings())
     return _seen(df, _held(_profile(df), df)).select(*raw.columns, "value", "row_unit", "dtype", "var_unit")
 
 
@@ -117,6 +117,16 @@ def _late_times(timed: DataFrame) -> DataFrame:
     return timed.join(read, unread == F.col("_text"), "left").withColumn("timestamp", F.coalesce("timestamp", "_late")).drop("_text", "_late")
 
 
+def typed_values(seen: DataFrame) -> DataFrame:
+    """Rows with value, row_unit, dtype and var_unit, with their four typed columns: values are converted to the variable's
+    unit where their own is another."""
+    # columns of their own, as each is named many times
+    number = seen.withColumn("_number", F.when(F.col("row_unit") != F.col("var_unit"), F.col("value").try_cast("double")))
+    turned = N.convert(F.col("_number"), F.col("row_unit"), F.col("var_unit"))
+    typed = number.withColumn("_text", F.coalesce(F.when(F.col("_number").isNotNull(), turned.cast("string")), F.col("value")))
+    return typed.withColumns(N.coerce(F.col("_text"), F.col("dtype"))).drop("_number", "_text")
+
+
 def observations(raw: DataFrame, settings: IngestSettings | None = None) -> tuple[DataFrame, DataFrame]:
     """(observations, registry) of raw rows; rows whose timestamp can't be read are left out before types are inferred.
 
@@ -126,24 +136,20 @@ def observations(raw: DataFrame, settings: IngestSettings | None = None) -> tupl
     s = settings or IngestSettings()
     time = N.timestamp(F.col("timestamp_raw"), s.timestamp_format or s.parser.timestamp_format)
     timed = raw.withColumn("timestamp", time)
-    df = _parsed(timed, s)
+    df = parsed(timed, s)
     # in one scan: the profile of rows with a time, and whether there are others
     both = _profile(df, F.col("timestamp").isNull().alias("_unread"))
     rows = both.limit(SMALL_VARIABLES + 1).collect()
     both = raw.sparkSession.createDataFrame(rows, both.schema) if len(rows) <= SMALL_VARIABLES else saved(both)
     if both.filter("_unread").limit(1).count():
         timed = _late_times(timed).filter("timestamp IS NOT NULL")
-        df = _parsed(timed, s)
+        df = parsed(timed, s)
         profile = _held(_profile(df), df)
     else:
         profile = _held(both.drop("_unread"), df)
     reg = _registry_of(profile)
     seen = _seen(df, profile)
-    # columns of their own, as each is named many times
-    number = seen.withColumn("_number", F.when(F.col("row_unit") != F.col("var_unit"), F.col("value").try_cast("double")))
-    turned = N.convert(F.col("_number"), F.col("row_unit"), F.col("var_unit"))
-    typed = number.withColumn("_text", F.coalesce(F.when(F.col("_number").isNotNull(), turned.cast("string")), F.col("value")))
-    typed = typed.withColumns(N.coerce(F.col("_text"), F.col("dtype")))
+    typed = typed_values(seen)
     quality = F.lit(QUALITY.index(s.default_quality)).cast("tinyint")
     ids = reg.select(F.col("id").alias("variable_id"), F.col("name").alias("_name"))
     out = typed.join(F.broadcast(ids) if len(rows) <= SMALL_VARIABLES else ids, F.col("variable_name") == F.col("_name"))

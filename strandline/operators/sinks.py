@@ -55,12 +55,15 @@ def state_matrix(obs: DataFrame, registry: DataFrame, alignment: str = "forward_
     return A.fill(wide, list(names.values()), missing, default, "timestamp")
 
 
-def write(df: DataFrame, path: str, format_name: str | None = None) -> None:
-    """Parquet for a path that ends in .parquet or where asked for, else CSV with a header; null is empty."""
+def write(df: DataFrame, path: str, format_name: str | None = None, most: int | None = None) -> None:
+    """Parquet for a path that ends in .parquet or where asked for, else CSV with a header; null is empty. most: rows of a
+    file."""
+    out = df.write.mode("overwrite")
+    out = out.option("maxRecordsPerFile", most) if most else out
     if path.endswith(".parquet") or format_name == "parquet":
-        df.write.mode("overwrite").parquet(path)
+        out.parquet(path)
     else:
-        df.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+        out.option("header", True).option("emptyValue", "").csv(path)
 
 
 def load_observations(spark: SparkSession, path: str) -> DataFrame:
@@ -98,12 +101,17 @@ def plain(x):
 
 
 def save_registry(registry: DataFrame, path: str) -> None:
-    Path(path).write_text(json.dumps([r.asDict() for r in registry.orderBy("id").collect()], indent=1))
+    Path(path).write_text(json.dumps([r.asDict(True) for r in registry.orderBy("id").collect()], indent=1))
 
 
 def load_registry(spark: SparkSession, path: str) -> DataFrame:
+    """A saved registry; with `metadata` (a map of texts) if any variable was saved with some."""
     rows = json.loads(Path(path).read_text())
-    return spark.createDataFrame([(r["id"], r["name"], r["dtype"], r["unit"], r["source"]) for r in rows], "id int, name string, dtype string, unit string, source string")
+    kind = "id int, name string, dtype string, unit string, source string"
+    plain_ = [(r["id"], r["name"], r["dtype"], r["unit"], r["source"]) for r in rows]
+    if not any(r.get("metadata") for r in rows):
+        return spark.createDataFrame(plain_, kind)
+    return spark.createDataFrame([(*x, {k: str(v) for k, v in (r.get("metadata") or {}).items()}) for x, r in zip(plain_, rows, strict=True)], f"{kind}, metadata map<string,string>")
 
 
 def model_files(m: SystemModel, folder: str) -> None:
@@ -140,9 +148,9 @@ def theory_files(t: Theory, folder: str) -> None:
     (out / "theory.json").write_text(json.dumps(plain(asdict(t)), indent=1))
     lines = ["# Operational theory", "", *t.narrative, "", "## Subsystems", "", *[f"- {s['name']}: {', '.join(s['variables'])}. {s['description']}" for s in t.subsystems]]
     lines += ["", "## Influence chains", "", *[f"- {c['text']}" for c in t.chains], "", "## Feedback loops", "", *[f"- {' -> '.join(x['path'])} ({x['polarity']})" for x in t.loops]]
-    lines += ["", "## States", "", *[f"- {s['name']} ({s['mode']}, {s['prevalence']:.0%})" for s in t.states], "", "```mermaid", t.mermaid, "```", "", "## Equations", ""]
+    lines += ["", "## States", "", *[f"- {s['name']} ({s['mode']}, {s['prevalence']:.0%}). {s['description']}." for s in t.states], "", "```mermaid", t.mermaid, "```", "", "## Equations", ""]
     lines += [f"- {e['target']} from {', '.join(e['sources'])}: {e['kind']}, r2 {e['r2']:.3f}" for e in t.equations]
-    lines += ["", "## Contradictions", "", *[f"- {c['kind']}: {c['resolution']}" for c in t.contradictions], "", "## Aliases", "", *[f"- {k} is {v}" for k, v in t.aliases.items()], ""]
+    lines += ["", "## Contradictions", "", *[f"- {c['kind']}: {c['rationale']}" for c in t.contradictions], "", "## Aliases", "", *[f"- {k} is {v}" for k, v in t.aliases.items()], ""]
     (out / "theory.md").write_text("\n".join(lines))
     (out / "twin.py").write_text(twin_script(t))
 

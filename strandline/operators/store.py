@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators import sinks
+from strandline.operators import knowledge, sinks
 from strandline.operators.registry import observations
-from strandline.schema import QUALITY, SEQUENCED, TYPES, ExportSettings, IngestSettings
+from strandline.schema import QUALITY, SEQUENCED, TYPES, DiscoverySettings, ExportSettings, IngestSettings
 from strandline.sources import readers
 
 
@@ -96,7 +96,7 @@ def typed(value: Any) -> dict[str, Any]:
 class ObservationStore:
     """Observations added one by one; every batch_size of them become a table of their own."""
 
-    def __init__(self, spark: SparkSession, batch_size: int = 10_000):
+    def __init__(self, spark: SparkSession, batch_size: int = IngestSettings.batch_size):
         self.spark, self.batch_size = spark, batch_size
         self.clear()
 
@@ -173,23 +173,30 @@ class Pipeline:
         return raw
 
     def observations(self) -> tuple[DataFrame, DataFrame]:
-        """(observations, registry) of all sources. Typing and exports look at their input many times, so raw rows, typed
-        rows and registry are kept by the executors (in memory, else on disk) until the next source or release()."""
+        """(observations, registry) of all sources. Raw rows are kept by the executors (in memory, else on disk) until they
+        are typed; typed rows are a written table, which exports read until the next source or release()."""
         if not self._raw:
             raise ValueError("nothing has been ingested")
         if self._typed is None:
             raw = reduce(DataFrame.unionByName, self._raw).persist()
             obs, reg = observations(raw, self.settings)
-            self._typed = obs.persist(), reg.persist()
-            self._kept = [raw, *self._typed]
+            raw.unpersist()
+            self._typed = obs, reg.persist()
+            self._kept = [reg]
         return self._typed
 
     def release(self) -> None:
-        """Frees what observations() keeps; tables that it returned are worked out anew when they are used."""
+        """Frees what observations() keeps."""
         for x in self._kept:
             x.unpersist()
         self._typed, self._kept = None, []
 
+    def discover(self, settings: DiscoverySettings | None = None) -> knowledge.SystemModel:
+        """A system model of all sources' state matrix, aligned as the settings say, with what the registry tells."""
+        obs, reg = self.observations()
+        matrix = sinks.state_matrix(obs, reg, self.settings.alignment_strategy, self.settings.missing_strategy, self.settings.default_missing_value)
+        return knowledge.discover(matrix, "timestamp", settings, reg)
+
     def export(self, mode: str, path: str, export: ExportSettings | None = None) -> None:
         sinks.export(*self.observations(), mode, path, export or ExportSettings.of(self.settings))
 

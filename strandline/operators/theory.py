@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,6 +26,14 @@ CATEGORIES = {
     "Communication Subsystem": "comm signal rssi packet telemetry link tx rx",
     "Health & Diagnostics Subsystem": "err error fail status health warn warning fault",
 }
+#: Names of states (fixed values) and what they stand for.
+STATES = {
+    "Idle State": "Little is driven",
+    "Thermal Stress State": "Temperatures are near their highest",
+    "Low Power / Critical State": "Stored power is near its lowest",
+    "High-Load Operational State": "Drives are near their highest",
+    "Nominal Operational State": "Nothing stands out",
+}
 #: How the names of variables begin whose high or low places name a state.
 HOT, DRAINED, DRIVEN = ("temp",), ("battery", "voltage"), ("motor_speed", "speed", "current_draw")
 
@@ -121,11 +130,17 @@ def subsystems(variables: list[str], d: np.ndarray, s: TheorySettings) -> list[d
     return sorted(out, key=lambda x: x["name"])
 
 
+#: Words of a relation's description that make its sign negative.
+AGAINST = ("decrease", "negative")
+
+
 def edges_of(relations: list[dict], signs: dict[tuple[str, str], int], s: TheorySettings) -> dict[tuple[str, str], dict]:
+    """Edges of influence by (source, target), of relations in order: a later one takes the place of an earlier one. The sign
+    is the pair's correlation's, unless the relation's description says otherwise."""
     out = {}
     for r in relations:
         if r["type"] in ("INFLUENCES", "TRIGGERS", "THRESHOLD") and r["confidence"] >= s.min_confidence and r["source"] != r["target"]:
-            out[r["source"], r["target"]] = {"confidence": r["confidence"], "lag": r["lag"] or 0.0, "best_lag": r.get("best_lag"), "sign": signs.get(tuple(sorted((r["source"], r["target"]))), 1)}
+            out[r["source"], r["target"]] = {"confidence": r["confidence"], "lag": r["lag"] or 0.0, "best_lag": r.get("best_lag"), "sign": -1 if any(w in (r.get("description") or "").lower() for w in AGAINST) else signs.get(tuple(sorted((r["source"], r["target"]))), 1)}
     return out
 
 
@@ -187,17 +202,19 @@ def states(found: list[dict]) -> list[dict]:
         up, down = [v for v in where if where[v] >= 0.75], [v for v in where if where[v] <= 0.25]
         some = lambda names, starts: any(v.lower().startswith(starts) for v in names)
         if some(down, DRIVEN) and len(down) >= 0.5 * len(m["centroid"]):
-            name = "Idle"
+            name = "Idle State"
         elif some(up, HOT):
-            name = "Thermal Stress"
+            name = "Thermal Stress State"
         elif some(down, DRAINED):
-            name = "Low Power"
+            name = "Low Power / Critical State"
         elif some(up, DRIVEN):
-            name = "High-Load"
+            name = "High-Load Operational State"
         else:
-            name = "Nominal"
+            name = "Nominal Operational State"
+        told = [f"{word} {', '.join(vs)}" for word, vs in (("high", up), ("low", down)) if vs]
+        description = f"{STATES[name]}: {'; '.join(told)}" if told else STATES[name]
         used[name] = used.get(name, 0) + 1
-        out.append({"mode": m["label"], "name": name if used[name] == 1 else f"{name} {used[name]}", "prevalence": m["prevalence"], "high": up, "low": down, "centroid": m["centroid"]})
+        out.append({"mode": m["label"], "name": name if used[name] == 1 else f"{name} {used[name]}", "description": description, "prevalence": m["prevalence"], "high": up, "low": down, "centroid": m["centroid"]})
     return out
 
 
@@ -339,17 +356,31 @@ def _from_centroids(target: str, parents: list[tuple[float, str]], found: list[d
 
 
 def mermaid(found: list[dict], moves: list[dict]) -> str:
-    names = {s["mode"]: s["name"].replace(" ", "_").replace("-", "_") for s in found}
+    names = {s["mode"]: re.sub(r"\W+", "_", s["name"]) for s in found}
     return "\n".join(["stateDiagram-v2", *[f"    {names[t['from_mode']]} --> {names[t['to_mode']]}: {t['trigger']} ({t['probability']:.0%})" for t in moves if t["from_mode"] in names and t["to_mode"] in names]])
 
 
-def resolve(contradictions: list[dict], confidence: dict[tuple[str, str], float]) -> list[dict]:
-    """Each contradiction with the side that counts: the relation unless its evidence is below one half."""
+def resolve(contradictions: list[dict], model: SystemModel) -> list[dict]:
+    """Each contradiction with both sides, what each is sure of (one half if it isn't known), and the surer one; of equal
+    ones the first: the correlation before the rule or relation, source -> target before target -> source."""
+    pair = lambda a, b: tuple(sorted((a, b)))
+    findings = {(*pair(f["a"], f["b"]), f["metric"]): f["confidence"] for f in model.findings}
+    relations = {(r["source"], r["target"]): r["confidence"] for r in model.relations}
+    rules = {(r["target"], r["conditions"][0]["variable"]): r["confidence"] for r in model.rules if len(r["conditions"]) == 1}
     out = []
     for c in contradictions:
-        key = (c.get("source") or c.get("variable"), c.get("target"))
-        a = confidence.get(key, 0.5)
-        out.append({**c, "resolution": "relation" if a >= 0.5 else "finding", "confidence": a})
+        a, b = c.get("source") or c.get("variable"), c.get("target")
+        if c.get("kind") == "bidirectional":
+            sides = [("relation", f"{a} -> {b}", relations.get((a, b), 0.5)), ("reverse", f"{b} -> {a}", relations.get((b, a), 0.5))]
+        else:
+            first = ("finding", f"{c.get('metric')} of {a} and {b}", findings.get((*pair(a, b), c.get("metric")), 0.5))
+            other = ("rule", f"rule of {b} by {a}", rules.get((b, a), 0.5)) if c.get("kind") == "rule_sign" else ("relation", f"{a} -> {b}", relations.get((a, b), 0.5))
+            sides = [first, other]
+        kept, left = (sides[0], sides[1]) if sides[0][2] >= sides[1][2] else (sides[1], sides[0])
+        out.append({
+            **c, "resolution": kept[0], "confidence": kept[2], "primary_explanation": kept[1], "rejected_explanation": left[1], "confidence_delta": kept[2] - left[2],
+            "rationale": f"{kept[1]} is kept, being {'surer' if kept[2] > left[2] else 'no less sure'} ({kept[2]:.2f} against {left[2]:.2f}).",
+        })
     return out
 
 
@@ -368,7 +399,7 @@ def synthesize(model: SystemModel, df: DataFrame | None = None, ts: str = "ts",
         t.transitions.append({**m, "from_state": by.get(m["from_mode"]), "to_state": by.get(m["to_mode"]), "trigger": rule})
     t.mermaid = mermaid(t.states, t.transitions)
     t.equations = equations(df.select(ts, *names), ts, edges, model.modes, s) if df is not None else []
-    t.contradictions = resolve(model.contradictions, {k: e["confidence"] for k, e in edges.items()})
+    t.contradictions = resolve(model.contradictions, model)
     t.narrative = narrative(t)
     return t
 

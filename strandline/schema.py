@@ -34,6 +34,8 @@ class IngestSettings:
     timestamp_column: str | None = None
     timestamp_format: str | None = None
     default_quality: str = "MEASURED"
+    #: Rows that a store holds before they become a table, and rows of a file that the command line writes at most.
+    batch_size: int = 10_000
     missing_strategy: str = "leave"
     alignment_strategy: str = "forward_fill"
     default_missing_value: float | None = None
@@ -53,6 +55,8 @@ class IngestSettings:
         out = cls(**general, parser=ParserSettings(**d.get("parser", {})), type_overrides={k: v.upper() for k, v in d.get("type_overrides", {}).items()}, unit_overrides=dict(d.get("unit_overrides", {})))
         if out.alignment_strategy not in ALIGNMENTS or out.missing_strategy not in FILLS or out.default_quality not in QUALITY or set(out.type_overrides.values()) - set(TYPES):
             raise ValueError("unknown strategy, quality or type")
+        if not isinstance(out.batch_size, int) or out.batch_size < 1:
+            raise ValueError("batch_size must be a positive whole number")
         return out
 
     @classmethod

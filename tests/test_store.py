@@ -116,5 +116,7 @@ def test_stream_and_command_line(spark, tmp_path):
     assert [(r.n, r.low, r.high, r["last"]) for r in still] == [(30, 0.0, 29.0, 29.0), (20, 30.0, 49.0, 49.0)]
     (tmp_path / "a.csv").write_text("time,x,y\n" + "".join(f"{i},{i % 7},{i % 5}\n" for i in range(40)))
     assert cli.main([]) == 2
-    assert cli.main(["ingest", "--input", str(tmp_path / "a.csv"), "--output-dir", str(tmp_path / "o")]) == 0
-    assert spark.read.csv(str(tmp_path / "o" / "matrix"), header=True).count() == 40
+    assert cli.main(["ingest", "--input", str(tmp_path / "a.csv"), "--output-dir", str(tmp_path / "o"), "--batch-size", "15"]) == 0
+    assert spark.read.csv(str(tmp_path / "o" / "aligned_state_matrix.csv"), header=True).count() == 40
+    parts = [len(f.read_text().splitlines()) - 1 for f in (tmp_path / "o" / "canonical_triples.csv").glob("part-*")]
+    assert sum(parts) == 80 and max(parts) <= 15 and (tmp_path / "o" / "sparse_coordinates.csv").is_dir()
