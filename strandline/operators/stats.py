@@ -1,6 +1,6 @@
 """Pairwise statistics of a state matrix: correlation, mutual information, lags, triggers and Granger tests.
 
-Aggregates over pairs are built as one plan of chunks of pairs, so a matrix is scanned once a chunk. Kernels over series
+Sums over pairs take one scan of a matrix, whatever the number of its columns. Kernels over series
 (ranks, neighbours, lags) work on ranges of values and blocks of rows.
 """
 
@@ -21,7 +21,7 @@ from strandline.operators.lags import granger_tests, series_pairs, trigger_score
 from strandline.operators.ordered import blocks, numbered, range_of
 from strandline.schema import DiscoverySettings
 
-#: Pairs of columns in one aggregate; more would outgrow generated code.
+#: Pairs of columns in one aggregate; more would outgrow generated code, and go by sums of products.
 PAIRS_AT_ONCE = 60
 
 
@@ -41,32 +41,76 @@ def numeric_columns(df: DataFrame, columns: list[str] | None = None, share: floa
 
 
 def pair_moments(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, rows, n, r): for each pair of columns all rows, complete rows and Pearson's r (null if either is constant)."""
-    out = None
+    """(a, b, rows, n, r): for each pair of columns all rows, complete rows and Pearson's r (null if either is constant).
+
+    One scan, whatever the number of columns: few pairs are aggregates of their own, many are sums of products of blocks of
+    rows, see gram_moments()."""
     pairs = list(combinations(columns, 2))
-    for at in range(0, len(pairs), PAIRS_AT_ONCE):
-        some = pairs[at : at + PAIRS_AT_ONCE]
-        aggs = [F.count("*").alias("rows")]
-        for i, (a, b) in enumerate(some):
-            x, y = F.col(a).cast("double"), F.col(b).cast("double")
-            both = x.isNotNull() & y.isNotNull()
-            x, y = F.when(both, x), F.when(both, y)
-            aggs += [F.count_if(both).alias(f"n{i}"), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"r{i}")]
-        row = df.agg(*aggs)
-        parts = row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col("rows"), F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(some)])))
-        out = parts if out is None else out.unionByName(parts)
-    return out
+    if len(pairs) > PAIRS_AT_ONCE:
+        return gram_moments(df, columns)
+    aggs = [F.count("*").alias("rows")]
+    for i, (a, b) in enumerate(pairs):
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        both = x.isNotNull() & y.isNotNull()
+        x, y = F.when(both, x), F.when(both, y)
+        # merged spreads of a constant are not exactly 0
+        varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+        aggs += [F.count_if(both).alias(f"n{i}"), F.when(varies, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))).alias(f"r{i}")]
+    found = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col("rows"), F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
+    if not found:
+        return df.sparkSession.createDataFrame([], "a string, b string, rows bigint, n bigint, r double")
+    return df.agg(*aggs).select(F.inline(F.array(*found)))
+
+
+def gram_moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """pair_moments() of many columns from one matrix product for each batch of rows: with X the values (0 where null) less a
+    constant near each column's mean, and M where they are known, M'M, X'M, (X^2)'M and X'X hold all that a pair's complete
+    rows need. A task sends a row for each column once, so what travels is tasks times columns squared."""
+    m = len(columns)
+    numbers = df.select([F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    near = numbers.limit(1000).agg(*[F.avg(f"c{i}") for i in range(m)]).first()
+    centre = np.array([x if x is not None and np.isfinite(x) else 0.0 for x in near])
+
+    def sums(batches):
+        total = np.zeros((4, m, m))
+        rows = 0
+        for t in batches:
+            x = t.to_numpy(float) - centre
+            known = ~np.isnan(x)
+            x, k = np.where(known, x, 0.0), known.astype(float)
+            total += np.stack([k.T @ k, x.T @ k, (x * x).T @ k, x.T @ x])
+            rows += len(x)
+        if rows:
+            yield pd.DataFrame({"i": np.arange(m), "rows": rows, "v": [total[:, i].ravel() for i in range(m)]})
+
+    parts = numbers.mapInPandas(sums, "i int, rows bigint, v array<double>")
+    at = parts.select("i", "rows", F.posexplode("v").alias("at", "v")).groupBy("i", "at").agg(F.sum("rows").alias("rows"), F.sum("v").alias("v"))
+    kind = (F.col("at") / m).cast("int")
+    cell = at.select("i", (F.col("at") % m).alias("j"), kind.alias("kind"), "rows", "v")
+    sides = cell.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.col("i") < F.col("j"), "kind", "rows", "v").toDF("i", "j", "up", "kind", "rows", "v").filter("i < j")
+    of = lambda k, up: F.max(F.when((F.col("kind") == k) & (F.col("up") == up), F.col("v")))
+    s = sides.groupBy("i", "j").agg(F.max("rows").alias("rows"), of(0, True).alias("n"), of(1, True).alias("sx"), of(1, False).alias("sy"), of(2, True).alias("sxx"), of(2, False).alias("syy"), of(3, True).alias("sxy"))
+    n = F.col("n")
+    spread = lambda q, x, y: q - F.try_divide(x * y, n)
+    vx, vy = spread(F.col("sxx"), F.col("sx"), F.col("sx")), spread(F.col("syy"), F.col("sy"), F.col("sy"))
+    # what is left of a constant's sums is rounding
+    flat = (vx <= 1e-12 * F.col("sxx")) | (vy <= 1e-12 * F.col("syy"))
+    r = F.when(~flat, F.try_divide(spread(F.col("sxy"), F.col("sx"), F.col("sy")), F.sqrt(vx) * F.sqrt(vy)))
+    names = F.array(*[F.lit(c) for c in columns])
+    return s.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), "rows", n.cast("bigint").alias("n"), r.alias("r"))
 
 
 def ranked(df: DataFrame, columns: list[str]) -> DataFrame:
     """df (numbers without nulls) with each column replaced by its average ranks.
 
     A column's distinct values are counted and run through in ranges; what is before a range comes from one row a range."""
+    # counts of every column come from the rows as they were given, not from those that earlier columns were joined to
+    base = df
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = [k / n for k in range(1, n)]
     cuts = df.agg(*[F.percentile_approx(c, at, 1000).alias(f"c{i}") for i, c in enumerate(columns)]).first() if at else None
     for i, c in enumerate(columns):
-        values = df.groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n")).withColumn("_r", range_of(F.col("_v"), sorted(set(cuts[i] or [])) if cuts else []))
+        values = base.groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n")).withColumn("_r", range_of(F.col("_v"), sorted(set(cuts[i] or [])) if cuts else []))
         before = values.groupBy(F.col("_r").alias("_q")).agg(F.sum("_n").alias("_n"))
         before = before.select("_q", F.coalesce(F.sum("_n").over(W.Window.orderBy("_q").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("_lead"))
         upto = F.sum("_n").over(W.Window.partitionBy("_r").orderBy("_v"))

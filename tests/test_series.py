@@ -9,6 +9,7 @@ from strandline.operators import dependence as D
 from strandline.operators import knowledge as K
 from strandline.operators import lags as L
 from strandline.operators import ordered, trees
+from strandline.operators import stats as S
 from strandline.schema import DiscoverySettings
 
 
@@ -111,3 +112,28 @@ def test_helpers_of_any_name(spark):
     by = ordered.nearest(df, "ts", {"last": F.col("v")}, {}, ["_k0", "_block"])
     assert by.count() == 20 and all(r["last"] == r.v for r in by.collect())
     assert ordered.numbered(df, "ts", keys=["_k0"], name="place").agg(F.max("place")).first()[0] == 9
+
+
+def test_many_columns_in_one_scan(spark):
+    """Sums of products against a plain correlation of each pair's complete rows, and against the few pairs' aggregates."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 25)) @ rng.normal(size=(25, 25)) + 1e4
+    x[:, 3] = 7.0
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 4] = np.nan
+    names = [f"odd name {i}" for i in range(25)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"`{n}` double" for n in names)).repartition(6)
+    got = {(r.a, r.b): r for r in S.pair_moments(df, names).collect()}
+    assert len(got) == 300
+    for i in range(25):
+        for j in range(i + 1, 25):
+            r = got[names[i], names[j]]
+            ok = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            assert (r.rows, r.n) == (300, ok.sum())
+            if 3 in (i, j) or 4 in (i, j):
+                assert r.r is None
+            else:
+                assert r.r == pytest.approx(np.corrcoef(x[ok, i], x[ok, j])[0, 1], abs=1e-9)
+    few = {(r.a, r.b): r.r for r in S.pair_moments(df, names[:4]).collect()}
+    assert {p: r and round(r, 8) for p, r in few.items()} == {p: got[p].r and round(got[p].r, 8) for p in few}
+    assert S.pair_moments(df, names[:1]).count() == 0 and S.gram_moments(df.limit(0), names).count() in (0, 300)
