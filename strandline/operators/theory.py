@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -144,9 +146,31 @@ def edges_of(relations: list[dict], signs: dict[tuple[str, str], int], s: Theory
     return out
 
 
+def _surest(out: dict[str, list[str]], edges: dict[tuple[str, str], dict], starts: list[str], leaves: set[str], length: int) -> Iterator[tuple[float, list[str]]]:
+    """(confidence, path) of the simple paths of exactly `length` edges from starts to leaves, surest first and then by name.
+
+    Branch and bound: a path is no surer than its beginning, so beginnings wait in order of that bound, and only as many are
+    gone into as answers are taken. Beginnings that no walk of the right length leads on to a leaf are left out."""
+    ends = [leaves]
+    for _ in range(length):
+        ends.append({a for a in out if any(b in ends[-1] for b in out[a])})
+    heap = [(-1.0, [a]) for a in starts if a in ends[length]]
+    heapq.heapify(heap)
+    while heap:
+        bound, path = heapq.heappop(heap)
+        left = length - len(path) + 1
+        if not left:
+            yield -bound, path
+            continue
+        for b in out.get(path[-1], []):
+            if b not in path and b in ends[left - 1]:
+                heapq.heappush(heap, (max(bound, -edges[path[-1], b]["confidence"]), [*path, b]))
+
+
 def chains(edges: dict[tuple[str, str], dict], most: int = 12, length: int = 4) -> list[dict]:
     """Simple paths of at most `length` edges from sources to leaves (from and to any node where there are none), longest
-    and surest first, without those inside another. The graph has a node a variable, so it is small."""
+    and surest first, without those inside another. The graph has a node a variable, so it is small; the search ends with
+    the last chain that is asked for, however many there are."""
     out: dict[str, list[str]] = {}
     nodes = sorted({n for e in edges for n in e})
     for a, b in sorted(edges):
@@ -154,30 +178,60 @@ def chains(edges: dict[tuple[str, str], dict], most: int = 12, length: int = 4)
     targets = {b for _, b in edges}
     starts = [n for n in nodes if n not in targets] or nodes
     leaves = {n for n in nodes if n not in out} or set(nodes)
-    found, todo = [], [[n] for n in starts]
-    while todo:
-        path = todo.pop()
-        if len(path) > 1 and path[-1] in leaves:
-            es = [edges[p] for p in zip(path, path[1:], strict=False)]
-            found.append({"path": path, "confidence": min(e["confidence"] for e in es), "lag": sum(e["lag"] for e in es)})
-        if len(path) <= length:
-            todo += [[*path, n] for n in out.get(path[-1], []) if n not in path]
-    found.sort(key=lambda c: (-len(c["path"]), -c["confidence"], c["path"]))
     kept: list[dict] = []
-    for c in found:
-        n = len(c["path"])
-        if not any(c["path"] == k["path"][i : i + n] for k in kept for i in range(len(k["path"]) - n + 1)):
-            kept.append(c)
-    for c in kept:
-        c["text"] = " -> ".join(c["path"]) + f" (lag {c['lag']:.1f})"
-    return kept[:most]
+    for n in range(length, 0, -1):
+        for confidence, path in _surest(out, edges, starts, leaves, n):
+            if len(kept) == most:
+                break
+            # shorter ones come only after all longer ones, so those that hold them are here
+            if not any(path == k["path"][i : i + n + 1] for k in kept for i in range(len(k["path"]) - n)):
+                lag = sum(edges[e]["lag"] for e in zip(path, path[1:], strict=False))
+                kept.append({"path": path, "confidence": confidence, "lag": lag, "text": " -> ".join(path) + f" (lag {lag:.1f})"})
+    return kept
+
+
+def _circles(out: dict[str, list[str]]) -> dict[str, int]:
+    """The strongly connected component of each node (Tarjan 1972, without recursion)."""
+    at: dict[str, int] = {}
+    low: dict[str, int] = {}
+    found: dict[str, int] = {}
+    stack: list[str] = []
+    for root in sorted(out):
+        work = [(root, iter(out.get(root, [])))] if root not in at else []
+        if work:
+            at[root] = low[root] = len(at)
+            stack.append(root)
+        while work:
+            node, rest = work[-1]
+            for n in rest:
+                if n not in at:
+                    at[n] = low[n] = len(at)
+                    stack.append(n)
+                    work.append((n, iter(out.get(n, []))))
+                    break
+                if n not in found:
+                    low[node] = min(low[node], at[n])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == at[node]:
+                    while True:
+                        n = stack.pop()
+                        found[n] = at[node]
+                        if n == node:
+                            break
+    return found
 
 
 def loops(edges: dict[tuple[str, str], dict], longest: int | None = None) -> list[dict]:
-    """Simple cycles of 2 nodes and more (at most `longest`, if given), each from its least node."""
+    """Simple cycles of 2 nodes and more (at most `longest`, if given), each from its least node. Paths stay inside strongly
+    connected components, outside of which nothing returns; a dense graph still has as many cycles as it has."""
     out: dict[str, list[str]] = {}
     for a, b in sorted(edges):
         out.setdefault(a, []).append(b)
+    circle = _circles(out)
+    out = {a: [b for b in bs if circle[b] == circle[a]] for a, bs in out.items()}
     found, todo = [], [[n] for n in sorted(out)]
     while todo:
         path = todo.pop()

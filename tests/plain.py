@@ -94,3 +94,25 @@ def tree_leaves(x: np.ndarray, y: np.ndarray, depth: int, leaf: int) -> list[tup
     return out
 
 
+
+
+def chains(edges: dict, most: int = 12, length: int = 4) -> list[tuple[list[str], float]]:
+    """Every simple path is made, sorted and then thinned."""
+    nodes = sorted({n for e in edges for n in e})
+    targets, sources = {b for _, b in edges}, {a for a, _ in edges}
+    starts = [n for n in nodes if n not in targets] or nodes
+    leaves = [n for n in nodes if n not in sources] or nodes
+    found, todo = [], [[n] for n in starts]
+    while todo:
+        path = todo.pop()
+        if len(path) > 1 and path[-1] in leaves:
+            found.append((path, min(edges[p]["confidence"] for p in zip(path, path[1:]))))
+        if len(path) <= length:
+            todo += [[*path, n] for n in nodes if (path[-1], n) in edges and n not in path]
+    found.sort(key=lambda c: (-len(c[0]), -c[1], c[0]))
+    kept: list = []
+    for path, confidence in found:
+        n = len(path)
+        if not any(path == k[i : i + n] for k, _ in kept for i in range(len(k) - n + 1)):
+            kept.append((path, confidence))
+    return kept[:most]

@@ -1,7 +1,10 @@
 """Smaller contracts: settings, resolutions, signs, states, registry metadata, frames of pandas."""
 
+import time
+
 import numpy as np
 import pandas as pd
+import plain
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +80,37 @@ def test_pipeline_hands_its_registry_over(spark, tmp_path):
     p.ingest(str(tmp_path / "a.csv"))
     about = {n["id"]: n.get("metadata", {}) for n in p.discover().graph["nodes"]}
     assert about["x"]["unit"] == "volt" and about["y"]["dtype"] == "FLOAT"
+
+
+def test_chains_against_every_path():
+    rng = np.random.default_rng(12)
+    for case in range(60):
+        n = int(rng.integers(2, 8))
+        names = [f"v{i}" for i in range(n)]
+        edges = {(a, b): {"confidence": float(rng.choice([0.4, 0.5, 0.9])), "lag": 1.0, "sign": int(rng.choice([1, -1]))} for a in names for b in names if a != b and rng.random() < 0.35}
+        for most in (2, 12):
+            assert [(c["path"], c["confidence"]) for c in T.chains(edges, most)] == plain.chains(edges, most), case
+        # cycles are those of a search without components
+        cycles = {tuple(c["path"]) for c in T.loops(edges)}
+        want = set()
+        todo = [[a] for a in names]
+        while todo:
+            p = todo.pop()
+            if len(p) > 1 and (p[-1], p[0]) in edges:
+                want.add(tuple(p))
+            todo += [[*p, b] for b in names if (p[-1], b) in edges and b > p[0] and b not in p]
+        assert cycles == want
+
+
+def test_chains_of_a_full_graph_end():
+    rng = np.random.default_rng(1)
+    names = [f"v{i:03d}" for i in range(200)]
+    edges = {(a, b): {"confidence": float(rng.random()), "lag": 0.5, "sign": 1} for a in names for b in names if a != b}
+    began = time.time()
+    got = T.chains(edges)
+    assert time.time() - began < 10 and len(got) == 12 and all(len(c["path"]) == 5 for c in got)
+    assert [c["confidence"] for c in got] == sorted((c["confidence"] for c in got), reverse=True) and got[0]["confidence"] > 0.99
+    # a long way with one circle at its end
+    line = {(f"n{i:04d}", f"n{i + 1:04d}"): {"confidence": 0.5, "lag": 0.0, "sign": 1} for i in range(3000)}
+    line["n3000", "n2999"] = {"confidence": 0.7, "lag": 0.0, "sign": -1}
+    assert [(c["path"], c["polarity"]) for c in T.loops(line)] == [(["n2999", "n3000"], "negative")]
