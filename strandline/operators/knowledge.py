@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from strandline.operators import stats, trees
+from strandline.operators import clusters, stats, trees
 from strandline.operators.ordered import shifted
+from strandline.operators.tables import saved
 from strandline.schema import DiscoverySettings
 
 
@@ -68,13 +69,9 @@ class Modes:
     labels: DataFrame | None = None
 
 
-def modes(df: DataFrame, ts: str, columns: list[str], s: DiscoverySettings | None = None, sample: int = 1000) -> Modes:
-    """Operating modes by k-means over standardised columns; k by best Euclidean silhouette on a seeded sample of at most
-    `sample` rows. Fitting and labelling run over all rows."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
+def modes(df: DataFrame, ts: str, columns: list[str], s: DiscoverySettings | None = None, sample: int = clusters.SAMPLE_ROWS) -> Modes:
+    """Operating modes by k-means over standardised columns, the best of several starts for each k; k by best Euclidean
+    silhouette of a seeded sample of at most `sample` rows. Fitting, labelling and the modes' confidence run over all rows."""
     s = s or DiscoverySettings()
     n = df.count()
     stat = df.agg(*[F.median(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first() if n else None
@@ -85,21 +82,22 @@ def modes(df: DataFrame, ts: str, columns: list[str], s: DiscoverySettings | Non
     whole = df.select(F.col(ts), *[F.coalesce(F.col(c).cast("double"), F.lit(med[c])).alias(c) for c in columns])
     mom = whole.agg(*[F.avg(c).alias(f"a{i}") for i, c in enumerate(columns)], *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
     mean, std = [mom[f"a{i}"] for i in range(len(columns))], [mom[f"s{i}"] or 0.0 for i in range(len(columns))]
-    scaled = whole.select("*", *[((F.col(c) - m) / (d if d else 1.0)).alias(f"_z{i}") for i, (c, m, d) in enumerate(zip(columns, mean, std, strict=True))])
-    vec = VectorAssembler(inputCols=[f"_z{i}" for i in range(len(columns))], outputCol="features").transform(scaled).cache()
+    scaled = [(F.col(c) - m) / (d if d else 1.0) for c, m, d in zip(columns, mean, std, strict=True)]
+    rows = saved(whole.select("*", F.array(*scaled).alias("_z")))
+    some = clusters.sample_of(rows, ts, "_z", s.seed, sample)
+    points = np.stack(some["_z"].to_numpy())
+    fits = clusters.kmeans(rows, "_z", list(range(2, min(s.max_k, n // 5) + 1)), points, s.mode_starts, s.seed)
     best = None
-    for k in range(2, min(s.max_k, n // 5) + 1):
-        model = KMeans(k=k, seed=s.seed, maxIter=50).fit(vec)
-        some = model.transform(vec).orderBy(F.xxhash64(F.lit(s.seed), ts), ts).limit(sample).select(vector_to_array("features").alias("f"), "prediction").toPandas()
-        score, _ = silhouette(np.stack(some.f), some.prediction.to_numpy())
+    for k, centres in sorted(fits.items()):
+        near = ((points[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        score, _ = silhouette(points, near)
         if score is not None and (best is None or score > best[0]):
-            best = (score, model)
+            best = (score, centres, near)
     if best is None or best[0] < 0.1:
         return Modes()
-    out = best[1].transform(vec)
+    out = clusters.labelled(rows, "_z", best[1])
     count = {r.prediction: r for r in out.groupBy("prediction").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"c{i}") for i, c in enumerate(columns)]).collect()}
-    some = out.orderBy(F.xxhash64(F.lit(s.seed), ts), ts).limit(sample).select(vector_to_array("features").alias("f"), "prediction").toPandas()
-    _, each = silhouette(np.stack(some.f), some.prediction.to_numpy())
+    sure = clusters.silhouettes(out, ts, "_z", "prediction", some, best[2])
     found, names = [], {}
     for p, r in sorted(count.items(), key=lambda x: (-x[1].n, x[0])):
         if r.n / n < s.mode_prevalence:
@@ -108,8 +106,7 @@ def modes(df: DataFrame, ts: str, columns: list[str], s: DiscoverySettings | Non
         centre = {c: r[f"c{i}"] for i, c in enumerate(columns)}
         z = {c: (centre[c] - m) / (d + 1e-10) for c, m, d in zip(columns, mean, std, strict=True)}
         top = sorted(z, key=lambda c: -abs(z[c]))[: s.mode_features]
-        mine = each[some.prediction.to_numpy() == p]
-        found.append({"label": names[p], "centroid": centre, "member_count": r.n, "total_count": n, "prevalence": r.n / n, "features": top, "description": describe(names[p], z, top), "confidence": float((mine.mean() + 1) / 2) if len(mine) else 0.5})
+        found.append({"label": names[p], "centroid": centre, "member_count": r.n, "total_count": n, "prevalence": r.n / n, "features": top, "description": describe(names[p], z, top), "confidence": float((sure[p] + 1) / 2) if p in sure else 0.5})
     pick = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
     return Modes(found, out.select(ts, F.coalesce(F.try_element_at(pick, F.col("prediction")), F.lit("noise")).alias("mode")))
 

@@ -101,6 +101,8 @@ class DiscoverySettings:
     cluster_size: int = 5
     max_k: int = 8
     mode_prevalence: float = 0.02
+    #: Starts of k-means for each k.
+    mode_starts: int = 10
     mode_features: int = 4
     min_confidence: float = 0.3
     seed: int = 42

@@ -5,6 +5,7 @@ import plain
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.operators import clusters as C
 from strandline.operators import dependence as D
 from strandline.operators import knowledge as K
 from strandline.operators import lags as L
@@ -137,3 +138,26 @@ def test_many_columns_in_one_scan(spark):
     few = {(r.a, r.b): r.r for r in S.pair_moments(df, names[:4]).collect()}
     assert {p: r and round(r, 8) for p, r in few.items()} == {p: got[p].r and round(got[p].r, 8) for p in few}
     assert S.pair_moments(df, names[:1]).count() == 0 and S.gram_moments(df.limit(0), names).count() in (0, 300)
+
+
+def test_clusters_of_many_starts(spark):
+    """Planted groups are found from ten starts in shared scans; silhouettes of all rows are the plain ones."""
+    rng = np.random.default_rng(5)
+    centre = np.array([[0, 0], [6, 0], [0, 6], [6, 6], [3, 12]])
+    x = np.repeat(centre, 60, axis=0) + 0.4 * rng.normal(size=(300, 2))
+    rows = spark.createDataFrame([(float(i), [float(v) for v in r]) for i, r in enumerate(x)], "ts double, z array<double>").repartition(4).cache()
+    some = C.sample_of(rows, "ts", "z", 42)
+    assert len(some) == 300
+    fits = C.kmeans(rows, "z", [2, 5], np.stack(some.z.to_numpy()))
+    assert sorted(fits) == [2, 5] and len(fits[5]) == 5
+    assert np.allclose(sorted(map(tuple, fits[5])), sorted(tuple(x[i * 60 : i * 60 + 60].mean(0)) for i in range(5)), atol=1e-6)
+    out = C.labelled(rows, "z", fits[5]).cache()
+    labels = {r.ts: r.prediction for r in out.collect()}
+    near = np.array([labels[t] for t in some.ts])
+    got = C.silhouettes(out, "ts", "z", "prediction", some, near)
+    _, each = K.silhouette(np.stack(some.z.to_numpy()), near)
+    assert got == {k: pytest.approx(each[near == k].mean()) for k in range(5)}
+    # against a part of the rows it is close
+    part = some.head(100)
+    assert all(abs(v - got[k]) < 0.1 for k, v in C.silhouettes(out, "ts", "z", "prediction", part, near[:100]).items())
+    assert C.silhouettes(out, "ts", "z", "prediction", part, np.zeros(100, int)) == {}
