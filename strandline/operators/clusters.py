@@ -26,6 +26,17 @@ def _spread_out(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndar
     return np.array(centres)
 
 
+def _settled(points: np.ndarray, centres: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Centres after k-means over the sample alone, from where few scans of all rows are left to do."""
+    for _ in range(rounds):
+        near = ((points[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        new = np.array([points[near == c].mean(0) if (near == c).any() else centres[c] for c in range(len(centres))])
+        if np.array_equal(new, centres):
+            break
+        centres = new
+    return centres
+
+
 def _scan(rows: DataFrame, features: str, models: dict[int, np.ndarray]) -> dict[tuple[int, int], tuple[int, float, np.ndarray]]:
     """(rows, squared distances, sum) of every cluster of every model, from one scan; a task sends one row a cluster."""
 
@@ -54,9 +65,10 @@ def _scan(rows: DataFrame, features: str, models: dict[int, np.ndarray]) -> dict
 
 def kmeans(rows: DataFrame, features: str, ks: list[int], sample: np.ndarray, starts: int = 10, seed: int = 42, rounds: int = 50, close: float = 1e-4) -> dict[int, np.ndarray]:
     """Centres for each k: of several starts those with the least sum of squared distances. All models of all k move on in
-    the same scan, and each leaves when its centres stand still; what reaches the driver are sums of clusters."""
+    the same scan, and each leaves when its centres hardly move (by their squared distances); what reaches the driver are
+    sums of clusters. Starts are settled over the sample first."""
     rng = np.random.default_rng(seed)
-    models = {i: _spread_out(sample, k, rng) for i, k in enumerate(k for k in ks for _ in range(starts))}
+    models = {i: _settled(sample, _spread_out(sample, k, rng)) for i, k in enumerate(k for k in ks for _ in range(starts))}
     moving, error = set(models), {}
     for _ in range(rounds):
         if not moving:
@@ -67,7 +79,7 @@ def kmeans(rows: DataFrame, features: str, ks: list[int], sample: np.ndarray, st
             error[m] = sum(e for _, e, _ in mine.values())
             # an empty cluster stays where it is
             new = np.array([mine[c][2] / mine[c][0] if c in mine else models[m][c] for c in range(len(models[m]))])
-            if np.sqrt(((new - models[m]) ** 2).sum(1)).max() <= close:
+            if ((new - models[m]) ** 2).sum() <= close:
                 moving.discard(m)
             models[m] = new
     best: dict[int, int] = {}

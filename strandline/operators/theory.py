@@ -16,6 +16,7 @@ from strandline.functions.tails import t_two_sided
 from strandline.operators.knowledge import SystemModel
 from strandline.operators.ordered import shifted
 from strandline.operators.stats import numeric_columns, pair_moments
+from strandline.operators.tables import saved
 from strandline.schema import TheorySettings
 
 #: Categories of subsystems and words that variables of each contain.
@@ -287,9 +288,16 @@ def stump(df: DataFrame, columns: list[str], label: str = "y") -> DataFrame:
     return by.groupBy("variable").agg(F.min(F.struct(F.round("gini", 12).alias("gini"), "threshold", "above")).alias("s")).select("variable", "s.threshold", "s.gini", "s.above")
 
 
-def trigger_rule(df: DataFrame, labels: DataFrame, ts: str, columns: list[str], source: str, target: str) -> str:
-    """What tells rows just before source -> target from rows that stay in source; N/A without at least one and two."""
-    both = shifted(df.join(labels, ts), ts, {"_next": ("mode", -1)}).filter(F.col("mode") == source).withColumn("y", F.when(F.col("_next") == target, 1).when(F.col("_next") == source, 0)).filter("y IS NOT NULL")
+def next_modes(df: DataFrame, labels: DataFrame, ts: str) -> DataFrame:
+    """df with each row's mode and `_next`, that of the row behind it, as a written table: every transition reads it."""
+    return saved(shifted(df.join(labels, ts), ts, {"_next": ("mode", -1)}))
+
+
+def trigger_rule(df: DataFrame, labels: DataFrame | None, ts: str, columns: list[str], source: str, target: str) -> str:
+    """What tells rows just before source -> target from rows that stay in source; N/A without at least one and two.
+    labels: None if df comes from next_modes()."""
+    both = df if labels is None else next_modes(df, labels, ts)
+    both = both.filter(F.col("mode") == source).withColumn("y", F.when(F.col("_next") == target, 1).when(F.col("_next") == source, 0)).filter("y IS NOT NULL")
     both = both.select("y", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in columns])
     n = both.agg(F.sum("y"), F.count("*")).first()
     if not n[0] or n[1] - n[0] < 2:
@@ -448,8 +456,9 @@ def synthesize(model: SystemModel, df: DataFrame | None = None, ts: str = "ts",
     edges = edges_of([x for x in model.relations if x["source"] in names and x["target"] in names], signs, s)
     t = Theory(names, same, subsystems(names, distances(names, moments, model.findings, model.relations), s), chains(edges), loops(edges, s.max_loop), states(model.modes) if model.modes else [])
     by = {x["mode"]: x["name"] for x in t.states}
+    steps = next_modes(df, model.labels, ts) if df is not None and model.labels is not None and model.transitions else None
     for m in model.transitions:
-        rule = trigger_rule(df, model.labels, ts, names, m["from_mode"], m["to_mode"]) if df is not None and model.labels is not None else "N/A"
+        rule = trigger_rule(steps, None, ts, names, m["from_mode"], m["to_mode"]) if steps is not None else "N/A"
         t.transitions.append({**m, "from_state": by.get(m["from_mode"]), "to_state": by.get(m["to_mode"]), "trigger": rule})
     t.mermaid = mermaid(t.states, t.transitions)
     t.equations = equations(df.select(ts, *names), ts, edges, model.modes, s) if df is not None else []
