@@ -98,7 +98,7 @@ def sketch(df: DataFrame, bins_of: Callable[[pa.RecordBatch], np.ndarray], bins:
     """About how many values fall in each of a fixed number of bins, as round(8 * log2(1 + count)) in a byte.
 
     bins_of gives the bin numbers of a batch. A task adds up its own counts and sends them compressed, so what travels
-    is at most tasks x bins bytes; sums go through a level of fan groups before the last; bins bytes reach the driver,
+    is at most tasks x bins bytes; sums go through a level of at most fan groups, of 16 tasks or more each, before the last; bins bytes reach the driver,
     whatever the input.
     """
     width = bins // parts
@@ -113,7 +113,7 @@ def sketch(df: DataFrame, bins_of: Callable[[pa.RecordBatch], np.ndarray], bins:
             counts[at] = np.minimum(counts[at] + n, 255)
         rows = [(p, zlib.compress(c.tobytes(), 1)) for p in range(parts) if (c := counts[p * width : (p + 1) * width]).any()]
         if rows:
-            salt = TaskContext.get().partitionId() % fan
+            salt = TaskContext.get().partitionId() // 16 % fan
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([salt] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "salt", "counts"])
 
     def total(t: pa.Table, kind: type) -> np.ndarray:

@@ -9,6 +9,9 @@ them before it is verified on the whole sets.
   what is broadcast; bins that are shared only make the order less sharp, as any total order is exact.
 * Nodes that share a token of the first prefix (and are alike in size) are joined into candidate groups through the
   least node of each token: as many links as tokens, not pairs.
+* Groups of several blocks are narrowed first: unlike texts that share a rare token each link up into ever larger groups as
+  the corpus grows. Each token's list is looked through with the parities of its sets' tokens on a few hundred bits, which
+  can't differ in more bits than the sets do in tokens; only what leaves room for a link stays in one group.
 * Each group's texts are gathered once, packed, one for each node, in blocks of bounded size. In a block the sets are
   taken again from the texts, all three filters are intersected and what passes, unless it is connected already, is
   verified. A task emits a spanning forest of its links, never all pairs.
@@ -25,6 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +43,10 @@ FILTER_BITS = 1 << 24
 BLOCK_NODES, BLOCK_TOKENS = 128, 400_000
 #: Hubs of a group, about so many (and no more than a block's share of its nodes).
 HUBS = 16
+#: Nodes whose prefixes a task remembers having sent.
+REMEMBERED = 1 << 17
+#: Bits that stand for a set when lists are looked through, at most, and rows of a list in one task.
+MOST_BITS, LIST_ROWS = 2048, 1 << 13
 
 
 def token_sets(column: pa.Array, n: int):
@@ -96,6 +104,65 @@ def _band(n: int, percent: int) -> int:
     return int(np.floor(np.log(n) / -np.log(percent / 100) + 1e-9))
 
 
+def _prefix_keys(tokens: np.ndarray, percent: int, levels: np.ndarray) -> np.ndarray:
+    """Keys of a set's first prefix: a node meets its own size class, and as the smaller one the next larger class."""
+    band = _band(len(tokens), percent)
+    head = _ranked(tokens, 0, levels)[: prefix_len(len(tokens), percent)]
+    own = ((0, head), (1, head[: index_len(len(tokens), percent)]))
+    return np.concatenate([mix(some + U64((band + step) * 0x9E3779B97F4A7C15 % (1 << 64))) for step, some in own]).view(np.int64)
+
+
+def parities(tokens: np.ndarray, percent: int) -> bytes:
+    """A set as some bits, each the parity of the number of its tokens that fall on it: two sets differ in at least as many
+    tokens as in bits. There are about four times as many bits as tokens in which similar sets of this size may differ, so
+    that unlike sets, of which half of the bits differ, are told apart."""
+    most = 2 * len(tokens) * (100 - percent) // (100 + percent)
+    bits = min(MOST_BITS, 1 << max(6, (4 * most).bit_length()))
+    odd = np.bincount((mix(tokens + U64(0x5EED)) % U64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _folded(bits: bytes, width: int) -> bytes:
+    """Parities on fewer bits: those of the halves put on each other."""
+    x = np.frombuffer(bits, np.uint8)
+    while len(x) > width:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.tobytes()
+
+
+def _near(t: pa.Table, percent: int) -> pa.Table:
+    """Of (key, i, j, block, node, n, bits) rows, whole lists or pairs of blocks of long ones, pairs (a, b) that connect all
+    nodes of a list between which parities leave room for a link: fewer than the list has nodes."""
+    t = t.sort_by([(c, "ascending") for c in ("key", "i", "j", "node")])
+    key, i, j, block, node, n = (t.column(c).to_numpy() for c in ("key", "i", "j", "block", "node", "n"))
+    bits = t.column("bits").to_pylist()
+    fresh = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    bounds = np.concatenate([[0], np.flatnonzero(fresh) + 1, [len(key)]])
+    a, b = [], []
+    for at, to in zip(bounds[:-1], bounds[1:]):
+        width = min(map(len, bits[at:to]))
+        x = np.frombuffer(b"".join(_folded(v, width) for v in bits[at:to]), np.uint64).reshape(to - at, -1)
+        size, side, across, names = n[at:to], block[at:to], i[at] != j[at], node[at:to]
+        label = np.arange(to - at)
+        for q in range(to - at - 1):
+            # what hangs together already needs no comparison
+            open_ = label[q + 1 :] != label[q]
+            if across:
+                open_ &= side[q + 1 :] != side[q]
+            others = np.flatnonzero(open_) + q + 1
+            if not len(others):
+                continue
+            far = np.bitwise_count(x[others] ^ x[q]).sum(1, dtype=np.int64)
+            hit = others[far * (100 + percent) <= (size[others] + size[q]) * (100 - percent)]
+            labels, first = np.unique(label[hit], return_index=True)
+            if len(labels):
+                a.append(np.full(len(labels), names[q]))
+                b.append(names[hit[first]])
+                label[np.isin(label, labels)] = label[q]
+    none = np.empty(0, np.int64)
+    return pa.table({"a": pa.array(np.concatenate([none, *a])), "b": pa.array(np.concatenate([none, *b]))}).filter(pc.field("a") != pc.field("b"))
+
+
 def _bin_numbers(text: str, n: int, bins: int):
     def of(batch: pa.RecordBatch) -> np.ndarray:
         sets = list(token_sets(batch.column(text), n))
@@ -211,34 +278,29 @@ def connected(df: DataFrame, base: DataFrame, text: str = "text", n: int = 3, pe
     levels = spark.sparkContext.broadcast(sketch(df, _bin_numbers(text, n, bins), bins))
 
     def heads(batches):
+        # copies are one node: a task says its prefix once, as long as it remembers it
+        said: set[bytes] = set()
         for b in batches:
             keys, names = [], []
             for s in token_sets(b.column(text), n):
-                if not len(s):
+                if not len(s) or (name := node_of(s)) in said:
                     continue
-                name, band = short(node_of(s)), _band(len(s), percent)
-                head = _ranked(s, 0, levels.value)[: prefix_len(len(s), percent)]
-                # a node meets its own size class, and as the smaller one the next larger class
-                for step, some in ((0, head), (1, head[: index_len(len(s), percent)])):
-                    keys.append(mix(some + U64((band + step) * 0x9E3779B97F4A7C15 % (1 << 64))))
-                    names.append(np.full(len(some), name, np.int64))
+                if len(said) < REMEMBERED:
+                    said.add(name)
+                keys.append(_prefix_keys(s, percent, levels.value))
+                names.append(np.full(len(keys[-1]), short(name), np.int64))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names))], ["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(names))], ["key", "node"])
 
     entries = df.mapInArrow(heads, "key bigint, node bigint")
-    # one partial aggregate finds the least node of each token that comes more than once; copies are one node
-    least = entries.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("c")).filter("c > 1").select(F.col("key").alias("k"), "low")
-    edges = entries.join(least, F.col("key") == F.col("k")).select(F.col("node").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
+    # prefixes are worked out and sent once: the least node of each token's list comes from a window over the list
+    edges = entries.select(F.col("node").alias("a"), F.min("node").over(Window.partitionBy("key")).alias("b")).filter("a <> b").distinct()
     groups = components(edges).withColumnRenamed("node", "member")
     # from here on the whole node is the key; nodes of one short are in one group
     # how many blocks a group needs; a node's block is a hash of it, so blocks are even
     sizes = base.filter("n_shingles > 0").groupBy("node").agg(F.first("short").alias("short"), F.max("n_shingles").alias("n"))
     groups = groups.join(sizes, F.col("member") == F.col("short")).select("node", "short", "root", "n")
-    need = groups.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
-    need = need.select(F.col("root").alias("r"), "members", _blocks("members", "tokens").alias("blocks"))
-    groups = groups.join(need, F.col("root") == F.col("r"))
-    hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit(9), "node"), F.greatest(F.ceil(F.col("members") / HUBS), "blocks")) == 0)
-    groups = saved(groups.select(F.col("node").alias("member"), "short", "root", "n", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), hub.alias("hub")))
+    groups = saved(groups.select(F.col("node").alias("member"), "short", "root", "n"))
 
     # the texts of grouped nodes only; a bitmap of fixed size keeps most others from being sent
     def bits(batch: pa.RecordBatch) -> np.ndarray:
@@ -251,7 +313,7 @@ def connected(df: DataFrame, base: DataFrame, text: str = "text", n: int = 3, pe
 
         c = zstandard.ZstdCompressor(level=6)
         for b in batches:
-            names, packed = [], []
+            names, packed, bits = [], [], []
             for row, s in enumerate(token_sets(b.column(text), n)):
                 if len(s):
                     name = node_of(s)
@@ -259,13 +321,15 @@ def connected(df: DataFrame, base: DataFrame, text: str = "text", n: int = 3, pe
                     if wanted.value[at >> 3] >> (7 - (at & 7)) & 1:
                         names.append(name)
                         packed.append(c.compress(b.column(text)[row].as_py().encode()))
+                        bits.append(parities(s, percent))
             if names:
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(packed, pa.binary())], ["node", "z"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(packed, pa.binary()), pa.array(bits, pa.binary())], ["node", "z", "bits"])
 
     # copies have equal sets: one text of each node stays, before the shuffle where copies meet; packed text takes a
     # fraction of its set's bytes
-    texts = df.mapInArrow(gathered, "node binary, z binary").groupBy("node").agg(F.min("z").alias("z"))
+    texts = df.mapInArrow(gathered, "node binary, z binary, bits binary").groupBy("node").agg(F.min("z").alias("z"), F.min("bits").alias("bits"))
     texts = saved(texts)
+    groups = _dealt(_narrowed(texts, groups, levels, n, percent))
     own = F.when(F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     first = texts.join(groups, F.col("node") == F.col("member")).select("node", "z", "root", F.explode(own).alias("i"))
     first = first.select("root", "i", F.col("i").alias("j"), F.col("i").alias("block"), F.lit(None).cast("binary").alias("comp"), "node", "z")
@@ -282,6 +346,58 @@ def connected(df: DataFrame, base: DataFrame, text: str = "text", n: int = 3, pe
     return both
 
 
+def _need(groups: DataFrame) -> DataFrame:
+    """(r, members, tokens, blocks): how many blocks each group needs."""
+    need = groups.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
+    return need.select(F.col("root").alias("r"), "members", "tokens", _blocks("members", "tokens").alias("blocks"))
+
+
+def _dealt(groups: DataFrame) -> DataFrame:
+    """groups with the number of their blocks, each node's block (a hash of it, so blocks are even) and whether it is a hub."""
+    groups = groups.join(_need(groups), F.col("root") == F.col("r"))
+    hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit(9), "member"), F.greatest(F.ceil(F.col("members") / HUBS), "blocks")) == 0)
+    return saved(groups.select("member", "short", "root", "n", "blocks", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"), hub.alias("hub")))
+
+
+def _narrowed(texts: DataFrame, groups: DataFrame, levels, n: int, percent: int) -> DataFrame:
+    """groups, those of several blocks split into what hangs together by pairs that share a token of the first prefix and
+    whose parities leave room for a link. Nodes that are left alone go."""
+    large = _need(groups).filter("blocks > 1")
+    tokens = large.agg(F.sum("tokens")).first()[0]
+    if not tokens:
+        return groups
+    large = saved(groups.join(large.select("r"), F.col("root") == F.col("r"), "left_semi"))
+
+    def listed(batches):
+        import zstandard
+
+        d = zstandard.ZstdDecompressor()
+        for b in batches:
+            keys, names = [], []
+            for name, s in zip(b.column("short").to_pylist(), token_sets(pa.array([d.decompress(x).decode() for x in b.column("z").to_pylist()], pa.string()), n)):
+                keys.append(_prefix_keys(s, percent, levels.value))
+                names.append(np.full(len(keys[-1]), name, np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(names))], ["key", "node"])
+
+    lists = texts.join(large, F.col("node") == F.col("member")).select("short", "z").mapInArrow(listed, "key bigint, node bigint")
+    lists = lists.select("key", "node", F.count("*").over(Window.partitionBy("key")).alias("c")).filter("c > 1")
+    # nodes of one short all stand in the lists of each
+    known = texts.join(large, F.col("node") == F.col("member")).select("short", "n", "bits")
+    parts = F.ceil(F.col("c") / LIST_ROWS).cast("int")
+    rows = lists.join(known, F.col("node") == F.col("short")).drop("short").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # a list of several blocks goes in pairs of them
+    rows = rows.select("key", "block", "node", "n", "bits", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "bits")
+    rows = rows.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(32 + tokens // (1 << 20))))
+    near = components(rows.groupBy("task").applyInArrow(lambda t: _near(t, percent), "a bigint, b bigint").distinct())
+    near = near.select(F.col("node").alias("s"), F.col("root").alias("narrow"))
+    # the root of a narrowed group is the short of one of its nodes, as that of any group
+    split = large.join(near, F.col("short") == F.col("s")).select("member", "short", F.col("narrow").alias("root"), "n")
+    small = groups.join(large.select(F.col("member").alias("m")), F.col("member") == F.col("m"), "left_anti")
+    return small.unionByName(split)
+
+
 def _blocks(members: str, tokens: str) -> F.Column:
     return F.greatest(F.ceil(F.col(members) / BLOCK_NODES), F.ceil(F.col(tokens) / BLOCK_TOKENS)).cast("int")
 
