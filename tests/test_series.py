@@ -161,3 +161,16 @@ def test_clusters_of_many_starts(spark):
     part = some.head(100)
     assert all(abs(v - got[k]) < 0.1 for k, v in C.silhouettes(out, "ts", "z", "prediction", part, near[:100]).items())
     assert C.silhouettes(out, "ts", "z", "prediction", part, np.zeros(100, int)) == {}
+
+
+def test_forward_matrix_has_no_row_for_each_cell(spark):
+    """The matrix of forward fill straight from rows: the same as from cells, without a product of times and variables."""
+    from strandline.operators import align as A
+    from strandline.plans import catalog as C
+
+    rows = [(1, 1.0, "a", 5.0), (2, 1.0, "a", None), (3, 2.0, "b", 1.0), (4, None, "a", 9.0), (5, 3.0, None, 2.0), (6, 4.0, "a", 7.0), (7, 4.0, "a", 6.0), (8, 5.0, "b", None), (9, 6.0, "c", 1.0), (10, 7.0, "a", 3.0)]
+    obs = spark.createDataFrame(rows, "seq bigint, ts double, variable string, value double")
+    want = A.matrix(A.align(obs, "forward_fill"), ["a", "b"])
+    assert sorted(map(str, A.forward_matrix(obs, ["a", "b"]).collect())) == sorted(map(str, want.collect()))
+    plan = C.event_matrix(spark, "/root/testdata/sf0.001")[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan
