@@ -174,3 +174,18 @@ def test_forward_matrix_has_no_row_for_each_cell(spark):
     assert sorted(map(str, A.forward_matrix(obs, ["a", "b"]).collect())) == sorted(map(str, want.collect()))
     plan = C.event_matrix(spark, "/root/testdata/sf0.001")[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "Cross" not in plan
+
+
+def test_kth_distance_of_a_thin_range():
+    """A range of x of a long series is thin: neighbours by x alone are mostly far away by y."""
+    import time
+
+    from strandline.operators.dependence import kth_distance
+
+    rng = np.random.default_rng(1)
+    x, y = np.repeat(np.round(rng.random(13108), 3), 5)[: 1 << 16] + 1e-9 * rng.random(1 << 16), 100 * rng.random(1 << 16)
+    began = time.perf_counter()
+    d = kth_distance(x, y, 3)
+    assert time.perf_counter() - began < 4
+    some = rng.integers(0, 1 << 16, 50)
+    assert np.array_equal(d[some], [np.sort(np.maximum(np.abs(x - x[i]), np.abs(y - y[i])))[3] for i in some])
