@@ -16,6 +16,7 @@ import hashlib
 import re
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,20 +80,30 @@ class ChunkCodec:
     def forget(self) -> None:
         self.table, self.held = {}, 0
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def written(self, texts: list[str]) -> Iterable[str]:
+        """The ids of each text, joined by commas; one text's at a time, so that they don't pile up."""
         if not self.chunked:
-            return self.library.encode(texts, num_threads=1)
+            for t in texts:
+                yield ",".join(map(str, self.library.encode(t, num_threads=1) if t else []))
+            return
         cut = [self.chunks(t) if t else [] for t in texts]
         known = self.look_up(cut)
-        return [list(map(int, ",".join([known[c] for c in cs]).split(","))) if cs else [] for cs in cut]
+        for cs in cut:
+            yield ",".join([known[c] for c in cs])
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [list(map(int, w.split(","))) if w else [] for w in self.written(texts)]
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
 
-    def digests(self, texts: list[str]) -> list[tuple[int, str, str, list[int]]]:
-        """(number of ids, SHA-256 of the ids as text, SHA-256 of decode(ids), ids) of each text."""
+    def digests(self, texts: list[str]) -> Iterable[tuple[int, str, str, np.ndarray]]:
+        """(number of ids, SHA-256 of the ids as text, SHA-256 of decode(ids), ids) of each text. Only the text at hand has
+        its ids as Python numbers, which take nine times the room."""
         sha = hashlib.sha256
-        return [(len(i), sha(",".join(map(str, i)).encode()).hexdigest(), sha(self.decode(i).encode()).hexdigest(), i) for i in self.encode(texts)]
+        for w in self.written(texts):
+            ids = list(map(int, w.split(","))) if w else []
+            yield len(ids), sha(w.encode()).hexdigest(), sha(self.decode(ids).encode()).hexdigest(), np.array(ids, np.int32)
 
 
 _MODELS: dict[str, ChunkCodec] = {}
@@ -160,11 +171,14 @@ def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", model: st
     def run(batches):
         c = codec(model)
         for b in batches:
+            # also what earlier work of a reused worker left in Arrow's pool
+            pa.default_memory_pool().release_unused()
             texts = [t or "" for t in b.column(1).to_pylist()]
-            got = [x for i, j in _groups(texts) for x in c.digests(texts[i:j])]
-            n, a, d, ids = zip(*got, strict=True) if got else ((), (), (), ())
-            more = [pa.array(ids, pa.list_(pa.int32()))] if with_ids else []
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), *more], [key, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"][: len(more)]])
+            # a batch for each group of texts: what is held does not grow with the rows of a batch that comes in
+            for i, j in _groups(texts):
+                n, a, d, ids = zip(*c.digests(texts[i:j]), strict=True)
+                more = [pa.array(ids, pa.list_(pa.int32()))] if with_ids else []
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), *more], [key, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"][: len(more)]])
         c.forget()
 
     return df.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{', ids array<int>' if with_ids else ''}")
