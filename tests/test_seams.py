@@ -60,3 +60,8 @@ def test_ties_and_empty(spark):
     got = [sorted((r.lag, round(r.r, 9)) for r in S.cross_correlations(df.repartition(k), "ts", [("a", "b")], 4, E.seams(df.repartition(k), "ts", [("a", "b")], 4, m)).collect()) for k, m in ((1, 7), (4, 1 << 16))]
     assert got[0] == got[1] and len(got[0]) == 9
     assert S.cross_correlations(df.limit(0), "ts", [("a", "b")], 4).count() == 0
+
+
+def test_granger_sends_no_row_for_each_pair(spark, monkeypatch):
+    monkeypatch.setattr(L, "series_pairs", None)
+    assert {(r.source, r.target) for r in L.granger_tests(sparse(spark), "ts", [("a", "b"), ("a", "still")], 4, rows=25).collect()} == {("a", "b"), ("b", "a")}
